@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, url_filter
+from . import bpe, mixing, simhash, suffix, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix.dedup_report(table(spark, sf_dir, "documents"), length=200)
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -26,7 +30,7 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_byte_bpe": op2_byte_bpe, "op6_source_mixing": op6_source_mixing, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op6_source_mixing": op6_source_mixing, "op9_url_filter": op9_url_filter}
 
 ORACLES = {
     "op6_source_mixing": r"""
