@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, simhash, suffix, url_filter
+from pyspark.sql import functions as F
+
+from . import ann, bpe, embedding_dedup, mixing, simhash, suffix, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -22,6 +24,15 @@ def op3_suffix_array_dedup(spark, sf_dir):
     return suffix.dedup_report(table(spark, sf_dir, "documents"), length=200)
 
 
+def op4_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -30,7 +41,7 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op6_source_mixing": op6_source_mixing, "op9_url_filter": op9_url_filter}
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op6_source_mixing": op6_source_mixing, "op9_url_filter": op9_url_filter}
 
 ORACLES = {
     "op6_source_mixing": r"""
