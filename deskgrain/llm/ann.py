@@ -22,7 +22,7 @@ from .vectors import distances, kmeans, nearest, sample, takes_part, to_matrix
 #: Vectors of a list, and queries at a list, that one task compares.
 BLOCK, QUERIES = 8_192, 512
 #: Most lists; vectors for each list, about; share of the lists that a query probes, and how many at least.
-LISTS, PER_LIST, PROBED, LEAST_PROBED = 1_024, 200, 0.6, 4
+LISTS, PER_LIST, PROBED, LEAST_PROBED = 1_024, 200, 0.7, 4
 #: Queries of which a task keeps the best before it hands them on.
 KEPT = 50_000
 #: Tolerance of the test, columns in a block, candidates scanned together.

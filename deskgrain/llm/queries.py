@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, mixing, simhash, suffix, url_filter
+from . import ann, bpe, embedding_dedup, langid, mixing, simhash, suffix, url_filter, warc
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -33,6 +33,16 @@ def op8_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op7_arc_to_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -41,9 +51,14 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_array_dedup": op3_suffix_array_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op6_source_mixing": op6_source_mixing, "op9_url_filter": op9_url_filter}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op6_source_mixing, op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id)}
 
 ORACLES = {
+    "op7_arc_to_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to FROM g""",
     "op6_source_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
