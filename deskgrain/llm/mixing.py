@@ -2,7 +2,7 @@
 
 Every document has a 60-bit hash of its id. A source takes all documents whose hash lies below a threshold; the
 threshold is found from sums of sizes by (source, 12 hash bits). Only the bucket in which the budget ends is opened
-again, by the next 12 bits, until all 60 bits are used. Nothing is sorted by document and no document moves: the result
+again, by the next 12 bits and then by all 36 that are left. Nothing is sorted by document and no document moves: the result
 is a filter against one small row for each source.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql.window import Window
 
 from .common import WORD, small, written
 
-DIGIT_BITS, DIGITS = 12, 5
+#: Bits of the hash that each level looks at; together 60.
+DIGITS = (12, 12, 36)
 
 
 def word_count(text: Column) -> Column:
@@ -30,7 +31,11 @@ def id_hash(key: Column) -> Column:
 
 
 def _digit(h: Column, level: int) -> Column:
-    return F.shiftright(h, DIGIT_BITS * (DIGITS - 1 - level)).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).cast("long")
+    return F.shiftright(h, _below(level)).bitwiseAND(F.lit((1 << DIGITS[level]) - 1)).cast("long")
+
+
+def _below(level: int) -> int:
+    return sum(DIGITS[level + 1 :])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -65,21 +70,21 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     state = goal.withColumn("base", base).withColumn("left", F.col("target") - F.col("base") * F.col("source_size")).withColumn("bound", F.lit(0).cast("long"))
     closed = []
     hist = top
-    for level in range(DIGITS):
-        # per source at most 4096 rows enter this window
+    for level in range(len(DIGITS)):
+        # per source at most 4096 rows enter this window; on the last level, the documents of one of 2^24 buckets
         w = Window.partitionBy("mix_source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         run = hist.withColumn("upto", F.sum("s").over(w)).withColumnRenamed("mix_source", "k")
         over = run.join(small(state.select("mix_source", "left")), F.col("k").eqNullSafe(F.col("mix_source"))).where(F.col("upto") > F.col("left"))
         edge = over.groupBy("k").agg(F.min_by(F.struct("digit", (F.col("upto") - F.col("s")).alias("below")), "digit").alias("e"))
         step = state.join(small(edge), F.col("mix_source").eqNullSafe(F.col("k")), "left")
-        unit = 1 << (DIGIT_BITS * (DIGITS - 1 - level))
+        unit = 1 << _below(level)
         # no bucket overruns the budget: everything that is still open is taken
-        closed.append(step.where(F.col("e").isNull()).select("mix_source", "source_size", "target", "base", (F.col("bound") + F.lit(unit << DIGIT_BITS).cast("long")).alias("bound")))
+        closed.append(step.where(F.col("e").isNull()).select("mix_source", "source_size", "target", "base", (F.col("bound") + F.lit(unit << DIGITS[level]).cast("long")).alias("bound")))
         state = step.where(F.col("e").isNotNull()).select("mix_source", "source_size", "target", "base", (F.col("left") - F.col("e.below")).alias("left"), (F.col("bound") + F.col("e.digit") * F.lit(unit).cast("long")).alias("bound"))
         state = written(state, "mix-open")
-        if level + 1 < DIGITS:
-            opened = state.select(F.col("mix_source").alias("k"), F.shiftright("bound", DIGIT_BITS * (DIGITS - 1 - level)).alias("prefix"))
-            inside = sized.withColumn("prefix", F.shiftright("mix_hash", DIGIT_BITS * (DIGITS - 1 - level))).join(small(opened).withColumnRenamed("prefix", "p"), F.col("k").eqNullSafe(F.col("mix_source")) & (F.col("prefix") == F.col("p")))
+        if level + 1 < len(DIGITS):
+            opened = state.select(F.col("mix_source").alias("k"), F.shiftright("bound", _below(level)).alias("prefix"))
+            inside = sized.withColumn("prefix", F.shiftright("mix_hash", _below(level))).join(small(opened).withColumnRenamed("prefix", "p"), F.col("k").eqNullSafe(F.col("mix_source")) & (F.col("prefix") == F.col("p")))
             hist = inside.groupBy("mix_source", _digit(F.col("mix_hash"), level + 1).alias("digit")).agg(F.sum("mix_size").alias("s"))
     closed.append(state.select("mix_source", "source_size", "target", "base", "bound"))
     return reduce(DataFrame.unionByName, closed)

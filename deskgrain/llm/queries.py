@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, langid, mixing, simhash, suffix, url_filter, warc
+from . import ann, bpe, embedding_dedup, langid, mixing, quality, simhash, suffix, url_filter, warc
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -43,6 +43,10 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op6_source_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
 
@@ -51,7 +55,7 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op6_source_mixing, op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op5_quality, op6_source_mixing, op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id)}
 
 ORACLES = {
     "op7_arc_to_warc": """

@@ -307,7 +307,7 @@ def _with_spans(docs: DataFrame, text_col: str, length: int, hot: int) -> DataFr
 
 def _cut(text: str | None, spans, length: int) -> tuple[bytes, int, np.ndarray]:
     raw = (text or "").encode("utf-8", "surrogatepass")
-    flat = np.array([(s["a"], s["b"]) for s in spans], np.int64).reshape(-1, 2) if spans else np.empty((0, 2), np.int64)
+    flat = np.array([(s["a"], s["b"]) for s in spans], np.int64).reshape(-1, 2) if spans is not None and len(spans) else np.empty((0, 2), np.int64)
     runs = merge_spans(flat, len(raw), length)
     if not len(runs):
         return raw, len(raw), runs
@@ -344,7 +344,7 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, hot: int =
     def kept(text, spans):
         import pandas as pd
 
-        return pd.Series([None if t is None else _cut(t, s if s is not None and len(s) else None, length)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
+        return pd.Series([None if t is None else _cut(t, s, length)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
 
     rows = _with_spans(docs, text_col, length, hot)
     return rows.select(*[(kept(F.col("_text"), F.col("_spans")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
