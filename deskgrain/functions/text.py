@@ -94,7 +94,7 @@ def stale(expires_at: Column, needs_review_at: Column, as_of: Column) -> Column:
 def first_fact(c: Column, least: int = 20, most: int = 240) -> Column:
     """First sentence of 20 to 240 characters, else the first 240 characters."""
     t = collapse(c)
-    fits = F.filter(F.transform(sentences(t), F.trim), lambda s: F.length(s).between(least, most))
+    fits = F.filter(F.transform(sentences(t), lambda x: F.trim(x)), lambda s: F.length(s).between(least, most))
     return F.coalesce(F.get(fits, F.lit(0)), F.substring(t, 1, most))
 
 
