@@ -119,12 +119,13 @@ def _edit_distance(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
-def _token_edit_distance(original: pd.Series, final: pd.Series) -> pd.Series:
-    return pd.Series([_edit_distance((a or "").split(), (b or "").split()) for a, b in zip(original, final)], dtype="int32")
-
-
 def token_edit_distance(original: Column, final: Column) -> Column:
     """Levenshtein distance of the words of two texts. A fold of folds in column expressions copies its row for every
     word; in Arrow batches numpy updates a row at once (a hundred times faster on turns of a hundred words)."""
-    return _token_edit_distance(original, final)
+
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_edit_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b)], dtype="int32")
+
+    return run(original, final)
