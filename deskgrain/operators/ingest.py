@@ -57,7 +57,10 @@ def html_plain(html: Column) -> Column:
 def html_page(html: Column) -> Column:
     """(title, body, rejected): visible text with line breaks at headings, paragraphs, items and rows; rejected below five words."""
     h = F.coalesce(html, F.lit(""))
-    title = T.collapse(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    for entity, char in ENTITIES.items():
+        title = F.replace(title, F.lit(entity), F.lit(char))
+    title = T.collapse(title)
     t = F.regexp_replace(h, r"(?is)<(script|style|nav|footer|title)\b[^>]*>.*?</(script|style|nav|footer|title)>", "")
     t = F.regexp_replace(t, r"(?s)<!--.*?-->|<![^>]*>", "")
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t\n\r\f]+", " "), r"(?i)</?(h1|h2|h3|p|li|tr)(\s[^>]*)?>", "\n")

@@ -74,7 +74,8 @@ def _page_sql() -> str:
     t = rf"regexp_replace({t}, '<!--.*?-->|<![^>]*>', '', 'gs')"
     t = rf"regexp_replace(regexp_replace({t}, '[ \t\n\r\f]+', ' ', 'g'), '</?(h1|h2|h3|p|li|tr)(\s[^>]*)?>', chr(10), 'gi')"
     t = _entities(f"regexp_replace({t}, '<[^>]*>', '', 'g')")
-    title = r"trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '[ \t\n\r\f\v]+', ' ', 'g'))"
+    title = _entities("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
+    title = rf"trim(regexp_replace({title}, '[ \t\n\r\f\v]+', ' ', 'g'))"
     return f"WITH p AS (SELECT page_id, {title} AS title, array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM pages) SELECT page_id, title, body, len({words_sql('body')}) < 5 AS rejected FROM p"
 
 

@@ -85,10 +85,9 @@ def as_documents(articles: DataFrame, source_key: str) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, malformed lines) of a file of JSON lines. Malformed lines keep their text."""
-    full = StructType(schema.fields).add("_corrupt_record", "string")
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    kept = raw.select("*", F.col("_metadata.file_path").alias("_file"))
-    return kept.where("_corrupt_record IS NULL").drop("_corrupt_record", "_file"), kept.where("_corrupt_record IS NOT NULL").select("_file", "_corrupt_record")
+    full = StructType([*schema.fields]).add("_corrupt_record", "string")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", full).alias("r")).where("trim(value) <> ''")
+    return raw.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.where("r._corrupt_record IS NOT NULL").select("_file", "r._corrupt_record")
 
 
 def manifest_join(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
