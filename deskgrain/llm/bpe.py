@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -146,8 +147,6 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
 
 
 def _arrow_udf(f, kind: str, path: str, pattern: str):
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def run(column: pd.Series) -> pd.Series:
         return pd.Series(f(tokenizer(path, pattern), [None if x is None else x if isinstance(x, str) else list(x) for x in column]))

@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with mix_times: how often the mix takes each document (0 up to ``cap``).
 
     Only the columns named are read for the decision; all others pass through, whatever their names (but mix_times).
-    A null or empty text has size 0; a null source is a source of its own; rows of one id are taken alike; an empty
+    A null or empty text has size 0; a null source is a source of its own; rows of one id and source are taken alike; an empty
     table gives an empty result.
     """
     bounds = _prefixed(small(thresholds(written(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)))
