@@ -240,3 +240,18 @@ def embed(chunks: DataFrame, text_col: str, dims_: int = 384, embed_fn=None, out
 
     d = HashingTF(numFeatures=dims_, inputCol="_tokens", outputCol="_tf").transform(chunks.withColumn("_tokens", T.words(F.lower(F.col(text_col)))))
     return Normalizer(inputCol="_tf", outputCol="_unit").transform(d).withColumn(out, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_unit")
+
+
+# Tier of each source type.
+TIERS = {"policy": "canonical_policy", "official_help_article": "approved_kb", "knowledge_base": "approved_kb", "faq": "approved_kb", "release_note": "approved_release_note", "known_issue": "approved_conditional"}
+
+
+def source_metadata(category: Column, source_type: Column, article_id: Column, url: Column, file_name: Column, content: Column, as_of: Column) -> Column:
+    """What a chunk carries of its source: tier, references, approval, audience and hashes. Ticket history and raw types are
+    never approved nor shown to customers."""
+    raw = (category == "historical_tickets") | source_type.startswith("raw_")
+    tier = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), source_type), F.lit("unreviewed"))
+    return F.struct(
+        F.concat_ws(":", category, article_id.cast("string")).alias("source_id"), tier.alias("tier"), F.coalesce(T.blank_to_null(url), file_name).alias("source_ref"), article_id.alias("lineage_ref"), (~raw).alias("is_approved"), (~raw).alias("is_customer_facing_allowed"), raw.alias("is_internal_only"), raw.alias("is_future_only"),
+        F.when(raw, "").otherwise(as_of).alias("approved_at"), F.when(raw, F.array(F.lit("internal"))).otherwise(F.array(F.lit("customer"), F.lit("internal"))).alias("audience_allowed"), T.sha256(content).alias("document_hash"),
+    )

@@ -11,6 +11,7 @@ from deskgrain.operators import planning as P
 from deskgrain.operators import retrieval as R
 
 from .common import AS_OF, WS, book, table
+from .retrieval_queries import CAND, candidates
 
 QUERIES, SQL, query = book()
 RX = lambda p: "'" + p.replace("'", "''") + "'"
@@ -348,3 +349,11 @@ def source_previews(spark, sf):
 
     d = table(spark, sf, "documents").withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("rn <= 5")
     return d.select("source", "doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 200), " ").alias("chunk_preview"), F.when(F.col("doc_id") % 6 == 0, "attribution text is missing").alias("warning"), (T.word_count(F.col("text")) >= 5).alias("can_load"))
+
+
+@query(f"""WITH {CAND} SELECT chunk_id, 'cat' || (chunk_id % 3) || ':' || article_id AS source_id, CASE source_type WHEN 'policy' THEN 'canonical_policy' WHEN 'release_note' THEN 'approved_release_note' WHEN 'known_issue' THEN 'approved_conditional' WHEN 'raw_ticket_history' THEN 'unreviewed' ELSE 'approved_kb' END AS tier, CASE WHEN chunk_id % 2 = 0 THEN 'http://x/' || chunk_id ELSE 'f.csv' END AS source_ref, source_type <> 'raw_ticket_history' AS is_approved, CASE WHEN source_type = 'raw_ticket_history' THEN 'internal' ELSE 'customer,internal' END AS audience, sha256(content) AS document_hash FROM cand""")
+def source_metadata(spark, sf):
+    """Tier, references, approval and audience of every chunk's source."""
+    c, i = candidates(spark, sf), F.col("chunk_id")
+    m = I.source_metadata(F.concat(F.lit("cat"), (i % 3).cast("string")), F.col("source_type"), F.col("article_id"), F.when(i % 2 == 0, F.concat(F.lit("http://x/"), i.cast("string"))).otherwise(""), F.lit("f.csv"), F.col("content"), F.lit(AS_OF))
+    return c.select("chunk_id", m.alias("m")).select("chunk_id", "m.source_id", "m.tier", "m.source_ref", "m.is_approved", F.array_join("m.audience_allowed", ",").alias("audience"), "m.document_hash")

@@ -68,3 +68,8 @@ def test_embedding_default_and_custom(spark):
     d = spark.createDataFrame([("a b a",), ("",)], "t string")
     v = [r["embedding"] for r in I.embed(d, "t", 16).collect()]
     assert abs(sum(x * x for x in v[0]) - 1) < 1e-6 and sum(v[1]) == 0
+
+
+def test_source_contract_groups():
+    errors, warnings = I.missing_columns(["id", "body"], {"title": ["title", "policy_name"], "content": ["content", "body"]}, ["url", "id"])
+    assert errors == ["title"] and warnings == ["url"]
