@@ -6,6 +6,8 @@ ranking ends with the chunk id, so that ties have one order.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,18 +64,54 @@ def normalised(df: DataFrame, vec: str) -> DataFrame:
     return df.withColumn(vec, F.when(norm > 0, F.transform(d, lambda x: x / norm)).otherwise(d))
 
 
-def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 20, most_questions: int = 50_000) -> DataFrame:
+#: Questions and chunks of a block that dense search compares at once.
+QUESTION_BLOCK, CHUNK_BLOCK = 1_024, 8_192
+
+
+def _blocks(df: DataFrame, id_col: str, own: int, others: int, is_question: bool) -> DataFrame:
+    """Rows in ``own`` blocks by a hash of the id, each block once for every block of the other side."""
+    packed = df.where("embedding IS NOT NULL").select(F.pmod(F.xxhash64(id_col), F.lit(own)).cast("int").alias("block"), F.struct(F.col(id_col).alias("id"), F.col("embedding").alias("v")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("items"))
+    met = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    q, c = ("block", "other") if is_question else ("other", "block")
+    return met.select(F.col(q).alias("q"), F.col(c).alias("c"), F.lit(is_question).alias("is_question"), "items")
+
+
+def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     """(question_id, chunk_id, rank, score): exact cosine top-k of ``chunks`` (chunk_id, embedding) for ``questions`` (question_id, embedding).
 
-    Questions go to the chunks: broadcast if they are few, else dealt over partitions. Each pair is scored where the
-    chunk lies; ranks above k are cut before and after the exchange by the window's group limit.
+    All questions meet all chunks, block by block: blocks of bounded size are paired by an equal key, a pair is one matrix
+    product, and only the best k of a pair go on. Null vectors take no part; a question does not find its own id.
     """
-    q = normalised(questions.select("question_id", F.col("embedding").alias("qv")), "qv")
-    q = F.broadcast(q) if q.limit(most_questions + 1).count() <= most_questions else q
-    c = normalised(chunks.select("chunk_id", F.col("embedding").alias("cv")), "cv")
-    dot = F.aggregate(F.zip_with("cv", "qv", lambda a, x: a * x), F.lit(0.0), lambda acc, x: acc + x)
-    scored = c.join(q, F.col("chunk_id") != F.col("question_id")).select("question_id", "chunk_id", F.round(dot, 6).alias("score"))
-    return top_k(scored, k)
+    n_q, n_c = (max(1, -(-df.count() // size)) for df, size in ((questions, QUESTION_BLOCK), (chunks, CHUNK_BLOCK)))
+    sides = _blocks(questions, "question_id", n_q, n_c, True).unionByName(_blocks(chunks, "chunk_id", n_c, n_q, False))
+    met = sides.groupBy("q", "c").agg(F.array_sort(F.collect_list(F.struct("is_question", "items"))).alias("t"))
+    kinds = dict(questions.dtypes)["question_id"], dict(chunks.dtypes)["chunk_id"]
+
+    def unit(items) -> tuple[np.ndarray, np.ndarray]:
+        v = items.field("v")
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return items.field("id").to_numpy(zero_copy_only=False), x / np.where(norm > 0, norm, 1)
+
+    def run(batches):
+        for batch in batches:
+            for pair in batch.column(0):
+                if len(pair) < 2:
+                    continue
+                (ids, c), (qids, q) = (unit(side["items"].values) for side in pair)
+                found = []
+                for i in range(0, len(q), 64):
+                    scores = np.round(q[i : i + 64] @ c.T, 6)
+                    for qid, row in zip(qids[i : i + 64], scores):
+                        row = np.where(ids == qid, -np.inf, row)
+                        least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                        at = np.flatnonzero((row >= least) & (row > -np.inf))
+                        at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                        found.append((np.full(len(at), qid), ids[at], row[at]))
+                a, b, s = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["question_id", "chunk_id", "score"])
+
+    return top_k(met.select("t").mapInArrow(run, f"question_id {kinds[0]}, chunk_id {kinds[1]}, score double"), k)
 
 
 def fuse(lists: list[DataFrame], k: int, weights: list[float] | None = None, constant: int = 60) -> DataFrame:
