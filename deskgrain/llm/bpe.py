@@ -22,10 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Matches of at most this many bytes are leaves of the tree.
 LEAF = 48
 #: Distinct matches and token pairs that a worker remembers; then it forgets all and starts again.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 class ByteBPE:
@@ -35,7 +37,7 @@ class ByteBPE:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.token = {v: k for k, v in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[int, bytes, bytes, list[int]]] = {}
+        self._known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The merges one after the other, lowest rank first, leftmost among equals: the definition of the encoding."""
@@ -110,22 +112,22 @@ class ByteBPE:
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def leaf(self, match: str) -> tuple[int, bytes, bytes, list[int]]:
-        """(number of ids, ids as decimal text, bytes decoded from the ids, ids) of one match."""
+    def leaf(self, match: str) -> tuple[int, bytes, bytes]:
+        """(number of ids, ids as decimal text, bytes decoded from the ids) of one match."""
         ids = self.encode_match(match.encode())
-        found = len(ids), ",".join(map(str, ids)).encode(), self.decode(ids), ids
+        found = len(ids), ",".join(map(str, ids)).encode(), self.decode(ids)
         if len(match) <= LEAF:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
             self._known[match] = found
         return found
 
-    def leaves(self, text: str) -> list[tuple[int, bytes, bytes, list[int]]]:
+    def leaves(self, text: str) -> list[tuple[int, bytes, bytes]]:
         known, leaf = self._known.get, self.leaf
         return [known(m) or leaf(m) for m in self.find(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [x for leaf in self.leaves(text) for x in leaf[3]]
+        return [int(x) for leaf in self.leaves(text) for x in leaf[1].split(b",")]
 
 
 @lru_cache(maxsize=4)
@@ -171,6 +173,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 ids.append(hashlib.sha256(b",".join([x[1] for x in leaves])).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([x[2] for x in leaves])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if it proves to have at most ``most`` rows, else as it is. ``df`` should be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def release_memory() -> None:
+    """Hands memory that a Python worker no longer uses back to the system: workers live on, and later stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release_memory, written
 
 #: Leading bytes of an anchor that must repeat; a power of two.
 K = 32
@@ -31,7 +31,7 @@ BUCKET = 100_000
 #: Bytes of a text that are looked at together.
 CHUNK = 1 << 21
 #: Bytes of contexts that a task combines before it sends them on.
-COMBINE = 32 << 20
+COMBINE = 16 << 20
 
 LOW = np.uint64((1 << 24) - 1)
 ALL = (1 << 31) - 1
@@ -171,6 +171,7 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 p, h, _, _ = anchors(_bytes(text.as_py()), length)
                 hs.append(h), ps.append(p), ts.append(np.full(len(p), t))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps).astype(np.int32))], names=["kh", "t", "pos"])
+        release_memory()
 
     return texts.select("t", "text").mapInArrow(run, "kh long, t long, pos int")
 
@@ -231,6 +232,7 @@ def _contexts(length: int):
                 yield from flush(held)
                 size = 0
         yield from flush(held)
+        release_memory()
 
     return run
 
@@ -258,6 +260,7 @@ def _buckets(length: int):
         hit = np.flatnonzero(single & (highest >= 0))
         m = len(hit)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, COVER, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(t[hit]), pa.array((pos - highest)[hit].astype(np.int32)), pa.array((pos - lowest + length)[hit].astype(np.int32))], names=["kind", "lead", "kh", "t", "a", "b"])
+        release_memory()
 
     return run
 
@@ -331,6 +334,7 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept, size, runs = _cut(text.as_py(), s.as_py(), length)
                 n.append(size), gone.append(size - len(kept)), spans.append(len(runs)), sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _with_spans(docs.select(id_col, text_col), text_col, length, hot)
@@ -344,7 +348,9 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, hot: int =
     def kept(text, spans):
         import pandas as pd
 
-        return pd.Series([None if t is None else _cut(t, s, length)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
+        made = pd.Series([None if t is None else _cut(t, s, length)[0].decode("utf-8", "ignore") for t, s in zip(text, spans)])
+        release_memory()
+        return made
 
     rows = _with_spans(docs, text_col, length, hot)
     return rows.select(*[(kept(F.col("_text"), F.col("_spans")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
