@@ -1 +1 @@
-
+"""Column helpers and small dimension tables."""

@@ -1 +1 @@
-
+"""Operators on tables of articles, questions, chunks, answers and events."""

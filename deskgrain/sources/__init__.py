@@ -1 +1 @@
-
+"""Readers, writers and updates of tables."""
