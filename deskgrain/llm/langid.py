@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 
 #: Bytes in a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
@@ -123,10 +125,11 @@ def has_letter(text: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> Net | None:
     """The network, from at most ``most`` documents with a language and a letter that are not held out; None without any."""
     text, i = F.col(text_col), F.col(id_col)
-    known = docs.where(F.col(lang_col).isNotNull() & has_letter(text) & ~held_out(i))
+    known, h = docs.where(F.col(lang_col).isNotNull() & ~held_out(i)), F.xxhash64(i)
+    known = sampled(known, h, known.count(), most).where(has_letter(text))
     # short passages from anywhere in the text, cut before anything is collected
     cuts = [F.substring(text, (F.pmod(F.xxhash64(i, F.lit(p)), F.greatest(F.length(text) - PASSAGE, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(PASSAGE)) for p in range(PASSAGES)]
-    rows = known.select(F.xxhash64(i, text).alias("h"), F.col(lang_col).alias("lang"), *[c.alias(f"p{n}") for n, c in enumerate(cuts)]).orderBy("h").limit(most).collect()
+    rows = known.select(h.alias("h"), F.col(lang_col).alias("lang"), *[c.alias(f"p{n}") for n, c in enumerate(cuts)]).orderBy("h", "p0").limit(most).collect()
     pairs = [(r[f"p{n}"].encode(), r["lang"]) for r in rows for n in range(PASSAGES) if r[f"p{n}"].strip()]
     return train(*zip(*pairs)) if pairs else None
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Vectors that k-means may be fitted on; the sample is the one of the smallest id hashes.
 SAMPLE = 20_000
 
@@ -19,7 +21,8 @@ def takes_part(v: Column) -> Column:
 
 def sample(df: DataFrame, id_col: str, vec_col: str, most: int = SAMPLE) -> np.ndarray:
     """At most ``most`` vectors, one row each, the same ones in every run."""
-    rows = df.select(F.xxhash64(id_col).alias("h"), F.col(vec_col).alias("v")).orderBy("h", "v").limit(most).select("v").toArrow()
+    h = F.xxhash64(id_col)
+    rows = sampled(df, h, df.count(), most).select(h.alias("h"), F.col(vec_col).alias("v")).orderBy("h", "v").limit(most).select("v").toArrow()
     flat = rows.column(0).combine_chunks()
     return to_matrix(flat) if len(flat) else np.empty((0, 1))
 
