@@ -23,6 +23,8 @@ SEED = 42
 #: Fingerprints in a tile: at least, at most.
 TILE = (8_192, 65_536)
 SUB = 512
+#: Tile pairs that a task compares, about.
+PAIRS = 16
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -117,7 +119,10 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     others = F.flatten(F.transform(reach, lambda p: F.when(F.get(held, p) > 0, F.transform(F.sequence(F.lit(0), F.get(held, p) - 1), lambda q: F.struct(p.alias("p"), q.alias("q")))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))))
     own, other = F.struct(F.col("pc").alias("p"), F.col("block").alias("q")), F.col("other")
     dealt = tiles.select("pc", "block", "fps", F.explode(others).alias("other")).select(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own == F.greatest(own, other)).alias("last"), "fps")
-    met = dealt.groupBy("lo", "hi").agg(F.collect_list(F.struct("last", "fps")).alias("t"))  # one or two tiles
+    pairs = sum(blocks[p] * blocks[q] for p in range(65) for q in range(p, min(65, p + radius + 1)))
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
+    # the number of tasks follows the pairs, not their bytes: a pair is little to read and much to compare
+    met = dealt.repartition(tasks, "lo", "hi").groupBy("lo", "hi").agg(F.collect_list(F.struct("last", "fps")).alias("t"))  # one or two tiles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
