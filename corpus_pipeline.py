@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgrain.llm import bpe, langid, mixing, simhash, suffix
+from deskgrain.llm import bpe, langid, mixing, near_copies, suffix
 from deskgrain.llm.common import table, written
 
 #: Documents whose language is less certain than this are rejected, as are those without a letter.
@@ -23,10 +23,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with _k1 and _k2, hashes of the whole row: only equal rows share both."""
+    every = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"`{c}`").isNull() for c in docs.columns]  # hashing skips nulls
+    return docs.withColumns({"_k1": F.xxhash64(*every), "_k2": F.xxhash64(F.lit(1), *every)})
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near-duplicates."""
-    groups = simhash.components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    """Keeps one document, that of the smallest id, of each group linked by Jaccard similarities of 0.8 or more
+    (shingles of five words; texts without a word are copies of each other)."""
+    keyed = row_keys(docs)
+    nodes = written(near_copies.nodes(keyed, ["doc_id", "_k1", "_k2"], words=5), "nodes")
+    roots = near_copies.roots(nodes, keyed, ["_k1", "_k2"], words=5)
+    kept = nodes.join(roots, "sid").groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
 
 

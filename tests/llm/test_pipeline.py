@@ -43,3 +43,32 @@ def test_stages_on_an_empty_table(spark):
 
 def test_run_writes_each_stage(spark, sf):
     assert pipeline.run(spark, sf).count() > 50
+
+
+def copies_of(n, changed, seed):
+    """A text of n words, and one that differs in `changed` words in a row."""
+    words = [f"w{seed}x{i}" for i in range(n)]
+    return " ".join(words), " ".join(f"c{i}" if i < changed else w for i, w in enumerate(words))
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_from_a_similarity_of_four_fifths(spark):
+    like = [(copies_of(60, 5, i), i) for i in range(30)]  # 51 of 61 shingles: 0.836
+    unlike = [(copies_of(60, 7, i), i) for i in range(30, 60)]  # 49 of 63: 0.778
+    assert all(jaccard(*p) >= 0.8 for p, _ in like) and all(0.75 < jaccard(*p) < 0.8 for p, _ in unlike)
+    rows = [(2 * i + k, t, "en", "s", len(t)) for p, i in like + unlike for k, t in enumerate(p)]
+    got = {r["doc_id"] for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert {2 * i + k for _, i in unlike for k in (0, 1)} <= got and all(2 * i in got for _, i in like)
+    assert sum(2 * i + 1 in got for _, i in like) <= 1
+
+
+def test_short_texts_and_a_large_group_of_near_copies(spark):
+    base = [f"b{i}" for i in range(80)]
+    group = [" ".join(base[:i % 70] + [f"n{i}"] + base[i % 70 + 1 :]) for i in range(300)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(group + ["a b", "A  b", "a c", "a b c d e f", "a b c d e g"])]
+    got = sorted(r["doc_id"] for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect())
+    assert got == [0, 300, 302, 303, 304]
