@@ -30,13 +30,15 @@ def row_keys(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group linked by Jaccard similarities of 0.8 or more
-    (shingles of five words; texts without a word are copies of each other)."""
+    """Keeps one row of each group linked by Jaccard similarities of 0.8 or more (shingles of five words; texts without a
+    word are copies of each other): that of the smallest id, nulls last, and among rows of one id that of the smallest hash.
+    Ids play no other part: texts that are no near copies are all kept, whatever ids they share."""
     keyed = row_keys(docs)
     nodes = written(near_copies.nodes(keyed, ["doc_id", "_k1", "_k2"], words=5), "nodes")
     roots = near_copies.roots(nodes, keyed, ["_k1", "_k2"], words=5)
-    kept = nodes.join(roots, "sid").groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")).alias("first")
+    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select("first._k1", "first._k2")
+    return keyed.dropDuplicates(["_k1", "_k2"]).join(kept, ["_k1", "_k2"], "left_semi").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

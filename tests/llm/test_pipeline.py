@@ -72,3 +72,12 @@ def test_short_texts_and_a_large_group_of_near_copies(spark):
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(group + ["a b", "A  b", "a c", "a b c d e f", "a b c d e g"])]
     got = sorted(r["doc_id"] for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect())
     assert got == [0, 300, 302, 303, 304]
+
+
+def test_null_and_repeated_ids_merge_nothing(spark):
+    text = [" ".join(f"t{i}x{j}" for j in range(20)) for i in range(6)]
+    rows = [(None, text[0], "en", "s", 1), (None, text[1], "en", "s", 2), (None, text[1], "en", "s", 2), (None, text[2], "en", "s", 3), (7, text[2], "en", "s", 4), (8, text[3], "en", "s", 5), (8, text[4], "en", "s", 6), (9, text[4], None, "s", 7), (8, text[5], "en", "a", 8), (8, text[5], "en", "b", 8)]
+    want = [(None, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (8, text[4]), (8, text[5])]
+    got = [pipeline.near_dedup(spark, spark.createDataFrame(r, COLUMNS).repartition(n), "").collect() for r, n in ((rows, 1), (rows[::-1], 3))]
+    assert all(sorted(((r["doc_id"], r["text"]) for r in g), key=lambda r: r[1]) == want for g in got)
+    assert set(got[0]) == set(got[1])
