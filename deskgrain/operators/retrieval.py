@@ -6,6 +6,8 @@ ranking ends with the chunk id, so that ties have one order.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -232,18 +234,34 @@ def rehydrate(cands: DataFrame, chunks: DataFrame, fields: list[str], id_col: st
     return j.select(*[F.coalesce(cands[x], F.col(f"_{x}")).alias(x) if x in fields else cands[x] for x in cands.columns])
 
 
-def ivf_topk(chunks: DataFrame, questions: DataFrame, k: int = 20, cells: int = 16, probes: int = 4, fit_on: int = 20_000, seed: int = 7) -> DataFrame:
-    """Approximate dense top-k: chunks dealt to k-means cells, questions to their nearest cells, scored within cells."""
+#: Questions searched exactly to choose how many cells are probed.
+SAMPLE_QUESTIONS = 200
+
+
+def ivf_topk(chunks: DataFrame, questions: DataFrame, k: int = 20, cells: int | None = 16, probes: int | None = 4, fit_on: int = 20_000, seed: int = 7, recall: float = 0.95) -> DataFrame:
+    """Approximate dense top-k: chunks dealt to k-means cells, questions to their nearest cells, scored within cells.
+
+    Without ``cells`` their number follows that of the chunks; without ``probes`` a sample of the questions is searched exactly
+    and as many cells are probed as hold the share ``recall`` of its neighbours.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     c = normalised(chunks.select("chunk_id", F.col("embedding").alias("cv")), "cv").withColumn("f", array_to_vector("cv"))
+    cells = cells or max(8, round(chunks.count() ** 0.5 / 4))
     sample = c.orderBy(F.xxhash64("chunk_id")).limit(fit_on)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(sample)
     centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for i, v in enumerate(model.clusterCenters())])
     q = normalised(questions.select("question_id", F.col("embedding").alias("qv")), "qv")
     far = lambda v: F.aggregate(F.zip_with(v, F.col("qv"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    near = F.slice(F.array_sort(F.transform(centres, lambda s: F.struct(far(s["v"]).alias("d"), s["cell"].alias("cell")))), 1, probes)
+    order = F.array_sort(F.transform(centres, lambda s: F.struct(far(s["v"]).alias("d"), s["cell"].alias("cell"))))
+    if probes is None:
+        tried = questions.orderBy(F.xxhash64("question_id")).limit(SAMPLE_QUESTIONS)
+        cell_of = model.transform(c).select("chunk_id", "cell")
+        place = F.array_position(F.transform("cells", lambda s: s["cell"]), F.col("cell"))
+        places = dense_topk(chunks, tried, k).join(cell_of, "chunk_id").join(F.broadcast(q.join(tried.select("question_id"), "question_id", "left_semi").select("question_id", order.alias("cells"))), "question_id")
+        probes = ceil(places.agg(F.percentile(place, F.lit(recall))).first()[0] or cells)
+    near = F.slice(order, 1, probes)
     probed = q.withColumn("cell", F.explode(F.transform(near, lambda s: s["cell"])))
     dot = F.aggregate(F.zip_with("cv", "qv", lambda a, x: a * x), F.lit(0.0), lambda acc, x: acc + x)
     return top_k(model.transform(c).select("chunk_id", "cv", "cell").join(probed, "cell").where("chunk_id <> question_id").select("question_id", "chunk_id", F.round(dot, 6).alias("score")), k)

@@ -140,7 +140,7 @@ def dense_recall_mrr(spark, sf):
 def ivf_dense_topk(spark, sf):
     """D3: approximate dense top-k over k-means cells (tests measure its recall)."""
     e = table(spark, sf, "embeddings")
-    return R.ivf_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), 10, cells=8, probes=4)
+    return R.ivf_topk(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), 10, cells=None, probes=None)
 
 
 FUSE = f"""WITH {CAND}, a AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM cand), b AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY length(content) DESC, chunk_id) AS rank FROM cand),

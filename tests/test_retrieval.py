@@ -83,3 +83,14 @@ def test_draft_sections_in_any_order(spark):
 def test_invalid_citations(spark):
     got = spark.createDataFrame([("ok [KB-1] but see KB #2 and [KB article]",)], "t string").select(E.invalid_citations(F.col("t"))).first()[0]
     assert "[KB article]" in got and any("#2" in x for x in got) and not any("KB-1" in x for x in got)
+
+
+def test_recall_of_the_registered_ivf_query(spark):
+    from deskgrain.plans import retrieval_queries as Q
+
+    sf = "/root/testdata/sf0.1"
+    exact = {(r["question_id"], r["chunk_id"]) for r in Q.dense_topk(spark, sf).where("rank <= 10").collect()}
+    found = {(r["question_id"], r["chunk_id"]) for r in Q.ivf_dense_topk(spark, sf).collect()}
+    share = len(exact & found) / len(exact)
+    print("recall", round(share, 4), len(exact))
+    assert share >= 0.9
