@@ -128,7 +128,7 @@ def point_coverage(spark, sf):
 def stored_results(spark, sf):
     """Stored answers as result rows: labels cited, tokens and abstention, from their JSON."""
     d = table(spark, sf, "documents")
-    blob = F.to_json(F.struct(F.concat(F.substring("text", 1, 400), F.lit(" [KB-"), (F.col("doc_id") % 5).cast("string"), F.lit("] and [KB-2]")).alias("answer"), F.expr("n_chars div 4").alias("tokens"), (F.col("n_chars") % 7 == 0).alias("abstained")))
+    blob = F.to_json(F.struct(F.concat(F.col("text"), F.lit(" [KB-"), (F.col("doc_id") % 5).cast("string"), F.lit("] and [KB-2]")).alias("answer"), F.expr("n_chars div 4").alias("tokens"), (F.col("n_chars") % 7 == 0).alias("abstained")))
     a = d.select("doc_id", F.from_json(blob, "answer string, tokens long, abstained boolean").alias("a"))
     return a.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("a.answer", F.lit(r"\[KB-(\d+)\]"), F.lit(1)))), ",").alias("labels"), F.col("a.tokens").alias("total_tokens"), "a.abstained")
 

@@ -116,7 +116,7 @@ def feedback_precision(spark, sf):
 
 def _drafts(spark, sf):
     i = F.col("doc_id")
-    body = F.concat(F.lit("Diagnosis: "), F.substring(T.collapse(F.col("text")), 1, 80), F.lit("\nRoot Cause: see [KB-"), (i % 4 + 1).cast("string"), F.lit("]\nSources: "), F.col("source"), F.lit("\nDraft Email: Hi, Subject: x Kind regards"))
+    body = F.concat(F.lit("Diagnosis: "), T.collapse(F.col("text")), F.lit("\nRoot Cause: see [KB-"), (i % 4 + 1).cast("string"), F.lit("]\nSources: "), F.col("source"), F.lit("\nDraft Email: Hi, Subject: x Kind regards"))
     return table(spark, sf, "documents").select("doc_id", "lang", body.alias("draft"))
 
 

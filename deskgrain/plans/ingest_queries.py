@@ -46,7 +46,7 @@ def masked_emails(spark, sf):
 @query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(substr(text, 1, 40), '[^a-zA-Z0-9]', '_', 'g')), '^_+|_+$', '', 'g') AS slug, sha256(text) AS document_hash FROM documents")
 def document_slugs(spark, sf):
     """Slugs and content hashes."""
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"), T.sha256(F.col("text")).alias("document_hash"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.sha256(F.col("text")).alias("document_hash"))
 
 
 def _entities(c: str) -> str:

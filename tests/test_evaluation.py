@@ -34,3 +34,14 @@ def test_gate_and_diff(spark):
 def test_guardrails(spark):
     rows = spark.createDataFrame([("A", "p95_latency_ms", 100.0), ("B", "p95_latency_ms", 115.0), ("A", "recall", 0.5), ("B", "recall", 0.5)], "arm string, metric string, value double")
     assert {r["metric"]: r["violated"] for r in V.guard(rows, "A").collect()} == {"p95_latency_ms": True, "recall": False}
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from deskgrain.plans import registry
+
+    text = " ".join(f"w{i}" for i in range(300)) + " [KB-77] end"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: registry.queries()[n](spark, str(tmp_path)).first() for n in ("stored_results", "draft_sections", "document_slugs")}
+    assert got["stored_results"]["labels"] == "1,2,77"
+    assert got["draft_sections"]["diagnosis"] == text and got["draft_sections"]["sources"] == "s"
+    assert got["document_slugs"]["slug"].endswith("kb_77__end")
