@@ -3,14 +3,16 @@
 Encoded texts form a monoid: two neighbours are joined by encoding a window around their boundary again, which grows
 until its outer tokens are compatible with the tokens next to it. Two tokens are compatible if encoding their bytes
 together gives just these two; a sequence of tokens is the encoding of its bytes exactly if all neighbours in it are
-compatible, so the tokens outside the window are proven stable. A long match is encoded half by half and joined up the
-tree; matches of the pattern are never merged with each other, so joining them is concatenation. Decoding concatenates
-bytes up the same tree.
+compatible, so the tokens outside the window are proven stable. Every match of the pattern is encoded half by half down to
+single bytes and joined up the tree; matches are never merged with each other, so joining them is concatenation. Decoding
+concatenates bytes up the same tree. What a worker remembers (windows of two tokens, nodes of a few bytes, whole matches)
+are values of such nodes, none of them found in another way.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,10 +26,31 @@ from pyspark.sql import functions as F
 
 from .common import release_memory
 
-#: Matches of at most this many bytes are leaves of the tree.
-LEAF = 48
-#: Distinct matches and token pairs that a worker remembers; then it forgets all and starts again.
-REMEMBERED = 120_000
+#: Bytes up to which merging by a scan for the least rank beats a heap, and nodes of the tree are remembered.
+SCAN, NODE = 48, 6
+#: Tokens that decoding concatenates at once.
+FLAT = 8
+#: Windows, nodes and matches that a worker remembers of each kind: twice this at most.
+REMEMBERED = 150_000
+
+
+class Memory:
+    """Values of ``make`` that are remembered, in two generations: what is used again is kept, all else is forgotten when the
+    older one goes. ``known`` is asked first and ``find`` if it holds nothing."""
+
+    def __init__(self, make, size: int = REMEMBERED):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+        self.known = self.young.get
+
+    def find(self, key):
+        found = self.old.pop(key, self)
+        if found is self:
+            found = self.make(key)
+        if len(self.young) >= self.size:
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[key] = found
+        return found
 
 
 class ByteBPE:
@@ -36,16 +59,14 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.token = {v: k for k, v in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.decimal = {x: str(x).encode() for x in self.token}
+        self.joins = 0
+        self._windows, self._nodes, self._leaves = Memory(self._window), Memory(self._node), Memory(self._leaf)
 
-    def merge(self, data: bytes) -> list[int]:
+    def merge(self, data: bytes) -> tuple[int, ...]:
         """The merges one after the other, lowest rank first, leftmost among equals: the definition of the encoding."""
-        ranks = self.ranks
-        if (whole := ranks.get(data)) is not None:
-            return [whole]
-        n = len(data)
-        if n <= LEAF:
+        ranks, n = self.ranks, len(data)
+        if n <= SCAN:
             parts = [data[i : i + 1] for i in range(n)]
             far = len(ranks)
             rank = [ranks.get(data[i : i + 2], far) for i in range(n - 1)]
@@ -57,7 +78,7 @@ class ByteBPE:
                     rank[i - 1] = ranks.get(parts[i - 1] + parts[i], far)
                 if i < len(rank):
                     rank[i] = ranks.get(parts[i] + parts[i + 1], far)
-            return [ranks[x] for x in parts]
+            return tuple([ranks[x] for x in parts])
         end = list(range(1, n + 1))  # end[i]: where the part that starts at i ends; 0: no part starts there
         back = list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -78,53 +99,68 @@ class ByteBPE:
         while i < n:
             out.append(ranks[data[i : end[i]]])
             i = end[i]
-        return out
+        return tuple(out)
+
+    def _window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of neighbours' bytes; nothing if it is these tokens, which are compatible then."""
+        found = self.merge(self.decode(ids))
+        return () if found == ids else found
 
-    def compatible(self, a: int, b: int) -> bool:
-        if (known := self._pairs.get((a, b))) is None:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
-        return known
+    def window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
+        found = self._windows.known(ids)
+        if found is None:
+            found = self._windows.find(ids) if len(ids) <= FLAT else self._window(ids)
+        return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of ``left`` followed by those of ``right``."""
         if not left or not right:
             return left + right
+        self.joins += 1
+        found = self.window((left[-1], right[0]))
+        if not found:
+            return left + right
         i = j = 1
         while True:
-            window = self.merge(self.decode(left[-i:] + right[:j]))
-            grow_left = i < len(left) and not self.compatible(left[-i - 1], window[0])
-            grow_right = j < len(right) and not self.compatible(window[-1], right[j])
+            grow_left = i < len(left) and self.window((left[-i - 1], found[0]))
+            grow_right = j < len(right) and self.window((found[-1], right[j]))
             if not grow_left and not grow_right:
-                return left[: len(left) - i] + window + right[j:]
+                return left[: len(left) - i] + found + right[j:]
             i, j = min(len(left), 2 * i) if grow_left else i, min(len(right), 2 * j) if grow_right else j
+            held = left[len(left) - i :] + right[:j]
+            found = self.window(held) or held
 
-    def encode_match(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data)
+    def tree(self, data: bytes) -> tuple[int, ...]:
+        """The encoding of ``data``: that of its halves, joined; of a single byte, its token."""
+        if len(data) <= NODE:
+            return self._nodes.known(data) or self._nodes.find(data)
         half = len(data) // 2
-        return self.join(self.encode_match(data[:half]), self.encode_match(data[half:]))
+        return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 64:
+    def _node(self, data: bytes) -> tuple[int, ...]:
+        half = len(data) // 2
+        return self.join(self.tree(data[:half]), self.tree(data[half:])) if half else (self.ranks[data],)
+
+    def encode_match(self, data: bytes) -> tuple[int, ...]:
+        """The ids of a match. A match that is a token as a whole is this token, even if no merges lead to it."""
+        ids = self.tree(data) if data else ()
+        return ids if len(ids) < 2 or (whole := self.ranks.get(data)) is None else (whole,)
+
+    def decode(self, ids: tuple[int, ...]) -> bytes:
+        if len(ids) <= FLAT:
             return b"".join([self.token[x] for x in ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def leaf(self, match: str) -> tuple[int, bytes, bytes]:
+    def _leaf(self, match: str) -> tuple[int, bytes, bytes]:
         """(number of ids, ids as decimal text, bytes decoded from the ids) of one match."""
         ids = self.encode_match(match.encode())
-        found = len(ids), ",".join(map(str, ids)).encode(), self.decode(ids)
-        if len(match) <= LEAF:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[match] = found
-        return found
+        return len(ids), b",".join([self.decimal[x] for x in ids]), self.decode(ids)
 
     def leaves(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        known, leaf = self._known.get, self.leaf
-        return [known(m) or leaf(m) for m in self.find(text)]
+        """What each match of the text gives, in order; long matches are not remembered."""
+        known, find, leaf = self._leaves.known, self._leaves.find, self._leaf
+        return [known(m) or (find(m) if len(m) <= SCAN else leaf(m)) for m in self.find(text)]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for leaf in self.leaves(text) for x in leaf[1].split(b",")]
@@ -165,14 +201,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
+        gc.disable()  # nothing here makes cycles, and what is remembered would be walked again and again
         for b in batches:
             n, ids, decoded = [], [], []
             for t in b.column(1):
-                leaves = bpe.leaves(t.as_py() or "")
-                n.append(sum([x[0] for x in leaves]))
-                ids.append(hashlib.sha256(b",".join([x[1] for x in leaves])).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in leaves])).hexdigest())
+                found = bpe.leaves(t.as_py() or "")
+                n.append(sum([x[0] for x in found]))
+                ids.append(hashlib.sha256(b",".join([x[1] for x in found])).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.enable()
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()

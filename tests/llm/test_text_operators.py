@@ -30,7 +30,31 @@ def test_joining_random_halves(tik):
     for _ in range(400):
         data = "".join(rng.choices(rng.choice(["ab", "etaoin ", "   \n", "éàü", "0123", "xyz"]), k=rng.randint(2, 120))).encode()
         cut = rng.randint(1, len(data) - 1)
-        assert b.join(b.encode_match(data[:cut]), b.encode_match(data[cut:])) == b.merge(data)
+        assert b.join(b.tree(data[:cut]), b.tree(data[cut:])) == b.tree(data) == b.merge(data)
+
+
+def test_ordinary_text_comes_through_the_tree(spark, tik):
+    """Every match of more than a byte is joined of halves, and all documents agree with the library."""
+    b = bpe.ByteBPE(bpe.tokenizer(PATH, P.PATTERN).ranks, P.PATTERN)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    distinct = {m for t in texts for m in b.find(t or "")}
+    whole, merged = {m for m in distinct if len(m.encode()) > bpe.NODE}, b.merge
+    sizes = []
+    b.merge = lambda data: sizes.append(len(data)) or merged(data)
+    for t in texts:
+        ids = tik.encode_ordinary(t or "")
+        assert b.encode(t or "") == ids and b.decode(tuple(ids)) == (t or "").encode()
+    assert b.joins > len(whole) > 10_000
+    assert len(sizes) < b.joins  # fewer windows than joins: what is known of two tokens serves again
+
+
+def test_what_is_remembered_is_bounded():
+    seen = []
+    m = bpe.Memory(lambda k: seen.append(k) or (k,), size=3)
+    for k in [1, 2, 1, 3, 4, 1, 5, 6, 1, 7]:
+        assert (m.known(k) or m.find(k)) == (k,)
+        assert len(m.young) <= 3 and len(m.old) <= 3
+    assert seen.count(1) == 1
 
 
 def test_columns_of_ids_round_trip(spark, tik):
