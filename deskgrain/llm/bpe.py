@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -175,13 +176,15 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of every whole text (null: no ids). ``path`` is a vocabulary file that every executor has."""
-    return docs.withColumn(out, _arrow_udf(lambda b, t: [b.encode(x) if x else [] for x in t], "array<int>", path, pattern)(F.col(text_col)))
+    """``docs`` with the ids of every whole text in ``out`` (replaced if it is there). ``path`` is a vocabulary file that every
+    executor has. Null and empty texts have no ids; rows may repeat; an empty table gives an empty result; other columns pass."""
+    return docs.withColumn(out, _arrow_udf(lambda b, t: [b.encode(x) if x else [] for x in t], "array<int>", path, pattern)(F.col(f"`{text_col}`")))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``tokens`` with the bytes that the ids stand for (null: no bytes)."""
-    return tokens.withColumn(out, _arrow_udf(lambda b, t: [b.decode(x or []) for x in t], "binary", path, pattern)(F.col(ids_col)))
+    """``tokens`` with the bytes that the ids stand for in ``out`` (replaced if it is there). Null and empty lists give no
+    bytes; an id that the vocabulary lacks, or a null one, is an error; rows may repeat; an empty table gives an empty result."""
+    return tokens.withColumn(out, _arrow_udf(lambda b, t: [b.decode(tuple(x)) if x else b"" for x in t], "binary", path, pattern)(F.col(f"`{ids_col}`")))
 
 
 def _arrow_udf(f, kind: str, path: str, pattern: str):
@@ -192,8 +195,9 @@ def _arrow_udf(f, kind: str, path: str, pattern: str):
     return run
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes decoded from the ids).
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes decoded from the
+    ids), and the ids themselves if asked.
 
     A null text is empty: no tokens, and both digests are of no bytes. Rows may repeat, other columns are not read, and
     an empty table gives an empty result. Texts are encoded whole, however long.
@@ -203,15 +207,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         bpe = tokenizer(path, pattern)
         gc.disable()  # nothing here makes cycles, and what is remembered would be walked again and again
         for b in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, told = [], [], [], []
             for t in b.column(1):
                 found = bpe.leaves(t.as_py() or "")
                 n.append(sum([x[0] for x in found]))
-                ids.append(hashlib.sha256(b",".join([x[1] for x in found])).hexdigest())
+                decimal = b",".join([x[1] for x in found])
+                ids.append(hashlib.sha256(decimal).hexdigest())
+                if with_ids:
+                    told.append(np.fromstring(decimal, np.int32, sep=",") if decimal else np.empty(0, np.int32))
                 decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            made = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(made + [pa.array(told, pa.list_(pa.int32()))] * with_ids, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
         gc.enable()
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -138,8 +138,11 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
     """``docs`` with lang_pred and lang_score, for every whole text.
 
     Null, empty and other texts without a letter are ``und`` with score 0, and so is all without a network. Long texts
-    are read window by window to the end; equal texts get equal results; other columns pass through untouched.
+    are read window by window to the end; equal texts get equal results; rows may repeat; an empty table gives an empty
+    result. Other columns pass through, whatever their names; columns lang_pred and lang_score are replaced.
     """
+    given = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     tables = net.tables() if net else None
     names = net.langs if net else []
 
@@ -171,9 +174,9 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
 
         return pd.DataFrame(list(predict(list(texts))), columns=["lang", "score"])
 
+    row = [F.col("_row")[c].alias(c) for c in given]
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    text = F.col(text_col)
-    made = docs.withColumn("_net", run(text))
-    ok = has_letter(text)
-    return made.withColumns({"lang_pred": F.when(ok, F.col("_net.lang")).otherwise(UNKNOWN), "lang_score": F.when(ok, F.col("_net.score")).otherwise(0.0)}).drop("_net")
+        return packed.select(*row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
+    ok = has_letter(F.col("_text"))
+    found = packed.select("_row", ok.alias("_ok"), run(F.col("_text")).alias("_net"))
+    return found.select(*row, F.when(F.col("_ok"), F.col("_net.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_ok"), F.col("_net.score")).otherwise(0.0).alias("lang_score"))

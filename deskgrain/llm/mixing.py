@@ -61,7 +61,8 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """One row for each source of ``sized`` (mix_source, mix_size, mix_hash): source_size, target, base and bound.
 
     A document is taken ``base`` times, and once more if its hash is below ``bound``; documents in hash order are taken
-    as long as their running sum stays within the budget, documents of the same hash together.
+    as long as their running sum stays within the budget, and one more where this comes nearer to it; documents of the same
+    hash together. What a source gives is thus off its target by half the words of one hash at most.
     """
     # long sums by (source, first digit): the only pass over all documents
     top = written(sized.groupBy("mix_source", _digit(F.col("mix_hash"), 0).alias("digit")).agg(F.sum("mix_size").alias("s")), "mix-histogram")
@@ -75,12 +76,17 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         w = Window.partitionBy("mix_source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         run = hist.withColumn("upto", F.sum("s").over(w)).withColumnRenamed("mix_source", "k")
         over = run.join(small(state.select("mix_source", "left")), F.col("k").eqNullSafe(F.col("mix_source"))).where(F.col("upto") > F.col("left"))
-        edge = over.groupBy("k").agg(F.min_by(F.struct("digit", (F.col("upto") - F.col("s")).alias("below")), "digit").alias("e"))
+        edge = over.groupBy("k").agg(F.min_by(F.struct("digit", "upto", (F.col("upto") - F.col("s")).alias("below")), "digit").alias("e"))
         step = state.join(small(edge), F.col("mix_source").eqNullSafe(F.col("k")), "left")
         unit = 1 << _below(level)
         # no bucket overruns the budget: everything that is still open is taken
         closed.append(step.where(F.col("e").isNull()).select("mix_source", "source_size", "target", "base", (F.col("bound") + F.lit(unit << DIGITS[level]).cast("long")).alias("bound")))
-        state = step.where(F.col("e").isNotNull()).select("mix_source", "source_size", "target", "base", (F.col("left") - F.col("e.below")).alias("left"), (F.col("bound") + F.col("e.digit") * F.lit(unit).cast("long")).alias("bound"))
+        # the last digit is one hash: it is taken too if it overshoots by less than it would leave open
+        nearer = (F.col("e.upto") - F.col("left") < F.col("left") - F.col("e.below")).cast("long") if unit == 1 else F.lit(0).cast("long")
+        state = step.where(F.col("e").isNotNull()).select(
+            "mix_source", "source_size", "target", "base", (F.col("left") - F.col("e.below")).alias("left"),
+            (F.col("bound") + F.col("e.digit") * F.lit(unit).cast("long") + nearer).alias("bound"),
+        )
         state = written(state, "mix-open")
         if level + 1 < len(DIGITS):
             opened = state.select(F.col("mix_source").alias("k"), F.shiftright("bound", _below(level)).alias("prefix"))
@@ -98,26 +104,28 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` with mix_times: how often the mix takes each document (0 up to ``cap``).
 
-    Only the columns named are read for the decision; all others pass through, whatever their names (but mix_times).
-    A null or empty text has size 0; a null source is a source of its own; rows of one id and source are taken alike; an empty
-    table gives an empty result.
+    Only the columns named are read for the decision; all others pass through, whatever their names; a column mix_times is
+    replaced. A null or empty text has size 0 and is taken like any other; a null source is a source of its own; rows of one
+    id and source are taken alike; an empty table gives an empty result.
     """
     bounds = _prefixed(small(thresholds(written(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)))
-    joined = docs.join(bounds, docs[source_col].eqNullSafe(F.col("_mix_source")), "left")
-    return joined.select(*[docs[c] for c in docs.columns], _times(id_hash(docs[id_col])).alias("mix_times"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = row.join(bounds, F.col("_row")[source_col].eqNullSafe(F.col("_mix_source")), "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "mix_times"], _times(id_hash(F.col("_row")[id_col]), cap).alias("mix_times"))
 
 
 def _prefixed(bounds: DataFrame) -> DataFrame:
     return bounds.select(*[F.col(c).alias(f"_{c}") for c in bounds.columns])
 
 
-def _times(h: Column) -> Column:
-    return F.coalesce(F.col("_base") + (h < F.col("_bound")).cast("int"), F.lit(0))
+def _times(h: Column, cap: float) -> Column:
+    """How often a document of this hash is taken, never above ``cap`` times."""
+    return F.coalesce(F.least(F.col("_base") + (h < F.col("_bound")).cast("int"), F.lit(int(cap))), F.lit(0))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per document: id, size, source_size, target of its source, taken (words the mix takes) and times."""
+    """Per document: id, size, source_size, target of its source, taken (words the mix takes) and times (see ``mix``)."""
     slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     joined = slim.join(_prefixed(small(thresholds(slim, weights, share, cap))), slim["mix_source"].eqNullSafe(F.col("_mix_source")), "left")
-    times = _times(F.col("mix_hash"))
+    times = _times(F.col("mix_hash"), cap)
     return joined.select(F.col(id_col), F.col("mix_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("mix_size") * times).cast("long").alias("taken"), times.alias("times"))

@@ -76,11 +76,10 @@ a AS (SELECT arg_min(level, cap / w) FILTER (WHERE NOT level * w >= cap) AS lam
 t AS (SELECT source, source_size, CASE WHEN level * w >= cap THEN cap ELSE (SELECT lam FROM a) * w END AS target FROM l),
 b AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS BIGINT) AS base FROM t),
 r AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.base,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto, b.target - b.base * b.source_size AS budget
-      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN upto <= budget THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(base + CASE WHEN upto <= budget THEN 1 ELSE 0 END AS INT) AS times
-FROM r""",
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS own, b.target - b.base * b.source_size AS budget
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+n AS (SELECT *, least(2, base + CASE WHEN upto <= budget OR upto - own <= budget AND upto - budget < budget - (upto - own) THEN 1 ELSE 0 END) AS times FROM r)
+SELECT doc_id, size, source_size, target, CAST(size * times AS BIGINT) AS taken, CAST(times AS INT) AS times FROM n""",
     "op9_url_filter": r"""
 WITH rules(said, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 p AS (SELECT page_id, url, row_number() OVER () AS n,
