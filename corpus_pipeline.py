@@ -17,50 +17,80 @@ from deskgrain.llm.common import table, written
 LEAST_SCORE = 0.3
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as a struct row beside the columns that the operators read, so that no name of a column clashes."""
+    own = ("doc_id", "text", "lang", "source")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the network can tell; drops texts without a letter."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keeps documents whose language the network can tell with a score of LEAST_SCORE or more.
+
+    Null and empty texts and those without a letter are rejected, however long; all other columns may be null. Rows that
+    repeat are judged alike and all kept or all rejected. Without any labelled text all is rejected; an empty table stays empty."""
+    found = langid.identify(packed(docs), langid.fit(docs))
+    return unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)), docs.columns)
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with _k1 and _k2, hashes of the whole row: only equal rows share both."""
+    """The rows of ``docs``, packed, with k1 and k2, hashes of the whole row: only equal rows share both."""
     every = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"`{c}`").isNull() for c in docs.columns]  # hashing skips nulls
-    return docs.withColumns({"_k1": F.xxhash64(*every), "_k2": F.xxhash64(F.lit(1), *every)})
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(whole.alias("row"), "doc_id", "text", F.xxhash64(*every).alias("k1"), F.xxhash64(F.lit(1), *every).alias("k2"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group linked by Jaccard similarities of 0.8 or more (shingles of five words; texts without a
     word are copies of each other): that of the smallest id, nulls last, and among rows of one id that of the smallest hash.
-    Ids play no other part: texts that are no near copies are all kept, whatever ids they share."""
+
+    Ids play no other part: texts that are no near copies are all kept, whatever ids they share, null included; equal rows
+    are one. Null and empty texts are one group. An empty table stays empty."""
     keyed = row_keys(docs)
-    nodes = written(near_copies.nodes(keyed, ["doc_id", "_k1", "_k2"], words=5), "nodes")
-    roots = near_copies.roots(nodes, keyed, ["_k1", "_k2"], words=5)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k1", "_k2")).alias("first")
-    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select("first._k1", "first._k2")
-    return keyed.dropDuplicates(["_k1", "_k2"]).join(kept, ["_k1", "_k2"], "left_semi").select(*docs.columns)
+    nodes = written(near_copies.nodes(keyed, ["doc_id", "k1", "k2"], words=5), "nodes")
+    roots = near_copies.roots(nodes, keyed, ["k1", "k2"], words=5)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
+    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select("first.k1", "first.k2")
+    return unpacked(keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 200 bytes or more that starts elsewhere too; documents of which nothing is left go."""
+    """Cuts every string of 200 bytes or more that starts elsewhere too; documents of which nothing is left go.
+
+    So do null and empty texts. Rows that repeat are copies of each other and lose all; n_chars follows the text. Shorter
+    texts stay as they are; an empty table stays empty."""
     cut = suffix.dedup(docs, length=200)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source to its target: documents not taken go, documents taken twice are there twice."""
-    taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0).where("mix_times > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    """Takes each source to its target: documents not taken go, documents taken twice are there twice.
+
+    A null source is a source; null and empty texts have no words and are taken by their hash like others; rows of one id
+    and source are taken alike; an empty table stays empty."""
+    taken = mixing.mix(packed(docs), weights=(3, 1, 2), share=1.5, cap=2.0).where("mix_times > 0")
+    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_times")))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document that is left, checked by decoding them."""
+    """Tokens of every document that is left, with their number and digests; decoding them gives the text again.
+
+    A null or empty text has no tokens; rows may repeat; an empty table gives an empty result."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("language ID", language), ("SimHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("source mixing", mixing_stage), ("byte-level BPE", tokens)]
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", passage_dedup),
+    ("source mixing", mixing_stage),
+    ("byte-level BPE", tokens),
+]
 
 #: Fingerprints, the network and the merges have no SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
