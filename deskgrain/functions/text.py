@@ -108,12 +108,18 @@ def contains_any(c: Column, terms: list[str]) -> Column:
 
 
 def _edit_distance(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance of two token lists, row by row: an insertion chain is a running minimum along the row."""
+    """Levenshtein distance of two token lists, row by row: an insertion chain is a running minimum along the row. What the
+    lists share at either end costs nothing."""
     names = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = [names[w] for w in a], np.array([names[w] for w in b], np.int64)
-    place = np.arange(len(b) + 1)
+    x, y = (np.array([names[w] for w in t], np.int64) for t in (a, b))
+    for _ in range(2):  # from the front, then from the back
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        same = differ[0] if len(differ) else n
+        x, y = x[same:][::-1], y[same:][::-1]
+    place = np.arange(len(y) + 1)
     row = place.copy()
-    for t in x:
+    for t in x.tolist():
         step = np.concatenate(([row[0] + 1], np.minimum(row[1:] + 1, row[:-1] + (y != t))))
         row = np.minimum.accumulate(step - place) + place
     return int(row[-1])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskgrain.functions import text as T
+from deskgrain.functions.frames import small
 
 BANDS = ("green", "yellow", "red")
 #: Targets of the production profile: metric, kind of bound, bound.
@@ -25,7 +27,7 @@ def golden_errors(golden: DataFrame, required: list[str]) -> DataFrame:
 
 def expected_groups(golden: DataFrame, aliases: DataFrame) -> DataFrame:
     """``golden`` with groups: for each expected source the array of names it may come under (aliases: source_id, alias)."""
-    a = F.broadcast(aliases.groupBy("source_id").agg(F.collect_set("alias").alias("names")))
+    a = small(aliases.groupBy("source_id").agg(F.collect_set("alias").alias("names")))
     g = golden.select("ticket_id", F.posexplode("expected_source_ids").alias("i", "source_id")).join(a, "source_id", "left")
     groups = g.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("i", F.array_distinct(F.concat(F.array("source_id"), F.coalesce("names", F.array().cast("array<string>")))).alias("names")))).alias("g"))
     return golden.join(groups.select("ticket_id", F.transform("g", lambda x: x["names"]).alias("groups")), "ticket_id", "left")
@@ -55,6 +57,45 @@ def points_found(answer: Column, points: Column) -> Column:
     return F.size(F.filter(points, lambda p: F.contains(text, normal(p))))
 
 
+#: Whole words that lead a point's key.
+KEY_WORDS = 4
+
+
+def point_hits(answers: DataFrame, points: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, answers, hits): of each of ``points`` (item_id, point) how many answers there are and how many hold it,
+    letter case and white space aside.
+
+    No answer meets a point that it shares no key with: all words of a point but the first and the last stand in an answer
+    as they are, so its key is the first few of these, and answers give their word sequences of such lengths. Points of one
+    or two words have their last word as key, and answers the parts of their words of such lengths. Candidates are checked
+    by the whole texts. A null or empty point is in every answer; a null answer is empty.
+    """
+    p = points.select("item_id", F.coalesce(normal(F.col("point")), F.lit("")).alias("point")).distinct()
+    w = F.filter(F.split("point", " "), lambda x: x != "")
+    inner = F.slice(w, 2, F.least(F.lit(KEY_WORDS), F.size(w) - 2))
+    p = p.withColumn("words", F.greatest(F.least(F.size(w) - 2, F.lit(KEY_WORDS)), F.lit(0)))
+    p = p.withColumn("key", F.when(F.col("words") > 0, F.array_join(inner, " ")).when(F.size(w) > 0, F.element_at(w, -1)))
+    shapes = [(r["words"], r["n"]) for r in p.where("key IS NOT NULL").select("words", F.when(F.col("words") == 0, F.length("key")).alias("n")).distinct().collect()]  # few: key lengths
+    a = answers.select(F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_text"))
+    total = a.agg(F.count("*").alias("answers"))
+    none = F.array().cast("array<string>")
+    a = a.withColumn("_said", F.split("_text", " "))
+    for k in sorted({k for k, _ in shapes if k}):
+        a = NGram(n=k, inputCol="_said", outputCol=f"_run{k}").transform(a)
+
+    def parts(n: int) -> Column:
+        return F.flatten(F.transform(F.array_distinct("_said"), lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(none)))
+
+    held = F.flatten(F.array(none, *[F.col(f"_run{k}") if k else parts(n) for k, n in sorted(shapes, key=str)]))
+    keys = p.where("key IS NOT NULL")
+    met = a.select("_id", F.explode(F.array_distinct(held)).alias("key")).join(keys.select("item_id", "key"), "key").select("_id", "item_id").distinct()
+    found = met.join(a.select("_id", "_text"), "_id").join(p.select("item_id", "point"), "item_id").where(F.contains("_text", "point"))
+    hits = found.groupBy("item_id").agg(F.count("*").alias("_hits"))
+    # one row of totals: the number of answers
+    out = points.select("item_id").distinct().join(hits, "item_id", "left").join(p.where("key IS NULL").select("item_id", F.lit(True).alias("_all")), "item_id", "left").join(F.broadcast(total), F.lit(True))
+    return out.select("item_id", "answers", F.when(F.col("_all"), F.col("answers")).otherwise(F.coalesce("_hits", F.lit(0))).cast("long").alias("hits"))
+
+
 def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row for each result with its metrics and hard failures.
 

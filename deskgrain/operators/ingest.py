@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from deskgrain.functions import dims
 from deskgrain.functions import text as T
+from deskgrain.functions.frames import small
 
 # Characters that are replaced when a page becomes plain text.
 ONE_TO_ONE = ("’‘“”• ", "''\"\"- ")
@@ -36,8 +37,9 @@ def platform(inferred: Column, *fields: Column) -> Column:
 
 
 def canonical(df: DataFrame, col: str, aliases: DataFrame, default: str, out: str) -> DataFrame:
-    """``col`` by an alias table (alias, canonical): ``default`` where blank, unchanged where unknown."""
-    a = F.broadcast(aliases.select(F.lower(F.trim("alias")).alias("_alias"), F.col("canonical").alias("_canonical")))
+    """``col`` by an alias table (alias, canonical): ``default`` where blank, unchanged where unknown; of an alias listed twice
+    the least name counts."""
+    a = small(aliases.groupBy(F.lower(F.trim("alias")).alias("_alias")).agg(F.min("canonical").alias("_canonical")))
     key = F.lower(F.trim(F.col(col)))
     return df.join(a, key == F.col("_alias"), "left").withColumn(out, F.when(F.coalesce(key, F.lit("")) == "", F.lit(default)).otherwise(F.coalesce("_canonical", F.trim(F.col(col))))).drop("_alias", "_canonical")
 
@@ -176,6 +178,12 @@ def chunk_texts(content: Column, title: Column, head: Column, source_type: Colum
     return F.struct(F.concat_ws("\n\n", some(context), some(content), nearby).alias("embedding_text"), F.concat_ws("\n\n", some(shown), some(content)).alias("display_text"))
 
 
+def incoming(chunks: DataFrame, text: Column) -> DataFrame:
+    """Chunks (article_id, chunk_index) of new documents, each with its document's ``text``, as rows for a re-ingest plan."""
+    name = F.concat_ws(":", F.col("article_id").cast("string"), "chunk_index")
+    return chunks.groupBy("article_id").agg(F.max(T.sha256(text)).alias("document_hash"), F.collect_set(name).alias("chunk_ids"))
+
+
 def reingest_plan(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per incoming document the action (insert, skip_unchanged, upsert_changed), chunks to upsert and delete, and next version.
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2024-02-01 00:00:00"
 #: White space as DuckDB must be told it.
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def pick(names: list[str], n: Column) -> Column:
+    """The n-th of ``names``, from 0."""
+    return F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+
+
 def book():
     """(queries, sql, decorator) of a module of queries."""
     queries: dict = {}

@@ -8,8 +8,8 @@ from deskgrain.functions import text as T
 from deskgrain.operators import evaluation as V
 from deskgrain.operators import retrieval as R
 
-from .common import WS, book, table
-from .retrieval_queries import CAND, ROUTE_NAMES, _list, candidates, pick
+from .common import WS, book, pick, table
+from .retrieval_queries import CAND, ROUTE_NAMES, _list, candidates
 
 QUERIES, SQL, query = book()
 
@@ -24,9 +24,9 @@ def aliases(spark):
 
 def golden(spark, sf):
     q = F.col("ticket_id")
-    t = candidates(spark, sf).select(F.col("question_id").alias("ticket_id")).distinct().where("ticket_id % 25 <> 24")
+    t = candidates(spark, sf).select(F.col("question_id").alias("ticket_id")).distinct()
     band = F.when(q % 3 == 0, "red").when(q % 3 == 1, "yellow").otherwise(F.when(q % 5 == 0, "blue").otherwise("green"))
-    return t.select("ticket_id", pick(ROUTE_NAMES, q % 8).alias("expected_route"), band.alias("expected_confidence_band"), F.array(src(0), src(7)).alias("expected_source_ids"), F.array(F.when(q % 10 == 0, src(7)).otherwise(src(1))).alias("forbidden_source_ids"), (q % 2 == 0).alias("review_required_expected"))
+    return t.select("ticket_id", F.when(q % 25 != 24, pick(ROUTE_NAMES, q % 8)).alias("expected_route"), band.alias("expected_confidence_band"), F.array(src(0), src(7)).alias("expected_source_ids"), F.array(F.when(q % 10 == 0, src(7)).otherwise(src(1))).alias("forbidden_source_ids"), (q % 2 == 0).alias("review_required_expected"))
 
 
 def results(spark, sf):
@@ -38,11 +38,11 @@ def results(spark, sf):
 
 
 RES = f"""{CAND}, al(source_id, alias) AS (VALUES ('src1', 'src2'), ('src1', 'src3'), ('src8', 'src9')),
-g AS (SELECT DISTINCT question_id AS t, 'src' || (question_id % 20) AS e1, 'src' || ((question_id + 7) % 20) AS e2, ({_list(ROUTE_NAMES)})[1 + question_id % 8] AS xr, CASE WHEN question_id % 3 = 0 THEN 'red' WHEN question_id % 3 = 1 THEN 'yellow' WHEN question_id % 5 = 0 THEN 'blue' ELSE 'green' END AS xb, CASE WHEN question_id % 10 = 0 THEN 'src' || ((question_id + 7) % 20) ELSE 'src' || ((question_id + 1) % 20) END AS fb, question_id % 2 = 0 AS rv FROM cand WHERE question_id % 25 <> 24),
+g AS (SELECT DISTINCT question_id AS t, 'src' || (question_id % 20) AS e1, 'src' || ((question_id + 7) % 20) AS e2, CASE WHEN question_id % 25 <> 24 THEN ({_list(ROUTE_NAMES)})[1 + question_id % 8] END AS xr, CASE WHEN question_id % 3 = 0 THEN 'red' WHEN question_id % 3 = 1 THEN 'yellow' WHEN question_id % 5 = 0 THEN 'blue' ELSE 'green' END AS xb, CASE WHEN question_id % 10 = 0 THEN 'src' || ((question_id + 7) % 20) ELSE 'src' || ((question_id + 1) % 20) END AS fb, question_id % 2 = 0 AS rv FROM cand),
 gg AS (SELECT g.*, [e1] || coalesce((SELECT list(alias) FROM al WHERE source_id = e1), []) AS g1, [e2] || coalesce((SELECT list(alias) FROM al WHERE source_id = e2), []) AS g2 FROM g),
 r AS (SELECT question_id AS t, list(source_id ORDER BY rank) AS ids, sum(length(content)) AS chars FROM ranked WHERE rank <= 10 GROUP BY question_id),
 rr AS (SELECT t, ids, ({_list(ROUTE_NAMES)})[1 + (t + CASE WHEN t % 5 = 0 THEN 1 ELSE 0 END) % 8] AS route, CASE WHEN t % 3 = 0 THEN 'red' WHEN t % 4 = 0 THEN 'yellow' ELSE 'green' END AS band, t % 6 = 0 AS ab, t % 4 <> 1 AS ok, CAST(chars % 5000 AS DOUBLE) AS lat, (chars % 1000) / 100000.0::DOUBLE AS cost, chars / 4.0::DOUBLE AS tok, CASE WHEN t % 6 = 0 THEN [] WHEN t % 4 <> 0 THEN list_distinct(ids[1:2]) ELSE list_distinct(ids[1:3]) END AS cited FROM r),
-j0 AS (SELECT rr.*, gg.* EXCLUDE (t), gg.t IS NOT NULL AS known, g1 || g2 AS allowed FROM rr LEFT JOIN gg USING (t)),
+j0 AS (SELECT rr.*, gg.* EXCLUDE (t), gg.xr IS NOT NULL AS known, g1 || g2 AS allowed FROM rr LEFT JOIN gg USING (t)),
 j AS (SELECT *, (list_has_any(g1, ids[1:1])::INT + list_has_any(g2, ids[1:1])::INT) / 2.0::DOUBLE AS r1, (list_has_any(g1, ids[1:3])::INT + list_has_any(g2, ids[1:3])::INT) / 2.0::DOUBLE AS r3, (list_has_any(g1, ids[1:5])::INT + list_has_any(g2, ids[1:5])::INT) / 2.0::DOUBLE AS r5, (list_has_any(g1, ids)::INT + list_has_any(g2, ids)::INT) / 2.0::DOUBLE AS ra,
  coalesce(1.0::DOUBLE / list_min(list_filter(range(1, len(ids) + 1), lambda i: list_contains(allowed, ids[i]))), 0) AS rrk, len(list_intersect(list_distinct(ids), allowed)) / len(list_distinct(ids))::DOUBLE AS sp, (list_has_any(g1, cited)::INT + list_has_any(g2, cited)::INT) / 2.0::DOUBLE AS cr,
  CASE WHEN len(cited) > 0 THEN len(list_intersect(cited, allowed)) / len(cited)::DOUBLE WHEN t % 4 <> 0 THEN 1.0 END AS cp,
@@ -57,7 +57,7 @@ def _judged(spark, sf):
     return V.judge(golden(spark, sf), results(spark, sf), aliases(spark))
 
 
-@query(f"WITH {CAND}, g AS (SELECT DISTINCT question_id AS t FROM cand WHERE question_id % 25 <> 24) SELECT t AS ticket_id, 'unknown confidence band' AS error FROM g WHERE t % 3 = 2 AND t % 5 = 0 UNION ALL SELECT t, 'a source is both expected and forbidden' FROM g WHERE t % 10 = 0")
+@query(f"WITH {CAND}, g AS (SELECT DISTINCT question_id AS t FROM cand) SELECT t AS ticket_id, 'missing expected_route' AS error FROM g WHERE t % 25 = 24 UNION ALL SELECT t, 'unknown confidence band' FROM g WHERE t % 3 = 2 AND t % 5 = 0 UNION ALL SELECT t, 'a source is both expected and forbidden' FROM g WHERE t % 10 = 0")
 def golden_contract(spark, sf):
     """G1: defects of golden cases."""
     return V.golden_errors(golden(spark, sf), ["ticket_id", "expected_route", "expected_confidence_band"])
@@ -115,16 +115,15 @@ def unallowed_sources(spark, sf):
     return V.triage(_judged(spark, sf)).select(F.explode("unallowed").alias("source_id")).groupBy("source_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_id").limit(25)
 
 
-@query(f"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), {WS}, ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id % 40 AS item, count(*) AS docs, count(*) FILTER (WHERE contains(t, trim(regexp_replace(lower(b.text), {WS}, ' ', 'g')))) AS hits FROM d JOIN benchmark b ON b.item_id = d.doc_id % 40 GROUP BY 1)
-SELECT item AS item_id, docs, hits FROM p""")
+@query(f"""WITH d AS (SELECT trim(regexp_replace(lower(text), {WS}, ' ', 'g')) AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), {WS}, ' ', 'g')) AS p FROM benchmark)
+SELECT item_id, (SELECT count(*) FROM documents) AS answers, (SELECT count(*) FROM d WHERE contains(t, p)) AS hits FROM b""")
 def point_coverage(spark, sf):
-    """Required points (benchmark texts) found in answers (documents)."""
-    d = table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    j = d.join(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("point")), "item_id")
-    return j.groupBy("item_id").agg(F.count("*").alias("docs"), F.sum(V.points_found(F.col("text"), F.array("point"))).alias("hits"))
+    """In how many answers (documents) each required point (benchmark text) is found."""
+    points = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("point"))
+    return V.point_hits(table(spark, sf, "documents"), points, "doc_id", "text")
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(substr(text, 1, 400) || ' [KB-' || (doc_id % 5) || '] and [KB-2]', '\\[KB-(\\d+)\\]', 1))), ',') AS labels, CAST(n_chars // 4 AS BIGINT) AS total_tokens, n_chars % 7 = 0 AS abstained FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' [KB-' || (doc_id % 5) || '] and [KB-2]', '\\[KB-(\\d+)\\]', 1))), ',') AS labels, CAST(n_chars // 4 AS BIGINT) AS total_tokens, n_chars % 7 = 0 AS abstained FROM documents")
 def stored_results(spark, sf):
     """Stored answers as result rows: labels cited, tokens and abstention, from their JSON."""
     d = table(spark, sf, "documents")

@@ -120,7 +120,16 @@ def _drafts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang", body.alias("draft"))
 
 
-@query(f"""SELECT doc_id, trim(substr(trim(regexp_replace(text, {WS}, ' ', 'g')), 1, 80)) AS diagnosis, 'see [KB-' || (doc_id % 4 + 1) || ']' AS root_cause, source AS sources, 'Hi, Subject: x Kind regards' AS draft_email, '' AS resolution_steps FROM documents""")
+def _sections_sql() -> str:
+    """Every section from behind its label to the next label in the draft, whatever texts hold labels of their own."""
+    at = {k: f"instr(lower(draft), '{v.lower()}')" for k, v in E.SECTIONS.items()}
+    draft = f"SELECT doc_id, 'Diagnosis: ' || trim(regexp_replace(text, {WS}, ' ', 'g')) || chr(10) || 'Root Cause: see [KB-' || (doc_id % 4 + 1) || ']' || chr(10) || 'Sources: ' || source || chr(10) || 'Draft Email: Hi, Subject: x Kind regards' AS draft FROM documents"
+    cut = "regexp_replace(regexp_replace(substr(draft, {a} + {n}, coalesce(list_min(list_filter(places, lambda p: p > {a})), length(draft) + 1) - {a} - {n}), '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+    found = ", ".join(f"CASE WHEN at_{k} > 0 THEN {cut.format(a='at_' + k, n=len(v))} ELSE '' END AS {k}" for k, v in E.SECTIONS.items() if k not in ("issue_classification", "confidence"))
+    return f"WITH d AS ({draft}), p AS (SELECT doc_id, draft, {', '.join(f'{c} AS at_{k}' for k, c in at.items())} FROM d), q AS (SELECT *, list_filter([{', '.join(f'at_{k}' for k in at)}], lambda p: p > 0) AS places FROM p) SELECT doc_id, {found} FROM q"
+
+
+@query(_sections_sql())
 def draft_sections(spark, sf):
     """Labelled sections of stored drafts."""
     return _drafts(spark, sf).select("doc_id", *E.draft_sections(F.col("draft"))).select("doc_id", "diagnosis", "root_cause", "sources", "draft_email", "resolution_steps")

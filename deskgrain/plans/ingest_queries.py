@@ -43,7 +43,7 @@ def masked_emails(spark, sf):
     return table(spark, sf, "documents").where(t.rlike(T.EMAIL)).select("doc_id", F.regexp_replace(t, T.EMAIL, "[redacted_email]").alias("masked"))
 
 
-@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(substr(text, 1, 40), '[^a-zA-Z0-9]', '_', 'g')), '^_+|_+$', '', 'g') AS slug, sha256(text) AS document_hash FROM documents")
+@query(r"SELECT doc_id, regexp_replace(lower(regexp_replace(text, '[^a-zA-Z0-9]', '_', 'g')), '^_+|_+$', '', 'g') AS slug, sha256(text) AS document_hash FROM documents")
 def document_slugs(spark, sf):
     """Slugs and content hashes."""
     return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.sha256(F.col("text")).alias("document_hash"))
@@ -179,19 +179,22 @@ def chunk_texts(spark, sf):
 
 
 def _chunks(spark, sf):
-    c = R.word_windows(table(spark, sf, "documents").where("doc_id % 5 <> 0"), "doc_id", "text", keep=("text",))
-    return c.select("article_id", F.concat_ws(":", F.col("article_id").cast("string"), "chunk_index").alias("chunk_id"), F.when(F.col("article_id") % 7 == 0, T.sha256(F.lit("old"))).otherwise(T.sha256(F.col("text"))).alias("document_hash"), (1 + F.col("article_id") % 3).cast("int").alias("document_version"), F.lit(True).alias("is_active"))
+    """Chunks of all documents as they were: some texts twice as long, some hashes of another text, some no longer active."""
+    i = F.col("article_id")
+    d = table(spark, sf, "documents").withColumn("old", F.when(F.col("doc_id") % 13 == 0, F.concat_ws(" ", "text", "text")).otherwise(F.col("text")))
+    c = R.word_windows(d, "doc_id", "old", keep=("old",))
+    return c.select("article_id", F.concat_ws(":", i.cast("string"), "chunk_index").alias("chunk_id"), F.when(i % 7 == 0, T.sha256(F.lit("old"))).otherwise(T.sha256(F.col("old"))).alias("document_hash"), (1 + i % 3).cast("int").alias("document_version"), (i % 5 != 0).alias("is_active"))
 
 
 def _plan(spark, sf):
-    d = table(spark, sf, "documents")
-    new = R.word_windows(d.withColumn("t", F.when(F.col("doc_id") % 11 == 0, F.substring("text", 1, 200)).otherwise(F.col("text"))), "doc_id", "t", keep=("t",))
-    incoming = new.groupBy("article_id").agg(F.max(T.sha256(F.col("t"))).alias("document_hash"), F.collect_set(F.concat_ws(":", F.col("article_id").cast("string"), "chunk_index")).alias("chunk_ids"))
-    return I.reingest_plan(_chunks(spark, sf), incoming)
+    """All documents come in again, some of them longer."""
+    d = table(spark, sf, "documents").withColumn("t", F.when(F.col("doc_id") % 11 == 0, F.concat_ws(" ", "text", "text", "text")).otherwise(F.col("text")))
+    return I.reingest_plan(_chunks(spark, sf), I.incoming(R.word_windows(d, "doc_id", "t", keep=("t",)), F.col("t")))
 
 
-PLAN = f"""o AS (SELECT doc_id, len({words_sql('text')}) AS n, CASE WHEN doc_id % 7 = 0 THEN sha256('old') ELSE sha256(text) END AS h, 1 + doc_id % 3 AS v FROM documents WHERE doc_id % 5 <> 0), i AS (SELECT doc_id, len({words_sql('t')}) AS n, sha256(t) AS h FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN substr(text, 1, 200) ELSE text END AS t FROM documents)),
-j AS (SELECT i.doc_id AS article_id, o.h AS oh, i.h AS nh, o.v, coalesce(1 + greatest(0, CAST(ceil((o.n - 180) / 150.0) AS INT)), 0) AS oc, 1 + greatest(0, CAST(ceil((i.n - 180) / 150.0) AS INT)) AS nc FROM i LEFT JOIN o ON i.doc_id = o.doc_id AND o.n > 0 WHERE i.n > 0),
+PLAN = f"""o AS (SELECT doc_id, len({words_sql('t')}) AS n, CASE WHEN doc_id % 7 = 0 THEN sha256('old') ELSE sha256(t) END AS h, 1 + doc_id % 3 AS v, doc_id % 5 <> 0 AS live FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN text || ' ' || text ELSE text END AS t FROM documents)),
+i AS (SELECT doc_id, len({words_sql('t')}) AS n, sha256(t) AS h FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || ' ' || text || ' ' || text ELSE text END AS t FROM documents)),
+j AS (SELECT i.doc_id AS article_id, CASE WHEN live THEN o.h END AS oh, i.h AS nh, o.v, coalesce(1 + greatest(0, CAST(ceil((o.n - 180) / 150.0) AS INT)), 0) AS oc, 1 + greatest(0, CAST(ceil((i.n - 180) / 150.0) AS INT)) AS nc FROM i LEFT JOIN o ON i.doc_id = o.doc_id AND o.n > 0 WHERE i.n > 0),
 plan AS (SELECT article_id, CASE WHEN oh IS NULL THEN 'insert' WHEN oh = nh AND nc <= oc THEN 'skip_unchanged' ELSE 'upsert_changed' END AS action, oc, nc, CAST(coalesce(v, 1) + CASE WHEN oh <> nh THEN 1 ELSE 0 END AS INT) AS next_version FROM j)"""
 
 
@@ -207,7 +210,7 @@ def reingest_preview(spark, sf):
     return _plan(spark, sf).groupBy("action").agg(F.count("*").alias("documents"), F.sum(F.size("chunks_to_upsert")).alias("chunks_to_upsert"), F.max("next_version").alias("newest_version"))
 
 
-@query(f"WITH {PLAN} SELECT o.doc_id AS article_id, count(*) AS chunks, CAST(sum(CASE WHEN action = 'upsert_changed' THEN 0 ELSE 1 END) AS BIGINT) AS active FROM (SELECT doc_id, unnest(range(1 + greatest(0, CAST(ceil((n - 180) / 150.0) AS INT)))) AS c FROM o WHERE n > 0) o LEFT JOIN plan ON article_id = doc_id GROUP BY o.doc_id")
+@query(f"WITH {PLAN} SELECT o.doc_id AS article_id, count(*) AS chunks, CAST(sum(CASE WHEN action = 'upsert_changed' OR NOT live THEN 0 ELSE 1 END) AS BIGINT) AS active FROM (SELECT doc_id, live, unnest(range(1 + greatest(0, CAST(ceil((n - 180) / 150.0) AS INT)))) AS c FROM o WHERE n > 0) o LEFT JOIN plan ON article_id = doc_id GROUP BY o.doc_id")
 def tombstoned_chunks(spark, sf):
     """Chunks of changed documents become inactive."""
     return I.tombstone(_chunks(spark, sf), _plan(spark, sf), F.lit(AS_OF)).groupBy("article_id").agg(F.count("*").alias("chunks"), F.sum(F.col("is_active").cast("long")).alias("active"))

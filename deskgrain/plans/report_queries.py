@@ -10,8 +10,8 @@ from deskgrain.operators import retrieval as R
 from deskgrain.sources import store as S
 from deskgrain.streaming import jobs as J
 
-from .common import WS, book, table
-from .retrieval_queries import AS_OF, CAND, candidates
+from .common import AS_OF, WS, book, table
+from .retrieval_queries import CAND, candidates
 
 QUERIES, SQL, query = book()
 JAN20 = "2024-01-20 00:00:00"
@@ -156,14 +156,6 @@ def trace_diagnostics(spark, sf):
     return r.select("question_id", "cited", F.posexplode("ids").alias("pos", "chunk_id")).select("question_id", (F.col("pos") + 1).alias("position"), "chunk_id", F.array_contains("cited", F.col("chunk_id")).alias("cited"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'missing_source' WHEN 1 THEN 'wrong_source' ELSE 'unspecified' END AS reason_code, CASE event_id % 3 WHEN 0 THEN 'add a source' WHEN 1 THEN 'review retrieval' ELSE 'review answer' END AS suggested_action FROM events WHERE event_type = 'error'")
-def feedback_issues(spark, sf):
-    """negative feedback as knowledge issues with a suggested action."""
-    e = table(spark, sf, "events").where("event_type = 'error'").select("event_id", F.when(F.col("event_id") % 3 == 0, "missing_source").when(F.col("event_id") % 3 == 1, "wrong_source").otherwise("unspecified").alias("reason_code"))
-    m = spark.createDataFrame([("missing_source", "add a source"), ("wrong_source", "review retrieval"), ("unspecified", "review answer")], "reason_code string, suggested_action string")
-    return e.join(F.broadcast(m), "reason_code").select("event_id", "reason_code", "suggested_action")
-
-
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("documents", "pages", "events", "lineitem", "labels")))
 def table_inventory(spark, sf):
     """Rows of every table."""
@@ -208,10 +200,10 @@ def backfilled_dates(spark, sf):
     return S.backfill(c, "updated_at", ["expires_at"], F.lit(AS_OF)).select("chunk_id", "updated_at")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, sha256(text) AS content_sha256 FROM documents WHERE trim(text) <> '' AND doc_id % 5 <> 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, sha256(text) AS content_sha256 FROM documents WHERE trim(text) <> ''")
 def csv_articles(spark, sf):
     """A1, A2: documents written as CSV, read back under canonical names; rows without content dropped."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("policy_name"), F.col("lang").alias("issue_title"), F.when(F.col("doc_id") % 5 != 0, F.regexp_replace("text", "\r", "")).alias("body"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("policy_name"), F.col("lang").alias("issue_title"), F.regexp_replace("text", "\r", "").alias("body"))
     path = S.new_folder(spark, "articles-csv")
     d.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     a = S.read_articles(spark, path, {"id": ["id"], "title": ["policy_name", "issue_title"], "content": ["body", "symptoms"]})
@@ -230,12 +222,13 @@ def jsonl_rows(spark, sf):
     return rows
 
 
-@query("SELECT p.page_id, d.source FROM pages p JOIN documents d ON d.doc_id = p.page_id WHERE p.page_id % 4 <> 0")
+@query("SELECT p.page_id, d.source, d.doc_id IS NULL AS missing FROM pages p LEFT JOIN documents d ON 2 * d.doc_id = p.page_id")
 def manifest_files(spark, sf):
     """Files joined to their manifest rows; those without one are an error table."""
     files = table(spark, sf, "pages").select("page_id", F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("file_name"))
-    manifest = table(spark, sf, "documents").where("doc_id % 4 <> 0").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_name"), "source")
-    return S.manifest_join(files, manifest)[0].select("page_id", "source")
+    manifest = table(spark, sf, "documents").select(F.concat(F.lit("f"), (2 * F.col("doc_id")).cast("string")).alias("file_name"), "source")
+    known, unknown = S.manifest_join(files, manifest)
+    return known.select("page_id", "source", F.lit(False).alias("missing")).unionByName(unknown.select("page_id", F.lit(None).cast("string").alias("source"), F.lit(True).alias("missing")))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'release_note') THEN 'release_note' ELSE 'knowledge_base' END AS category FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 0")

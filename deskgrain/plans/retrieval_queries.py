@@ -9,20 +9,13 @@ from deskgrain.functions import dims
 from deskgrain.functions import text as T
 from deskgrain.operators import retrieval as R
 
-AS_OF = "2024-02-01 00:00:00"
+from .common import AS_OF, WS, book, pick, table
+
 TYPES = ["policy", "faq", "knowledge_base", "release_note", "known_issue", "official_help_article", "raw_ticket_history"]
 CHUNK_TYPES = ["concept", "faq", "how_to", "policy", "troubleshooting"]
 ROUTE_NAMES = ["billing", "access", "bug", "how_to", "integration", "policy", "release_change", "general"]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def pick(names: list[str], n) -> F.Column:
-    return F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
-
-
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates of questions of twenty documents each, with the safety fields of a chunk table."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
@@ -52,20 +45,7 @@ CAND = f"""cand AS (SELECT doc_id // 20 AS question_id, doc_id AS chunk_id, doc_
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM cand) WHERE rank <= 20)"""
 STALE = f"CAST(coalesce(nullif(expires_at, ''), nullif(needs_review_at, '')) AS TIMESTAMP) < TIMESTAMP '{AS_OF}'"
 GATE = "source_type IN ('knowledge_base','official_help_article','faq','policy','release_note','known_issue') AND NOT disabled AND is_approved AND is_customer_facing_allowed AND NOT is_internal_only AND NOT is_future_only"
-WS = r"'[ \t\n\r\f\v]+'"
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
+QUERIES, SQL, query = book()
 CHUNKS = rf"""w AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(text, {WS}), lambda x: x <> '') AS ws FROM documents),
 chunks AS (SELECT doc_id AS article_id, lang, source, i AS chunk_index, array_to_string(ws[i * 150 + 1 : i * 150 + 180], ' ') AS content
   FROM (SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((len(ws) - 180) / 150.0) AS INT)))) AS i FROM w WHERE len(ws) > 0))"""
