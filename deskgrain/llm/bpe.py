@@ -25,33 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import Memory, release_memory
 
 #: Bytes up to which merging by a scan for the least rank beats a heap, and nodes of the tree are remembered.
 SCAN, NODE = 48, 6
 #: Tokens that decoding concatenates at once.
 FLAT = 8
-#: Windows, nodes and matches that a worker remembers of each kind: twice this at most.
-REMEMBERED = 150_000
-
-
-class Memory:
-    """Values of ``make`` that are remembered, in two generations: what is used again is kept, all else is forgotten when the
-    older one goes. ``known`` is asked first and ``find`` if it holds nothing."""
-
-    def __init__(self, make, size: int = REMEMBERED):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
-        self.known = self.young.get
-
-    def find(self, key):
-        found = self.old.pop(key, self)
-        if found is self:
-            found = self.make(key)
-        if len(self.young) >= self.size:
-            self.old = dict(self.young)
-            self.young.clear()
-        self.young[key] = found
-        return found
+#: Texts whose ids are handed on together.
+ROWS = 2_000
 
 
 class ByteBPE:
@@ -163,6 +144,10 @@ class ByteBPE:
         known, find, leaf = self._leaves.known, self._leaves.find, self._leaf
         return [known(m) or (find(m) if len(m) <= SCAN else leaf(m)) for m in self.find(text)]
 
+    def forget(self) -> None:
+        """Gives up the matches that are remembered, so that a worker that lives on holds no more than the vocabulary and nodes."""
+        self._leaves.clear()
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for leaf in self.leaves(text) for x in leaf[1].split(b",")]
 
@@ -206,7 +191,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         gc.disable()  # nothing here makes cycles, and what is remembered would be walked again and again
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             n, ids, decoded, told = [], [], [], []
             for t in b.column(1):
                 found = bpe.leaves(t.as_py() or "")
@@ -219,6 +204,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             made = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(made + [pa.array(told, pa.list_(pa.int32()))] * with_ids, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
         gc.enable()
+        bpe.forget()
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()

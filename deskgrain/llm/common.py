@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; set here only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is unset a folder of this machine is
+    taken in local mode (tests), and nothing on a cluster, whose executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,16 +41,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcasting if it proves to have at most ``most`` rows, else as it is. ``df`` should be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to differ from all of ``columns`` (letter case aside)."""
+    taken, made = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        made.append(n)
+    return made
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def release_memory() -> None:
     """Hands memory that a Python worker no longer uses back to the system: workers live on, and later stages need it."""
     pa.default_memory_pool().release_unused()
@@ -63,3 +76,30 @@ def sampled(df: DataFrame, h: Column, n: int, most: int) -> DataFrame:
     if n <= 1.2 * most:
         return df
     return df.where(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * 1.2 * most / n))
+
+
+#: Values that a memory holds in each generation.
+REMEMBERED = 150_000
+
+
+class Memory:
+    """Values of ``make`` that are remembered, in two generations: what is used again is kept, all else is forgotten when the
+    older one goes. ``known`` is asked first and ``find`` if it holds nothing."""
+
+    def __init__(self, make, size: int = REMEMBERED):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+        self.known = self.young.get
+
+    def find(self, key):
+        found = self.old.pop(key, self)
+        if found is self:
+            found = self.make(key)
+        if len(self.young) >= self.size:
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[key] = found
+        return found
+
+    def clear(self) -> None:
+        self.young.clear()
+        self.old = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled
+from .common import sampled, unused
 
 
 #: Bytes in a window, widths of the filters, filters of each width.
@@ -134,15 +134,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(*zip(*pairs)) if pairs else None
 
 
-def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score, for every whole text.
+def identify(docs: DataFrame, net: Net | None, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with the language and its score in columns ``out``, for every whole text.
 
     Null, empty and other texts without a letter are ``und`` with score 0, and so is all without a network. Long texts
     are read window by window to the end; equal texts get equal results; rows may repeat; an empty table gives an empty
-    result. Other columns pass through, whatever their names; columns lang_pred and lang_score are replaced.
+    result. Other columns pass through, whatever their names; columns named as ``out`` are replaced.
     """
-    given = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
     tables = net.tables() if net else None
     names = net.langs if net else []
 
@@ -174,9 +172,10 @@ def identify(docs: DataFrame, net: Net | None, id_col: str = "doc_id", text_col:
 
         return pd.DataFrame(list(predict(list(texts))), columns=["lang", "score"])
 
-    row = [F.col("_row")[c].alias(c) for c in given]
     if net is None:
-        return packed.select(*row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("lang_score"))
-    ok = has_letter(F.col("_text"))
-    found = packed.select("_row", ok.alias("_ok"), run(F.col("_text")).alias("_net"))
-    return found.select(*row, F.when(F.col("_ok"), F.col("_net.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_ok"), F.col("_net.score")).otherwise(0.0).alias("lang_score"))
+        return docs.withColumns({out[0]: F.lit(UNKNOWN), out[1]: F.lit(0.0)})
+    text = F.col(f"`{text_col}`")
+    (own,) = unused(docs.columns, "net")
+    found, ok = F.col(own), has_letter(text)
+    told = {out[0]: F.when(ok, found["lang"]).otherwise(UNKNOWN), out[1]: F.when(ok, found["score"]).otherwise(0.0)}
+    return docs.withColumn(own, run(text)).withColumns(told).drop(own)

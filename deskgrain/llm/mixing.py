@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, small, written
+from .common import WORD, columns, small, unused, written
 
 #: Bits of the hash that each level looks at; together 60.
 DIGITS = (12, 12, 36)
@@ -98,34 +98,33 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, mix_source, mix_size, mix_hash) of every document."""
-    return docs.select(F.col(id_col), F.col(source_col).alias("mix_source"), word_count(F.col(text_col)).alias("mix_size"), id_hash(F.col(id_col)).alias("mix_hash"))
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").alias("mix_source"), word_count(F.col(f"`{text_col}`")).alias("mix_size"), id_hash(F.col(f"`{id_col}`")).alias("mix_hash"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``docs`` with mix_times: how often the mix takes each document (0 up to ``cap``).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, out: str = "mix_times") -> DataFrame:
+    """``docs`` with column ``out``: how often the mix takes each document (0 up to ``cap``).
 
-    Only the columns named are read for the decision; all others pass through, whatever their names; a column mix_times is
+    Only the columns named are read for the decision; all others pass through, whatever their names; a column named as ``out`` is
     replaced. A null or empty text has size 0 and is taken like any other; a null source is a source of its own; rows of one
     id and source are taken alike; an empty table gives an empty result.
     """
-    bounds = _prefixed(small(thresholds(written(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = row.join(bounds, F.col("_row")[source_col].eqNullSafe(F.col("_mix_source")), "left")
-    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "mix_times"], _times(id_hash(F.col("_row")[id_col]), cap).alias("mix_times"))
+    docs = docs.drop(out)
+    source, base, bound = unused(docs.columns, "mix_source", "base", "bound")
+    found = thresholds(written(sized(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)
+    bounds = small(found.select(F.col("mix_source").alias(source), F.col("base").alias(base), F.col("bound").alias(bound)))
+    joined = docs.join(bounds, F.col(f"`{source_col}`").eqNullSafe(F.col(source)), "left")
+    return joined.select(*columns(docs), _times(id_hash(F.col(f"`{id_col}`")), F.col(base), F.col(bound), cap).alias(out))
 
 
-def _prefixed(bounds: DataFrame) -> DataFrame:
-    return bounds.select(*[F.col(c).alias(f"_{c}") for c in bounds.columns])
-
-
-def _times(h: Column, cap: float) -> Column:
+def _times(h: Column, base: Column, bound: Column, cap: float) -> Column:
     """How often a document of this hash is taken, never above ``cap`` times."""
-    return F.coalesce(F.least(F.col("_base") + (h < F.col("_bound")).cast("int"), F.lit(int(cap))), F.lit(0))
+    return F.coalesce(F.least(base + (h < bound).cast("int"), F.lit(int(cap))), F.lit(0))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Per document: id, size, source_size, target of its source, taken (words the mix takes) and times (see ``mix``)."""
-    slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    joined = slim.join(_prefixed(small(thresholds(slim, weights, share, cap))), slim["mix_source"].eqNullSafe(F.col("_mix_source")), "left")
-    times = _times(F.col("mix_hash"), cap)
-    return joined.select(F.col(id_col), F.col("mix_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("mix_size") * times).cast("long").alias("taken"), times.alias("times"))
+    slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes").withColumnRenamed(id_col, "mix_id")
+    bounds = small(thresholds(slim, weights, share, cap).withColumnRenamed("mix_source", "bound_source"))
+    joined = slim.join(bounds, F.col("mix_source").eqNullSafe(F.col("bound_source")), "left")
+    times = _times(F.col("mix_hash"), F.col("base"), F.col("bound"), cap)
+    return joined.select(F.col("mix_id").alias(id_col), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * times).cast("long").alias("taken"), times.alias("times"))
