@@ -6,32 +6,39 @@ whose leading bytes occur once proves that all windows over it are unique. What
 range-partition the anchors' suffixes by their leading bytes, each bucket sorts its suffixes by multikey quicksort on
 eight-byte characters, forwards from the anchor and backwards before it, and compares neighbours. Two windows at the same
 offset from their anchors are equal exactly if their classes in both orders are equal, so no pair of a group is ever
-listed. Groups never straddle a splitter; anchors too common for one bucket are compared across all buckets instead,
-window by window, by an aggregation of digests that combines before it shuffles.
+listed. Before they are sorted, equal texts and, within a task, equal suffixes are combined: one of them stands for all.
+
+Suffixes of one anchor share a bucket up to a number. A larger group is split where it lies: windows of the offsets from lo
+to hi all hold the bytes that lie between the last start and the first end among them, so halving the range of offsets
+lengthens these bytes, and suffixes that differ in them part. Halves go on until they are small enough for a bucket or
+only one offset is left, and then the group has a single string.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, written
+from .common import columns, release_memory, sampled, small, unused, written
 
 #: Leading bytes of an anchor that must repeat; a power of two.
 K = 32
-#: Anchors that occur more often than this are compared by aggregation, not in one bucket.
-HOT = 1_000_000
-#: Suffixes in a bucket, about.
-BUCKET = 100_000
+#: Suffixes of one anchor that share a bucket at most; suffixes in a bucket, about.
+GROUP, BUCKET = 20_000, 50_000
+#: Texts that splitters are taken from, and leads of each.
+SPLIT_TEXTS, SPLIT_LEADS = 2_000, 32
 #: Bytes of a text that are looked at together.
 CHUNK = 1 << 21
-#: Bytes of contexts that a task combines before it sends them on.
+#: Bytes of suffixes that a task combines before it sends them on.
 COMBINE = 16 << 20
+#: Rows up to which a part of a quicksort is sorted at once.
+CUTOFF = 2_048
 
 LOW = np.uint64((1 << 24) - 1)
 ALL = (1 << 31) - 1
@@ -78,31 +85,45 @@ def _bytes(t: str | None) -> np.ndarray:
 
 
 def multikey_order(words: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
-    """Order of the rows of ``words`` (characters of eight bytes), within ``group`` if given.
+    """Order of the rows of ``words`` (characters of eight bytes), within ``group`` if given, by multikey quicksort.
 
-    Rows are sorted by one character; only rows that tie with a neighbour go on to the next.
+    Rows are parted by one character into those below, at and above a pivot; those at it go on to the next character.
     """
-    n = len(words)
-    order = np.argsort(words[:, 0]) if group is None else np.lexsort((words[:, 0], group))
-    first = words[order, 0]
-    new = first[1:] != first[:-1]
     if group is not None:
-        new |= group[order][1:] != group[order][:-1]
-    seg = np.concatenate(([0], np.cumsum(new)))
-    for d in range(1, words.shape[1]):
+        words = np.concatenate((group.astype(np.uint64)[:, None], words), 1)
+    done, open_ = [], [(np.arange(len(words)), 0)]
+    while open_:
+        rows, d = open_.pop()
+        if len(rows) <= CUTOFF or d == words.shape[1]:
+            done.append(_sorted_part(words, rows, d))
+            continue
+        char = words[rows, d]
+        some = np.sort(char[:: max(1, len(char) // 33)])
+        pivot = some[len(some) // 2]
+        below, above = char < pivot, char > pivot
+        open_ += [(rows[above], d), (rows[~below & ~above], d + 1), (rows[below], d)]
+    return np.concatenate(done) if done else np.empty(0, np.int64)
+
+
+def _sorted_part(words: np.ndarray, rows: np.ndarray, d: int) -> np.ndarray:
+    """``rows`` in order of their characters from ``d`` on; only rows that tie with a neighbour look at the next one."""
+    if len(rows) < 2 or d == words.shape[1]:
+        return rows
+    rows = rows[np.argsort(words[rows, d], kind="stable")]
+    char = words[rows, d]
+    seg = np.concatenate(([0], np.cumsum(char[1:] != char[:-1])))
+    for e in range(d + 1, words.shape[1]):
         tied = np.concatenate(([False], seg[1:] == seg[:-1]))
         tied[:-1] |= tied[1:]
         at = np.flatnonzero(tied)
         if not len(at):
             break
-        rows = order[at]
-        within = np.lexsort((words[rows, d], seg[at]))
-        order[at] = rows[within]
-        char = words[order[at], d]
-        cut = np.zeros(n, bool)
+        rows[at] = rows[at][np.lexsort((words[rows[at], e], seg[at]))]
+        char = words[rows[at], e]
+        cut = np.zeros(len(rows), bool)
         cut[at[1:]] = (char[1:] != char[:-1]) & (seg[at][1:] == seg[at][:-1])
         seg = seg + np.cumsum(cut)
-    return order
+    return rows
 
 
 def _padded(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -124,9 +145,10 @@ def _common(rows: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
-def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """For each context (bytes of ``data``; ``left`` of them before the anchor) the smallest and largest offset, from the
-    start of a window to the anchor, of windows of ``length`` bytes that occur in another context too; (length, -1) if none."""
+def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """For each context (bytes of ``data``; ``left`` of them before the anchor) the smallest and largest offset from ``lo`` to
+    ``hi``, from the start of a window to the anchor, of windows of ``length`` bytes that occur in another context too;
+    (length, -1) if none. A context stands once for each offset at most."""
     n = len(start)
     lowest, highest = np.full(n, length), np.full(n, -1)
     if n < 2:
@@ -145,7 +167,7 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndar
     shared = np.bincount(group, minlength=n + 1)[group] > 1
     cls_r, cls_l = np.empty(n, np.int64), np.empty(n, np.int64)
     for o in range(length - k + 1):
-        rows = np.flatnonzero(shared & (left >= o) & (right >= length - o))
+        rows = np.flatnonzero(shared & (left >= o) & (right >= length - o) & (lo <= o) & (o <= hi))
         if len(rows) < 2:
             continue
         cls_r[order] = np.cumsum(ahead < length - o)
@@ -162,7 +184,7 @@ def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndar
 
 
 def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """(kh, t, pos) of all anchors of ``texts`` (t, text)."""
+    """(kh, t, pos) of all anchors of ``texts`` (t1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,31 +195,37 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps).astype(np.int32))], names=["kh", "t", "pos"])
         release_memory()
 
-    return texts.select("t", "text").mapInArrow(run, "kh long, t long, pos int")
+    return texts.select(F.col("t1").alias("t"), "text").mapInArrow(run, "kh long, t long, pos int")
+
 
+SHIPPED = "kind int, bucket int, t1 long, t2 long, a int, b int, lo int, hi int, ctx binary"
+COVER, CONTEXT, LARGE = 0, 1, 2
 
-SHIPPED = "kind int, lead long, kh long, t long, a int, b int, ctx binary"
-COVER, CONTEXT, WINDOW = 0, 1, 2
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    names = [f.split(" ")[0] for f in SHIPPED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-def _rows(kind, lead, kh, t, a, b, ctx) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(lead, pa.int64()), pa.array(kh, pa.int64()), pa.array(t, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(ctx, pa.binary())], names=["kind", "lead", "kh", "t", "a", "b", "ctx"])
 
+def _lead(raw: bytes, p: int) -> int:
+    return int.from_bytes(raw[p : p + 8], "big")
 
-def _contexts(length: int):
-    """Maps (t, text, common, hot positions) to what must be compared: contexts, combined within the task, windows of hot
-    anchors, and cover that is already certain."""
 
-    def windows(x: np.ndarray, t: int, lo: int, hi: int) -> Iterator[tuple]:
-        data = x[lo:hi].tobytes()
-        for i in range(hi - lo - length + 1):
-            d = hashlib.blake2b(data[i : i + length], digest_size=16).digest()
-            yield WINDOW, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), t, lo + i, lo + i + length, None
+def _contexts(length: int, splitters: np.ndarray, buckets: int):
+    """Maps (t1, t2, text, common, large) to what must be compared: contexts with the bucket of their lead, those of anchors
+    with too many, both combined within the task, and cover that is already certain."""
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        out = [(CONTEXT, int.from_bytes(key[0][key[1] : key[1] + 8], "big") - (1 << 63), v[0], v[1], v[2], v[2] - v[3] if v[4] else -1 - (v[2] - v[3]), key[0]) for key, v in held.items()]
-        for i in range(0, len(out), 20_000):
-            yield _rows(*zip(*out[i : i + 20_000]))
+        out = []
+        for (ctx, left), (t1, t2, p, single, large) in held.items():
+            bucket = t1 % buckets if large else int(np.searchsorted(splitters, np.uint64(_lead(ctx, left)), "right"))
+            out.append((LARGE if large else CONTEXT, bucket, t1, t2, p, left if single else -1 - left, 0, length - K, ctx))
+            if len(out) >= 10_000:
+                yield _rows(out)
+                out = []
+        if out:
+            yield _rows(out)
         held.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,32 +233,34 @@ def _contexts(length: int):
         size = 0
         for batch in batches:
             sure: list[tuple] = []
-            for t, text, common, hot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+            for t1, t2, text, common, large in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
                 x = _bytes(text.as_py())
-                pos, h, first, last = anchors(x, length)
-                often, raw = set(hot.as_py()), x.tobytes()
+                pos, _, first, last = anchors(x, length)
+                many, raw = set(large.as_py()), x.tobytes()
+
+                def cover(t1, t2, a, b):
+                    sure.append((COVER, t1 % buckets, t1, t2, a, b, 0, 0, None))
+
                 # a context holds the windows that chose the anchor: an equal window has chosen an equal anchor
                 for i in np.flatnonzero(np.isin(pos, np.asarray(common.values))):
                     p, a, b = int(pos[i]), int(first[i]), int(last[i]) + length
                     key = raw[a:b], p - a
-                    if p in often:
-                        sure.extend(windows(x, t, a, b))
-                    elif (v := held.get(key)) is None:
-                        held[key] = [int(h[i].view(np.int64)), t, p, a, True]
+                    if (v := held.get(key)) is None:
+                        held[key] = [t1, t2, p, True, p in many]
                         size += b - a
                     else:  # at least two occurrences here: all are certain, and only the context goes on
-                        if v[4]:
-                            sure.append((COVER, v[1], v[0], v[1], v[3], v[3] + b - a, None))
-                            v[4] = False
-                        sure.append((COVER, t, v[0], t, a, b, None))
-                    if len(sure) >= 20_000:
-                        yield _rows(*zip(*sure))
-                        sure = []
+                        if v[3]:
+                            cover(v[0], v[1], v[2] - key[1], v[2] - key[1] + b - a)
+                            v[3] = False
+                        cover(t1, t2, a, b)
+                    if len(sure) >= 10_000:
+                        yield _rows(sure)
+                        sure.clear()
+                    if size > COMBINE:
+                        yield from flush(held)
+                        size = 0
             if sure:
-                yield _rows(*zip(*sure))
-            if size > COMBINE:
-                yield from flush(held)
-                size = 0
+                yield _rows(sure)
         yield from flush(held)
         release_memory()
 
@@ -245,48 +275,113 @@ def _buckets(length: int):
         for b in batches:
             is_context = np.asarray(b.column(0)) == CONTEXT
             if not is_context.all():
-                other = b.filter(pa.array(~is_context))
-                yield pa.RecordBatch.from_arrays([other.column(i) for i in (0, 1, 2, 3, 4, 5)], names=["kind", "lead", "kh", "t", "a", "b"])
+                yield b.filter(pa.array(~is_context))
             if is_context.any():
                 held.append(b.filter(pa.array(is_context)))
         if not held:
             return
         c = pa.Table.from_batches(held).combine_chunks()
-        t, pos, b = (np.asarray(c.column(i)).astype(np.int64) for i in (3, 4, 5))
+        held.clear()
+        t1, t2, pos, b, lo, hi = (np.asarray(c.column(i)).astype(np.int64) for i in (2, 3, 4, 5, 6, 7))
         single, left = b >= 0, np.where(b >= 0, b, -1 - b)
-        ctx = c.column(6).chunk(0)
+        ctx = c.column(8).chunk(0)
         bounds = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
-        lowest, highest = repeats(np.frombuffer(ctx.buffers()[2], np.uint8), bounds[:-1], np.diff(bounds), left, length)
+        lowest, highest = repeats(np.frombuffer(ctx.buffers()[2], np.uint8), bounds[:-1], np.diff(bounds), left, lo, hi, length)
         hit = np.flatnonzero(single & (highest >= 0))
-        m = len(hit)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, COVER, np.int32)), pa.array(np.zeros(m, np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(t[hit]), pa.array((pos - highest)[hit].astype(np.int32)), pa.array((pos - lowest + length)[hit].astype(np.int32))], names=["kind", "lead", "kh", "t", "a", "b"])
+        n = len(hit)
+        made = [np.full(n, COVER), np.zeros(n), t1[hit], t2[hit], (pos - highest)[hit], (pos - lowest + length)[hit], np.zeros(n), np.zeros(n)]
+        cast = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(made, cast)], pa.nulls(n, pa.binary())], names=c.schema.names)
         release_memory()
 
     return run
 
 
-def covered(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(t, spans): for each text hash t the byte spans (a, b) under a string of ``length`` bytes that starts elsewhere too."""
+def _halves(length: int):
+    """Contexts with the range of their offsets cut in two: k1 and k2 name the bytes that all windows of a half hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, lows, highs, k1, k2 = [], [], [], [], []
+            left = np.asarray(batch.column(5))
+            left = np.where(left >= 0, left, -1 - left).tolist()
+            for i, (lo, hi, ctx) in enumerate(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(8).to_pylist())):
+                mid = (lo + hi) // 2
+                for low, high in ((lo, mid), (mid + 1, hi)):
+                    start, end = left[i] - low, left[i] - high + length
+                    if low > high or start < 0 or end > len(ctx):
+                        continue  # no window of the half lies within the context
+                    d = hashlib.blake2b(low.to_bytes(4, "big") + ctx[start:end], digest_size=16).digest()
+                    row.append(i), lows.append(low), highs.append(high)
+                    k1.append(int.from_bytes(d[:8], "big", signed=True)), k2.append(int.from_bytes(d[8:], "big", signed=True))
+            took = batch.take(pa.array(row, pa.int64()))
+            cols = [*[took.column(i) for i in range(6)], pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), took.column(8), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "k1", "k2"])
+
+    return run
+
+
+def _split(large: DataFrame, length: int, group: int, buckets: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(contexts in groups of at most ``group``, cover) of contexts that are too many for a bucket."""
+    fit, cover = [], []
+    while True:
+        parts = written(large.mapInArrow(_halves(length), SHIPPED + ", k1 long, k2 long"), "halved-suffixes")
+        sizes = written(parts.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "half-sizes")
+        few = parts.join(small(sizes.where(F.col("n") <= group).select("k1", "k2")), ["k1", "k2"], "left_semi")
+        fit.append(few.withColumn("kind", F.lit(CONTEXT)).withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int")).drop("k1", "k2"))
+        many = parts.join(small(sizes.where(F.col("n") > group).select("k1", "k2")), ["k1", "k2"], "left_semi").drop("k1", "k2")
+        # one offset left: all windows of the group are the same string
+        same = F.col("lo") == F.col("hi")
+        left = F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b"))
+        cover.append(many.where(same & (F.col("b") >= 0)).select("t1", "t2", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + length).alias("b")))
+        large = many.where(~same)
+        if not sizes.where(F.col("n") > group).limit(1).count():
+            return fit, cover
+
+
+def _splitters(texts: DataFrame, place: DataFrame, buckets: int) -> np.ndarray:
+    """Leads that part the anchors of ``place`` evenly, from those of a bounded sample of texts."""
+    some = sampled(place, F.xxhash64("t1", F.lit(3)), place.count(), SPLIT_TEXTS).orderBy(F.xxhash64("t1", F.lit(3))).limit(SPLIT_TEXTS)
+    held = texts.join(F.broadcast(some.select("t1", "common")), "t1").groupBy("t1").agg(F.any_value("text").alias("text"), F.any_value("common").alias("common"))
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for text, common in zip(b.column(0), b.column(1)):
+                raw, at = (text.as_py() or "").encode("utf-8", "surrogatepass"), sorted(common.as_py())
+                found += [_lead(raw, p) - (1 << 63) for p in at[:: -(-len(at) // SPLIT_LEADS)]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["lead"])
+
+    found = held.select("text", "common").mapInArrow(leads, "lead long").toArrow().column(0).to_numpy()
+    found = np.sort(found.astype(np.int64).view(np.uint64) + np.uint64(1 << 63))
+    return found[(np.arange(1, buckets) * len(found)) // buckets] if len(found) else np.empty(0, np.uint64)
+
+
+def covered(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
+    """(t1, t2, spans): for each text, named by two hashes, the byte spans (a, b) under a string of ``length`` bytes that
+    starts elsewhere too. ``texts`` has t1, t2 and text."""
     spark = texts.sparkSession
-    rows = _anchor_rows(texts, length)
+    rows = written(_anchor_rows(texts, length), "anchors")
     # copies of a text have their anchors at the same places: only different places count
     v = F.xxhash64("t", "pos")
-    common = rows.withColumn("v", v).groupBy("kh").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("kh", "n")
-    common = written(common, "common-anchors")
-    total = common.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = rows.groupBy("kh").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    place = rows.join(common.select("kh", "n"), "kh").groupBy(F.col("t").alias("t1")).agg(F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > group, F.col("pos"))).alias("large"))
+    place = written(place, "anchor-places")
+    total = place.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    place = rows.join(common, "kh").groupBy("t").agg(F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > hot, F.col("pos"))).alias("hot"))
-    distinct = texts.groupBy("t").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
-    shipped = distinct.join(place, "t").select("t", "text", "common", "hot").mapInArrow(_contexts(length), SHIPPED)
-    compared = shipped.repartitionByRange(buckets, "lead", "kh").mapInArrow(_buckets(length), "kind int, lead long, kh long, t long, a int, b int")
-    compared = written(compared, "compared-suffixes")
-    cover = compared.where(f"kind = {COVER}").select("t", "a", "b")
-    if common.where(F.col("n") > hot).limit(1).count():
-        w = compared.where(f"kind = {WINDOW}")
-        often = w.withColumn("v", F.xxhash64("t", "a")).groupBy("lead", "kh").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").select("lead", "kh")
-        cover = cover.unionByName(w.join(often, ["lead", "kh"]).select("t", "a", "b"))
-    copies = texts.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(0).alias("a"), F.lit(ALL).alias("b"))
-    return cover.unionByName(copies).groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    splitters = _splitters(texts, place, buckets)
+    distinct = texts.groupBy("t1", "t2").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+    shipped = distinct.join(place, "t1").select("t1", "t2", "text", "common", "large").mapInArrow(_contexts(length, splitters, buckets), SHIPPED)
+    compared = written(shipped.repartitionById(buckets, "bucket").mapInArrow(_buckets(length), SHIPPED), "compared-suffixes")
+    cover = [compared.where(f"kind = {COVER}").select("t1", "t2", "a", "b")]
+    large = compared.where(f"kind = {LARGE}")
+    if large.limit(1).count():
+        fit, sure = _split(large, length, group, buckets)
+        again = reduce(DataFrame.unionByName, fit).select(*[f.split(" ")[0] for f in SHIPPED.split(", ")])
+        more = written(again.repartitionById(buckets, "bucket").mapInArrow(_buckets(length), SHIPPED), "compared-suffixes")
+        cover += [*sure, more.select("t1", "t2", "a", "b")]
+    copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2", F.lit(0).alias("a"), F.lit(ALL).alias("b"))
+    return reduce(DataFrame.unionByName, [*cover, copies]).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def merge_spans(spans: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -299,13 +394,19 @@ def merge_spans(spans: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.stack((spans[new, 0], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]), 1)
 
 
-def _with_spans(docs: DataFrame, text_col: str, length: int, hot: int) -> DataFrame:
-    """The rows of ``docs`` as struct _row, with _text and _spans."""
-    # the hash of the text stands for it: copies are looked at once
-    texts = docs.select(F.col(text_col).alias("text")).where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("t"), "text")
-    found = covered(texts, length, hot).withColumnRenamed("t", "_t")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{text_col}`")).alias("_h"))
-    return own.join(found, F.col("_h") == F.col("_t"), "left").select("_row", "_text", F.col("_spans") if "_spans" in found.columns else F.col("spans").alias("_spans"))
+def _names(text) -> list:
+    """Two hashes that together stand for a text (128 bits); copies share both."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _with_spans(docs: DataFrame, text_col: str, length: int, group: int) -> tuple[DataFrame, str]:
+    """(``docs`` with the spans of every text, the name of their column)."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.where(F.octet_length(text) >= length).select(*_names(text), text.alias("text"))
+    spans, t1, t2 = unused(docs.columns, "spans", "t1", "t2")
+    found = covered(texts, length, group).select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(spans))
+    own = docs.select(*columns(docs), *[c.alias(n) for c, n in zip(_names(text), (t1, t2))])
+    return own.join(found, [t1, t2], "left").drop(t1, t2), spans
 
 
 def _cut(text: str | None, spans, length: int) -> tuple[bytes, int, np.ndarray]:
@@ -318,13 +419,13 @@ def _cut(text: str | None, spans, length: int) -> tuple[bytes, int, np.ndarray]:
     return b"".join(raw[edge[i] : edge[i + 1]] for i in range(0, len(edge), 2)), len(raw), runs
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
     """One row for each row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is every byte under a string of ``length`` bytes that also starts anywhere else, in the same text or another,
     judged on the input. Null texts are empty; texts shorter than ``length`` lose nothing; rows may repeat (then each is
     a copy of the other and loses all); an empty table gives an empty result; other columns are not read. Texts are told
-    apart by a 64-bit hash.
+    apart by hashes of 128 bits together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,12 +438,15 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _with_spans(docs.select(id_col, text_col), text_col, length, hot)
-    return rows.select(F.col("_row")[id_col].alias(id_col), "_text", "_spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, found = _with_spans(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, length, group)
+    return rows.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), found).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
 
+def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
+    """``docs`` with the repeated strings cut from ``text_col``; characters that a cut splits are dropped.
 
-def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, hot: int = HOT) -> DataFrame:
-    """``docs`` with the repeated strings cut from ``text_col``; characters that a cut splits are dropped. Null stays null."""
+    Null stays null; shorter texts than ``length`` stay as they are; rows that repeat are copies of each other and lose all; a
+    text may become empty; an empty table stays empty; all other columns pass, whatever their names."""
 
     @F.pandas_udf("string")
     def kept(text, spans):
@@ -352,5 +456,5 @@ def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, hot: int =
         release_memory()
         return made
 
-    rows = _with_spans(docs, text_col, length, hot)
-    return rows.select(*[(kept(F.col("_text"), F.col("_spans")) if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
+    rows, found = _with_spans(docs, text_col, length, group)
+    return rows.select(*[(kept(c, F.col(found)) if n == text_col else c).alias(n) for n, c in zip(docs.columns, columns(docs))])

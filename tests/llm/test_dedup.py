@@ -79,9 +79,12 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix.HOT, 3])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("group", [suffix.GROUP, 4, 1])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, group):
+    """Groups of one anchor whole in a bucket, split into halves, and split down to single offsets."""
     monkeypatch.setattr(suffix, "CHUNK", 1_500)
+    monkeypatch.setattr(suffix, "BUCKET", 40)
+    monkeypatch.setattr(suffix, "CUTOFF", 3)
     rng = random.Random(5)
     word = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
     shared, line = word(80), word(34)
@@ -89,15 +92,26 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
     texts += [shared[:k] + word(10) for k in (199, 200, 201, 260)] + [shared[50:320], "x" * 1_000, "ab" * 300, "\0" * 250 + "é" * 300, word(1_500)]
     texts += [texts[0], texts[0], None, "", "short", "short"]
     d = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_report(d, hot=hot).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup_report(d, group=group).collect()}
     assert [got[i] for i in range(len(texts))] == brute_cut([(t or "").encode() for t in texts], 200)
     assert sum(v[1] for v in got.values()) > 5_000
 
 
+def test_multikey_quicksort_sorts(monkeypatch):
+    rng = np.random.default_rng(4)
+    for cutoff, chars, n in ((2, 2, 300), (50, 3, 2_000), (2_048, 9, 5_000)):
+        monkeypatch.setattr(suffix, "CUTOFF", cutoff)
+        words, group = rng.integers(0, chars, (n, 5)).astype(np.uint64), rng.integers(0, 4, n)
+        for g in (None, group):
+            order = suffix.multikey_order(words, g)
+            rows = np.concatenate((np.zeros((n, 1), np.int64) if g is None else g[:, None], words.astype(np.int64)), 1)
+            assert sorted(order.tolist()) == list(range(n)) and [tuple(r) for r in rows[order]] == sorted(map(tuple, rows))
+
+
 def test_suffix_dedup_keeps_columns_and_nulls(spark):
     long = " ".join(f"w{i}" for i in range(200))
-    d = spark.createDataFrame([(1, "head " + long, "a"), (2, long + " tail", "b"), (3, None, "c"), (4, "", None)], "doc_id long, text string, t string")
-    got = {r["doc_id"]: (r["text"], r["t"]) for r in suffix.dedup(d).collect()}
+    d = spark.createDataFrame([(1, "head " + long, "a"), (2, long + " tail", "b"), (3, None, "c"), (4, "", None)], "doc_id long, text string, T1 string")
+    got = {r["doc_id"]: (r["text"], r["T1"]) for r in suffix.dedup(d).collect()}
     assert got == {1: ("head ", "a"), 2: (" tail", "b"), 3: (None, "c"), 4: ("", None)}
 
 
