@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -59,12 +60,68 @@ def test_arc_versions_and_damage():
         name = f"x{v}.arc"
         data = warc.arc_head(v, name, "20240101000000") + warc.arc_record(v, name, 0, "http://a/ü", "20240102030405", 7, b"one\n\ntwo") + warc.arc_record(v, name, 9, None, "20240102030405", None, b"")
         got = list(warc.read_arc(data))
-        assert [h["Archive-date"] for h, _ in got] == ["20240102030405"] * 2 and got[0][1].endswith(b"\r\n\r\none\n\ntwo")
+        assert [h["Archive-date"] for h, _, _ in got] == ["20240102030405"] * 2 and got[0][1].endswith(b"\r\n\r\none\n\ntwo")
         assert got[0][0]["URL"] == "http://a/%C3%BC"
         with pytest.raises(ValueError):
             list(warc.read_arc(data[:-8]))
 
 
+LATIN, BINARY = "é ü".encode("latin-1") * 400, bytes(range(256)) * 8
+
+
+def members(raw):
+    """Decompressed gzip members of a file."""
+    found = []
+    while raw.strip(b"\0"):
+        z = zlib.decompressobj(31)
+        found.append(z.decompress(raw))
+        raw = z.unused_data
+    return found
+
+
+def test_archives_of_any_bytes(spark, tmp_path):
+    def file(version, records):
+        name, date = f"old{version}.arc", "20010203040506"
+        data = warc.arc_head(version, name, date)
+        for i, url, payload in records:
+            data += warc.arc_record(version, name, len(data), url, date, i, payload)
+        if version == 1:  # one without an HTTP header, one with a header of bare line ends, blank lines between
+            raw = b"example.org. 60 IN A 192.0.2.1"
+            data += b"\r\n\ndns:example.org 192.0.2.9 20010203 text/dns %d\n" % len(raw) + raw + b"\n"
+            old = b"HTTP/1.0 200 OK\nX-Page-Id: 50\n\n" + LATIN
+            data += b"http://b/\xe9 192.0.2.9 20010203040506 text/html %d\n" % len(old) + old + b"\n"
+        return name, data
+
+    twice = [(7, "http://t/", b"same"), (7, "http://t/", b"same")]
+    files = spark.createDataFrame([file(1, [(1, "http://a/", LATIN), (2, "http://a/", BINARY), *twice]), file(2, [(3, None, BINARY), (4, "http://c/", b"")])], "name string, content binary")
+    records = warc.convert_arc(files).collect()
+    assert len({r["record_id"] for r in records}) == len(records) == 8
+    assert {(r["page_id"], bytes(r["payload"])) for r in records if r["page_id"] in (1, 2, 3, 4, 50)} == {(1, LATIN), (2, BINARY), (3, BINARY), (4, b""), (50, LATIN)}
+    assert [(r["kind"], r["date"], bytes(r["payload"])) for r in records if r["page_id"] is None] == [("resource", "2001-02-03T00:00:00Z", b"example.org. 60 IN A 192.0.2.1")]
+    path = str(tmp_path / "warc")
+    warc.write_warc(files, path)
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read_warc(spark, path).collect()}
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    assert got == {(1, "revisit", 50, sha(LATIN)), (50, "response", None, sha(LATIN)), (2, "revisit", 3, sha(BINARY)), (3, "response", None, sha(BINARY)), (4, "response", None, sha(b"")), (7, "response", None, sha(b"same")), (None, "resource", None, sha(b"example.org. 60 IN A 192.0.2.1"))}
+    for part in (p for p in (tmp_path / "warc").glob("part-*") if p.stat().st_size):  # a task without records leaves an empty file
+        held = members(part.read_bytes())
+        assert all(m.startswith(b"WARC/1.0\r\n") and m.endswith(b"\r\n\r\n") for m in held)
+        assert b"WARC-Type: warcinfo" in held[0] and not any(b"WARC-Type: warcinfo" in m[:40] for m in held[1:])
+        assert all(len(list(warc.read_warc_bytes(m))) == 1 for m in held)
+
+
+def test_many_repeated_payloads_and_large_records(spark, monkeypatch):
+    """Some payloads joined by broadcast, others by a shuffle; files closed by size; a record above 16 MiB."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    monkeypatch.setattr(warc, "WARC_BYTES", 20_000)
+    big = [("x%d" % (i % 40)) * 600 if i % 3 else "hot" * 500 for i in range(240)]
+    rows = [(i, "u", t) for i, t in enumerate(big)] + [(900, "u", "0123456789abcdef" * (1 << 20) + "end")]
+    got = {r["page_id"]: r for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    last = {t: i for i, _, t in rows}
+    assert len(got) == len(rows) and all(got[i]["refers_to"] == (None if last[t] == i else last[t]) for i, _, t in rows)
+    assert got[900]["payload_bytes"] == len(rows[-1][2]) and got[900]["payload_digest"] == hashlib.sha1(rows[-1][2].encode()).hexdigest()
+
+
 def test_archive_of_nothing(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived(d).count() == 0
