@@ -1,66 +1,108 @@
 """Quality classifier: evidence from the text, combined with what is known of its host and path by empirical Bayes.
 
-The evidence is a naive Bayes log likelihood ratio over binned measures of the text, its tables being sums over all
-labelled documents. The prior of a document comes from its site: the share of good documents of a path is shrunk toward
-that of its host, and that of a host toward the share overall, the more the fewer labels there are. How strongly is
-estimated from the spread between sites (a beta-binomial fitted by moments), level by level, from grouped sums.
+The evidence comes from a naive Bayes classifier over hashed words and the first and last characters of words: the log ratio
+of each feature's frequency in good and in bad documents, averaged over the distinct features of a text and calibrated by
+the spread of that average within the labelled documents of either class. All tables are grouped sums over all labelled
+documents. The prior comes from the document's site: the share of good documents of a path is shrunk toward that of its
+host, and that of a host toward the share overall, the more the fewer labels there are; how strongly is estimated from the
+spread between sites (a beta-binomial fitted by moments), level by level. A labelled document's own label is left out of all
+sums that judge it, so that its score is that of a document that was not labelled.
 """
 
 from __future__ import annotations
 
-from math import log
+import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import Memory, release_memory, small, written
 
-BINS = 24
-#: Bounds of the strength of the shrinking, in labels.
-STRENGTH = (1.0, 10_000.0)
+#: Buckets of words, of their first and of their last characters, and how many characters these are.
+WORDS, ENDS, CHARS = 16_384, 2_048, 3
+FEATURES = WORDS + 2 * ENDS
+#: Bounds of the strength of the shrinking, in labels; bound of the evidence; digits of what is returned.
+STRENGTH, MOST_EVIDENCE, DIGITS = (1.0, 10_000.0), 20.0, 6
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Bins (0 to BINS - 1) of the measures of a text; a null text is empty."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
+def _bucket(text: str, n: int) -> int:
+    return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:4], 16) % n
 
-    def share(pattern: str) -> Column:
-        return (n - F.length(F.regexp_replace(t, pattern, ""))) / F.greatest(n, F.lit(1))
 
-    words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    many, distinct = F.size(words), F.size(F.array_distinct(words))
+def word_features(word: bytes) -> tuple[int, int, int]:
+    """Buckets of a word, its first characters and its last ones."""
+    w = word.decode("utf-8", "surrogatepass")
+    return _bucket(w, WORDS), WORDS + _bucket("^" + w[:CHARS], ENDS), WORDS + ENDS + _bucket("$" + w[-CHARS:], ENDS)
 
-    def binned(x: Column) -> Column:
-        return F.least(F.floor(x * BINS), F.lit(BINS - 1)).cast("int")
 
-    return {
-        "letters": binned(share(r"\p{L}+")),
-        "signs": binned(4 * share(r"[^\p{L}\p{N}\s]+")),
-        "capitals": binned(4 * share(r"\p{Lu}+")),
-        "distinct": binned(distinct / F.greatest(many, F.lit(1))),
-        "words": F.least(F.floor(F.log2(1.0 + many)), F.lit(BINS - 1)).cast("int"),
-    }
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, becomes the sorted distinct features of its words (runs without ASCII white space)."""
+    memory = Memory(word_features)
+    known, find = memory.known, memory.find
+    for b in batches:
+        found = []
+        for t in b.column(b.num_columns - 1):
+            words = set((t.as_py() or "").encode("utf-8", "surrogatepass").split())
+            found.append(np.unique(np.array([known(w) or find(w) for w in words], np.int16).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int16()))], names=[*b.schema.names[:-1], "f"])
+    release_memory()
 
 
-def evidence_tables(known: DataFrame, names: list[str], smooth: float = 1.0) -> dict[str, list[float]]:
-    """Log likelihood ratio of each bin of each measure, from all rows of ``known`` (bins, good)."""
-    long = known.select("good", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("bin")) for m in names])).alias("x"))
-    sums = {(r["m"], r["bin"]): (r["good"], r["n"]) for r in long.groupBy("x.m", "x.bin").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()}  # measures x bins rows at most
-    made = {}
-    for m in names:
-        good = [sums.get((m, b), (0, 0))[0] + smooth for b in range(BINS)]
-        bad = [sums.get((m, b), (0, 0))[1] - sums.get((m, b), (0, 0))[0] + smooth for b in range(BINS)]
-        made[m] = [log(g / sum(good)) - log(x / sum(bad)) for g, x in zip(good, bad)]
-    return made
+def tables(known: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(good and bad documents that hold each feature, good documents, bad documents) of all rows of ``known`` (f, good)."""
+    n = known.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
+    sums = known.select("good", F.explode("f").alias("f")).groupBy("f").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()  # FEATURES rows at most
+    counts = np.zeros((2, FEATURES))
+    for r in sums:
+        counts[:, r["f"]] = r["good"], r["n"] - r["good"]
+    return counts, n[0], n[1] - n[0]
+
+
+def mean_ratio(rows: DataFrame, counts: np.ndarray, good: int, bad: int) -> DataFrame:
+    """``rows`` (f, own label good or null, and others) with x, the mean log ratio of their features, in place of f."""
+
+    def ratio(y: int | None) -> np.ndarray:
+        g, b = counts[0] - (y == 1), counts[1] - (y == 0)
+        return np.log(np.maximum(g, 0) + 1) - np.log(good - (y == 1) + 2) - np.log(np.maximum(b, 0) + 1) + np.log(bad - (y == 0) + 2)
+
+    by_label = {y: ratio(y) for y in ((None, 1, 0) if good + bad else (None,))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("f")
+            x = []
+            for f, y in zip(b.column(at), b.column(b.schema.get_field_index("good")).to_pylist()):
+                x.append(float(by_label[y][np.asarray(f.values)].mean()) if f.is_valid and len(f) else 0.0)
+            kept = [i for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(x, pa.float64())], names=[*[b.schema.names[i] for i in kept], "x"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "f")
+    return rows.mapInArrow(run, kinds + ", x double")
+
+
+def calibration(known: DataFrame) -> tuple[float, float]:
+    """(slope, offset) of the log likelihood ratio as a line in x, from the means of either class and their common variance."""
+    r = {r["good"]: r for r in known.groupBy("good").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()}
+    if len(r) < 2:
+        return 0.0, 0.0
+    variance = sum(c["n"] * c["v"] for c in r.values()) / sum(c["n"] for c in r.values())
+    slope = (r[1]["m"] - r[0]["m"]) / max(variance, 1e-6)
+    return slope, -slope * (r[1]["m"] + r[0]["m"]) / 2
 
 
 def strength(groups: DataFrame, by: str | None) -> float:
     """Labels that the prior of a level counts as, from (n, good, and the level above ``by``) for each site of the level."""
     base = groups if by is None else groups.withColumn("_u", F.col(by))
-    up = base.groupBy(*([] if by is None else ["_u"])).agg(F.count("*").alias("sites"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg"))
+    own = [F.count("*").alias("sites"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg")]
+    up = base.groupBy(*([] if by is None else ["_u"])).agg(*own)
     # between and within sums of squares of all parents together
-    r = up.where("sites > 1").agg(F.sum(F.col("gg") - F.col("good") * F.col("good") / F.col("n")), F.sum(F.col("sites") - 1), F.sum(F.col("good") - F.col("gg")), F.sum(F.col("n") - F.col("sites")), F.sum(F.col("n") - F.col("nn") / F.col("n"))).first()
+    r = up.where("sites > 1").agg(
+        F.sum(F.col("gg") - F.col("good") * F.col("good") / F.col("n")), F.sum(F.col("sites") - 1), F.sum(F.col("good") - F.col("gg")),
+        F.sum(F.col("n") - F.col("sites")), F.sum(F.col("n") - F.col("nn") / F.col("n")),
+    ).first()
     if not r[1] or not r[3]:
         return STRENGTH[1]
     between, within, n0 = r[0] / r[1], r[2] / r[3], r[4] / r[1]
@@ -73,25 +115,33 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
 
     ``labels`` (id, label 0 or 1) cover some documents; null labels and ids count for nothing, of several labels of one
     id the larger counts. Null hosts and paths are sites of their own; sites without labels take the share of the level
-    above. A null text is empty. Without any label all evidence is 0 and the share overall 0.5. Rows may repeat.
+    above. A null text is empty; one without words has no evidence. Without labels of both classes all evidence is 0, and
+    without any the share overall is 0.5. Rows may repeat (each counts); an empty table gives an empty result; other columns
+    are not read. Figures are rounded to six digits.
     """
-    made = docs.select(F.col(id_col).alias("_id"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), *[c.alias(m) for m, c in measures(F.col(text_col)).items()])
-    slim = written(made, "quality-measures")
-    names = [c for c in slim.columns if not c.startswith("_")]
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(f"`{text_col}`").alias("_text"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    slim = slim.mapInArrow(_features, f"_id {kind}, _host string, _path string, f array<smallint>")
     truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg((F.max(label_col) > 0).cast("long").alias("good"))
-    known = written(slim.join(truth, F.col("_id") == F.col("_lid")), "quality-known")
-    tables = evidence_tables(known, names)
+    rows = written(slim.join(truth, F.col("_id") == F.col("_lid"), "left").drop("_lid"), "quality-features")
+    known = rows.where("good IS NOT NULL")
+    counts, good, bad = tables(known)
+    judged = written(mean_ratio(rows, counts, good, bad), "quality-ratios")
+    slope, offset = calibration(judged.where("good IS NOT NULL"))
     paths = written(known.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "quality-paths")
     hosts = written(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "quality-hosts")
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    overall = (total[1] + 1.0) / (total[0] + 2.0)
     k_host, k_path = strength(hosts, None), strength(paths, "_host")
-    h = hosts.select(F.col("_host").alias("_h"), ((F.col("good") + k_host * overall) / (F.col("n") + k_host)).alias("host_share"))
-    p = paths.select(F.col("_host").alias("_ph"), F.col("_path").alias("_pp"), F.col("n").alias("_n"), F.col("good").alias("_good"))
-    sited = slim.join(small(h), F.col("_host").eqNullSafe(F.col("_h")), "left").join(small(p), F.col("_host").eqNullSafe(F.col("_ph")) & F.col("_path").eqNullSafe(F.col("_pp")), "left")
-    evidence = sum((F.get(F.array(*[F.lit(x) for x in tables[m]]), F.col(m)) for m in names), F.lit(0.0))
-    host_share = F.coalesce("host_share", F.lit(overall))
-    path_share = (F.coalesce("_good", F.lit(0)) + k_path * host_share) / (F.coalesce("_n", F.lit(0)) + k_path)
-    out = sited.select(F.col("_id").alias(id_col), evidence.alias("evidence"), host_share.alias("host_share"), path_share.alias("path_share"))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_share") / (1 - F.col("path_share"))))))
-    return out.withColumn("score", score).withColumn("kept", F.col("score") >= 0.5)
+    h = hosts.select(F.col("_host").alias("_hh"), F.col("n").alias("_hn"), F.col("good").alias("_hg"))
+    p = paths.select(F.col("_host").alias("_ph"), F.col("_path").alias("_pp"), F.col("n").alias("_pn"), F.col("good").alias("_pg"))
+    sited = judged.join(small(h), F.col("_host").eqNullSafe(F.col("_hh")), "left").join(small(p), F.col("_host").eqNullSafe(F.col("_ph")) & F.col("_path").eqNullSafe(F.col("_pp")), "left")
+    # one label less where it is the document's own
+    one, own = F.col("good").isNotNull().cast("long"), F.coalesce("good", F.lit(0))
+    less = lambda n, sub: F.coalesce(F.col(n) - sub, F.lit(0))
+    overall = (F.lit(good + 1.0) - own) / (F.lit(good + bad + 2.0) - one)
+    host_share = (less("_hg", own) + k_host * overall) / (less("_hn", one) + k_host)
+    path_share = (less("_pg", own) + k_path * F.col("_hs")) / (less("_pn", one) + k_path)
+    evidence = F.greatest(F.least(slope * F.col("x") + offset, F.lit(MOST_EVIDENCE)), F.lit(-MOST_EVIDENCE))
+    out = sited.withColumn("_hs", host_share).withColumn("_ps", path_share).withColumn("_e", F.when(F.col("x") == 0, 0.0).otherwise(evidence))
+    score = 1 / (1 + F.exp(-(F.col("_e") + F.log(F.col("_ps") / (1 - F.col("_ps"))))))
+    rounded = [F.round(c, DIGITS).alias(n) for n, c in (("evidence", F.col("_e")), ("host_share", F.col("_hs")), ("path_share", F.col("_ps")), ("score", score))]
+    return out.select(F.col("_id").alias(id_col), *rounded).withColumn("kept", F.col("score") >= 0.5)

@@ -57,7 +57,39 @@ def op9_url_filter(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op5_quality, op6_source_mixing, op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id)}
 
+def _bucket(c: str, n: int) -> str:
+    return f"CAST('0x' || substr(md5({c}), 1, 4) AS INT) % {n}"
+
+
+def _strength(up: str) -> str:
+    """The strength of a level from its sums of squares, as ``quality.strength`` has it."""
+    low, high = quality.STRENGTH
+    return f"""SELECT CASE WHEN coalesce(r1, 0) = 0 OR coalesce(r3, 0) = 0 THEN {high} WHEN rho <= 0 THEN {high} ELSE least(greatest((1 - rho) / rho, {low}), {high}) END::DOUBLE AS k
+  FROM (SELECT *, (r0 / r1 - r2 / r3) / greatest(r0 / r1 + (r4 / r1 - 1) * (r2 / r3), 1e-12) AS rho FROM (
+    SELECT sum(gg - good * good / n)::DOUBLE AS r0, sum(sites - 1)::DOUBLE AS r1, sum(good - gg)::DOUBLE AS r2, sum(n - sites)::DOUBLE AS r3, sum(n - nn / n)::DOUBLE AS r4 FROM ({up}) WHERE sites > 1))"""
+
+
+_SITES = "count(*) AS sites, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good, sum(n * n)::DOUBLE AS nn, sum(good * good / n::DOUBLE) AS gg"
+_W, _E, _C = quality.WORDS, quality.ENDS, quality.CHARS
 ORACLES = {
+    "op5_quality": rf"""
+WITH t AS (SELECT doc_id, max(quality) > 0 AS y FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT doc_id, source AS host, lang AS path, CAST(y AS INT) AS y, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS ws FROM documents LEFT JOIN t USING (doc_id)),
+w AS (SELECT doc_id, y, unnest(ws) AS w FROM d),
+f AS (SELECT DISTINCT doc_id, y, unnest([{_bucket("w", _W)}, {_W} + {_bucket(f"'^' || substr(w, 1, {_C})", _E)}, {_W + _E} + {_bucket(f"'$' || right(w, {_C})", _E)}]) AS f FROM w),
+n AS (SELECT coalesce(sum(y), 0)::DOUBLE AS g, coalesce(sum(1 - y), 0)::DOUBLE AS b FROM d WHERE y IS NOT NULL),
+c AS (SELECT f, sum(y)::DOUBLE AS g, sum(1 - y)::DOUBLE AS b FROM f WHERE y IS NOT NULL GROUP BY f),
+r AS (SELECT f.doc_id, avg(ln(coalesce(c.g, 0) - coalesce(y, 0) + 1) - ln(n.g - coalesce(y, 0) + 2) - ln(coalesce(c.b, 0) - coalesce(1 - y, 0) + 1) + ln(n.b - coalesce(1 - y, 0) + 2)) AS x FROM f LEFT JOIN c USING (f), n GROUP BY 1),
+x AS (SELECT d.*, coalesce(r.x, 0) AS x FROM d LEFT JOIN r USING (doc_id)),
+m AS (SELECT count(DISTINCT y) AS classes, avg(x) FILTER (WHERE y = 1) AS m1, avg(x) FILTER (WHERE y = 0) AS m0, (count(*) FILTER (WHERE y = 1) * var_pop(x) FILTER (WHERE y = 1) + count(*) FILTER (WHERE y = 0) * var_pop(x) FILTER (WHERE y = 0)) / count(*) AS v FROM x WHERE y IS NOT NULL),
+l AS (SELECT CASE WHEN classes = 2 THEN (m1 - m0) / greatest(v, 1e-6) ELSE 0 END AS slope, coalesce((m1 + m0) / 2, 0) AS mid FROM m),
+p AS (SELECT host, path, count(*) AS n, sum(y) AS good FROM d WHERE y IS NOT NULL GROUP BY ALL), h AS (SELECT host, sum(n) AS n, sum(good) AS good FROM p GROUP BY ALL),
+kh AS ({_strength(f"SELECT {_SITES} FROM h")}), kp AS ({_strength(f"SELECT host, {_SITES} FROM p GROUP BY host")}),
+o AS (SELECT x.*, (n.g + 1 - coalesce(y, 0)) / (n.g + n.b + 2 - (y IS NOT NULL)::INT) AS overall FROM x, n),
+s AS (SELECT o.*, (coalesce(h.good - coalesce(y, 0), 0) + kh.k * overall) / (coalesce(h.n - (y IS NOT NULL)::INT, 0) + kh.k) AS hs FROM o LEFT JOIN h ON o.host IS NOT DISTINCT FROM h.host, kh),
+q AS (SELECT s.*, (coalesce(p.good - coalesce(y, 0), 0) + kp.k * hs) / (coalesce(p.n - (y IS NOT NULL)::INT, 0) + kp.k) AS ps, CASE WHEN x = 0 THEN 0 ELSE greatest(least(slope * (x - mid), {quality.MOST_EVIDENCE}), -{quality.MOST_EVIDENCE}) END AS e FROM s LEFT JOIN p ON s.host IS NOT DISTINCT FROM p.host AND s.path IS NOT DISTINCT FROM p.path, kp, l),
+z AS (SELECT doc_id, round(e::DOUBLE, 6) AS evidence, round(hs::DOUBLE, 6) AS host_share, round(ps::DOUBLE, 6) AS path_share, round((1 / (1 + exp(-(e + ln(ps / (1 - ps))))))::DOUBLE, 6) AS score FROM q)
+SELECT *, score >= 0.5 AS kept FROM z""",
     "op7_arc_to_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)

@@ -6,6 +6,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from deskgrain.llm import bpe, langid, mixing, quality
+from deskgrain.llm.common import Memory
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
@@ -50,7 +51,7 @@ def test_ordinary_text_comes_through_the_tree(spark, tik):
 
 def test_what_is_remembered_is_bounded():
     seen = []
-    m = bpe.Memory(lambda k: seen.append(k) or (k,), size=3)
+    m = Memory(lambda k: seen.append(k) or (k,), size=3)
     for k in [1, 2, 1, 3, 4, 1, 5, 6, 1, 7]:
         assert (m.known(k) or m.find(k)) == (k,)
         assert len(m.young) <= 3 and len(m.old) <= 3
