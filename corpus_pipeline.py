@@ -11,36 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskgrain.llm import bpe, langid, mixing, near_copies, suffix
-from deskgrain.llm.common import table, written
+from deskgrain.llm.common import columns, table, unused, written
 
 #: Documents whose language is less certain than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.3
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as a struct row beside the columns that the operators read, so that no name of a column clashes."""
-    own = ("doc_id", "text", "lang", "source")
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
-
-
-def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the network can tell with a score of LEAST_SCORE or more.
 
     Null and empty texts and those without a letter are rejected, however long; all other columns may be null. Rows that
     repeat are judged alike and all kept or all rejected. Without any labelled text all is rejected; an empty table stays empty."""
-    found = langid.identify(packed(docs), langid.fit(docs))
-    return unpacked(found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)), docs.columns)
+    lang, score = unused(docs.columns, "lang_pred", "lang_score")
+    found = langid.identify(docs, langid.fit(docs), out=(lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*columns(docs))
 
 
-def row_keys(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, packed, with k1 and k2, hashes of the whole row: only equal rows share both."""
-    every = [F.col(f"`{c}`") for c in docs.columns] + [F.col(f"`{c}`").isNull() for c in docs.columns]  # hashing skips nulls
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.select(whole.alias("row"), "doc_id", "text", F.xxhash64(*every).alias("k1"), F.xxhash64(F.lit(1), *every).alias("k2"))
+def row_keys(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with two hashes of the whole row, named ``names``: only equal rows share both."""
+    every = [*columns(docs), *[c.isNull() for c in columns(docs)]]  # hashing skips nulls
+    return docs.withColumns({names[0]: F.xxhash64(*every), names[1]: F.xxhash64(F.lit(1), *every)})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +39,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Ids play no other part: texts that are no near copies are all kept, whatever ids they share, null included; equal rows
     are one. Null and empty texts are one group. An empty table stays empty."""
-    keyed = row_keys(docs)
-    nodes = written(near_copies.nodes(keyed, ["doc_id", "k1", "k2"], words=5), "nodes")
-    roots = near_copies.roots(nodes, keyed, ["k1", "k2"], words=5)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("first")
-    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select("first.k1", "first.k2")
-    return unpacked(keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
+    key = unused(docs.columns, "k1", "k2")
+    keyed = row_keys(docs, key)
+    nodes = written(near_copies.nodes(keyed, ["doc_id", *key], words=5), "nodes")
+    roots = near_copies.roots(nodes, keyed, key, words=5)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first")
+    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select(*[F.col(f"first.{k}") for k in key])
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns(docs))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +54,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     So do null and empty texts. Rows that repeat are copies of each other and lose all; n_chars follows the text. Shorter
     texts stay as they are; an empty table stays empty."""
     cut = suffix.dedup(docs, length=200)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cut.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*columns(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +62,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null source is a source; null and empty texts have no words and are taken by their hash like others; rows of one id
     and source are taken alike; an empty table stays empty."""
-    taken = mixing.mix(packed(docs), weights=(3, 1, 2), share=1.5, cap=2.0).where("mix_times > 0")
-    return unpacked(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_times")))), docs.columns)
+    times, copy = unused(docs.columns, "times", "copy")
+    taken = mixing.mix(docs, weights=(3, 1, 2), share=1.5, cap=2.0, out=times).where(F.col(times) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
