@@ -158,3 +158,18 @@ def test_neighbours_of_odd_vectors(spark):
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(100, v) for v in (0, 3, 1, 4, 2, 5)]
     assert [r["rank"] for r in got] == list(range(1, 7))
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_neighbours_of_other_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    x = {i: rng.normal(size=3 if i < 60 else 5) for i in range(90)}
+    rows = [(i, v.tolist()) for i, v in x.items()] + [(200, [1.0, 2.0]), (7, x[8].tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(d, d.where("vec_id in (7, 70, 200)"), k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    query = min(x[7].tolist(), x[8].tolist())
+    flat = [(i, np.array(v)) for i, v in rows]
+    near = lambda q, own: [i for _, i in sorted((float(((v - q) ** 2).sum()), i) for i, v in flat if len(v) == len(q) and i != own)[:4]]
+    assert [v for _, v in sorted(got[70])] == near(x[70], 70) and [v for _, v in sorted(got[7])] == near(np.array(query), 7)
+    assert 200 not in got
