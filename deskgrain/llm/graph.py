@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the components of the links (x, y): label[i] is the smallest index of i's component."""
+    while True:
+        lx, ly = label[x], label[y]
+        open_ = lx != ly
+        if not open_.any():
+            return
+        x, y, lx, ly = x[open_], y[open_], lx[open_], ly[open_]
+        np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
+        while not np.array_equal(label, further := label[label]):
+            label[:] = further
