@@ -46,6 +46,19 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A key that has this share of all rows or more counts as hot: there are no more such keys than this.
+HOT_SHARE = 5_000
+
+
+def meet(rows: DataFrame, found: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``found``, which has one row for each ``key`` with the number ``n`` of its rows out of ``total``.
+
+    The few keys that many rows have meet them in place, so that no task gathers the rows of one key; all others move."""
+    hot = F.col(n) * HOT_SHARE >= total
+    few, rest = F.broadcast(found.where(hot)), small(found.where(~hot))
+    return rows.join(few, key).unionByName(rows.join(few, key, "left_anti").join(rest, key))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """``names``, each with as many underscores behind it as it takes to differ from all of ``columns`` (letter case aside)."""
     taken, made = {c.lower() for c in columns}, []

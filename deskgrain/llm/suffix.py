@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, release_memory, sampled, small, unused, written
+from .common import columns, meet, release_memory, sampled, small, unused, written
 
 #: Leading bytes of an anchor that must repeat; a power of two.
 K = 32
@@ -364,8 +364,10 @@ def covered(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     rows = written(_anchor_rows(texts, length), "anchors")
     # copies of a text have their anchors at the same places: only different places count
     v = F.xxhash64("t", "pos")
-    common = rows.groupBy("kh").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    place = rows.join(common.select("kh", "n"), "kh").groupBy(F.col("t").alias("t1")).agg(F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > group, F.col("pos"))).alias("large"))
+    common = rows.groupBy("kh").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).where("lo != hi").select("kh", "n")
+    common = written(common, "common-anchors")
+    found = meet(rows, common, "kh", "n", rows.count())
+    place = found.groupBy(F.col("t").alias("t1")).agg(F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > group, F.col("pos"))).alias("large"))
     place = written(place, "anchor-places")
     total = place.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))

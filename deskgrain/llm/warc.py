@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small, written
+from .common import HOT_SHARE, shared_dir, small, written
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -40,8 +40,7 @@ URL_SAFE = ":/?#[]@!$&'()*+,;=%-._~"
 
 #: Bytes of an ARC file and of a WARC file, about; payloads from so many bytes on may be revisited.
 ARC_BYTES, WARC_BYTES, REVISIT_BYTES = 8 << 20, 16 << 20, 1_000
-#: A payload that has this share of all records or more is joined by broadcast: there are no more such payloads than this.
-HOT_SHARE = 5_000
+#: Effort of the compression.
 LEVEL = 4
 
 
