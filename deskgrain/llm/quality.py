@@ -1,9 +1,9 @@
 """Quality classifier: evidence from the text, combined with what is known of its host and path by empirical Bayes.
 
-The evidence comes from a naive Bayes classifier over hashed words and the first and last characters of words: the log ratio
-of each feature's frequency in good and in bad documents, averaged over the distinct features of a text and calibrated by
-the spread of that average within the labelled documents of either class. All tables are grouped sums over all labelled
-documents. The prior comes from the document's site: the share of good documents of a path is shrunk toward that of its
+The evidence comes from two naive Bayes classifiers, one over hashed words and the first and last characters of words, one over
+binned measures of the text: of each the log ratios of its features' frequencies in good and in bad documents, averaged over
+the distinct features of a text. Both averages together are calibrated by their means and their spread within the labelled
+documents of either class (a linear discriminant). All tables are grouped sums over all labelled documents. The prior comes from the document's site: the share of good documents of a path is shrunk toward that of its
 host, and that of a host toward the share overall, the more the fewer labels there are; how strongly is estimated from the
 spread between sites (a beta-binomial fitted by moments), level by level. A labelled document's own label is left out of all
 sums that judge it, so that its score is that of a document that was not labelled.
@@ -23,9 +23,15 @@ from .common import Memory, release_memory, small, written
 
 #: Buckets of words, of their first and of their last characters, and how many characters these are.
 WORDS, ENDS, CHARS = 16_384, 2_048, 3
-FEATURES = WORDS + 2 * ENDS
+HASHED = WORDS + 2 * ENDS
+#: Measures of a text and bins of each; their features come after the hashed ones.
+MEASURES, BINS = ("letters", "signs", "capitals", "distinct", "words"), 24
+FEATURES = HASHED + len(MEASURES) * BINS
+SPACE = r"[\x20\x09-\x0D]"
 #: Bounds of the strength of the shrinking, in labels; bound of the evidence; digits of what is returned.
 STRENGTH, MOST_EVIDENCE, DIGITS = (1.0, 10_000.0), 20.0, 6
+#: What is added to the variances, so that the discriminant is defined.
+RIDGE = 1e-6
 
 
 def _bucket(text: str, n: int) -> int:
@@ -38,6 +44,21 @@ def word_features(word: bytes) -> tuple[int, int, int]:
     return _bucket(w, WORDS), WORDS + _bucket("^" + w[:CHARS], ENDS), WORDS + ENDS + _bucket("$" + w[-CHARS:], ENDS)
 
 
+def measures(text: Column) -> Column:
+    """The feature of each measure of a text, in the order of MEASURES; a null text is empty."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.length(t)
+
+    def share(pattern: str) -> Column:
+        return (n - F.length(F.regexp_replace(t, pattern, ""))) / F.greatest(n, F.lit(1))
+
+    words = F.filter(F.split(t, SPACE + "+"), lambda w: w != "")
+    many, distinct = F.size(words), F.size(F.array_distinct(words))
+    shares = [share(r"\p{L}+"), 4 * share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), 4 * share(r"\p{Lu}+"), distinct / F.greatest(many, F.lit(1))]
+    bins = [F.floor(x * BINS) for x in shares] + [F.length(F.bin((many + 1).cast("long")))]
+    return F.array(*[(F.least(b, F.lit(BINS - 1)) + HASHED + i * BINS).cast("smallint") for i, b in enumerate(bins)])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, becomes the sorted distinct features of its words (runs without ASCII white space)."""
     memory = Memory(word_features)
@@ -52,45 +73,49 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tables(known: DataFrame) -> tuple[np.ndarray, int, int]:
-    """(good and bad documents that hold each feature, good documents, bad documents) of all rows of ``known`` (f, good)."""
+    """(good and bad documents that hold each feature, good documents, bad documents) of all rows of ``known`` (f, g, good)."""
     n = known.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count("*")).first()
-    sums = known.select("good", F.explode("f").alias("f")).groupBy("f").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()  # FEATURES rows at most
+    each = known.select("good", F.explode(F.concat("f", "g")).alias("f"))
+    sums = each.groupBy("f").agg(F.sum("good").alias("good"), F.count("*").alias("n")).collect()  # FEATURES rows at most
     counts = np.zeros((2, FEATURES))
     for r in sums:
         counts[:, r["f"]] = r["good"], r["n"] - r["good"]
     return counts, n[0], n[1] - n[0]
 
 
-def mean_ratio(rows: DataFrame, counts: np.ndarray, good: int, bad: int) -> DataFrame:
-    """``rows`` (f, own label good or null, and others) with x, the mean log ratio of their features, in place of f."""
+def mean_ratios(rows: DataFrame, counts: np.ndarray, good: int, bad: int) -> DataFrame:
+    """``rows`` (f, g, own label good or null, and others) with x and z, the mean log ratios of their features, for f and g."""
 
     def ratio(y: int | None) -> np.ndarray:
-        g, b = counts[0] - (y == 1), counts[1] - (y == 0)
-        return np.log(np.maximum(g, 0) + 1) - np.log(good - (y == 1) + 2) - np.log(np.maximum(b, 0) + 1) + np.log(bad - (y == 0) + 2)
+        held, missed = counts[0] - (y == 1), counts[1] - (y == 0)
+        return np.log(np.maximum(held, 0) + 1) - np.log(good - (y == 1) + 2) - np.log(np.maximum(missed, 0) + 1) + np.log(bad - (y == 0) + 2)
 
     by_label = {y: ratio(y) for y in ((None, 1, 0) if good + bad else (None,))}
+    others = [f for f in rows.schema if f.name not in ("f", "g")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("f")
-            x = []
-            for f, y in zip(b.column(at), b.column(b.schema.get_field_index("good")).to_pylist()):
-                x.append(float(by_label[y][np.asarray(f.values)].mean()) if f.is_valid and len(f) else 0.0)
-            kept = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], pa.array(x, pa.float64())], names=[*[b.schema.names[i] for i in kept], "x"])
+            labels = b.column("good").to_pylist()
+            made = [[float(by_label[y][np.asarray(f.values)].mean()) if len(f) else 0.0 for f, y in zip(b.column(c), labels)] for c in ("f", "g")]
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in others], *[pa.array(m, pa.float64()) for m in made]], names=[*[f.name for f in others], "x", "z"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "f")
-    return rows.mapInArrow(run, kinds + ", x double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.mapInArrow(run, kinds + ", x double, z double")
 
 
-def calibration(known: DataFrame) -> tuple[float, float]:
-    """(slope, offset) of the log likelihood ratio as a line in x, from the means of either class and their common variance."""
-    r = {r["good"]: r for r in known.groupBy("good").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()}
+def calibration(known: DataFrame) -> tuple[float, float, float]:
+    """(weight of x, weight of z, offset) of the log likelihood ratio as a plane, from the means of either class and the
+    covariance within classes; all 0 unless both classes are there."""
+    moments = [F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("z").alias("z"), F.var_pop("x").alias("xx"), F.var_pop("z").alias("zz"), F.covar_pop("x", "z").alias("xz")]
+    r = {r["good"]: r for r in known.groupBy("good").agg(*moments).collect()}
     if len(r) < 2:
-        return 0.0, 0.0
-    variance = sum(c["n"] * c["v"] for c in r.values()) / sum(c["n"] for c in r.values())
-    slope = (r[1]["m"] - r[0]["m"]) / max(variance, 1e-6)
-    return slope, -slope * (r[1]["m"] + r[0]["m"]) / 2
+        return 0.0, 0.0, 0.0
+    n = r[0]["n"] + r[1]["n"]
+    xx, zz, xz = (sum(c["n"] * c[k] for c in r.values()) / n + (RIDGE if k != "xz" else 0.0) for k in ("xx", "zz", "xz"))
+    dx, dz = r[1]["x"] - r[0]["x"], r[1]["z"] - r[0]["z"]
+    det = xx * zz - xz * xz
+    a, b = (zz * dx - xz * dz) / det, (xx * dz - xz * dx) / det
+    return a, b, -(a * (r[1]["x"] + r[0]["x"]) + b * (r[1]["z"] + r[0]["z"])) / 2
 
 
 def strength(groups: DataFrame, by: str | None) -> float:
@@ -115,19 +140,19 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
 
     ``labels`` (id, label 0 or 1) cover some documents; null labels and ids count for nothing, of several labels of one
     id the larger counts. Null hosts and paths are sites of their own; sites without labels take the share of the level
-    above. A null text is empty; one without words has no evidence. Without labels of both classes all evidence is 0, and
+    above. A null text is empty. Without labels of both classes all evidence is 0, and
     without any the share overall is 0.5. Rows may repeat (each counts); an empty table gives an empty result; other columns
     are not read. Figures are rounded to six digits.
     """
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(f"`{text_col}`").alias("_text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), host.cast("string").alias("_host"), path.cast("string").alias("_path"), measures(F.col(f"`{text_col}`")).alias("g"), F.col(f"`{text_col}`").alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    slim = slim.mapInArrow(_features, f"_id {kind}, _host string, _path string, f array<smallint>")
+    slim = slim.mapInArrow(_features, f"_id {kind}, _host string, _path string, g array<smallint>, f array<smallint>")
     truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg((F.max(label_col) > 0).cast("long").alias("good"))
     rows = written(slim.join(truth, F.col("_id") == F.col("_lid"), "left").drop("_lid"), "quality-features")
     known = rows.where("good IS NOT NULL")
     counts, good, bad = tables(known)
-    judged = written(mean_ratio(rows, counts, good, bad), "quality-ratios")
-    slope, offset = calibration(judged.where("good IS NOT NULL"))
+    judged = written(mean_ratios(rows, counts, good, bad), "quality-ratios")
+    a, b, offset = calibration(judged.where("good IS NOT NULL"))
     paths = written(known.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("good").alias("good")), "quality-paths")
     hosts = written(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "quality-hosts")
     k_host, k_path = strength(hosts, None), strength(paths, "_host")
@@ -140,8 +165,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     overall = (F.lit(good + 1.0) - own) / (F.lit(good + bad + 2.0) - one)
     host_share = (less("_hg", own) + k_host * overall) / (less("_hn", one) + k_host)
     path_share = (less("_pg", own) + k_path * F.col("_hs")) / (less("_pn", one) + k_path)
-    evidence = F.greatest(F.least(slope * F.col("x") + offset, F.lit(MOST_EVIDENCE)), F.lit(-MOST_EVIDENCE))
-    out = sited.withColumn("_hs", host_share).withColumn("_ps", path_share).withColumn("_e", F.when(F.col("x") == 0, 0.0).otherwise(evidence))
+    evidence = F.greatest(F.least(a * F.col("x") + b * F.col("z") + offset, F.lit(MOST_EVIDENCE)), F.lit(-MOST_EVIDENCE))
+    out = sited.withColumn("_hs", host_share).withColumn("_ps", path_share).withColumn("_e", F.when((F.col("x") == 0) & (F.col("z") == 0), 0.0).otherwise(evidence))
     score = 1 / (1 + F.exp(-(F.col("_e") + F.log(F.col("_ps") / (1 - F.col("_ps"))))))
     rounded = [F.round(c, DIGITS).alias(n) for n, c in (("evidence", F.col("_e")), ("host_share", F.col("_hs")), ("path_share", F.col("_ps")), ("score", score))]
     return out.select(F.col("_id").alias(id_col), *rounded).withColumn("kept", F.col("score") >= 0.5)

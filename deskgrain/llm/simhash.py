@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, written
-from .graph import connected_components
+from .common import meet, release_memory, written
+from .graph import connected_components, union
 
 SEED = 42
 #: Fingerprints in a tile: at least, at most.
@@ -75,7 +75,7 @@ def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndar
             j = m * SUB
             x, y = np.nonzero(np.bitwise_count(a[i : i + SUB, None] ^ b[None, j : j + SUB]) <= radius)
             if len(x):
-                _union(label, x + i, y + j + shift)
+                union(label, x + i, y + j + shift)
     moved = np.flatnonzero(label != np.arange(len(label)))
     return both[moved], both[label[moved]]
 
@@ -91,19 +91,6 @@ def _boxes(x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [np.minimum.reduceat(h, at) for h in halves], [np.maximum.reduceat(h, at) for h in halves]
 
 
-def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Joins the components of the links (x, y): label[i] is the smallest index of i's component."""
-    while True:
-        lx, ly = label[x], label[y]
-        open_ = lx != ly
-        if not open_.any():
-            return
-        x, y, lx, ly = x[open_], y[open_], lx[open_], ly[open_]
-        np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
-        while not np.array_equal(label, further := label[label]):
-            label[:] = further
-
-
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(src, dst): a spanning forest, tile pair by tile pair, of all links between the fingerprints of ``distinct`` (fp, pc)."""
     counts = {r["pc"]: r["n"] for r in distinct.groupBy("pc").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
@@ -142,9 +129,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of ``docs`` are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")).withColumn("pc", F.bit_count("fp")), "distinct-fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("pc", F.bit_count("fp")), "distinct-fingerprints")
     found = connected_components(links(distinct.select("fp", "pc"), radius))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id"), "fingerprint-components")
-    return fps.join(by_fp, fps["fp"] == by_fp["_fp"]).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = written(rooted.join(named, "root").select("fp", "n", "component_id"), "fingerprint-components")
+    # texts without words and copies share a fingerprint, be it a third of all rows
+    out = meet(fps, by_fp, "fp", "n", fps.count())
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -132,7 +132,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     base = rng.normal(size=(12, 8))
     x = np.concatenate([base[rng.integers(0, 12, 150)] + rng.normal(scale=0.25, size=(150, 8)), np.repeat(base[:1], 10, 0)]).astype(np.float32)
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] + [1.0] * 7, 1), (903, [float("inf")] + [1.0] * 7, 1), (904, x[0].tolist(), None), (905, [1.0, 2.0], 0), (906, [None] + [1.0] * 7, 0)]
+    rows += [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] + [1.0] * 7, 1), (903, [float("inf")] + [1.0] * 7, 1), (904, x[0].tolist(), None), (905, [1.0, 2.0], 0), (906, [None] + [1.0] * 7, 0), (910, [1.0, 2.0], 0), (911, [2.0, 1.0], 0), (912, [1.0, 2.0], 1)]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(d, threshold=0.93).collect()}
     n = x.astype(np.float64)
@@ -141,9 +141,25 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     pairs = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if i % 2 == j % 2 and sim[i, j] >= 0.93]
     want, links = components_of(range(len(x)), pairs), Counter(i for p in pairs for i in p)
     assert {i: got[i] for i in range(len(x))} == {i: (links[i], want[i], want[i] == i) for i in range(len(x))}
-    assert all(got[i] == (0, i, True) for i in range(900, 907))
+    assert all(got[i] == (0, i, True) for i in (*range(900, 905), 906, 911, 912))
+    assert got[905] == (1, 905, True) and got[910] == (1, 905, False)  # another length: linked among themselves
     assert pairs
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.93])
+def test_visits_lose_no_pair(threshold):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = embedding_dedup.kmeans(x, 24, spherical=True)
+    home, row, cell = embedding_dedup.visits(x, centres, threshold)
+    stands = {(i, c) for i, c in enumerate(home)} | set(zip(row.tolist(), cell.tolist()))
+    a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    assert len(a) and all((i, min(home[i], home[j])) in stands and (j, min(home[i], home[j])) in stands for i, j in zip(a, b))
+    assert len(row) < len(x) * 12  # far fewer than all cells
+    few = embedding_dedup.fitted(x, 24, threshold)
+    assert len(few) == 1 or 1 + len(embedding_dedup.visits(x, few, threshold)[1]) / len(x) <= embedding_dedup.STANDS
+
+
 def test_embeddings_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -141,3 +142,83 @@ def test_quality_shrinks_and_separates(spark):
     none = {r["doc_id"]: r["score"] for r in quality.assess(docs, labels.limit(0), F.col("source"), F.col("lang")).collect()}
     assert none[1] == pytest.approx(0.5)
     assert quality.assess(docs.limit(0), labels, F.col("source"), F.col("lang")).count() == 0
+
+
+def brute_quality(rows, labels):
+    """Evidence, shares and score of every row, one document at a time, its own label left out."""
+    truth = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            truth[i] = max(truth.get(i, 0), y)
+
+    def features(text):
+        hashed = {f for w in (text or "").encode().split() for f in quality.word_features(w)}
+        return sorted(hashed)
+
+    docs = [(i, features(t), h, p, truth.get(i)) for i, t, h, p in rows]
+    known = [d for d in docs if d[4] is not None]
+
+    def ratio(f, y):
+        good = [d for d in known if d[4] == 1]
+        bad = [d for d in known if d[4] == 0]
+        g, b = sum(f in d[1] for d in good) - (y == 1), sum(f in d[1] for d in bad) - (y == 0)
+        return np.log((g + 1) / (len(good) - (y == 1) + 2)) - np.log((b + 1) / (len(bad) - (y == 0) + 2))
+
+    x = [np.mean([ratio(f, d[4]) for f in d[1]]) if d[1] else 0.0 for d in docs]
+    shares = []
+    for _, _, h, p, y in docs:
+        own = [d for d in known]
+        n, good = len(own) - (y is not None), sum(d[4] for d in own) - (y or 0)
+        at_host = [d for d in own if d[2] == h]
+        at_path = [d for d in at_host if d[3] == p]
+        shares.append(((good + 1) / (n + 2), sum(d[4] for d in at_host) - (y or 0), len(at_host) - (y is not None), sum(d[4] for d in at_path) - (y or 0), len(at_path) - (y is not None)))
+    return x, shares
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Ratios and shares with each document's own label left out; the strengths are fixed, so that shares can be told apart."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(vocabulary[: 15 + 15 * (i % 2)], k=rng.randint(0, 12))), f"h{i % 3}", f"p{i % 4}" if i % 5 else None) for i in range(40)] + [(90, None, None, "p"), (5, "w1 w2", "h9", "p")]
+    labels = [(i, (i // 2) % 2) for i in range(30)] + [(None, 1), (3, None), (4, 1), (4, 0)]
+    monkeypatch.setattr(quality, "strength", lambda groups, by: 7.0 if by is None else 3.0)
+    kept = {}
+    real = quality.calibration
+    monkeypatch.setattr(quality, "calibration", lambda known: kept.setdefault("rows", known.collect()) and real(known))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted(quality.assess(docs, truth, F.col("source"), F.col("lang")).collect(), key=lambda r: (r["doc_id"], r["host_share"]))
+    x, shares = brute_quality(rows, labels)
+    want = sorted(((r[0], (hg + 7.0 * o) / (hn + 7.0), (pg + 3.0 * (hg + 7.0 * o) / (hn + 7.0)) / (pn + 3.0)) for r, (o, hg, hn, pg, pn) in zip(rows, shares)))
+    assert [(r["doc_id"], r["host_share"], r["path_share"]) for r in got] == [(i, pytest.approx(h, abs=1e-5), pytest.approx(p, abs=1e-5)) for i, h, p in want]
+    told = sorted((r["_id"], r["x"]) for r in kept["rows"])
+    assert told == [(i, pytest.approx(v)) for i, v in sorted((r[0], v) for r, v in zip(rows, x) if r[0] in range(30))]
+    for r in got:
+        logit = r["evidence"] + np.log(r["path_share"] / (1 - r["path_share"]))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4) and r["kept"] == (r["score"] >= 0.5)
+
+
+def test_quality_of_labels_that_are_held_back(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    test = labels.where("doc_id % 5 = 0")
+    got = quality.assess(docs, labels.where("doc_id % 5 <> 0"), F.col("source"), F.col("lang")).join(test, "doc_id").toPandas()
+    y = got["quality"].to_numpy()
+
+    def auc(score):
+        rank = score.rank().to_numpy()
+        return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+    assert len(got) > 500 and auc(got["score"]) >= 0.97 and auc(got["evidence"]) >= 0.97
+
+
+def test_network_equals_a_plain_convolution():
+    rng = np.random.default_rng(8)
+    net = langid.train([bytes(rng.integers(97, 110, 200).astype(np.uint8).tolist()) for _ in range(40)], ["a", "b"] * 20, rounds=1)
+    windows = rng.integers(0, 256, (70, langid.WINDOW)).astype(np.uint8)
+    want = []
+    for w in windows:
+        pooled = []
+        for width, taps in zip(langid.WIDTHS, net.taps):
+            pooled += [max(sum(taps[j][w[i + j]][f] for j in range(width)) for i in range(langid.WINDOW - width + 1)) for f in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(net.probabilities(windows), want, atol=1e-4)
