@@ -49,9 +49,15 @@ def sentences(c: Column) -> Column:
 def redact(c: Column, entities: tuple[str, ...] = (), max_len: int | None = None) -> Column:
     """Masks e-mail addresses, phone numbers, secrets and payment numbers, and account ids, addresses and names if asked; in this order."""
     t = F.coalesce(c, F.lit(""))
-    for pattern, mark in ((EMAIL, "[redacted_email]"), (PHONE, "[redacted_phone]"), (SECRET, "[redacted_secret]"), (PAYMENT, "[redacted_payment_identifier]")):
+    for pattern, mark in (
+        (EMAIL, "[redacted_email]"), (PHONE, "[redacted_phone]"), (SECRET, "[redacted_secret]"),
+        (PAYMENT, "[redacted_payment_identifier]"),
+    ):
         t = F.regexp_replace(t, pattern, mark)
-    for entity, pattern, mark in (("ACCOUNT_ID", ACCOUNT_ID, "$1[redacted_account_id]"), ("ADDRESS", ADDRESS, "[redacted_address]"), ("PERSON", NAME, "$1[redacted_name]")):
+    for entity, pattern, mark in (
+        ("ACCOUNT_ID", ACCOUNT_ID, "$1[redacted_account_id]"), ("ADDRESS", ADDRESS, "[redacted_address]"),
+        ("PERSON", NAME, "$1[redacted_name]"),
+    ):
         if entity in entities:
             t = F.regexp_replace(t, pattern, mark)
     return F.substring(t, 1, max_len) if max_len is not None else t

@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 
 from deskgrain.functions import text as T
 from deskgrain.functions.frames import small
+from deskgrain.operators.percentiles import percentiles
 
 BANDS = ("green", "yellow", "red")
 #: Targets of the production profile: metric, kind of bound, bound.
-PRODUCTION_TARGETS = [("retrieval_recall_at_3", "min", 0.75), ("retrieval_recall_at_5", "min", 0.75), ("source_precision", "min", 0.60), ("required_point_coverage", "min", 0.50), ("validation_failure_count", "max", 4.0)]
+PRODUCTION_TARGETS = [
+    ("retrieval_recall_at_3", "min", 0.75), ("retrieval_recall_at_5", "min", 0.75), ("source_precision", "min", 0.60),
+    ("required_point_coverage", "min", 0.50), ("validation_failure_count", "max", 4.0),
+]
 #: Guardrails of an experiment arm against the first arm: metric, largest relative increase (latency, cost) or 0 drop.
 GUARDRAILS = [("p95_latency_ms", "increase", 0.10), ("avg_cost_usd", "increase", 0.15), ("recall", "drop", 0.0), ("hard_failures", "increase", 0.0)]
-RISES_ARE_BAD = ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "total_cost_usd", "avg_cost_usd", "validation_failure_count", "hard_failure_count")
+RISES_ARE_BAD = (
+    "avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "total_cost_usd", "avg_cost_usd", "validation_failure_count",
+    "hard_failure_count",
+)
 
 
 def golden_errors(golden: DataFrame, required: list[str]) -> DataFrame:
     """(ticket_id, error) for every defect of a golden case."""
     blank = [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.concat(F.lit("missing "), F.lit(c))) for c in required]
     both = F.size(F.array_intersect("expected_source_ids", "forbidden_source_ids")) > 0
-    errors = F.array_compact(F.array(*blank, F.when(~F.col("expected_confidence_band").isin(*BANDS), "unknown confidence band"), F.when(both, "a source is both expected and forbidden")))
+    errors = F.array_compact(
+        F.array(
+            *blank, F.when(~F.col("expected_confidence_band").isin(*BANDS), "unknown confidence band"),
+            F.when(both, "a source is both expected and forbidden"),
+        )
+    )
     return golden.select("ticket_id", F.explode(errors).alias("error"))
 
 
@@ -29,7 +41,13 @@ def expected_groups(golden: DataFrame, aliases: DataFrame) -> DataFrame:
     """``golden`` with groups: for each expected source the array of names it may come under (aliases: source_id, alias)."""
     a = small(aliases.groupBy("source_id").agg(F.collect_set("alias").alias("names")))
     g = golden.select("ticket_id", F.posexplode("expected_source_ids").alias("i", "source_id")).join(a, "source_id", "left")
-    groups = g.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("i", F.array_distinct(F.concat(F.array("source_id"), F.coalesce("names", F.array().cast("array<string>")))).alias("names")))).alias("g"))
+    groups = g.groupBy("ticket_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct("i", F.array_distinct(F.concat(F.array("source_id"), F.coalesce("names", F.array().cast("array<string>")))).alias("names"))
+            )
+        ).alias("g")
+    )
     return golden.join(groups.select("ticket_id", F.transform("g", lambda x: x["names"]).alias("groups")), "ticket_id", "left")
 
 
@@ -75,7 +93,11 @@ def point_hits(answers: DataFrame, points: DataFrame, id_col: str, text_col: str
     inner = F.slice(w, 2, F.least(F.lit(KEY_WORDS), F.size(w) - 2))
     p = p.withColumn("words", F.greatest(F.least(F.size(w) - 2, F.lit(KEY_WORDS)), F.lit(0)))
     p = p.withColumn("key", F.when(F.col("words") > 0, F.array_join(inner, " ")).when(F.size(w) > 0, F.element_at(w, -1)))
-    shapes = [(r["words"], r["n"]) for r in p.where("key IS NOT NULL").select("words", F.when(F.col("words") == 0, F.length("key")).alias("n")).distinct().collect()]  # few: key lengths
+    shapes = [
+        (r["words"], r["n"]) for r in p.where("key IS NOT NULL").select(
+            "words", F.when(F.col("words") == 0, F.length("key")).alias("n"),
+        ).distinct().collect()
+    ]  # few: key lengths
     a = answers.select(F.col(id_col).alias("_id"), normal(F.col(text_col)).alias("_text"))
     total = a.agg(F.count("*").alias("answers"))
     none = F.array().cast("array<string>")
@@ -84,16 +106,31 @@ def point_hits(answers: DataFrame, points: DataFrame, id_col: str, text_col: str
         a = NGram(n=k, inputCol="_said", outputCol=f"_run{k}").transform(a)
 
     def parts(n: int) -> Column:
-        return F.flatten(F.transform(F.array_distinct("_said"), lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))).otherwise(none)))
+        return F.flatten(
+            F.transform(
+                F.array_distinct("_said"),
+                lambda x: F.when(
+                    F.length(x) >= n,
+                    F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n))),
+                ).otherwise(none),
+            )
+        )
 
     held = F.flatten(F.array(none, *[F.col(f"_run{k}") if k else parts(n) for k, n in sorted(shapes, key=str)]))
     keys = p.where("key IS NOT NULL")
-    met = a.select("_id", F.explode(F.array_distinct(held)).alias("key")).join(keys.select("item_id", "key"), "key").select("_id", "item_id").distinct()
+    met = a.select(
+        "_id", F.explode(F.array_distinct(held)).alias("key"),
+    ).join(keys.select("item_id", "key"), "key").select("_id", "item_id").distinct()
     found = met.join(a.select("_id", "_text"), "_id").join(p.select("item_id", "point"), "item_id").where(F.contains("_text", "point"))
     hits = found.groupBy("item_id").agg(F.count("*").alias("_hits"))
     # one row of totals: the number of answers
-    out = points.select("item_id").distinct().join(hits, "item_id", "left").join(p.where("key IS NULL").select("item_id", F.lit(True).alias("_all")), "item_id", "left").join(F.broadcast(total), F.lit(True))
-    return out.select("item_id", "answers", F.when(F.col("_all"), F.col("answers")).otherwise(F.coalesce("_hits", F.lit(0))).cast("long").alias("hits"))
+    out = points.select("item_id").distinct().join(hits, "item_id", "left").join(
+        p.where("key IS NULL").select("item_id", F.lit(True).alias("_all")), "item_id", "left",
+    ).join(F.broadcast(total), F.lit(True))
+    return out.select(
+        "item_id", "answers",
+        F.when(F.col("_all"), F.col("answers")).otherwise(F.coalesce("_hits", F.lit(0))).cast("long").alias("hits"),
+    )
 
 
 def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -110,16 +147,28 @@ def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFram
     j = j.withColumn("cited", cited).withColumn("allowed", F.flatten("groups"))
     r = F.col("retrieved_source_ids")
     fail = F.array_compact(F.array(
-        F.when(~F.col("known"), "no golden case"), F.when(F.arrays_overlap("cited", "forbidden_source_ids"), "forbidden source cited"), F.when(F.col("unapproved") > 0, "unapproved citation"), F.when(F.col("raw_citations") > 0, "raw ticket citation"),
-        F.when((F.col("unsupported") > 0) & ~F.col("abstained"), "unsupported claim"), F.when((F.col("confidence_band") == "red") & ~F.col("abstained"), "red answer not abstained"), F.when(F.size(F.array_except("cited", F.coalesce("allowed", none))) > 0, "unallowed source cited"),
+        F.when(~F.col("known"), "no golden case"),
+        F.when(F.arrays_overlap("cited", "forbidden_source_ids"), "forbidden source cited"),
+        F.when(F.col("unapproved") > 0, "unapproved citation"), F.when(F.col("raw_citations") > 0, "raw ticket citation"),
+        F.when((F.col("unsupported") > 0) & ~F.col("abstained"), "unsupported claim"),
+        F.when((F.col("confidence_band") == "red") & ~F.col("abstained"), "red answer not abstained"),
+        F.when(F.size(F.array_except("cited", F.coalesce("allowed", none))) > 0, "unallowed source cited"),
     ))
     red = F.col("expected_confidence_band") == "red"
     return j.select(
-        "ticket_id", "known", F.col("retrieved_source_ids"), "cited", "allowed", "latency_ms", "cost_usd", "total_tokens", "abstained", "validation_passed",
-        recall(F.col("groups"), F.slice(r, 1, 1)).alias("recall_1"), recall(F.col("groups"), F.slice(r, 1, 3)).alias("recall_3"), recall(F.col("groups"), F.slice(r, 1, 5)).alias("recall_5"), recall(F.col("groups"), r).alias("recall"),
-        reciprocal_rank(F.col("groups"), r).alias("rr"), overlap_share(r, F.col("allowed")).alias("source_precision"), recall(F.col("groups"), F.col("cited")).alias("citation_recall"),
-        F.coalesce(overlap_share(F.col("cited"), F.col("allowed")), F.when((F.size("cited_source_ids") > 0) & F.col("customer_cited").isNotNull(), F.lit(1.0))).alias("citation_precision"),
-        (F.col("route") == F.col("expected_route")).alias("route_hit"), (F.col("confidence_band") == F.col("expected_confidence_band")).alias("band_hit"), (F.col("abstained") == (F.col("review_required_expected") & red)).alias("abstention_hit"),
+        "ticket_id", "known", F.col("retrieved_source_ids"), "cited", "allowed", "latency_ms", "cost_usd", "total_tokens",
+        "abstained", "validation_passed",
+        recall(F.col("groups"), F.slice(r, 1, 1)).alias("recall_1"), recall(F.col("groups"), F.slice(r, 1, 3)).alias("recall_3"),
+        recall(F.col("groups"), F.slice(r, 1, 5)).alias("recall_5"), recall(F.col("groups"), r).alias("recall"),
+        reciprocal_rank(F.col("groups"), r).alias("rr"), overlap_share(r, F.col("allowed")).alias("source_precision"),
+        recall(F.col("groups"), F.col("cited")).alias("citation_recall"),
+        F.coalesce(
+            overlap_share(F.col("cited"), F.col("allowed")),
+            F.when((F.size("cited_source_ids") > 0) & F.col("customer_cited").isNotNull(), F.lit(1.0)),
+        ).alias("citation_precision"),
+        (F.col("route") == F.col("expected_route")).alias("route_hit"),
+        (F.col("confidence_band") == F.col("expected_confidence_band")).alias("band_hit"),
+        (F.col("abstained") == (F.col("review_required_expected") & red)).alias("abstention_hit"),
         (~F.col("validation_passed") & ~(F.col("review_required_expected") | red)).alias("validation_failure"), fail.alias("failures"),
     )
 
@@ -128,26 +177,44 @@ def summary(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Metrics of all judged rows, or of each group ``by``; means leave out what is null."""
     k = judged.where("known")
     avg = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
-    pct = lambda p: F.round(F.percentile("latency_ms", F.lit(p)), 4)
-    return k.groupBy(*(by or [])).agg(
-        F.count("*").alias("evaluated"), avg("recall_1").alias("retrieval_recall_at_1"), avg("recall_3").alias("retrieval_recall_at_3"), avg("recall_5").alias("retrieval_recall_at_5"), avg("recall").alias("retrieval_recall"), avg("rr").alias("mean_reciprocal_rank"), avg("source_precision").alias("source_precision"),
-        avg("citation_recall").alias("citation_recall"), avg("citation_precision").alias("citation_precision"), avg("route_hit").alias("route_accuracy"), avg("band_hit").alias("confidence_band_accuracy"), avg("abstention_hit").alias("abstention_accuracy"), avg("abstained").alias("fallback_rate"), avg("validation_passed").alias("validation_pass_rate"),
-        avg("latency_ms").alias("avg_latency_ms"), pct(0.5).alias("p50_latency_ms"), pct(0.95).alias("p95_latency_ms"), avg("total_tokens").alias("avg_total_tokens"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"), avg("cost_usd").alias("avg_cost_usd"),
+    by = by or []
+    rows = k.groupBy(*by).agg(
+        F.count("*").alias("evaluated"), avg("recall_1").alias("retrieval_recall_at_1"),
+        avg("recall_3").alias("retrieval_recall_at_3"), avg("recall_5").alias("retrieval_recall_at_5"),
+        avg("recall").alias("retrieval_recall"), avg("rr").alias("mean_reciprocal_rank"),
+        avg("source_precision").alias("source_precision"),
+        avg("citation_recall").alias("citation_recall"), avg("citation_precision").alias("citation_precision"),
+        avg("route_hit").alias("route_accuracy"), avg("band_hit").alias("confidence_band_accuracy"),
+        avg("abstention_hit").alias("abstention_accuracy"), avg("abstained").alias("fallback_rate"),
+        avg("validation_passed").alias("validation_pass_rate"),
+        avg("latency_ms").alias("avg_latency_ms"), avg("total_tokens").alias("avg_total_tokens"),
+        F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"), avg("cost_usd").alias("avg_cost_usd"),
         F.sum(F.col("validation_failure").cast("long")).alias("validation_failure_count"), F.sum(F.size("failures")).alias("hard_failure_count"),
     )
+    p = percentiles(k, by, "latency_ms", [0.5, 0.95])
+    p = p.select(*[F.col(c).alias(f"_{c}") for c in by], F.round("p0", 4).alias("p50_latency_ms"), F.round("p1", 4).alias("p95_latency_ms"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(p, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def metric_rows(report: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """A one-row report as (metric, value)."""
     keys = keys or []
     names = [c for c in report.columns if c not in keys]
-    return report.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m")).select(*keys, "m.metric", "m.value")
+    return report.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("m"),
+    ).select(*keys, "m.metric", "m.value")
 
 
 def baseline_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(metric, current, baseline, delta) of metrics that both know."""
     b = baseline.select("metric", F.col("value").alias("baseline"))
-    return current.select("metric", F.col("value").alias("current")).join(b, "metric").where("current IS NOT NULL AND baseline IS NOT NULL").withColumn("delta", F.round(F.col("current") - F.col("baseline"), 6))
+    return current.select("metric", F.col("value").alias("current")).join(b, "metric").where("current IS NOT NULL AND baseline IS NOT NULL").withColumn(
+        "delta", F.round(F.col("current") - F.col("baseline"), 6),
+    )
 
 
 def gate(metrics: DataFrame, budgets: list[tuple[str, str, float]], diff: DataFrame | None = None) -> DataFrame:
@@ -155,7 +222,10 @@ def gate(metrics: DataFrame, budgets: list[tuple[str, str, float]], diff: DataFr
     t = metrics.sparkSession.createDataFrame([*budgets, ("hard_failure_count", "max", 0.0)], "metric string, kind string, bound double")
     j = F.broadcast(t).join(metrics, "metric", "left")
     bad = j.where("value IS NULL AND kind = 'min' OR kind = 'min' AND value < bound OR kind = 'max' AND value > bound")
-    out = bad.select("metric", F.when(F.col("value").isNull(), "missing").when(F.col("kind") == "min", "below target").otherwise("above budget").alias("problem"))
+    out = bad.select(
+        "metric",
+        F.when(F.col("value").isNull(), "missing").when(F.col("kind") == "min", "below target").otherwise("above budget").alias("problem"),
+    )
     if diff is not None:
         worse = F.when(F.col("metric").isin(*RISES_ARE_BAD), F.col("delta") > 0).otherwise(F.col("delta") < 0)
         out = out.unionByName(diff.where(worse).select("metric", F.lit("regressed").alias("problem")))
@@ -167,7 +237,9 @@ def triage(judged: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     allowed = F.coalesce("allowed", none)
     over, wide = F.array_except("cited", allowed), F.array_except("retrieved_source_ids", allowed)
-    bucket = F.when(F.size(over) > 0, "customer_over_citation").when(F.size(wide) > 0, "context_only_over_breadth").when((F.size(allowed) > 0) & ~F.arrays_overlap("retrieved_source_ids", allowed), "missing_expected_retrieval").otherwise("clean")
+    bucket = F.when(F.size(over) > 0, "customer_over_citation").when(F.size(wide) > 0, "context_only_over_breadth").when(
+        (F.size(allowed) > 0) & ~F.arrays_overlap("retrieved_source_ids", allowed), "missing_expected_retrieval",
+    ).otherwise("clean")
     return judged.select("ticket_id", bucket.alias("bucket"), F.array_sort(F.array_distinct(over)).alias("unallowed"))
 
 
@@ -182,18 +254,29 @@ def guard(rows: DataFrame, first: str, rails: list[tuple[str, str, float]] = GUA
     t = F.broadcast(rows.sparkSession.createDataFrame(rails, "metric string, kind string, most double"))
     d = arm_deltas(rows, first).where(F.col("arm") != first).join(t, "metric")
     base = F.col("value") - F.col("delta")
-    return d.select("arm", "metric", F.when(F.col("kind") == "drop", F.col("delta") < -F.col("most")).otherwise(F.col("delta") > F.col("most") * F.abs(base)).alias("violated"))
+    return d.select(
+        "arm", "metric",
+        F.when(F.col("kind") == "drop", F.col("delta") < -F.col("most")).otherwise(F.col("delta") > F.col("most") * F.abs(base)).alias("violated"),
+    )
 
 
 def replay_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per trace: ids added and removed, band, validation and response changes, latency and cost deltas."""
     n = new.select("trace_id", *[F.col(c).alias(f"n_{c}") for c in new.columns if c != "trace_id"])
     j = old.join(n, "trace_id")
-    return j.select("trace_id", F.array_except("n_ids", "ids").alias("added"), F.array_except("ids", "n_ids").alias("removed"), (~F.col("band").eqNullSafe(F.col("n_band"))).alias("band_changed"), (~F.col("passed").eqNullSafe(F.col("n_passed"))).alias("validation_changed"), (~F.col("response").eqNullSafe(F.col("n_response"))).alias("response_changed"), (F.col("n_latency_ms") - F.col("latency_ms")).alias("latency_delta"))
+    return j.select(
+        "trace_id", F.array_except("n_ids", "ids").alias("added"), F.array_except("ids", "n_ids").alias("removed"),
+        (~F.col("band").eqNullSafe(F.col("n_band"))).alias("band_changed"),
+        (~F.col("passed").eqNullSafe(F.col("n_passed"))).alias("validation_changed"),
+        (~F.col("response").eqNullSafe(F.col("n_response"))).alias("response_changed"),
+        (F.col("n_latency_ms") - F.col("latency_ms")).alias("latency_delta"),
+    )
 
 
 def report_lines(metrics: DataFrame) -> DataFrame:
     """(metric, line): a table line for each metric; shares as per cent, all else plain."""
     share = F.col("metric").rlike("recall|precision|accuracy|rate|coverage")
-    value = F.when(F.col("value").isNull(), "n/a").when(share, F.concat(F.format_string("%.1f", F.col("value") * 100), F.lit("%"))).otherwise(F.format_string("%.4f", F.col("value")))
+    value = F.when(F.col("value").isNull(), "n/a").when(
+        share, F.concat(F.format_string("%.1f", F.col("value") * 100), F.lit("%")),
+    ).otherwise(F.format_string("%.4f", F.col("value")))
     return metrics.select("metric", F.concat(F.lit("| "), "metric", F.lit(" | "), value, F.lit(" |")).alias("line"))

@@ -23,14 +23,19 @@ def route(ticket: Column) -> Column:
     """First route whose pattern matches; general for evaluation chatter, vague short tickets and all else."""
     t = F.coalesce(ticket, F.lit(""))
     n = F.regexp_count(t, F.lit(r"\w+"))
-    out = F.when(t.rlike(r"(?i)\bgolden eval\b") & t.rlike(r"(?i)\b(latency|cost|budget|baseline|retrieval recall)\b"), "general").when((n <= 5) & t.rlike(r"(?i)\b(help|broken|issue|problem)\b"), "general")
+    out = F.when(
+        t.rlike(r"(?i)\bgolden eval\b") & t.rlike(r"(?i)\b(latency|cost|budget|baseline|retrieval recall)\b"), "general",
+    ).when((n <= 5) & t.rlike(r"(?i)\b(help|broken|issue|problem)\b"), "general")
     for name, pattern in dims.ROUTES:
         out = out.when(t.rlike(pattern), name)
     return out.otherwise("general")
 
 
 def explicit_questions(ticket: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(ticket, F.lit("")), F.lit(QUESTION), F.lit(1)), lambda x: F.trim(x)), lambda q: q != "")
+    return F.filter(
+        F.transform(F.regexp_extract_all(F.coalesce(ticket, F.lit("")), F.lit(QUESTION), F.lit(1)), lambda x: F.trim(x)),
+        lambda q: q != "",
+    )
 
 
 def extract(ticket: Column) -> Column:
@@ -38,26 +43,36 @@ def extract(ticket: Column) -> Column:
     t = F.coalesce(ticket, F.lit(""))
     found = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(p), F.lit(0))))
     return F.struct(
-        F.slice(F.filter(found(TOKEN), lambda x: x.rlike(ENTITY)), 1, 12).alias("entities"), F.regexp_extract(t, VERSION, 1).alias("version"), F.lower(F.regexp_extract(t, PRIORITY, 1)).alias("priority"), F.lower(F.regexp_extract(t, PLAN, 1)).alias("plan_tier"),
-        F.lower(F.regexp_extract(t, CHANNEL, 1)).alias("channel"), F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(RISK), F.lit(1)), F.lower))).alias("risk_flags"), F.slice(explicit_questions(t), 1, 5).alias("questions"),
+        F.slice(F.filter(found(TOKEN), lambda x: x.rlike(ENTITY)), 1, 12).alias("entities"),
+        F.regexp_extract(t, VERSION, 1).alias("version"), F.lower(F.regexp_extract(t, PRIORITY, 1)).alias("priority"),
+        F.lower(F.regexp_extract(t, PLAN, 1)).alias("plan_tier"),
+        F.lower(F.regexp_extract(t, CHANNEL, 1)).alias("channel"),
+        F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(RISK), F.lit(1)), F.lower))).alias("risk_flags"),
+        F.slice(explicit_questions(t), 1, 5).alias("questions"),
     )
 
 
 def missing_context(ticket: Column, product: Column, channel: Column, role: Column) -> Column:
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     needs_role = F.coalesce(ticket, F.lit("")).rlike(r"(?i)\b(permission|role|admin|manager|owner|compliance)\b")
-    return F.array_sort(F.array_compact(F.array(F.when(blank(product), "product"), F.when(blank(channel), "platform"), F.when(needs_role & blank(role), "role"))))
+    return F.array_sort(
+        F.array_compact(F.array(F.when(blank(product), "product"), F.when(blank(channel), "platform"), F.when(needs_role & blank(role), "role")))
+    )
 
 
 def answer_type(route_: Column, ticket: Column) -> Column:
-    return F.when(route_.isin("billing", "policy"), "policy_guidance").when(route_ == "release_change", "change_summary").when(route_.isin("bug", "access", "integration"), "troubleshooting").when(F.coalesce(ticket, F.lit("")).rlike(r"(?i)\bhow (?:do|can|to)\b|\bsteps?\b"), "how_to").otherwise("support_resolution")
+    return F.when(route_.isin("billing", "policy"), "policy_guidance").when(route_ == "release_change", "change_summary").when(route_.isin("bug", "access", "integration"), "troubleshooting").when(
+        F.coalesce(ticket, F.lit("")).rlike(r"(?i)\bhow (?:do|can|to)\b|\bsteps?\b"), "how_to",
+    ).otherwise("support_resolution")
 
 
 def retrieval_plan(tickets: DataFrame, id_col: str, text_col: str, most: int = 3, cut: int = 300) -> DataFrame:
     """(id, question_no, query): up to three explicit questions, or the whole ticket, collapsed and cut to 300 characters."""
     q = explicit_questions(F.col(text_col))
     asked = F.when(F.size(q) > 0, q).otherwise(F.array(F.coalesce(F.col(text_col), F.lit(""))))
-    return tickets.select(F.col(id_col), F.posexplode(F.slice(asked, 1, most)).alias("i", "q")).select(id_col, (F.col("i") + 1).alias("question_no"), F.substring(T.collapse(F.col("q")), 1, cut).alias("query"))
+    return tickets.select(F.col(id_col), F.posexplode(F.slice(asked, 1, most)).alias("i", "q")).select(
+        id_col, (F.col("i") + 1).alias("question_no"), F.substring(T.collapse(F.col("q")), 1, cut).alias("query"),
+    )
 
 
 def search_query(normalized: Column, product: Column, plat: Column, role: Column, words: int = 12, most: int = 18) -> Column:
@@ -65,7 +80,11 @@ def search_query(normalized: Column, product: Column, plat: Column, role: Column
     all_ = T.words(normalized)
     kept = F.filter(all_, lambda w: ~F.regexp_replace(F.lower(w), r"[.,!?]+$", "").isin(*dims.FILLER))
     base = F.regexp_replace(F.array_join(F.slice(F.when(F.size(kept) > 0, kept).otherwise(all_), 1, words), " "), r"[.!?,]+$", "")
-    extra = [F.when((F.coalesce(F.trim(c), F.lit("")) != "") & ~F.contains(F.lower(base), F.lower(F.trim(c))), F.lower(F.trim(c))) for c in (product, plat, role)]
+    extra = [
+        F.when(
+            (F.coalesce(F.trim(c), F.lit("")) != "") & ~F.contains(F.lower(base), F.lower(F.trim(c))), F.lower(F.trim(c)),
+        ) for c in (product, plat, role)
+    ]
     return F.array_join(F.slice(T.words(F.concat_ws(" ", base, *extra)), 1, most), " ")
 
 

@@ -82,7 +82,8 @@ def issue_rows(feedback: DataFrame) -> DataFrame:
         "trace_id", "issue_type", F.lit("open").alias("status"),
         F.when(F.col("issue_type").isin(*ISSUE_REASONS), "high").otherwise("medium").alias("severity"),
         F.coalesce(F.get("retrieved_chunk_ids", F.lit(0)), F.lit("")).alias("chunk_id"),
-        F.concat(F.lit("Feedback: "), F.replace("issue_type", F.lit("_"), F.lit(" "))).alias("title"), F.substring(said, 1, 1_000).alias("description"),
+        F.concat(F.lit("Feedback: "), F.replace("issue_type", F.lit("_"), F.lit(" "))).alias("title"),
+        F.substring(said, 1, 1_000).alias("description"),
         F.coalesce(F.try_element_at(actions, F.col("issue_type")), F.lit(OTHER_ACTION)).alias("suggested_action"),
     )
 
@@ -115,8 +116,10 @@ def structured_reply(d: DataFrame) -> DataFrame:
     ))
     text = F.concat_ws("\n", _blank("root_cause"), _blank("resolution_steps"), _blank("draft_email"))
     d = d.withColumns({
-        "acknowledgment": _blank("issue_classification"), "core_answer": F.coalesce(some(F.col("resolution_steps")), _blank("root_cause")), "caveats": caveats,
-        "next_steps": _blank("resolution_steps"), "citations": F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(VALID_CITATION), F.lit(0)))),
+        "acknowledgment": _blank("issue_classification"),
+        "core_answer": F.coalesce(some(F.col("resolution_steps")), _blank("root_cause")), "caveats": caveats,
+        "next_steps": _blank("resolution_steps"),
+        "citations": F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(VALID_CITATION), F.lit(0)))),
     })
     listed = F.array_join(F.transform("caveats", lambda x: F.concat(F.lit("- "), x)), "\n")
     rendered = F.concat_ws(
@@ -144,7 +147,8 @@ def source_contract(columns: DataFrame, contracts: DataFrame) -> DataFrame:
         F.concat(F.when(F.col("required"), "Missing required field: ").otherwise("Recommended field missing: "), label, F.lit(".")).alias("message"),
     )
     unknown = sources.join(contracts.select("source_key").distinct(), "source_key", "left_anti").select(
-        "source_key", F.lit("error").alias("level"), F.lit("").alias("field"), F.concat(F.lit("Unknown source key '"), "source_key", F.lit("'.")).alias("message")
+        "source_key", F.lit("error").alias("level"), F.lit("").alias("field"),
+        F.concat(F.lit("Unknown source key '"), "source_key", F.lit("'.")).alias("message")
     )
     closed = contracts.where("NOT customer_facing").select("source_key").distinct().join(sources, "source_key", "left_semi").select(
         "source_key", F.lit("warning").alias("level"), F.lit("").alias("field"),
@@ -171,8 +175,12 @@ def listing(rows: DataFrame, columns: list[str], tie: str, most: int) -> DataFra
 
 def audit(reviews: DataFrame, traces: DataFrame, most: int = 200) -> DataFrame:
     """(kind, trace_id, created_at, detail): the newest review items and the newest traces side by side."""
-    r = listing(reviews, ["trace_id", "created_at", "severity"], "trace_id", most).select(F.lit("review").alias("kind"), "trace_id", "created_at", F.col("severity").alias("detail"))
-    t = listing(traces, ["trace_id", "created_at", "config_hash"], "trace_id", most).select(F.lit("trace").alias("kind"), "trace_id", "created_at", F.col("config_hash").alias("detail"))
+    r = listing(reviews, ["trace_id", "created_at", "severity"], "trace_id", most).select(
+        F.lit("review").alias("kind"), "trace_id", "created_at", F.col("severity").alias("detail"),
+    )
+    t = listing(traces, ["trace_id", "created_at", "config_hash"], "trace_id", most).select(
+        F.lit("trace").alias("kind"), "trace_id", "created_at", F.col("config_hash").alias("detail"),
+    )
     return r.unionByName(t)
 
 
@@ -207,5 +215,7 @@ def report_markdown(report: DataFrame, title: str) -> DataFrame:
     lines = [F.lit(f"# {title}"), F.lit("")]
     for field in report.schema.fields:
         for f in field.dataType.fields:
-            lines.append(F.concat(F.lit(f"- {f.name.replace('_', ' ').capitalize()}: "), F.coalesce(F.col(field.name)[f.name].cast("string"), F.lit("n/a"))))
+            lines.append(
+                F.concat(F.lit(f"- {f.name.replace('_', ' ').capitalize()}: "), F.coalesce(F.col(field.name)[f.name].cast("string"), F.lit("n/a")))
+            )
     return report.select(F.posexplode(F.array(*lines)).alias("line_no", "line"))

@@ -10,7 +10,7 @@ from deskgrain.operators import retrieval as R
 from deskgrain.sources import store as S
 from deskgrain.streaming import jobs as J
 
-from .common import AS_OF, WS, book, table
+from .common import AS_OF, WS, book, collapse_sql, redact_sql, table
 from .retrieval_queries import CAND, candidates
 
 QUERIES, SQL, query = book()
@@ -19,55 +19,126 @@ JAN20 = "2024-01-20 00:00:00"
 
 def facts(spark, sf):
     i = F.col("event_id")
-    action = F.when(F.col("event_type") == "view", "sent_as_is").when(F.col("event_type") == "click", "edited").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "signup", "pending")
-    return table(spark, sf, "events").select(i.alias("id"), F.col("ts").alias("created_at"), "user_id", "event_type", action.alias("action"), F.when(i % 3 == 0, "HIGH").when(i % 3 == 1, "MEDIUM").otherwise("").alias("confidence"), ((i % 100) / 100).alias("edit_ratio"), F.col("value").alias("latency_ms"), (F.col("value") / 1000).alias("cost_usd"), "props")
-
-
-FACTS = """f AS (SELECT event_id AS id, ts AS created_at, user_id, event_type, CASE event_type WHEN 'view' THEN 'sent_as_is' WHEN 'click' THEN 'edited' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'pending' END AS action, CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE '' END AS confidence, (event_id % 100) / 100.0::DOUBLE AS edit_ratio, value AS latency_ms, value / 1000 AS cost_usd, props FROM events)"""
-
-
-@query(f"""WITH {FACTS}, d AS (SELECT CAST(created_at AS DATE) AS metric_date, count(*) AS total, count(*) FILTER (WHERE action = 'sent_as_is') AS sent_as_is, count(*) FILTER (WHERE action = 'edited') AS edited, count(*) FILTER (WHERE action = 'rejected') AS rejected, count(*) FILTER (WHERE coalesce(action, 'pending') = 'pending') AS pending, round(avg(edit_ratio), 4) AS mean_edit_distance, count(*) FILTER (WHERE confidence IN ('HIGH', 'MEDIUM')) AS covered, round(quantile_cont(latency_ms, 0.5), 4) AS latency_p50_ms, round(quantile_cont(latency_ms, 0.95), 4) AS latency_p95_ms, round(avg(CASE WHEN event_type = 'purchase' THEN cost_usd END), 6) AS avg_cost_usd FROM f GROUP BY 1)
-SELECT * REPLACE (coalesce(avg_cost_usd, 0) AS avg_cost_usd), round(sent_as_is / total, 4) AS send_as_is_rate, round(rejected / total, 4) AS reject_rate, round(covered / total, 4) AS coverage_rate FROM d""")
+    action = F.when(
+        F.col("event_type") == "view", "sent_as_is",
+    ).when(F.col("event_type") == "click", "edited").when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "signup", "pending")
+    return table(spark, sf, "events").select(
+        i.alias("id"), F.col("ts").alias("created_at"), "user_id", "event_type", action.alias("action"),
+        F.when(i % 3 == 0, "HIGH").when(i % 3 == 1, "MEDIUM").otherwise("").alias("confidence"),
+        ((i % 100) / 100).alias("edit_ratio"), F.col("value").alias("latency_ms"), (F.col("value") / 1000).alias("cost_usd"),
+        "props",
+    )
+
+
+FACTS = """f AS (SELECT event_id AS id, ts AS created_at, user_id, event_type, CASE event_type WHEN 'view' THEN 'sent_as_is' WHEN 'click' THEN 'edited' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'pending' END AS action, CASE event_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE '' END AS confidence, (event_id % 100) / 100.0::DOUBLE AS edit_ratio, value AS latency_ms, value / 1000 AS cost_usd, props
+  FROM events)"""
+
+
+@query(f"""WITH {FACTS}, d AS (SELECT CAST(created_at AS DATE) AS metric_date,
+  count(*) AS total,
+  count(*) FILTER (WHERE action = 'sent_as_is') AS sent_as_is,
+  count(*) FILTER (WHERE action = 'edited') AS edited,
+  count(*) FILTER (WHERE action = 'rejected') AS rejected,
+  count(*) FILTER (WHERE coalesce(action, 'pending') = 'pending') AS pending,
+  round(avg(edit_ratio), 4) AS mean_edit_distance,
+  count(*) FILTER (WHERE confidence IN ('HIGH', 'MEDIUM')) AS covered,
+  round(quantile_cont(latency_ms, 0.5), 4) AS latency_p50_ms,
+  round(quantile_cont(latency_ms, 0.95), 4) AS latency_p95_ms,
+  round(avg(CASE WHEN event_type = 'purchase' THEN cost_usd END), 6) AS avg_cost_usd
+  FROM f
+  GROUP BY 1)
+SELECT * REPLACE (coalesce(avg_cost_usd, 0) AS avg_cost_usd),
+  round(sent_as_is / total, 4) AS send_as_is_rate,
+  round(rejected / total, 4) AS reject_rate,
+  round(covered / total, 4) AS coverage_rate
+  FROM d""")
 def daily_metrics(spark, sf):
     """daily feedback metrics with exact percentiles, and the day's average call cost."""
     f = facts(spark, sf)
     return P.daily_metrics(f, f.where("event_type = 'purchase'"))
 
 
-@query(f"WITH {FACTS}, n AS (SELECT CAST(created_at AS DATE) AS metric_date, coalesce(nullif(confidence, ''), 'unknown') || '/' || coalesce(action, 'pending') AS k, count(*) AS n FROM f GROUP BY ALL) SELECT metric_date, string_agg(k || '=' || n, ';' ORDER BY k) AS breakdown FROM n GROUP BY metric_date")
+@query(f"""WITH {FACTS}, n AS (SELECT CAST(created_at AS DATE) AS metric_date, coalesce(nullif(confidence, ''), 'unknown') || '/' || coalesce(action, 'pending') AS k,
+  count(*) AS n
+  FROM f
+  GROUP BY ALL)
+SELECT metric_date, string_agg(k || '=' || n, ';' ORDER BY k) AS breakdown FROM n GROUP BY metric_date""")
 def action_breakdown(spark, sf):
     """confidence by action of each day."""
     b = P.action_breakdown(facts(spark, sf))
-    return b.select("metric_date", F.array_join(F.transform(F.map_entries("breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("breakdown"))
-
-
-@query(f"WITH {FACTS} SELECT event_type, count(*) AS calls, round(avg(latency_ms), 4) AS avg_latency_ms, round(sum(cost_usd), 4) AS total_cost_usd, count(*) FILTER (WHERE event_type = 'error') AS errors FROM f WHERE created_at >= TIMESTAMP '2024-01-13' AND created_at <= TIMESTAMP '2024-01-20' GROUP BY event_type")
+    return b.select(
+        "metric_date",
+        F.array_join(
+            F.transform(F.map_entries("breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";",
+        ).alias("breakdown"),
+    )
+
+
+@query(f"""WITH {FACTS} SELECT event_type,
+  count(*) AS calls,
+  round(avg(latency_ms), 4) AS avg_latency_ms,
+  round(sum(cost_usd), 4) AS total_cost_usd,
+  count(*) FILTER (WHERE event_type = 'error') AS errors
+  FROM f
+  WHERE created_at >= TIMESTAMP '2024-01-13' AND created_at <= TIMESTAMP '2024-01-20'
+  GROUP BY event_type""")
 def last_week_metrics(spark, sf):
     """latency, cost and errors of seven days."""
     f = P.since(facts(spark, sf), "created_at", F.lit(JAN20).cast("timestamp_ntz"), 7)
-    return f.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"), F.round(F.sum("cost_usd"), 4).alias("total_cost_usd"), F.count_if(F.col("event_type") == "error").alias("errors"))
-
-
-@query(f"WITH {FACTS} SELECT coalesce(nullif(confidence, ''), 'unknown') AS confidence, coalesce(action, 'pending') AS action, count(*) AS n, round(avg(CASE WHEN latency_ms > 50 THEN latency_ms END), 4) AS mean_score FROM f WHERE created_at >= TIMESTAMP '2024-01-13' AND created_at <= TIMESTAMP '2024-01-20' GROUP BY ALL")
+    return f.groupBy("event_type").agg(
+        F.count("*").alias("calls"), F.round(F.avg("latency_ms"), 4).alias("avg_latency_ms"),
+        F.round(F.sum("cost_usd"), 4).alias("total_cost_usd"), F.count_if(F.col("event_type") == "error").alias("errors"),
+    )
+
+
+@query(f"""WITH {FACTS} SELECT coalesce(nullif(confidence, ''), 'unknown') AS confidence, coalesce(action, 'pending') AS action,
+  count(*) AS n,
+  round(avg(CASE WHEN latency_ms > 50 THEN latency_ms END), 4) AS mean_score
+  FROM f
+  WHERE created_at >= TIMESTAMP '2024-01-13' AND created_at <= TIMESTAMP '2024-01-20'
+  GROUP BY ALL""")
 def last_week_distribution(spark, sf):
     """evaluation and feedback distributions of seven days, means over positive scores only."""
     f = P.since(facts(spark, sf), "created_at", F.lit(JAN20).cast("timestamp_ntz"), 7)
-    return f.groupBy(F.coalesce(T.blank_to_null(F.col("confidence")), F.lit("unknown")).alias("confidence"), F.coalesce("action", F.lit("pending")).alias("action")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("latency_ms") > 50, F.col("latency_ms"))), 4).alias("mean_score"))
+    return f.groupBy(
+        F.coalesce(T.blank_to_null(F.col("confidence")), F.lit("unknown")).alias("confidence"),
+        F.coalesce("action", F.lit("pending")).alias("action"),
+    ).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("latency_ms") > 50, F.col("latency_ms"))), 4).alias("mean_score"))
 
 
-@query(f"WITH {FACTS} SELECT CAST(created_at AS DATE) AS metric_date, count(*) AS total FROM f WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-26' GROUP BY 1 ORDER BY 1 DESC LIMIT 90")
+@query(f"""WITH {FACTS} SELECT CAST(created_at AS DATE) AS metric_date,
+  count(*) AS total
+  FROM f
+  WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-26'
+  GROUP BY 1 ORDER BY 1 DESC LIMIT 90""")
 def metrics_by_range(spark, sf):
     """daily metrics of a date range, the newest 90."""
     f = facts(spark, sf).where("created_at >= '2024-01-05' and created_at < '2024-01-26'")
     return f.groupBy(F.to_date("created_at").alias("metric_date")).agg(F.count("*").alias("total")).orderBy(F.desc("metric_date")).limit(90)
 
 
-@query(f"""WITH {FACTS}, t AS (SELECT count(*) AS total_queries, count(DISTINCT user_id) AS active_users, count(*) FILTER (WHERE event_type = 'error') AS no_answers, count(*) FILTER (WHERE confidence = '') AS low_confidences, round(avg(latency_ms), 4) AS average_score, round(sum(cost_usd), 6) AS total_cost_usd FROM f), o AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n FROM f WHERE event_type = 'purchase')
-SELECT t.*, round(no_answers / total_queries, 4) AS no_answer_rate, round(low_confidences / total_queries, 4) AS low_confidence_rate, (SELECT count(*) FROM o) AS api_calls, (SELECT round(latency_ms, 6) FROM o WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)) AS p95_latency_ms FROM t""")
+@query(f"""WITH {FACTS}, t AS (SELECT count(*) AS total_queries,
+  count(DISTINCT user_id) AS active_users,
+  count(*) FILTER (WHERE event_type = 'error') AS no_answers,
+  count(*) FILTER (WHERE confidence = '') AS low_confidences,
+  round(avg(latency_ms), 4) AS average_score,
+  round(sum(cost_usd), 6) AS total_cost_usd
+  FROM f),
+o AS (SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS n FROM f WHERE event_type = 'purchase')
+SELECT t.*,
+  round(no_answers / total_queries, 4) AS no_answer_rate,
+  round(low_confidences / total_queries, 4) AS low_confidence_rate, (SELECT count(*)
+  FROM o) AS api_calls, (SELECT round(latency_ms, 6)
+  FROM o
+  WHERE i = CAST(floor(0.95 * (n - 1)) AS BIGINT)) AS p95_latency_ms
+  FROM t""")
 def usage_report(spark, sf):
     """the support-intelligence report's figures."""
     f = facts(spark, sf)
-    t = f.select("user_id", (F.col("event_type") == "error").alias("no_answer"), (F.col("confidence") == "").alias("low_confidence"), F.col("latency_ms").alias("score"), "cost_usd")
+    t = f.select(
+        "user_id", (F.col("event_type") == "error").alias("no_answer"), (F.col("confidence") == "").alias("low_confidence"),
+        F.col("latency_ms").alias("score"), "cost_usd",
+    )
     return P.usage_report(t, f.where("event_type = 'purchase'"))
 
 
@@ -80,18 +151,47 @@ def top_users(spark, sf):
 @query(f"WITH {CAND} SELECT source_id, source_type, is_approved, disabled, count(*) AS chunks FROM cand WHERE NOT disabled GROUP BY ALL")
 def source_listing(spark, sf):
     """chunks by source attributes, disabled ones filtered out."""
-    return candidates(spark, sf).where("not disabled").groupBy("source_id", "source_type", "is_approved", "disabled").agg(F.count("*").alias("chunks"))
+    return candidates(spark, sf).where("not disabled").groupBy(
+        "source_id", "source_type", "is_approved", "disabled",
+    ).agg(F.count("*").alias("chunks"))
 
 
 def _status(spark, sf):
     i = F.col("chunk_id")
-    c = candidates(spark, sf).withColumns({"source_id": F.concat("source_id", F.lit("/"), (i % 40).cast("string")), "updated_at": F.when(i % 4 == 0, "").otherwise(F.date_format(F.date_sub(F.lit("2024-02-01").cast("date"), (i % 40 * 3).cast("int")), "yyyy-MM-dd"))})
-    return P.source_status(c.withColumn("needs_review_at", F.when(i % 40 < 3, F.col("needs_review_at")).otherwise("")), F.lit(AS_OF).cast("timestamp"))
-
-
-STATUS = f"""{CAND}, s0 AS (SELECT source_id || '/' || (chunk_id % 40) AS source_id, is_approved, is_customer_facing_allowed, disabled, CASE WHEN chunk_id % 4 = 0 THEN '' ELSE strftime(DATE '2024-02-01' - CAST(chunk_id % 40 * 3 AS INT), '%Y-%m-%d') END AS updated_at, CASE WHEN chunk_id % 40 < 3 THEN needs_review_at ELSE '' END AS needs_review_at FROM cand),
-s1 AS (SELECT source_id, count(*) AS chunks, CAST(sum(is_approved::INT) AS BIGINT) AS approved, CAST(sum(is_customer_facing_allowed::INT) AS BIGINT) AS customer_facing, CAST(sum(disabled::INT) AS BIGINT) AS disabled_chunks, max(updated_at) AS updated_at, max(needs_review_at) AS needs_review_at, round(count(*) FILTER (WHERE updated_at <> '') / count(*), 4) AS metadata_completeness FROM s0 GROUP BY 1),
-st AS (SELECT *, CASE WHEN disabled_chunks = chunks THEN 'disabled' ELSE 'loaded' END AS ingestion_status, CASE WHEN needs_review_at <> '' AND CAST(nullif(needs_review_at, '') AS TIMESTAMP) < TIMESTAMP '{AS_OF}' THEN 'needs_review' WHEN updated_at = '' THEN 'unknown' WHEN date_diff('day', CAST(nullif(updated_at, '') AS DATE), DATE '2024-02-01') >= 90 THEN 'stale' WHEN date_diff('day', CAST(nullif(updated_at, '') AS DATE), DATE '2024-02-01') >= 60 THEN 'review_soon' ELSE 'fresh' END AS freshness_status FROM s1)"""
+    c = candidates(spark, sf).withColumns(
+        {
+            "source_id": F.concat("source_id", F.lit("/"), (i % 40).cast("string")),
+            "updated_at": F.when(i % 4 == 0, "").otherwise(
+                F.date_format(F.date_sub(F.lit("2024-02-01").cast("date"), (i % 40 * 3).cast("int")), "yyyy-MM-dd")
+            ),
+        }
+    )
+    return P.source_status(
+        c.withColumn("needs_review_at", F.when(i % 40 < 3, F.col("needs_review_at")).otherwise("")),
+        F.lit(AS_OF).cast("timestamp"),
+    )
+
+
+STATUS = f"""{CAND}, s0 AS (SELECT source_id || '/' || (chunk_id % 40) AS source_id, is_approved, is_customer_facing_allowed, disabled,
+  CASE WHEN chunk_id % 4 = 0 THEN '' ELSE strftime(DATE '2024-02-01' - CAST(chunk_id % 40 * 3 AS INT), '%Y-%m-%d') END AS updated_at,
+  CASE WHEN chunk_id % 40 < 3 THEN needs_review_at ELSE '' END AS needs_review_at
+  FROM cand),
+s1 AS (SELECT source_id,
+  count(*) AS chunks,
+  CAST(sum(is_approved::INT) AS BIGINT) AS approved,
+  CAST(sum(is_customer_facing_allowed::INT) AS BIGINT) AS customer_facing,
+  CAST(sum(disabled::INT) AS BIGINT) AS disabled_chunks,
+  max(updated_at) AS updated_at,
+  max(needs_review_at) AS needs_review_at,
+  round(count(*) FILTER (WHERE updated_at <> '') / count(*), 4) AS metadata_completeness
+  FROM s0
+  GROUP BY 1),
+st AS (SELECT *,
+  CASE WHEN disabled_chunks = chunks THEN 'disabled' ELSE 'loaded' END AS ingestion_status,
+  CASE WHEN needs_review_at <> '' AND CAST(nullif(needs_review_at, '') AS TIMESTAMP) < TIMESTAMP '{AS_OF}' THEN 'needs_review' WHEN updated_at = '' THEN 'unknown' WHEN date_diff('day',
+  CAST(nullif(updated_at, '') AS DATE), DATE '2024-02-01') >= 90 THEN 'stale' WHEN date_diff('day',
+  CAST(nullif(updated_at, '') AS DATE), DATE '2024-02-01') >= 60 THEN 'review_soon' ELSE 'fresh' END AS freshness_status
+  FROM s1)"""
 
 
 @query(f"WITH {STATUS} SELECT * FROM st")
@@ -100,13 +200,23 @@ def source_status(spark, sf):
     return _status(spark, sf)
 
 
-@query(f"WITH {STATUS} SELECT count(*) AS source_count, count(*) FILTER (WHERE ingestion_status = 'loaded') AS loaded_count, count(*) FILTER (WHERE freshness_status IN ('stale', 'needs_review')) AS needs_review_count, count(*) FILTER (WHERE metadata_completeness < 1) AS quality_warning_count FROM st")
+@query(f"""WITH {STATUS} SELECT count(*) AS source_count,
+  count(*) FILTER (WHERE ingestion_status = 'loaded') AS loaded_count,
+  count(*) FILTER (WHERE freshness_status IN ('stale', 'needs_review')) AS needs_review_count,
+  count(*) FILTER (WHERE metadata_completeness < 1) AS quality_warning_count
+  FROM st""")
 def source_dashboard(spark, sf):
     """totals over sources."""
     return P.source_dashboard(_status(spark, sf))
 
 
-@query(f"""WITH {CAND} SELECT source_id, expires_at, needs_review_at, count(*) AS chunks, CASE WHEN CAST(coalesce(nullif(expires_at, ''), needs_review_at) AS TIMESTAMP) < TIMESTAMP '{AS_OF}' THEN 'stale' ELSE 'near_review' END AS status, count(*) >= 3 AS warning FROM cand WHERE NOT disabled AND (CAST(nullif(expires_at, '') AS TIMESTAMP) <= TIMESTAMP '2024-02-15' OR CAST(needs_review_at AS TIMESTAMP) <= TIMESTAMP '2024-02-15') GROUP BY ALL""")
+@query(f"""WITH {CAND} SELECT source_id, expires_at, needs_review_at,
+  count(*) AS chunks,
+  CASE WHEN CAST(coalesce(nullif(expires_at, ''), needs_review_at) AS TIMESTAMP) < TIMESTAMP '{AS_OF}' THEN 'stale' ELSE 'near_review' END AS status,
+  count(*) >= 3 AS warning
+  FROM cand
+  WHERE NOT disabled AND (CAST(nullif(expires_at, '') AS TIMESTAMP) <= TIMESTAMP '2024-02-15' OR CAST(needs_review_at AS TIMESTAMP) <= TIMESTAMP '2024-02-15')
+  GROUP BY ALL""")
 def expiring_sources(spark, sf):
     """sources that expire or need review within 14 days."""
     return P.expiring(candidates(spark, sf), F.lit(AS_OF).cast("timestamp"))
@@ -117,22 +227,34 @@ MODEL = "CASE l_linenumber % 5 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4o-mini' WH
 
 def _calls(spark, sf):
     n = F.col("l_linenumber") % 5
-    return table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("created_at"), F.when(n == 0, "gpt-4o").when(n == 1, "gpt-4o-mini").when(n == 2, "gpt-4.1").when(n == 3, "gpt-4.1-mini").otherwise("other").alias("model"), F.col("l_returnflag").alias("endpoint"), (F.col("l_quantity") * 100).alias("tokens_in"), F.col("l_quantity").alias("tokens_out"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_shipdate").alias("created_at"),
+        F.when(n == 0, "gpt-4o").when(n == 1, "gpt-4o-mini").when(n == 2, "gpt-4.1").when(n == 3, "gpt-4.1-mini").otherwise("other").alias("model"),
+        F.col("l_returnflag").alias("endpoint"), (F.col("l_quantity") * 100).alias("tokens_in"),
+        F.col("l_quantity").alias("tokens_out"),
+    )
 
 
-CALLS = f"""c AS (SELECT l_shipdate AS created_at, {MODEL} AS model, l_returnflag AS endpoint, l_quantity * 100 AS tokens_in, l_quantity AS tokens_out FROM lineitem), k AS (SELECT *, (tokens_in * CASE model WHEN 'gpt-4o' THEN 2.5 WHEN 'gpt-4o-mini' THEN 0.15 WHEN 'gpt-4.1' THEN 2.0 ELSE 0.4 END + tokens_out * CASE model WHEN 'gpt-4o' THEN 10.0 WHEN 'gpt-4o-mini' THEN 0.6 WHEN 'gpt-4.1' THEN 8.0 ELSE 1.6 END)::DOUBLE / 1000000 AS cost_usd FROM c)"""
+CALLS = f"""c AS (SELECT l_shipdate AS created_at, {MODEL} AS model, l_returnflag AS endpoint, l_quantity * 100 AS tokens_in, l_quantity AS tokens_out FROM lineitem),
+k AS (SELECT *, (tokens_in * CASE model WHEN 'gpt-4o' THEN 2.5 WHEN 'gpt-4o-mini' THEN 0.15 WHEN 'gpt-4.1' THEN 2.0 ELSE 0.4 END + tokens_out * CASE model WHEN 'gpt-4o' THEN 10.0 WHEN 'gpt-4o-mini' THEN 0.6 WHEN 'gpt-4.1' THEN 8.0 ELSE 1.6 END)::DOUBLE / 1000000 AS cost_usd
+  FROM c)"""
 
 
 @query(f"WITH {CALLS} SELECT model, endpoint, count(*) AS calls, round(sum(cost_usd), 4) AS cost_usd FROM k GROUP BY ALL")
 def call_costs(spark, sf):
     """cost of calls by model and endpoint, unknown models at the default price."""
-    return P.call_costs(_calls(spark, sf), P.price_table(spark)).groupBy("model", "endpoint").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return P.call_costs(_calls(spark, sf), P.price_table(spark)).groupBy("model", "endpoint").agg(
+        F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"),
+    )
 
 
-@query(f"WITH {CALLS}, d AS (SELECT CAST(created_at AS DATE) AS day, round(sum(cost_usd), 6) AS cost_usd FROM k GROUP BY 1) SELECT day, cost_usd, round(sum(cost_usd) OVER (ORDER BY day), 6) AS cumulative_usd FROM d")
+@query(f"""WITH {CALLS}, d AS (SELECT CAST(created_at AS DATE) AS day, round(sum(cost_usd), 6) AS cost_usd FROM k GROUP BY 1)
+SELECT day, cost_usd, round(sum(cost_usd) OVER (ORDER BY day), 6) AS cumulative_usd FROM d""")
 def cumulative_cost(spark, sf):
     """daily and cumulative cost."""
-    d = P.call_costs(_calls(spark, sf), P.price_table(spark)).groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    d = P.call_costs(
+        _calls(spark, sf), P.price_table(spark),
+    ).groupBy(F.to_date("created_at").alias("day")).agg(F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
     return P.cumulative(d, "day", "cost_usd", "cumulative_usd")
 
 
@@ -145,15 +267,29 @@ def newest_events(spark, sf):
 @query("SELECT CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, arg_max(event_id, (ts, event_id)) AS newest_event FROM events GROUP BY 1")
 def trace_lookup(spark, sf):
     """F16: newest row for each value of a JSON field."""
-    return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("newest_event"))
-
-
-@query(f"WITH {CAND}, t AS (SELECT question_id, list(chunk_id ORDER BY rank) AS ids, list(chunk_id ORDER BY rank) FILTER (WHERE chunk_id % 2 = 0) AS cited FROM ranked WHERE rank <= 6 GROUP BY 1) SELECT question_id, CAST(pos + 1 AS INT) AS position, ids[pos + 1] AS chunk_id, coalesce(list_contains(cited, ids[pos + 1]), false) AS cited FROM (SELECT *, unnest(range(len(ids))) AS pos FROM t)")
+    return table(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(
+        F.max_by("event_id", F.struct("ts", "event_id")).alias("newest_event")
+    )
+
+
+@query(f"""WITH {CAND}, t AS (SELECT question_id, list(chunk_id ORDER BY rank) AS ids, list(chunk_id ORDER BY rank) FILTER (WHERE chunk_id % 2 = 0) AS cited
+  FROM ranked
+  WHERE rank <= 6
+  GROUP BY 1)
+SELECT question_id,
+  CAST(pos + 1 AS INT) AS position, ids[pos + 1] AS chunk_id, coalesce(list_contains(cited, ids[pos + 1]), false) AS cited
+  FROM (SELECT *, unnest(range(len(ids))) AS pos
+  FROM t)""")
 def trace_diagnostics(spark, sf):
     """ranked chunk rows of traces, with whether they were cited."""
-    r = R.top_k(candidates(spark, sf), 6).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    r = R.top_k(
+        candidates(spark, sf), 6,
+    ).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
     r = r.withColumn("cited", F.filter("ids", lambda x: x % 2 == 0))
-    return r.select("question_id", "cited", F.posexplode("ids").alias("pos", "chunk_id")).select("question_id", (F.col("pos") + 1).alias("position"), "chunk_id", F.array_contains("cited", F.col("chunk_id")).alias("cited"))
+    return r.select("question_id", "cited", F.posexplode("ids").alias("pos", "chunk_id")).select(
+        "question_id", (F.col("pos") + 1).alias("position"), "chunk_id",
+        F.array_contains("cited", F.col("chunk_id")).alias("cited"),
+    )
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("documents", "pages", "events", "lineitem", "labels")))
@@ -162,20 +298,24 @@ def table_inventory(spark, sf):
     return P.inventory({t: table(spark, sf, t) for t in ("documents", "pages", "events", "lineitem", "labels")})
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' v2' ELSE s_name END AS s_name FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_suppkey % 3 = 0")
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' v3' ELSE s_name END AS s_name FROM supplier
+UNION ALL SELECT s_suppkey + 1000000, s_name FROM supplier WHERE s_suppkey % 3 = 0""")
 def upserted_suppliers(spark, sf):
-    """Last write wins by key."""
+    """Last write wins by key, also among new rows of one key."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
     hit = s.where("s_suppkey % 3 = 0")
-    new = hit.select("s_suppkey", F.concat("s_name", F.lit(" v2")).alias("s_name")).unionByName(hit.select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), "s_name"))
+    twice = [hit.select("s_suppkey", F.concat("s_name", F.lit(v)).alias("s_name")) for v in (" v2", " v3")]
+    new = twice[0].unionByName(twice[1]).unionByName(hit.select((F.col("s_suppkey") + 1000000).alias("s_suppkey"), "s_name"))
     return S.upsert(s, new, ["s_suppkey"])
 
 
-@query("SELECT min(event_id) AS event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY user_id")
+@query(
+    "SELECT min(event_id) AS event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-02') GROUP BY user_id"
+)
 def inserted_facts(spark, sf):
-    """A10: first write wins; keys already there are left alone."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return S.insert_absent(e.where("event_type = 'signup'"), e, ["user_id"], [F.col("event_id")]).select("event_id", "user_id")
+    """A10: first write wins; keys that the first day holds are left alone."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return S.insert_absent(e.where("ts < '2024-01-02'"), e, ["user_id"], [F.col("event_id")]).select("event_id", "user_id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_mktsegment END AS payload, c_name FROM customer")
@@ -183,29 +323,43 @@ def upserted_traces(spark, sf):
     """An existing trace keeps all but its payload."""
     c = table(spark, sf, "customer")
     old = c.select("c_custkey", F.col("c_mktsegment").alias("payload"), "c_name")
-    return S.upsert_payload(old, c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("payload"), F.lit("other").alias("c_name")), "c_custkey", ["payload"])
+    return S.upsert_payload(
+        old, c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("payload"), F.lit("other").alias("c_name")),
+        "c_custkey", ["payload"],
+    )
 
 
-@query(f"WITH {CAND} SELECT chunk_id, disabled OR chunk_id IN (5, 50) AS disabled, CASE WHEN source_id = 'src4' THEN '{AS_OF}' ELSE needs_review_at END AS needs_review_at FROM cand")
+@query(f"""WITH {CAND} SELECT chunk_id, disabled OR chunk_id IN (5, 50) AS disabled,
+  CASE WHEN source_id = 'src4' THEN '{AS_OF}' ELSE needs_review_at END AS needs_review_at
+  FROM cand""")
 def source_commands(spark, sf):
     """A chunk disabled, a source marked stale."""
     commands = spark.createDataFrame([("5", "disable"), ("50", "disable"), ("src4", "stale")], "target string, command string")
     return S.apply_commands(candidates(spark, sf), commands, F.lit(AS_OF)).select("chunk_id", "disabled", "needs_review_at")
 
 
-@query(f"WITH {CAND} SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN needs_review_at WHEN expires_at <> '' THEN expires_at ELSE '{AS_OF}' END AS updated_at FROM cand")
+@query(
+    f"WITH {CAND} SELECT chunk_id, CASE WHEN chunk_id % 2 = 0 THEN needs_review_at WHEN expires_at <> '' THEN expires_at ELSE '{AS_OF}' END AS updated_at FROM cand"
+)
 def backfilled_dates(spark, sf):
     """Blank dates filled from other columns, else now."""
     c = candidates(spark, sf).withColumn("updated_at", F.when(F.col("chunk_id") % 2 == 0, F.col("needs_review_at")).otherwise(" "))
     return S.backfill(c, "updated_at", ["expires_at"], F.lit(AS_OF)).select("chunk_id", "updated_at")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, sha256(text) AS content_sha256 FROM documents WHERE trim(text) <> ''")
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS title, sha256(text) AS content_sha256 FROM documents WHERE trim(text) <> ''"
+)
 def csv_articles(spark, sf):
     """A1, A2: documents written as CSV, read back under canonical names; rows without content dropped."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("policy_name"), F.col("lang").alias("issue_title"), F.regexp_replace("text", "\r", "").alias("body"))
+    d = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("policy_name"),
+        F.col("lang").alias("issue_title"), F.regexp_replace("text", "\r", "").alias("body"),
+    )
     path = S.new_folder(spark, "articles-csv")
-    d.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    d.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False,
+    ).csv(path)
     a = S.read_articles(spark, path, {"id": ["id"], "title": ["policy_name", "issue_title"], "content": ["body", "symptoms"]})
     docs = S.as_documents(a, "kb")
     return docs.select("id", "title", T.sha256(F.col("body")).alias("content_sha256"))
@@ -228,17 +382,28 @@ def manifest_files(spark, sf):
     files = table(spark, sf, "pages").select("page_id", F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("file_name"))
     manifest = table(spark, sf, "documents").select(F.concat(F.lit("f"), (2 * F.col("doc_id")).cast("string")).alias("file_name"), "source")
     known, unknown = S.manifest_join(files, manifest)
-    return known.select("page_id", "source", F.lit(False).alias("missing")).unionByName(unknown.select("page_id", F.lit(None).cast("string").alias("source"), F.lit(True).alias("missing")))
+    return known.select(
+        "page_id", "source", F.lit(False).alias("missing"),
+    ).unionByName(unknown.select("page_id", F.lit(None).cast("string").alias("source"), F.lit(True).alias("missing")))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'release_note') THEN 'release_note' ELSE 'knowledge_base' END AS category FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 0")
+@query("""SELECT p_partkey,
+  CASE WHEN contains(lower(p_name), 'release_note') THEN 'release_note' ELSE 'knowledge_base' END AS category
+  FROM part
+  WHERE p_partkey % 3 <> 0 AND p_partkey % 4 <> 0""")
 def selected_sources(spark, sf):
     """Enabled sources, custom ones instead of demo ones, never ticket history."""
-    s = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "demo_historical_tickets.csv").otherwise(F.col("p_name")).alias("file_name"), F.lit(True).alias("enabled"), (F.col("p_partkey") % 4 == 0).alias("is_demo"))
+    s = table(spark, sf, "part").select(
+        "p_partkey",
+        F.when(F.col("p_partkey") % 3 == 0, "demo_historical_tickets.csv").otherwise(F.col("p_name")).alias("file_name"),
+        F.lit(True).alias("enabled"), (F.col("p_partkey") % 4 == 0).alias("is_demo"),
+    )
     return S.selected_sources(s).select("p_partkey", "category")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND contains(lower(o_orderpriority), 'high')")
+@query(
+    "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND contains(lower(o_orderpriority), 'high')"
+)
 def new_articles(spark, sf):
     """A5: fetched rows not yet known, of one product."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("url_name"), F.col("o_orderpriority").alias("title"))
@@ -246,12 +411,19 @@ def new_articles(spark, sf):
     return S.new_articles(o, known, "HIGH").select("o_orderkey")
 
 
-@query()
+@query(f"""WITH {CAND}, t AS (SELECT question_id, rank, '- **' || source_id || '** ' || substr({redact_sql(collapse_sql('content'))}, 1, 220) AS line FROM ranked WHERE rank <= 5),
+b AS (SELECT question_id, string_agg(line, chr(10) ORDER BY rank) AS md FROM t GROUP BY 1)
+SELECT 't' || question_id AS trace_id, 'see [masked] for ' || question_id AS answer, sha256(replace({redact_sql('md')}, 'hunter2', '[masked]')) AS markdown_sha256 FROM b""")
 def support_bundles(spark, sf):
-    """Support bundle of every question's trace, redacted, secrets masked (redaction: no SQL)."""
+    """Support bundle of every question's trace, redacted, secrets masked."""
     from deskgrain.operators import evidence as E
 
-    t = E.traces(R.top_k(candidates(spark, sf), 5)).withColumns({"trace_id": F.concat(F.lit("t"), F.col("question_id").cast("string")), "answer": F.concat(F.lit("see hunter2 for "), F.col("question_id").cast("string"))})
+    t = E.traces(R.top_k(candidates(spark, sf), 5)).withColumns(
+        {
+            "trace_id": F.concat(F.lit("t"), F.col("question_id").cast("string")),
+            "answer": F.concat(F.lit("see hunter2 for "), F.col("question_id").cast("string")),
+        }
+    )
     return S.support_bundle(t, ["hunter2"]).select("trace_id", "answer", T.sha256(F.col("retrieved_markdown")).alias("markdown_sha256"))
 
 
@@ -265,14 +437,17 @@ def stream_first_writes(spark, sf):
     return J.run_to_folder(J.first_writes(_stream(spark, sf), "event_id"), "first-writes").select("event_id", "event_type")
 
 
-@query("WITH w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT * FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1)
+SELECT * FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_daily_metrics(spark, sf):
     """Daily tumbling windows that the watermark has closed (later ones come with later data; the batch twin is daily_metrics)."""
     w = J.windowed(_stream(spark, sf), {"n": F.count("*"), "total": F.round(F.sum("value"), 4)}, "1 day")
     return J.run_to_folder(w, "daily").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "total")
 
 
-@query("WITH d AS (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start, user_id FROM events), w AS (SELECT window_start, count(*) AS n FROM d GROUP BY 1) SELECT * FROM w WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+@query("""WITH d AS (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start, user_id FROM events),
+w AS (SELECT window_start, count(*) AS n FROM d GROUP BY 1)
+SELECT * FROM w WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_weekly_metrics(spark, sf):
     """S3: sliding windows of seven days, every day."""
     w = J.windowed(_stream(spark, sf), {"n": F.count("*")}, "7 days", "1 day")
@@ -287,24 +462,54 @@ def retained_facts(spark, sf):
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def stream_latest_state(spark, sf):
-    """Latest event of every user, kept by version."""
-    state = J.LatestState(spark, "user_id", "o", "latest")
-    J.run_batches(_stream(spark, sf).select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("o")), "latest-run", state)
-    return state.read().select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
-
-
-@query("SELECT 'review' AS target, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'issues', count(*) FROM events WHERE event_type = 'error'")
+    """Latest event of every user, kept by buckets of users; the stream stops and starts again between two halves."""
+    folder = S.new_folder(spark, "latest")
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", F.struct("ts", "event_id").alias("o"))
+    for part in ("ts >= '2024-01-16'", "ts < '2024-01-16'"):  # the later half comes first
+        e.where(part).write.mode("append").parquet(f"{folder}-in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{folder}-in")
+        J.run_batches(stream, f"{folder}-state", J.LatestState(spark, "user_id", "o", folder, buckets=8))
+    return J.LatestState(spark, "user_id", "o", folder).read().select("user_id", "event_type", "ts")
+
+
+@query(
+    "SELECT 'review' AS target, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'issues', count(*) FROM events WHERE event_type = 'error'"
+)
 def stream_feedback_fanout(spark, sf):
     """Negative facts to two tables."""
-    out = J.FanOut(spark, F.col("event_type") == "error", "fan-out")
-    J.run_batches(_stream(spark, sf), "fan-out-run", out)
+    folder = S.new_folder(spark, "fan-out")
+    out = J.FanOut(spark, F.col("event_type") == "error", folder)
+    J.run_batches(_stream(spark, sf), f"{folder}-state", out)
     return P.inventory({t: out.read(t) for t in ("review", "issues")}).withColumnRenamed("table_name", "target")
 
 
-@query(f"SELECT doc_id AS article_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(1 + greatest(0, CAST(ceil((len(list_filter(regexp_split_to_array(text, {WS}), lambda x: x <> '')) - 180) / 150.0) AS INT)))) FROM documents WHERE trim(text) <> '') GROUP BY 1")
+def _n_chunks(t: str) -> str:
+    return f"1 + greatest(0, CAST(ceil((len(list_filter(regexp_split_to_array({t}, {WS}), lambda x: x <> '')) - 180) / 150.0) AS INT))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_n_chunks("text")} AS nc,
+  CASE WHEN doc_id % 3 = 0 THEN {_n_chunks("text || ' ' || text")} ELSE {_n_chunks("text")} END AS oc
+  FROM documents
+  WHERE trim(text) <> '')
+SELECT doc_id AS article_id,
+  CAST(greatest(oc, nc) AS BIGINT) AS chunks,
+  CAST(nc AS BIGINT) AS active,
+  CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version,
+  CAST(oc - nc AS BIGINT) AS superseded
+  FROM d""")
 def stream_ingest(spark, sf):
-    """Documents of a file stream chunked and merged into the chunk table."""
-    docs = J.table_stream(spark, f"{sf}/documents.parquet")
-    ingest = J.IncrementalIngest(spark, lambda b: R.word_windows(b, "doc_id", "text"), "ingest")
-    J.run_batches(docs, "ingest-run", ingest)
-    return ingest.read().groupBy("article_id").agg(F.count("*").alias("chunks"))
+    """Documents of a file stream in two runs; those that shrank leave no active chunk of their first version behind."""
+    folder, d = S.new_folder(spark, "ingest"), table(spark, sf, "documents").select("doc_id", "text")
+    longer = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(" ", "text", "text")).otherwise(F.col("text"))
+    job = lambda: J.IncrementalIngest(
+        spark, lambda b: R.word_windows(b, "doc_id", "text"), folder, as_of=F.lit(AS_OF).cast("timestamp"), buckets=8,
+    )
+    for docs in (d.withColumn("text", longer), d):
+        docs.write.mode("append").parquet(f"{folder}-in")
+        J.run_batches(spark.readStream.schema(d.schema).parquet(f"{folder}-in"), f"{folder}-state", job())
+    c = job().read()
+    return c.groupBy("article_id").agg(
+        F.count("*").alias("chunks"), F.count_if("is_active").alias("active"),
+        F.max(F.when(F.col("is_active"), F.col("document_version"))).alias("version"),
+        F.count_if(F.col("superseded_reason") == "document_reingested").alias("superseded"),
+    )

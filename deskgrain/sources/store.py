@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from deskgrain.functions import text as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+from deskgrain.functions.frames import new_folder, shared_dir, small  # noqa: F401  (folders belong to the store)
 
 
 def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` and those rows of ``old`` whose key it does not hold: the last write wins."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``new`` and those rows of ``old`` whose key it does not hold: the last write wins. Of a key that ``new`` repeats the row
+    that comes first by ``order`` counts (by default the greatest by its other columns); a null key is a key."""
+    others = [F.col(c).desc_nulls_last() for c in new.columns if c not in keys]
+    last = last_by_key(new, keys, order or others or [F.lit(0)])
+    held = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    same = [old[c].eqNullSafe(held[f"_k{i}"]) for i, c in enumerate(keys)]
+    rest = old.join(held, _all(same), "left_anti")
+    return rest.unionByName(last, allowMissingColumns=True)
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -44,15 +42,29 @@ def upsert_payload(old: DataFrame, new: DataFrame, key: str, payload: list[str])
     """Rows of both; a key in both keeps the old row but for its payload."""
     n = new.select(key, *[F.col(c).alias(f"_{c}") for c in new.columns if c != key], F.lit(True).alias("_new"))
     j = old.withColumn("_old", F.lit(True)).join(n, key, "full")
-    return j.select(key, *[(F.coalesce(F.col(f"_{c}"), F.col(c)) if c in payload else F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_{c}"))).alias(c) for c in old.columns if c != key])
+    return j.select(
+        key,
+        *[
+            (
+                F.coalesce(F.col(f"_{c}"), F.col(c)) if c in payload else F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_{c}"))
+            ).alias(c) for c in old.columns if c != key
+        ],
+    )
 
 
 def apply_commands(chunks: DataFrame, commands: DataFrame, as_of: Column) -> DataFrame:
     """Commands (target, command: disable | stale) applied to chunks: one chunk disabled, or a source's review date passed."""
     off = commands.where("command = 'disable'").select(F.col("target").alias("_chunk")).distinct()
     old = commands.where("command = 'stale'").select(F.col("target").alias("_source")).distinct()
-    j = chunks.join(F.broadcast(off), F.col("chunk_id").cast("string") == F.col("_chunk"), "left").join(F.broadcast(old), F.col("source_id") == F.col("_source"), "left")
-    return j.withColumns({"disabled": F.coalesce("disabled", F.lit(False)) | F.col("_chunk").isNotNull(), "needs_review_at": F.when(F.col("_source").isNotNull(), as_of.cast("string")).otherwise(F.col("needs_review_at"))}).drop("_chunk", "_source")
+    j = chunks.join(
+        small(off), F.col("chunk_id").cast("string") == F.col("_chunk"), "left",
+    ).join(small(old), F.col("source_id") == F.col("_source"), "left")
+    return j.withColumns(
+        {
+            "disabled": F.coalesce("disabled", F.lit(False)) | F.col("_chunk").isNotNull(),
+            "needs_review_at": F.when(F.col("_source").isNotNull(), as_of.cast("string")).otherwise(F.col("needs_review_at")),
+        }
+    ).drop("_chunk", "_source")
 
 
 def backfill(df: DataFrame, col: str, others: list[str], as_of: Column) -> DataFrame:
@@ -79,7 +91,10 @@ def read_articles(spark: SparkSession, path: str, mapping: dict[str, list[str]])
 
 def as_documents(articles: DataFrame, source_key: str) -> DataFrame:
     """Articles as documents with one section each and a row reference."""
-    section = F.struct(F.lit("csv-main").alias("section_id"), F.col("title").alias("heading_path"), F.col("content").alias("text"), F.concat(F.lit("row "), F.col("id")).alias("row_ref"))
+    section = F.struct(
+        F.lit("csv-main").alias("section_id"), F.col("title").alias("heading_path"), F.col("content").alias("text"),
+        F.concat(F.lit("row "), F.col("id")).alias("row_ref"),
+    )
     return articles.select("id", F.lit(source_key).alias("source_key"), "title", F.col("content").alias("body"), F.array(section).alias("sections"))
 
 
@@ -87,7 +102,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[Data
     """(rows, malformed lines) of a file of JSON lines. Malformed lines keep their text."""
     full = StructType([*schema.fields]).add("_corrupt_record", "string")
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", full).alias("r")).where("trim(value) <> ''")
-    return raw.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.where("r._corrupt_record IS NOT NULL").select("_file", "r._corrupt_record")
+    return raw.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.where("r._corrupt_record IS NOT NULL").select(
+        "_file", "r._corrupt_record",
+    )
 
 
 def manifest_join(files: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,4 +140,7 @@ def support_bundle(traces: DataFrame, secrets: list[str]) -> DataFrame:
             c = F.replace(c, F.lit(s), F.lit("[masked]"))
         return c
     chunks = F.array_join(F.transform("chunks", lambda x: F.concat(F.lit("- **"), x["source_id"], F.lit("** "), x["preview"])), "\n")
-    return traces.select("trace_id", masked(F.to_json(F.struct("trace_id", "answer"))).alias("trace_json"), masked(chunks).alias("retrieved_markdown"), masked(F.col("answer")).alias("answer"))
+    return traces.select(
+        "trace_id", masked(F.to_json(F.struct("trace_id", "answer"))).alias("trace_json"),
+        masked(chunks).alias("retrieved_markdown"), masked(F.col("answer")).alias("answer"),
+    )

@@ -2,6 +2,9 @@
 
 Rows later than the watermark are not counted by a stream; the batch job over the same facts corrects them. Every job
 reads files, so ``availableNow`` brings a stream to the end of what is there. Sinks are folders, never memory.
+
+A job is its folder and its checkpoint: whoever starts it again with both goes on where it stopped. A batch that runs
+again has the same number, reads only what older batches wrote, and overwrites its own folder.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgrain.sources.store import new_folder, upsert
+from deskgrain.functions.frames import new_folder
+from deskgrain.operators import ingest as I
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,17 +28,19 @@ def events_stream(spark: SparkSession, path: str, time_col: str = "ts") -> DataF
     return table_stream(spark, path).withColumn(time_col, F.col(time_col).cast("timestamp"))
 
 
-def run_to_folder(stream: DataFrame, what: str) -> DataFrame:
-    """Runs an append stream over all that is there and reads its result."""
+def run_to_folder(stream: DataFrame, what: str, folder: str | None = None) -> DataFrame:
+    """Runs an append stream over all that is there and reads its result; a ``folder`` that was used before is gone on with."""
     spark = stream.sparkSession
-    out = new_folder(spark, what)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    out = folder or new_folder(spark, what)
+    stream.writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}-state",
+    ).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, what: str, each: Callable[[DataFrame, int], None]) -> None:
-    out = new_folder(stream.sparkSession, what)
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
+    """Hands all that is there, and was not handed on under this ``checkpoint`` before, to ``each`` in batches."""
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def first_writes(stream: DataFrame, key: str, time_col: str = "ts", late: str = "1 day") -> DataFrame:
@@ -42,10 +48,14 @@ def first_writes(stream: DataFrame, key: str, time_col: str = "ts", late: str =
     return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(stream: DataFrame, aggs: dict[str, Column], length: str, slide: str | None = None, time_col: str = "ts", late: str = "1 day") -> DataFrame:
+def windowed(
+    stream: DataFrame, aggs: dict[str, Column], length: str, slide: str | None = None, time_col: str = "ts", late: str = "1 day",
+) -> DataFrame:
     """Tumbling or sliding windows (window_start and the named aggregates) under a watermark."""
     w = F.window(time_col, length, slide) if slide else F.window(time_col, length)
-    return stream.withWatermark(time_col, late).groupBy(w).agg(*[c.alias(n) for n, c in aggs.items()]).select(F.col("window.start").alias("window_start"), *aggs)
+    return stream.withWatermark(time_col, late).groupBy(w).agg(*[c.alias(n) for n, c in aggs.items()]).select(
+        F.col("window.start").alias("window_start"), *aggs,
+    )
 
 
 def retained(df: DataFrame, as_of: Column, days: int = 30, time_col: str = "ts") -> DataFrame:
@@ -58,34 +68,72 @@ def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("s")).select(key, "s.*")
 
 
-class LatestState:
-    """Latest row of each key, kept as version folders: each batch reads the last version and writes the next.
+class Buckets:
+    """A keyed table in ``folder``, its rows dealt into buckets by a hash of the key. A batch writes the buckets it touches and
+    no others, as folder/version=batch/bucket=n; the table is the newest version of each bucket."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, n: int = 64):
+        self.spark, self.folder, self.key, self.n = spark, folder, key, n
+
+    def newest(self, before: int | None = None) -> dict[int, int]:
+        """Newest version of each bucket (older than ``before``), from the names of the folders."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found: dict[int, int] = {}
+        if not fs.exists(root):
+            return found
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/bucket=*")) or []:
+            path = status.getPath()
+            version, bucket = (int(x.getName().split("=")[1]) for x in (path.getParent(), path))
+            if before is None or version < before:
+                found[bucket] = max(found.get(bucket, -1), version)
+        return found
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """``df`` with the bucket of each row."""
+        return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int"))
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """The table as older batches left it (its buckets ``only``); None if nothing is there."""
+        newest = {b: v for b, v in self.newest(before).items() if only is None or b in only}
+        if not newest:
+            return None
+        paths = [f"{self.folder}/version={v}/bucket={b}" for b, v in sorted(newest.items())]
+        return self.spark.read.parquet(*paths)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        # one task for each bucket that the batch touches
+        self.of(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/version={batch_id}")
+
+    def merge(self, new: DataFrame, batch_id: int, how: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
+        """Writes ``how(old rows of the touched buckets, new rows)``."""
+        touched = [r["bucket"] for r in self.of(new).select("bucket").distinct().collect()]  # n at most
+        if touched:
+            self.write(how(self.read(batch_id, touched), new), batch_id)
 
-    A batch that runs again finds its version written and leaves it, so a restart repeats nothing.
-    """
 
-    def __init__(self, spark: SparkSession, key: str, order: str, what: str):
-        self.spark, self.key, self.order, self.folder, self.version = spark, key, order, new_folder(spark, what), -1
+class LatestState:
+    """Latest row of each key: a batch rewrites the buckets of its keys."""
+
+    def __init__(self, spark: SparkSession, key: str, order: str, folder: str, buckets: int = 64):
+        self.key, self.order, self.state = key, order, Buckets(spark, folder, key, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version:
-            return
-        new = latest_by_key(batch, self.key, self.order)
-        if self.version >= 0:
-            new = latest_by_key(self.read().unionByName(new), self.key, self.order)
-        new.write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
-        self.version = batch_id
+        def latest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            return latest_by_key(new if old is None else old.unionByName(new), self.key, self.order)
+
+        self.state.merge(latest_by_key(batch, self.key, self.order), batch_id, latest)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/version={self.version}")
+    def read(self) -> DataFrame | None:
+        return self.state.read()
 
 
 class FanOut:
-    """Negative facts written to two tables, review items and issues, in a folder for each batch: a batch that runs again
-    overwrites its own folders only."""
+    """Negative facts written to two tables, review items and issues, in a folder for each batch."""
 
-    def __init__(self, spark: SparkSession, negative: Column, what: str):
-        self.spark, self.negative, self.folder = spark, negative, new_folder(spark, what)
+    def __init__(self, spark: SparkSession, negative: Column, folder: str):
+        self.spark, self.negative, self.folder = spark, negative, folder
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         bad = batch.where(self.negative)
@@ -97,19 +145,52 @@ class FanOut:
 
 
 class IncrementalIngest:
-    """New documents of a stream merged into a chunk table: changed ones replace what was there, version by version."""
+    """Documents of a stream merged into a chunk table by a re-ingest plan.
+
+    ``chunk`` makes chunks (article_id, chunk_index, content) of a batch's documents. Documents whose chunks did not change are
+    left alone; of changed ones the old chunks become inactive, with the reason, and the new ones are written under the next
+    version. A document that shrinks thus leaves no active chunk behind. Of a document that is in a batch twice the chunks of
+    the later ``order`` count (a column of the batch; by default its text decides).
+    """
 
-    def __init__(self, spark: SparkSession, chunk: Callable[[DataFrame], DataFrame], what: str):
-        self.spark, self.chunk, self.folder, self.version = spark, chunk, new_folder(spark, what), -1
+    def __init__(
+        self, spark: SparkSession, chunk: Callable[[DataFrame], DataFrame], folder: str, id_col: str = "doc_id",
+        text_col: str = "text", order: str | None = None, as_of: Column | None = None, buckets: int = 64,
+    ):
+        self.spark, self.chunk, self.id, self.text, self.order = spark, chunk, id_col, text_col, order or text_col
+        self.as_of, self.state = F.current_timestamp() if as_of is None else as_of, Buckets(spark, folder, "article_id", buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.version:
-            return
-        new = self.chunk(batch)
-        if self.version >= 0:
-            new = upsert(self.read(), new, ["article_id", "chunk_index"])
-        new.write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
-        self.version = batch_id
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/version={self.version}")
+        docs = latest_by_key(batch.select(self.id, self.text, *({self.order} - {self.id, self.text})), self.id, self.order)
+        hashes = docs.select(F.col(self.id).alias("article_id"), F.sha2(F.coalesce(self.text, F.lit("")), 256).alias("document_hash"))
+        name = F.concat_ws(":", F.col("article_id").cast("string"), "chunk_index")
+        chunks = self.chunk(docs).select("article_id", "chunk_index", "content", name.alias("chunk_id"))
+        # a document without chunks still supersedes those that it had
+        self.state.merge(hashes.join(chunks, "article_id", "left"), batch_id, self._merged)
+
+    def _merged(self, old: DataFrame | None, new: DataFrame) -> DataFrame:
+        columns = [
+            "article_id", "chunk_index", "content", "chunk_id", "document_hash", "document_version", "is_active", "superseded_at",
+            "superseded_reason", "superseded_by",
+        ]
+        first = new.where("chunk_id IS NOT NULL").withColumns(
+            {
+                "document_version": F.lit(1), "is_active": F.lit(True), "superseded_at": F.lit(None).cast("timestamp"),
+                "superseded_reason": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string"),
+            }
+        )
+        if old is None:
+            return first.select(*columns)
+        incoming = new.groupBy("article_id").agg(F.max("document_hash").alias("document_hash"), F.collect_set("chunk_id").alias("chunk_ids"))
+        plan = I.reingest_plan(old, incoming)
+        changed = plan.where("action <> 'skip_unchanged'").select("article_id", "next_version")
+        upserts = first.join(changed, "article_id").withColumn("document_version", F.col("next_version"))
+        # what was superseded before keeps its reason; chunks that come again replace their namesakes
+        before = old.select(*[F.col(c).alias(f"was_{c}") if c.startswith("superseded") else F.col(c) for c in columns])
+        kept = I.tombstone(before, plan, self.as_of)
+        kept = kept.withColumns({c: F.coalesce(c, f"was_{c}") for c in columns if c.startswith("superseded")})
+        kept = kept.join(upserts.select("article_id", "chunk_id"), ["article_id", "chunk_id"], "left_anti")
+        return kept.select(*columns).unionByName(upserts.select(*columns))
+
+    def read(self) -> DataFrame | None:
+        return self.state.read()

@@ -6,7 +6,14 @@ RESULT = "ticket_id string, route string, confidence_band string, abstained bool
 
 def judged(spark):
     g = spark.createDataFrame([("t1", "bug", "green", ["a", "b"], ["x"], False), ("t2", "access", "red", ["c"], [], True)], GOLDEN)
-    r = spark.createDataFrame([("t1", "bug", "green", False, True, ["a", "z"], None, ["a", "q", "b"], 0, 0, 0, 100.0, 0.1, 10.0), ("t2", "bug", "red", True, False, [], None, ["q"], 0, 0, 1, 300.0, 0.3, 30.0), ("t9", "bug", "red", False, True, ["x"], None, [], 1, 0, 0, 50.0, 0.0, 1.0)], RESULT)
+    r = spark.createDataFrame(
+        [
+            ("t1", "bug", "green", False, True, ["a", "z"], None, ["a", "q", "b"], 0, 0, 0, 100.0, 0.1, 10.0),
+            ("t2", "bug", "red", True, False, [], None, ["q"], 0, 0, 1, 300.0, 0.3, 30.0),
+            ("t9", "bug", "red", False, True, ["x"], None, [], 1, 0, 0, 50.0, 0.0, 1.0),
+        ],
+        RESULT,
+    )
     return V.judge(g, r, spark.createDataFrame([("c", "q")], "source_id string, alias string"))
 
 
@@ -27,12 +34,17 @@ def test_gate_and_diff(spark):
     m = spark.createDataFrame([("retrieval_recall_at_3", 0.6), ("avg_latency_ms", 120.0), ("hard_failure_count", 0.0)], "metric string, value double")
     b = spark.createDataFrame([("retrieval_recall_at_3", 0.7), ("avg_latency_ms", 150.0)], "metric string, value double")
     d = V.baseline_diff(m, b)
-    got = sorted((r["metric"], r["problem"]) for r in V.gate(m, [("retrieval_recall_at_3", "min", 0.75), ("source_precision", "min", 0.6)], d).collect())
+    got = sorted(
+        (r["metric"], r["problem"]) for r in V.gate(m, [("retrieval_recall_at_3", "min", 0.75), ("source_precision", "min", 0.6)], d).collect()
+    )
     assert got == [("retrieval_recall_at_3", "below target"), ("retrieval_recall_at_3", "regressed"), ("source_precision", "missing")]
 
 
 def test_guardrails(spark):
-    rows = spark.createDataFrame([("A", "p95_latency_ms", 100.0), ("B", "p95_latency_ms", 115.0), ("A", "recall", 0.5), ("B", "recall", 0.5)], "arm string, metric string, value double")
+    rows = spark.createDataFrame(
+        [("A", "p95_latency_ms", 100.0), ("B", "p95_latency_ms", 115.0), ("A", "recall", 0.5), ("B", "recall", 0.5)],
+        "arm string, metric string, value double",
+    )
     assert {r["metric"]: r["violated"] for r in V.guard(rows, "A").collect()} == {"p95_latency_ms": True, "recall": False}
 
 
@@ -40,7 +52,9 @@ def test_queries_read_whole_texts(spark, tmp_path):
     from deskgrain.plans import registry
 
     text = " ".join(f"w{i}" for i in range(300)) + " [KB-77] end"
-    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     got = {n: registry.queries()[n](spark, str(tmp_path)).first() for n in ("stored_results", "draft_sections", "document_slugs")}
     assert got["stored_results"]["labels"] == "1,2,77"
     assert got["draft_sections"]["diagnosis"] == text and got["draft_sections"]["sources"] == "s"

@@ -10,7 +10,9 @@ ARTICLE = "Intro line.\n\n## Setup Steps\n\nOpen the panel.\n\n| a | b |\n| - |
 def test_sections_and_chunks(spark):
     d = spark.createDataFrame([(1, ARTICLE), (2, ""), (3, None)], "id int, t string")
     s = I.sections(d, "id", "t").orderBy("article_id", "section_no").collect()
-    assert [(r["article_id"], r["heading"], r["section_id"]) for r in s] == [(1, "", "sec_1_root"), (1, "Setup Steps", "sec_1_setup_steps"), (1, "Limits", "sec_1_limits")]
+    assert [(r["article_id"], r["heading"], r["section_id"]) for r in s] == [
+        (1, "", "sec_1_root"), (1, "Setup Steps", "sec_1_setup_steps"), (1, "Limits", "sec_1_limits"),
+    ]
     assert s[1]["section_text"].startswith("Setup Steps\n\nOpen the panel.")
     chunks = I.smart_chunks(I.sections(d, "id", "t")).orderBy("section_id", "chunk_no").collect()
     tables = [c["content"] for c in chunks if "|" in c["content"]]
@@ -33,8 +35,14 @@ def test_word_windows_overlap_and_end(spark):
 
 
 def test_reingest_plan_actions(spark):
-    old = spark.createDataFrame([("a", "a:0", "h1", 1, True), ("a", "a:1", "h1", 1, True), ("b", "b:0", "h2", 2, True), ("a_b", "a_b:0", "h9", 1, True)], "article_id string, chunk_id string, document_hash string, document_version int, is_active boolean")
-    new = spark.createDataFrame([("a", "h1", ["a:0", "a:1"]), ("b", "h3", ["b:5"]), ("c", "h4", ["c:0"])], "article_id string, document_hash string, chunk_ids array<string>")
+    old = spark.createDataFrame(
+        [("a", "a:0", "h1", 1, True), ("a", "a:1", "h1", 1, True), ("b", "b:0", "h2", 2, True), ("a_b", "a_b:0", "h9", 1, True)],
+        "article_id string, chunk_id string, document_hash string, document_version int, is_active boolean",
+    )
+    new = spark.createDataFrame(
+        [("a", "h1", ["a:0", "a:1"]), ("b", "h3", ["b:5"]), ("c", "h4", ["c:0"])],
+        "article_id string, document_hash string, chunk_ids array<string>",
+    )
     plan = {r["article_id"]: r for r in I.reingest_plan(old, new).collect()}
     assert [(plan[k]["action"], plan[k]["next_version"]) for k in "abc"] == [("skip_unchanged", 1), ("upsert_changed", 3), ("insert", 1)]
     assert plan["b"]["chunks_to_delete"] == ["b:0"] and plan["b"]["chunks_to_upsert"] == ["b:5"] and plan["a"]["chunks_to_delete"] == []
@@ -50,17 +58,32 @@ def test_html(spark):
 
 
 def test_manifest_reports_every_defect(spark):
-    base = dict(row_number=1, source_id="s", source_title="t", source_type="csv", source_authority="approved", is_approved="true", is_active="true", is_customer_facing_allowed="true", approved_at="2024-01-01", reviewed_by="r", needs_review_at="2024-02-01T00:00:00Z", doc_type="faq", product_area="p", issue_class="i", version_scope="v", escalation_risk="low", body="b")
-    rows = [base, base | dict(row_number=2, approved_at="not-a-date", body=" ", source_type="docx"), base | dict(row_number=3, is_approved="maybe"), base | dict(row_number=4, reviewed_by="")]
+    base = dict(
+        row_number=1, source_id="s", source_title="t", source_type="csv", source_authority="approved", is_approved="true",
+        is_active="true", is_customer_facing_allowed="true", approved_at="2024-01-01", reviewed_by="r",
+        needs_review_at="2024-02-01T00:00:00Z", doc_type="faq", product_area="p", issue_class="i", version_scope="v",
+        escalation_risk="low", body="b",
+    )
+    rows = [
+        base, base | dict(row_number=2, approved_at="not-a-date", body=" ", source_type="docx"),
+        base | dict(row_number=3, is_approved="maybe"), base | dict(row_number=4, reviewed_by=""),
+    ]
     got = {r["row_number"]: sorted(e["field"] for e in r["errors"]) for r in I.manifest_errors(spark.createDataFrame(rows)).collect()}
     assert got == {1: [], 2: ["approved_at", "body", "source_type"], 3: ["is_approved"], 4: ["approved_at/reviewed_by", "reviewed_by"]}
 
 
 def test_routes_and_queries(spark):
-    t = ["I was overcharged on my invoice", "cannot log in today since the reset", "help broken", "how do I add a routing rule here", "nothing special about this text", None]
-    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(t)], "i int, t string").orderBy("i").select(P.route(F.col("t"))).collect()]
+    t = [
+        "I was overcharged on my invoice", "cannot log in today since the reset", "help broken",
+        "how do I add a routing rule here", "nothing special about this text", None,
+    ]
+    got = [
+        r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(t)], "i int, t string").orderBy("i").select(P.route(F.col("t"))).collect()
+    ]
     assert got == ["billing", "access", "general", "how_to", "general", "general"]
-    q = spark.createDataFrame([("please help us reset the widget now, thanks.",)], "t string").select(P.search_query(F.col("t"), F.lit("Widget"), F.lit("website"), F.lit(""))).first()[0]
+    q = spark.createDataFrame(
+        [("please help us reset the widget now, thanks.",)], "t string",
+    ).select(P.search_query(F.col("t"), F.lit("Widget"), F.lit("website"), F.lit(""))).first()[0]
     assert q == "reset the widget now website" or q.startswith("reset the widget now")
 
 

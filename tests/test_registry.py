@@ -5,7 +5,10 @@ import __spark_entry__ as entry
 from deskgrain.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["rank_fusion", "policy_ranking", "source_type_merge", "neighbour_expansion", "reingest_plan", "source_conflicts", "evaluation_summary", "daily_metrics", "source_status", "stream_daily_metrics"]
+QUICK = [
+    "rank_fusion", "policy_ranking", "source_type_merge", "neighbour_expansion", "reingest_plan", "source_conflicts",
+    "evaluation_summary", "daily_metrics", "source_status", "stream_daily_metrics",
+]
 
 
 def norm(v):

@@ -36,14 +36,25 @@ def test_metadata_filter_keeps_all_when_none_pass(spark):
 
 
 def test_merge_reserves_critical_types(spark):
-    rows = [(1, f"k{i}", "knowledge_base", "bug", False, 0.9 - i / 100, "") for i in range(5)] + [(1, "n", "known_issue", "bug", False, 0.1, "s"), (1, "r", "release_note", "bug", True, 0.2, "s")]
-    c = spark.createDataFrame(rows, "question_id int, chunk_id string, source_type string, route string, stale boolean, policy_score double, parent_section_id string")
+    rows = [(1, f"k{i}", "knowledge_base", "bug", False, 0.9 - i / 100, "") for i in range(5)] + [
+        (1, "n", "known_issue", "bug", False, 0.1, "s"), (1, "r", "release_note", "bug", True, 0.2, "s"),
+    ]
+    c = spark.createDataFrame(
+        rows,
+        "question_id int, chunk_id string, source_type string, route string, stale boolean, policy_score double, parent_section_id string",
+    )
     assert [r["chunk_id"] for r in R.merge_by_source_type(c, 4).orderBy("rank").collect()] == ["n", "r", "k0", "k1"]
 
 
 def test_neighbours_skip_dead_chunks(spark):
-    chunks = spark.createDataFrame([(1, i, f"c{i}", i != 3, False) for i in range(6)], "article_id int, chunk_index int, chunk_id string, is_active boolean, disabled boolean")
-    picked = spark.createDataFrame([(9, "c2", 1, 2, 0.5, True)], "question_id int, chunk_id string, article_id int, chunk_index int, policy_score double, has_conditions boolean")
+    chunks = spark.createDataFrame(
+        [(1, i, f"c{i}", i != 3, False) for i in range(6)],
+        "article_id int, chunk_index int, chunk_id string, is_active boolean, disabled boolean",
+    )
+    picked = spark.createDataFrame(
+        [(9, "c2", 1, 2, 0.5, True)],
+        "question_id int, chunk_id string, article_id int, chunk_index int, policy_score double, has_conditions boolean",
+    )
     assert sorted(r["chunk_id"] for r in R.expand_neighbours(picked, chunks).collect()) == ["c0", "c1", "c4"]
 
 
@@ -54,7 +65,9 @@ def test_raw_types_never_gain_authority(spark):
 
 def test_ivf_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    c, q = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    c, q = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 25 = 0").select(
+        F.col("vec_id").alias("question_id"), "embedding",
+    )
     exact = {(r["question_id"], r["chunk_id"]) for r in R.dense_topk(c, q, 10).collect()}
     found = {(r["question_id"], r["chunk_id"]) for r in R.ivf_topk(c, q, 10, cells=8, probes=6).collect()}
     assert len(exact & found) / len(exact) >= 0.8
@@ -68,14 +81,26 @@ def test_confidence_bands(spark):
 
 
 def test_conflict_kinds(spark):
-    rows = [(1, 1, "p", "policy", "", "allowed", "v1.2", "", ""), (1, 2, "f", "faq", "", "denied", "v2.0", "", ""), (1, 3, "r", "release_note", "", "", "", "", ""), (1, 4, "k", "knowledge_base", "", "", "", "2024-01-01", ""), (1, 5, "i", "known_issue", "open", "", "", "", ""), (1, 6, "j", "known_issue", "fixed", "", "", "", "")]
-    c = spark.createDataFrame(rows, "question_id int, rank int, source_id string, source_type string, status string, decision string, version_text string, expires_at string, needs_review_at string")
+    rows = [
+        (1, 1, "p", "policy", "", "allowed", "v1.2", "", ""), (1, 2, "f", "faq", "", "denied", "v2.0", "", ""),
+        (1, 3, "r", "release_note", "", "", "", "", ""), (1, 4, "k", "knowledge_base", "", "", "", "2024-01-01", ""),
+        (1, 5, "i", "known_issue", "open", "", "", "", ""), (1, 6, "j", "known_issue", "fixed", "", "", "", ""),
+    ]
+    c = spark.createDataFrame(
+        rows,
+        "question_id int, rank int, source_id string, source_type string, status string, decision string, version_text string, expires_at string, needs_review_at string",
+    )
     got = sorted((r["conflict_type"], r["source_a"], r["source_b"]) for r in E.conflicts(c, F.lit("2024-02-01").cast("timestamp")).collect())
-    assert got == [("known_issue_status_conflict", "i", "j"), ("policy_vs_faq", "p", "f"), ("stale_kb_vs_release_note", "r", "k"), ("version_specific_behavior_conflict", "p", "f")]
+    assert got == [
+        ("known_issue_status_conflict", "i", "j"), ("policy_vs_faq", "p", "f"), ("stale_kb_vs_release_note", "r", "k"),
+        ("version_specific_behavior_conflict", "p", "f"),
+    ]
 
 
 def test_draft_sections_in_any_order(spark):
-    d = spark.createDataFrame([("Sources: KB-1\nDiagnosis: it broke\nRoot Cause: rust ",), ("no labels",)], "t string").select(*E.draft_sections(F.col("t"))).collect()
+    d = spark.createDataFrame(
+        [("Sources: KB-1\nDiagnosis: it broke\nRoot Cause: rust ",), ("no labels",)], "t string",
+    ).select(*E.draft_sections(F.col("t"))).collect()
     assert (d[0]["sources"], d[0]["diagnosis"], d[0]["root_cause"], d[0]["draft_email"]) == ("KB-1", "it broke", "rust", "")
     assert d[1]["diagnosis"] == ""
 
