@@ -39,7 +39,10 @@ def rotation(d: int, seed: int = 5) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, turned: np.ndarray, columns: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, so_far: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def scan(
+    query: np.ndarray, turned: np.ndarray, columns: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int,
+    so_far: tuple[np.ndarray, np.ndarray] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """(ids, squared distances) of the k nearest of a list and of those found ``so_far``: ``columns`` holds the list's
     rotated vectors, dimension by candidate, ``rows`` the originals."""
     d, n = columns.shape
@@ -81,7 +84,9 @@ def probes_for(indexed: DataFrame, asked: DataFrame, centres: np.ndarray, k: int
             at = np.argpartition(d, k - 1, axis=1)[:, :k]
             near, cells = np.take_along_axis(d, at, 1), np.take_along_axis(c, at, 1)
         row, col = np.nonzero(np.isfinite(near))
-        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(cells[row, col]), pa.array(near[row, col])], names=["q", "cell", "d"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row.astype(np.int32)), pa.array(cells[row, col]), pa.array(near[row, col])], names=["q", "cell", "d"],
+        )
 
     found = indexed.select("id", "v", "cell").mapInArrow(best, "q int, cell int, d double")
     w = Window.partitionBy("q").orderBy("d", "cell")
@@ -92,7 +97,10 @@ def probes_for(indexed: DataFrame, asked: DataFrame, centres: np.ndarray, k: int
     return max(LEAST_PROBED, 1 + int(np.quantile([place[r["q"], r["cell"]] for r in true], recall, method="higher")))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
+    recall: float = RECALL,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k nearest found among ``vectors``, without the query's own id.
 
     score is the Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller id;
@@ -105,7 +113,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & takes_part(F.col("v")))
 
     base, asked = usable(vectors), usable(queries).groupBy("id").agg(F.min("v").alias("v"))
-    lengths = [(r["d"], r["n"]) for r in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()]  # a few lengths
+    lengths = [
+        (r["d"], r["n"]) for r in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()
+    ]  # a few lengths
     kind = dict(base.dtypes)["v"]
     if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -155,12 +165,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def packed(df: DataFrame, own, other, is_query: bool) -> DataFrame:
         """Rows in blocks, each block once for every block of the other side at its list."""
         mine, theirs = F.get(own, F.col("cell")), F.get(other, F.col("cell"))
-        made = df.where(theirs > 0).withColumn("block", F.pmod(F.xxhash64("id"), mine).cast("int")).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("items"))
+        made = df.where(theirs > 0).withColumn(
+            "block", F.pmod(F.xxhash64("id"), mine).cast("int"),
+        ).groupBy("cell", "block").agg(F.collect_list(F.struct("id", "v")).alias("items"))
         met = made.withColumn("other", F.explode(F.sequence(F.lit(0), theirs - 1)))
         b, q = ("other", "block") if is_query else ("block", "other")
         return met.select("cell", F.col(b).alias("b"), F.col(q).alias("q"), F.lit(is_query).alias("is_query"), "items")
 
-    met = packed(indexed, blocks, rounds, False).unionByName(packed(probes, rounds, blocks, True)).groupBy("cell", "b", "q").agg(F.array_sort(F.collect_list(F.struct("is_query", "items"))).alias("t"))
+    met = packed(
+        indexed, blocks, rounds, False,
+    ).unionByName(packed(probes, rounds, blocks, True)).groupBy("cell", "b", "q").agg(
+        F.array_sort(F.collect_list(F.struct("is_query", "items"))).alias("t")
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the lists that this task has scanned

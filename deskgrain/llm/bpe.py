@@ -169,7 +169,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes that the ids stand for in ``out`` (replaced if it is there). Null and empty lists give no
     bytes; an id that the vocabulary lacks, or a null one, is an error; rows may repeat; an empty table gives an empty result."""
-    return tokens.withColumn(out, _arrow_udf(lambda b, t: [b.decode(tuple(x)) if x else b"" for x in t], "binary", path, pattern)(F.col(f"`{ids_col}`")))
+    return tokens.withColumn(
+        out,
+        _arrow_udf(lambda b, t: [b.decode(tuple(x)) if x else b"" for x in t], "binary", path, pattern)(F.col(f"`{ids_col}`")),
+    )
 
 
 def _arrow_udf(f, kind: str, path: str, pattern: str):
@@ -202,10 +205,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                     told.append(np.fromstring(decimal, np.int32, sep=",") if decimal else np.empty(0, np.int32))
                 decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
             made = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(made + [pa.array(told, pa.list_(pa.int32()))] * with_ids, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays(
+                made + [pa.array(told, pa.list_(pa.int32()))] * with_ids,
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
+            )
         gc.enable()
         bpe.forget()
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(
+        run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids,
+    )

@@ -69,7 +69,10 @@ def _placed(centres: np.ndarray, threshold: float):
             home, row, cell = visits(x / np.linalg.norm(x, axis=1, keepdims=True), centres, threshold)
             row, cell, guest = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, cell)), np.repeat([0, 1], [len(x), len(row)])
             took = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell.astype(np.int32)), pa.array(guest.astype(np.int32))], names=[*b.schema.names, "cell", "guest"])
+            yield pa.RecordBatch.from_arrays(
+                [*took.columns, pa.array(cell.astype(np.int32)), pa.array(guest.astype(np.int32))],
+                names=[*b.schema.names, "cell", "guest"],
+            )
 
     return run
 
@@ -96,12 +99,22 @@ def _compare(threshold: float):
                         np.add.at(degree, y + shift, na[x])
                         union(label, x, y + shift)
                 linked, moved = np.flatnonzero(degree), np.flatnonzero(label != np.arange(len(label)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[linked], ids[moved]))), pa.array(np.concatenate((degree[linked], np.zeros(len(moved), np.int64)))), pa.array(np.concatenate((ids[linked], ids[label[moved]])))], names=["rep", "links", "root"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate((ids[linked], ids[moved]))),
+                        pa.array(np.concatenate((degree[linked], np.zeros(len(moved), np.int64)))),
+                        pa.array(np.concatenate((ids[linked], ids[label[moved]]))),
+                    ],
+                    names=["rep", "links", "root"],
+                )
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label") -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
+    label_col: str | None = "label",
+) -> DataFrame:
     """One row for each row of ``vectors``: id, n_links, component_id and kept (whether it represents its component).
 
     Two vectors link if their labels are equal and not null, they have the same length and their cosine is at least
@@ -117,31 +130,55 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     key = [F.xxhash64("label", "v").alias("k1"), F.xxhash64("v", "label").alias("k2")]
     good = good.select("id", "v", "label", *key)
     # equal vectors once; a vector is named by a number of its own, as ids may be null or repeat
-    distinct = good.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.any_value("v").alias("v"), F.any_value("label").alias("label"), F.count("*").alias("n"))
+    distinct = good.groupBy("k1", "k2").agg(
+        F.min("id").alias("least"), F.any_value("v").alias("v"), F.any_value("label").alias("label"), F.count("*").alias("n"),
+    )
     distinct = written(distinct.withColumn("rep", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "distinct-vectors")
     largest = distinct.where(F.col("width") == (length or 0)).groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if not largest:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    centres = fitted(sample(distinct.where(F.col("width") == length).withColumn("h", F.xxhash64("k1", "k2")), "h", "v"), min(CELLS, -(-largest // PER_CELL)), threshold)
+        return rows.select(
+            F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
+            F.lit(True).alias("kept"),
+        )
+    centres = fitted(
+        sample(distinct.where(F.col("width") == length).withColumn("h", F.xxhash64("k1", "k2")), "h", "v"),
+        min(CELLS, -(-largest // PER_CELL)), threshold,
+    )
     kinds = dict(distinct.dtypes)
-    placed = distinct.select("rep", "v", "label", "n", "width").mapInArrow(_placed(centres, threshold), f"rep long, v {kinds['v']}, label {kinds['label']}, n long, width int, cell int, guest int")
+    placed = distinct.select("rep", "v", "label", "n", "width").mapInArrow(
+        _placed(centres, threshold), f"rep long, v {kinds['v']}, label {kinds['label']}, n long, width int, cell int, guest int",
+    )
     placed = written(placed, "vector-cells")
     cell = ["label", "width", "cell"]
     sizes = placed.groupBy(*cell).agg(*[F.ceil(F.count_if(F.col("guest") == g) / BLOCK).cast("int").alias(f"b{g}") for g in (0, 1)])
-    dealt = placed.join(small(written(sizes, "cell-sizes")), cell).withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("guest") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"))
-    blocks = dealt.groupBy(*cell, "guest", "block").agg(F.any_value("b0").alias("b0"), F.any_value("b1").alias("b1"), F.collect_list(F.struct("rep", "n", "v")).alias("items"))  # bounded by BLOCK
+    dealt = placed.join(small(written(sizes, "cell-sizes")), cell).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.when(F.col("guest") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int"),
+    )
+    blocks = dealt.groupBy(*cell, "guest", "block").agg(
+        F.any_value("b0").alias("b0"), F.any_value("b1").alias("b1"), F.collect_list(F.struct("rep", "n", "v")).alias("items"),
+    )  # bounded by BLOCK
     def numbered(guest: int, n) -> F.Column:
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.struct(F.lit(guest).alias("guest"), q.alias("block")))).otherwise(F.array().cast("array<struct<guest:int,block:int>>"))
+        return F.when(
+            n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda q: F.struct(F.lit(guest).alias("guest"), q.alias("block"))),
+        ).otherwise(F.array().cast("array<struct<guest:int,block:int>>"))
     own, other = F.struct("guest", "block"), F.col("other")
     partners = F.when(F.col("guest") == 0, F.concat(numbered(0, F.col("b0")), numbered(1, F.col("b1")))).otherwise(numbered(0, F.col("b0")))
-    met = blocks.withColumn("other", F.explode(partners)).select(*cell, F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("who"), "items").groupBy(*cell, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("who", "items"))).alias("t"))
+    met = blocks.withColumn("other", F.explode(partners)).select(
+        *cell, F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("who"), "items",
+    ).groupBy(*cell, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("who", "items"))).alias("t"))
     found = written(met.select("t").mapInArrow(_compare(threshold), "rep long, links long, root long"), "vector-links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
     rooted = connected_components(found.where("rep != root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    named = distinct.join(degree, "rep", "left").join(rooted, distinct["rep"] == rooted["node"], "left").select("k1", "k2", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    named = distinct.join(degree, "rep", "left").join(rooted, distinct["rep"] == rooted["node"], "left").select(
+        "k1", "k2", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("root", "rep").alias("root"),
+    )
     named = written(named, "vector-components")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("k1", "k2", "n_links", "component_id")
     keyed = rows.select("id", *[F.when(takes_part(F.col("v")) & F.col("label").isNotNull(), k).alias(f"r{i}") for i, k in enumerate(key)])
     out = keyed.join(named, (F.col("r0") == F.col("k1")) & (F.col("r1") == F.col("k2")), "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, component.isNull()).alias("kept"),
+    )

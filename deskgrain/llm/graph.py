@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         near = large.join(low, F.col("u") == F.col("k"))
-        small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        small = near.where("v != m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         e = written(small.distinct(), "edges")
         if (now := _digest(e)) == seen:
             break

@@ -76,7 +76,9 @@ def train(passages: list[bytes], langs: list[str], rounds: int = 5, batch: int =
     y_all = np.array([names.index(x) for x in langs])
     x_all = np.stack([windows_of(p[:WINDOW].ljust(1, b"\0"))[0] for p in passages])
     f = FILTERS * len(WIDTHS)
-    params = [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS] + [np.zeros(f, np.float32), rng.normal(0, 0.2, (f, len(names))).astype(np.float32), np.zeros(len(names), np.float32)]
+    params = [rng.normal(0, 0.1, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS] + [
+        np.zeros(f, np.float32), rng.normal(0, 0.2, (f, len(names))).astype(np.float32), np.zeros(len(names), np.float32),
+    ]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for _ in range(rounds):
@@ -128,8 +130,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known, h = docs.where(F.col(lang_col).isNotNull() & ~held_out(i)), F.xxhash64(i)
     known = sampled(known, h, known.count(), most).where(has_letter(text))
     # short passages from anywhere in the text, cut before anything is collected
-    cuts = [F.substring(text, (F.pmod(F.xxhash64(i, F.lit(p)), F.greatest(F.length(text) - PASSAGE, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(PASSAGE)) for p in range(PASSAGES)]
-    rows = known.select(h.alias("h"), F.col(lang_col).alias("lang"), *[c.alias(f"p{n}") for n, c in enumerate(cuts)]).orderBy("h", "p0").limit(most).collect()
+    cuts = [
+        F.substring(
+            text, (F.pmod(F.xxhash64(i, F.lit(p)), F.greatest(F.length(text) - PASSAGE, F.lit(1)).cast("long")) + 1).cast("int"),
+            F.lit(PASSAGE),
+        ) for p in range(PASSAGES)
+    ]
+    rows = known.select(
+        h.alias("h"), F.col(lang_col).alias("lang"), *[c.alias(f"p{n}") for n, c in enumerate(cuts)],
+    ).orderBy("h", "p0").limit(most).collect()
     pairs = [(r[f"p{n}"].encode(), r["lang"]) for r in rows for n in range(PASSAGES) if r[f"p{n}"].strip()]
     return train(*zip(*pairs)) if pairs else None
 

@@ -50,8 +50,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     s = sizes.withColumn("w", w).withColumn("cap", F.lit(cap) * F.col("source_size"))
     full = Window.orderBy(F.col("cap") / F.col("w"), F.col("mix_source").asc_nulls_last())
-    before, after, everything = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing), full.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
+    before, after, everything = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing), full.rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing,
+    )
+    s = s.withColumn(
+        "level",
+        (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after),
+    )
     s = s.withColumn("cut", F.col("level") * F.col("w") >= F.col("cap"))
     s = s.withColumn("at", F.first(F.when(~F.col("cut"), F.col("level")), ignorenulls=True).over(everything))
     return s.select("mix_source", "source_size", F.when(F.col("cut"), F.col("cap")).otherwise(F.col("at") * F.col("w")).alias("target"))
@@ -68,7 +73,9 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     top = written(sized.groupBy("mix_source", _digit(F.col("mix_hash"), 0).alias("digit")).agg(F.sum("mix_size").alias("s")), "mix-histogram")
     goal = written(targets(top.groupBy("mix_source").agg(F.sum("s").alias("source_size")), weights, share, cap), "mix-targets")
     base = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(F.lit(0)).cast("int")
-    state = goal.withColumn("base", base).withColumn("left", F.col("target") - F.col("base") * F.col("source_size")).withColumn("bound", F.lit(0).cast("long"))
+    state = goal.withColumn("base", base).withColumn(
+        "left", F.col("target") - F.col("base") * F.col("source_size"),
+    ).withColumn("bound", F.lit(0).cast("long"))
     closed = []
     hist = top
     for level in range(len(DIGITS)):
@@ -80,7 +87,12 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         step = state.join(small(edge), F.col("mix_source").eqNullSafe(F.col("k")), "left")
         unit = 1 << _below(level)
         # no bucket overruns the budget: everything that is still open is taken
-        closed.append(step.where(F.col("e").isNull()).select("mix_source", "source_size", "target", "base", (F.col("bound") + F.lit(unit << DIGITS[level]).cast("long")).alias("bound")))
+        closed.append(
+            step.where(F.col("e").isNull()).select(
+                "mix_source", "source_size", "target", "base",
+                (F.col("bound") + F.lit(unit << DIGITS[level]).cast("long")).alias("bound"),
+            )
+        )
         # the last digit is one hash: it is taken too if it overshoots by less than it would leave open
         nearer = (F.col("e.upto") - F.col("left") < F.col("left") - F.col("e.below")).cast("long") if unit == 1 else F.lit(0).cast("long")
         state = step.where(F.col("e").isNotNull()).select(
@@ -90,7 +102,10 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         state = written(state, "mix-open")
         if level + 1 < len(DIGITS):
             opened = state.select(F.col("mix_source").alias("k"), F.shiftright("bound", _below(level)).alias("prefix"))
-            inside = sized.withColumn("prefix", F.shiftright("mix_hash", _below(level))).join(small(opened).withColumnRenamed("prefix", "p"), F.col("k").eqNullSafe(F.col("mix_source")) & (F.col("prefix") == F.col("p")))
+            inside = sized.withColumn("prefix", F.shiftright("mix_hash", _below(level))).join(
+                small(opened).withColumnRenamed("prefix", "p"),
+                F.col("k").eqNullSafe(F.col("mix_source")) & (F.col("prefix") == F.col("p")),
+            )
             hist = inside.groupBy("mix_source", _digit(F.col("mix_hash"), level + 1).alias("digit")).agg(F.sum("mix_size").alias("s"))
     closed.append(state.select("mix_source", "source_size", "target", "base", "bound"))
     return reduce(DataFrame.unionByName, closed)
@@ -98,10 +113,16 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, mix_source, mix_size, mix_hash) of every document."""
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").alias("mix_source"), word_count(F.col(f"`{text_col}`")).alias("mix_size"), id_hash(F.col(f"`{id_col}`")).alias("mix_hash"))
+    return docs.select(
+        F.col(f"`{id_col}`"), F.col(f"`{source_col}`").alias("mix_source"), word_count(F.col(f"`{text_col}`")).alias("mix_size"),
+        id_hash(F.col(f"`{id_col}`")).alias("mix_hash"),
+    )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, out: str = "mix_times") -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, out: str = "mix_times",
+) -> DataFrame:
     """``docs`` with column ``out``: how often the mix takes each document (0 up to ``cap``).
 
     Only the columns named are read for the decision; all others pass through, whatever their names; a column named as ``out`` is
@@ -121,10 +142,16 @@ def _times(h: Column, base: Column, bound: Column, cap: float) -> Column:
     return F.coalesce(F.least(base + (h < bound).cast("int"), F.lit(int(cap))), F.lit(0))
 
 
-def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
+) -> DataFrame:
     """Per document: id, size, source_size, target of its source, taken (words the mix takes) and times (see ``mix``)."""
     slim = written(sized(docs, id_col, text_col, source_col), "mix-sizes").withColumnRenamed(id_col, "mix_id")
     bounds = small(thresholds(slim, weights, share, cap).withColumnRenamed("mix_source", "bound_source"))
     joined = slim.join(bounds, F.col("mix_source").eqNullSafe(F.col("bound_source")), "left")
     times = _times(F.col("mix_hash"), F.col("base"), F.col("bound"), cap)
-    return joined.select(F.col("mix_id").alias(id_col), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * times).cast("long").alias("taken"), times.alias("times"))
+    return joined.select(
+        F.col("mix_id").alias(id_col), F.col("mix_size").alias("size"), "source_size", "target",
+        (F.col("mix_size") * times).cast("long").alias("taken"), times.alias("times"),
+    )

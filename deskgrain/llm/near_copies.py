@@ -77,7 +77,10 @@ def nodes(docs: DataFrame, keep: list[str], text_col: str = "text", words: int =
         for batch in batches:
             found = np.array([node(shingles(t, words)) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).reshape(-1, 4)
             sid, n, a, b = (np.ascontiguousarray(found[:, i]).view(np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sid), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b)], names=[*keep, "sid", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(sid), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b)],
+                names=[*keep, "sid", "n", "a", "b"],
+            )
         release_memory()
 
     kept = docs.select(*keep)
@@ -131,15 +134,29 @@ def candidates(labelled: DataFrame, few: int | None) -> DataFrame:
     blocks = [-(-counts.get(p, 0) // tile) for p in range(max(counts) + reach + 1)]
     held = F.array(*[F.lit(c) for c in blocks])
     item = F.struct("sid", "n", "a", "b", "label")
-    tiles = sized.withColumn("block", F.pmod(F.xxhash64("sid"), F.get(held, F.col("size"))).cast("int")).groupBy("size", "block").agg(F.collect_list(item).alias("items"))  # bounded by the tile size
+    tiles = sized.withColumn(
+        "block", F.pmod(F.xxhash64("sid"), F.get(held, F.col("size"))).cast("int"),
+    ).groupBy("size", "block").agg(F.collect_list(item).alias("items"))  # bounded by the tile size
     sizes = F.sequence(F.greatest(F.lit(0), F.col("size") - reach), F.col("size") + reach)
     none = F.array().cast("array<struct<p:int,q:int>>")
-    others = F.flatten(F.transform(sizes, lambda p: F.when(F.get(held, p) > 0, F.transform(F.sequence(F.lit(0), F.get(held, p) - 1), lambda q: F.struct(p.alias("p"), q.alias("q")))).otherwise(none)))
+    others = F.flatten(
+        F.transform(
+            sizes,
+            lambda p: F.when(
+                F.get(held, p) > 0,
+                F.transform(F.sequence(F.lit(0), F.get(held, p) - 1), lambda q: F.struct(p.alias("p"), q.alias("q"))),
+            ).otherwise(none),
+        )
+    )
     own, other = F.struct(F.col("size").alias("p"), F.col("block").alias("q")), F.col("other")
-    dealt = tiles.select("size", "block", "items", F.explode(others).alias("other")).select(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "items")
+    dealt = tiles.select("size", "block", "items", F.explode(others).alias("other")).select(
+        F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "items",
+    )
     pairs = sum(blocks[p] * sum(blocks[p : p + reach + 1]) for p in range(len(blocks)))
     tasks = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
-    met = dealt.repartition(tasks, "lo", "hi").groupBy("lo", "hi").agg((F.first("lo") == F.first("hi")).alias("same"), F.collect_list("items").alias("t"))  # one or two tiles
+    met = dealt.repartition(tasks, "lo", "hi").groupBy("lo", "hi").agg(
+        (F.first("lo") == F.first("hi")).alias("same"), F.collect_list("items").alias("t"),
+    )  # one or two tiles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from . import ann, bpe, embedding_dedup, langid, mixing, quality, simhash, suffix, url_filter, warc
 from .common import table
 
-URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def op1_simhash_near_dedup(spark, sf_dir):
@@ -55,7 +58,12 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op5_quality, op6_source_mixing, op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op5_quality, op6_source_mixing,
+        op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id,
+    )
+}
 
 def _bucket(c: str, n: int) -> str:
     return f"CAST('0x' || substr(md5({c}), 1, 4) AS INT) % {n}"
@@ -66,13 +74,20 @@ def _strength(up: str) -> str:
     low, high = quality.STRENGTH
     return f"""SELECT CASE WHEN coalesce(r1, 0) = 0 OR coalesce(r3, 0) = 0 THEN {high} WHEN rho <= 0 THEN {high} ELSE least(greatest((1 - rho) / rho, {low}), {high}) END::DOUBLE AS k
   FROM (SELECT *, (r0 / r1 - r2 / r3) / greatest(r0 / r1 + (r4 / r1 - 1) * (r2 / r3), 1e-12) AS rho FROM (
-    SELECT sum(gg - good * good / n)::DOUBLE AS r0, sum(sites - 1)::DOUBLE AS r1, sum(good - gg)::DOUBLE AS r2, sum(n - sites)::DOUBLE AS r3, sum(n - nn / n)::DOUBLE AS r4 FROM ({up}) WHERE sites > 1))"""
+    SELECT sum(gg - good * good / n)::DOUBLE AS r0, sum(sites - 1)::DOUBLE AS r1, sum(good - gg)::DOUBLE AS r2, sum(n - sites)::DOUBLE AS r3, sum(n - nn / n)::DOUBLE AS r4
+  FROM ({up})
+  WHERE sites > 1))"""
 
 
 def _measures_sql() -> str:
     """The features of ``quality.measures`` over t (text), ws (distinct words) and many (words)."""
     share = lambda p: f"(length(t) - length(regexp_replace(t, '{p}', '', 'g')))::DOUBLE / greatest(length(t), 1)"
-    bins = [f"floor({x} * {quality.BINS})" for x in (share(r"\p{L}+"), "4 * " + share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), "4 * " + share(r"\p{Lu}+"), "len(ws)::DOUBLE / greatest(many, 1)")]
+    bins = [
+        f"floor({x} * {quality.BINS})" for x in (
+            share(r"\p{L}+"), "4 * " + share(r"[^\p{L}\p{N}\x20\x09-\x0D]+"), "4 * " + share(r"\p{Lu}+"),
+            "len(ws)::DOUBLE / greatest(many, 1)",
+        )
+    ]
     bins.append("length(bin(many + 1))")
     return "[" + ", ".join(f"CAST(least({b}, {quality.BINS - 1}) AS INT) + {quality.HASHED + i * quality.BINS}" for i, b in enumerate(bins)) + "]"
 
@@ -83,24 +98,52 @@ ORACLES = {
     "op5_quality": rf"""
 WITH t AS (SELECT doc_id, max(quality) > 0 AS y FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
 d AS (SELECT doc_id, source AS host, lang AS path, CAST(y AS INT) AS y, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), lambda x: x <> '')) AS ws, coalesce(text, '') AS t, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS many FROM documents LEFT JOIN t USING (doc_id)),
+]+'), lambda x: x <> '')) AS ws, coalesce(text, '') AS t, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS many
+  FROM documents
+  LEFT JOIN t USING (doc_id)),
 w AS (SELECT doc_id, y, unnest(ws) AS w FROM d),
 f AS (SELECT DISTINCT doc_id, y, unnest([{_bucket("w", _W)}, {_W} + {_bucket(f"'^' || substr(w, 1, {_C})", _E)}, {_W + _E} + {_bucket(f"'$' || right(w, {_C})", _E)}]) AS f FROM w),
 b AS (SELECT doc_id, y, unnest({_measures_sql()}) AS f FROM d),
 n AS (SELECT coalesce(sum(y), 0)::DOUBLE AS g, coalesce(sum(1 - y), 0)::DOUBLE AS b FROM d WHERE y IS NOT NULL),
 a AS (SELECT doc_id, y, f, TRUE AS hashed FROM f UNION ALL SELECT doc_id, y, f, FALSE FROM b),
 c AS (SELECT f, sum(y)::DOUBLE AS g, sum(1 - y)::DOUBLE AS b FROM a WHERE y IS NOT NULL GROUP BY f),
-r AS (SELECT a.doc_id, hashed, avg(ln(coalesce(c.g, 0) - coalesce(y, 0) + 1) - ln(n.g - coalesce(y, 0) + 2) - ln(coalesce(c.b, 0) - coalesce(1 - y, 0) + 1) + ln(n.b - coalesce(1 - y, 0) + 2)) AS x FROM a LEFT JOIN c USING (f), n GROUP BY ALL),
-x AS (SELECT d.*, coalesce(i.x, 0) AS x, coalesce(j.x, 0) AS z FROM d LEFT JOIN (SELECT * FROM r WHERE hashed) i USING (doc_id) LEFT JOIN (SELECT * FROM r WHERE NOT hashed) j USING (doc_id)),
+r AS (SELECT a.doc_id, hashed, avg(ln(coalesce(c.g, 0) - coalesce(y, 0) + 1) - ln(n.g - coalesce(y, 0) + 2) - ln(coalesce(c.b, 0) - coalesce(1 - y, 0) + 1) + ln(n.b - coalesce(1 - y, 0) + 2)) AS x
+  FROM a
+  LEFT JOIN c USING (f), n
+  GROUP BY ALL),
+x AS (SELECT d.*, coalesce(i.x, 0) AS x, coalesce(j.x, 0) AS z
+  FROM d
+  LEFT JOIN (SELECT *
+  FROM r
+  WHERE hashed) i USING (doc_id)
+  LEFT JOIN (SELECT *
+  FROM r
+  WHERE NOT hashed) j USING (doc_id)),
 m AS (SELECT y, count(*)::DOUBLE AS n, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz FROM x WHERE y IS NOT NULL GROUP BY y),
-v AS (SELECT count(*) AS classes, sum(n * xx) / sum(n) + {quality.RIDGE} AS xx, sum(n * zz) / sum(n) + {quality.RIDGE} AS zz, sum(n * xz) / sum(n) AS xz, sum(CASE WHEN y = 1 THEN mx ELSE -mx END) AS dx, sum(CASE WHEN y = 1 THEN mz ELSE -mz END) AS dz, sum(mx) AS sx, sum(mz) AS sz FROM m),
-l AS (SELECT CASE WHEN classes = 2 THEN (zz * dx - xz * dz) / (xx * zz - xz * xz) ELSE 0 END AS wa, CASE WHEN classes = 2 THEN (xx * dz - xz * dx) / (xx * zz - xz * xz) ELSE 0 END AS wb, coalesce(sx, 0) AS sx, coalesce(sz, 0) AS sz FROM v),
+v AS (SELECT count(*) AS classes, sum(n * xx) / sum(n) + {quality.RIDGE} AS xx, sum(n * zz) / sum(n) + {quality.RIDGE} AS zz, sum(n * xz) / sum(n) AS xz, sum(CASE WHEN y = 1 THEN mx ELSE -mx END) AS dx, sum(CASE WHEN y = 1 THEN mz ELSE -mz END) AS dz, sum(mx) AS sx, sum(mz) AS sz
+  FROM m),
+l AS (SELECT CASE WHEN classes = 2 THEN (zz * dx - xz * dz) / (xx * zz - xz * xz) ELSE 0 END AS wa,
+  CASE WHEN classes = 2 THEN (xx * dz - xz * dx) / (xx * zz - xz * xz) ELSE 0 END AS wb, coalesce(sx, 0) AS sx, coalesce(sz, 0) AS sz
+  FROM v),
 p AS (SELECT host, path, count(*) AS n, sum(y) AS good FROM d WHERE y IS NOT NULL GROUP BY ALL), h AS (SELECT host, sum(n) AS n, sum(good) AS good FROM p GROUP BY ALL),
 kh AS ({_strength(f"SELECT {_SITES} FROM h")}), kp AS ({_strength(f"SELECT host, {_SITES} FROM p GROUP BY host")}),
 o AS (SELECT x.*, (n.g + 1 - coalesce(y, 0)) / (n.g + n.b + 2 - (y IS NOT NULL)::INT) AS overall FROM x, n),
-s AS (SELECT o.*, (coalesce(h.good - coalesce(y, 0), 0) + kh.k * overall) / (coalesce(h.n - (y IS NOT NULL)::INT, 0) + kh.k) AS hs FROM o LEFT JOIN h ON o.host IS NOT DISTINCT FROM h.host, kh),
-q AS (SELECT s.*, (coalesce(p.good - coalesce(y, 0), 0) + kp.k * hs) / (coalesce(p.n - (y IS NOT NULL)::INT, 0) + kp.k) AS ps, CASE WHEN x = 0 AND z = 0 THEN 0 ELSE greatest(least(wa * x + wb * z - (wa * sx + wb * sz) / 2, {quality.MOST_EVIDENCE}), -{quality.MOST_EVIDENCE}) END AS e FROM s LEFT JOIN p ON s.host IS NOT DISTINCT FROM p.host AND s.path IS NOT DISTINCT FROM p.path, kp, l),
-z AS (SELECT doc_id, round(e::DOUBLE, 6) AS evidence, round(hs::DOUBLE, 6) AS host_share, round(ps::DOUBLE, 6) AS path_share, round((1 / (1 + exp(-(e + ln(ps / (1 - ps))))))::DOUBLE, 6) AS score FROM q)
+s AS (SELECT o.*, (coalesce(h.good - coalesce(y, 0), 0) + kh.k * overall) / (coalesce(h.n - (y IS NOT NULL)::INT, 0) + kh.k) AS hs
+  FROM o
+  LEFT JOIN h ON o.host IS NOT DISTINCT
+  FROM h.host, kh),
+q AS (SELECT s.*, (coalesce(p.good - coalesce(y, 0), 0) + kp.k * hs) / (coalesce(p.n - (y IS NOT NULL)::INT, 0) + kp.k) AS ps,
+  CASE WHEN x = 0 AND z = 0 THEN 0 ELSE greatest(least(wa * x + wb * z - (wa * sx + wb * sz) / 2, {quality.MOST_EVIDENCE}), -{quality.MOST_EVIDENCE}) END AS e
+  FROM s
+  LEFT JOIN p ON s.host IS NOT DISTINCT
+  FROM p.host AND s.path IS NOT DISTINCT
+  FROM p.path, kp, l),
+z AS (SELECT doc_id,
+  round(e::DOUBLE, 6) AS evidence,
+  round(hs::DOUBLE, 6) AS host_share,
+  round(ps::DOUBLE, 6) AS path_share,
+  round((1 / (1 + exp(-(e + ln(ps / (1 - ps))))))::DOUBLE, 6) AS score
+  FROM q)
 SELECT *, score >= 0.5 AS kept FROM z""",
     "op7_arc_to_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -112,7 +155,10 @@ WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
   FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INT)] AS w FROM d GROUP BY source),
+s AS (SELECT source,
+  CAST(sum(size) AS BIGINT) AS source_size, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][CAST(1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INT)] AS w
+  FROM d
+  GROUP BY source),
 c AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
         / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),

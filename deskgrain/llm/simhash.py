@@ -100,12 +100,24 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     blocks = [-(-counts.get(p, 0) // tile) for p in range(65)]
     held = F.array(*[F.lit(n) for n in blocks])
     many = F.get(held, F.col("pc").cast("int"))
-    tiles = distinct.withColumn("block", F.pmod(F.xxhash64("fp"), many).cast("int")).groupBy("pc", "block").agg(F.collect_list("fp").alias("fps"))  # bounded by the tile size
+    tiles = distinct.withColumn(
+        "block", F.pmod(F.xxhash64("fp"), many).cast("int"),
+    ).groupBy("pc", "block").agg(F.collect_list("fp").alias("fps"))  # bounded by the tile size
     reach = F.sequence(F.greatest(F.lit(0), F.col("pc") - radius), F.least(F.lit(64), F.col("pc") + radius))
     # tiles (p, q) within reach; the lower of the two comes first in the pair's key
-    others = F.flatten(F.transform(reach, lambda p: F.when(F.get(held, p) > 0, F.transform(F.sequence(F.lit(0), F.get(held, p) - 1), lambda q: F.struct(p.alias("p"), q.alias("q")))).otherwise(F.array().cast("array<struct<p:int,q:int>>"))))
+    others = F.flatten(
+        F.transform(
+            reach,
+            lambda p: F.when(
+                F.get(held, p) > 0,
+                F.transform(F.sequence(F.lit(0), F.get(held, p) - 1), lambda q: F.struct(p.alias("p"), q.alias("q"))),
+            ).otherwise(F.array().cast("array<struct<p:int,q:int>>")),
+        )
+    )
     own, other = F.struct(F.col("pc").alias("p"), F.col("block").alias("q")), F.col("other")
-    dealt = tiles.select("pc", "block", "fps", F.explode(others).alias("other")).select(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own == F.greatest(own, other)).alias("last"), "fps")
+    dealt = tiles.select("pc", "block", "fps", F.explode(others).alias("other")).select(
+        F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), (own == F.greatest(own, other)).alias("last"), "fps",
+    )
     pairs = sum(blocks[p] * blocks[q] for p in range(65) for q in range(p, min(65, p + radius + 1)))
     tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
     # the number of tasks follows the pairs, not their bytes: a pair is little to read and much to compare
@@ -129,7 +141,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of ``docs`` are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("pc", F.bit_count("fp")), "distinct-fingerprints")
+    distinct = written(
+        fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("pc", F.bit_count("fp")),
+        "distinct-fingerprints",
+    )
     found = connected_components(links(distinct.select("fp", "pc"), radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

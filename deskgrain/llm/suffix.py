@@ -145,7 +145,10 @@ def _common(rows: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray
     return out
 
 
-def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def repeats(
+    data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int,
+    k: int = K,
+) -> tuple[np.ndarray, np.ndarray]:
     """For each context (bytes of ``data``; ``left`` of them before the anchor) the smallest and largest offset from ``lo`` to
     ``hi``, from the start of a window to the anchor, of windows of ``length`` bytes that occur in another context too;
     (length, -1) if none. A context stands once for each offset at most."""
@@ -192,7 +195,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
             for t, text in zip(b.column(0).to_pylist(), b.column(1)):
                 p, h, _, _ = anchors(_bytes(text.as_py()), length)
                 hs.append(h), ps.append(p), ts.append(np.full(len(p), t))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps).astype(np.int32))], names=["kh", "t", "pos"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(ps).astype(np.int32))],
+                names=["kh", "t", "pos"],
+            )
         release_memory()
 
     return texts.select(F.col("t1").alias("t"), "text").mapInArrow(run, "kh long, t long, pos int")
@@ -291,7 +297,10 @@ def _buckets(length: int):
         n = len(hit)
         made = [np.full(n, COVER), np.zeros(n), t1[hit], t2[hit], (pos - highest)[hit], (pos - lowest + length)[hit], np.zeros(n), np.zeros(n)]
         cast = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(made, cast)], pa.nulls(n, pa.binary())], names=c.schema.names)
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.array(x.astype(k.to_pandas_dtype())) for x, k in zip(made, cast)], pa.nulls(n, pa.binary())],
+            names=c.schema.names,
+        )
         release_memory()
 
     return run
@@ -315,7 +324,10 @@ def _halves(length: int):
                     row.append(i), lows.append(low), highs.append(high)
                     k1.append(int.from_bytes(d[:8], "big", signed=True)), k2.append(int.from_bytes(d[8:], "big", signed=True))
             took = batch.take(pa.array(row, pa.int64()))
-            cols = [*[took.column(i) for i in range(6)], pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), took.column(8), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            cols = [
+                *[took.column(i) for i in range(6)], pa.array(lows, pa.int32()), pa.array(highs, pa.int32()), took.column(8),
+                pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "k1", "k2"])
 
     return run
@@ -333,7 +345,11 @@ def _split(large: DataFrame, length: int, group: int, buckets: int) -> tuple[lis
         # one offset left: all windows of the group are the same string
         same = F.col("lo") == F.col("hi")
         left = F.when(F.col("b") >= 0, F.col("b")).otherwise(-1 - F.col("b"))
-        cover.append(many.where(same & (F.col("b") >= 0)).select("t1", "t2", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + length).alias("b")))
+        cover.append(
+            many.where(same & (F.col("b") >= 0)).select(
+                "t1", "t2", (F.col("a") - F.col("lo")).alias("a"), (F.col("a") - F.col("lo") + length).alias("b"),
+            )
+        )
         large = many.where(~same)
         if not sizes.where(F.col("n") > group).limit(1).count():
             return fit, cover
@@ -342,7 +358,9 @@ def _split(large: DataFrame, length: int, group: int, buckets: int) -> tuple[lis
 def _splitters(texts: DataFrame, place: DataFrame, buckets: int) -> np.ndarray:
     """Leads that part the anchors of ``place`` evenly, from those of a bounded sample of texts."""
     some = sampled(place, F.xxhash64("t1", F.lit(3)), place.count(), SPLIT_TEXTS).orderBy(F.xxhash64("t1", F.lit(3))).limit(SPLIT_TEXTS)
-    held = texts.join(F.broadcast(some.select("t1", "common")), "t1").groupBy("t1").agg(F.any_value("text").alias("text"), F.any_value("common").alias("common"))
+    held = texts.join(F.broadcast(some.select("t1", "common")), "t1").groupBy("t1").agg(
+        F.any_value("text").alias("text"), F.any_value("common").alias("common"),
+    )
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,7 +385,9 @@ def covered(texts: DataFrame, length: int, group: int = GROUP) -> DataFrame:
     common = rows.groupBy("kh").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count("*").alias("n")).where("lo != hi").select("kh", "n")
     common = written(common, "common-anchors")
     found = meet(rows, common, "kh", "n", rows.count())
-    place = found.groupBy(F.col("t").alias("t1")).agg(F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > group, F.col("pos"))).alias("large"))
+    place = found.groupBy(F.col("t").alias("t1")).agg(
+        F.collect_set("pos").alias("common"), F.collect_set(F.when(F.col("n") > group, F.col("pos"))).alias("large"),
+    )
     place = written(place, "anchor-places")
     total = place.agg(F.coalesce(F.sum(F.size("common")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
@@ -436,12 +456,17 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text, s in zip(b.column(1), b.column(2)):
                 kept, size, runs = _cut(text.as_py(), s.as_py(), length)
                 n.append(size), gone.append(size - len(kept)), spans.append(len(runs)), sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())],
+                names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
         release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows, found = _with_spans(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col, length, group)
-    return rows.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), found).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), found).mapInArrow(
+        run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+    )
 
 
 def dedup(docs: DataFrame, text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:

@@ -40,7 +40,10 @@ def _block(key: Column, n: int) -> Column:
 def bloom(keys: DataFrame, n_blocks: int) -> DataFrame:
     """Blocks (block, w0..w7) of the filter over column ``key``; at most ``n_blocks`` rows."""
     one = F.lit(1).cast("long")
-    bits = keys.select(_block(F.col("key"), n_blocks).alias("block"), *[F.call_function("shiftleft", one, b).alias(f"b{i}") for i, b in enumerate(_bits(F.col("key")))])
+    bits = keys.select(
+        _block(F.col("key"), n_blocks).alias("block"),
+        *[F.call_function("shiftleft", one, b).alias(f"b{i}") for i, b in enumerate(_bits(F.col("key")))],
+    )
     return bits.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
@@ -61,15 +64,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     rule. Rows repeated in ``pages`` stay repeated; a rule listed with two verdicts blocks. Other columns of ``pages``
     are not read.
     """
-    listed = written(rules.groupBy("host", "path").agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("open")).select(F.concat("host", "path").alias("key"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("d"), F.when(F.col("open") == 0, "block").otherwise("allow").alias("said")), "url-rules")
+    listed = written(
+        rules.groupBy("host", "path").agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("open")).select(
+            F.concat("host", "path").alias("key"), F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("d"),
+            F.when(F.col("open") == 0, "block").otherwise("allow").alias("said"),
+        ),
+        "url-rules",
+    )
     shapes = [(r["d"], r["n"]) for r in listed.select("d", "n").distinct().orderBy("d", "n").collect()]  # at most labels x path lengths, not rules
     n_blocks = max(1, -(-listed.count() * BITS_PER_KEY // (64 * WORDS)))
     seen = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     if not shapes:
         return seen.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     keys = F.array_distinct(F.array(*[F.concat(F.substring_index("host", ".", -d), F.substring("path", 1, n)) for d, n in shapes]))
-    maybe = might_hold(seen.where(F.col("host") != "").select(F.col(id_col), "host", "path", F.explode(keys).alias("key")), small(bloom(listed, n_blocks)), n_blocks)
-    hits = maybe.join(small(listed), "key").groupBy(id_col, "host", "path").agg(F.max_by(F.struct("key", "said"), F.struct(F.length("key"), F.col("key"))).alias("hit"))
+    maybe = might_hold(
+        seen.where(F.col("host") != "").select(F.col(id_col), "host", "path", F.explode(keys).alias("key")),
+        small(bloom(listed, n_blocks)), n_blocks,
+    )
+    hits = maybe.join(small(listed), "key").groupBy(
+        id_col, "host", "path",
+    ).agg(F.max_by(F.struct("key", "said"), F.struct(F.length("key"), F.col("key"))).alias("hit"))
     h = hits.select(F.col(id_col).alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path"), "hit")
     joined = seen.join(h, seen[id_col].eqNullSafe(h["_id"]) & (seen["host"] == h["_host"]) & (seen["path"] == h["_path"]), "left")
     return joined.select(seen[id_col], "host", "path", F.col("hit.key").alias("rule"), F.coalesce(F.col("hit.said"), F.lit(default)).alias("verdict"))

@@ -47,7 +47,8 @@ LEVEL = 4
 def arc_head(version: int, name: str, date: str) -> bytes:
     block = f"{version} 0 converter\n{ARC_FIELDS[version]}\n\n".encode()
     first = {
-        "URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/plain", "Result-code": "200", "Checksum": "-",
+        "URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/plain",
+        "Result-code": "200", "Checksum": "-",
         "Location": "-", "Offset": "0", "Filename": name, "Archive-length": str(len(block)),
     }
     return " ".join(first[f] for f in ARC_FIELDS[version].split()).encode() + b"\n" + block + b"\n"
@@ -56,8 +57,10 @@ def arc_head(version: int, name: str, date: str) -> bytes:
 def arc_record(version: int, name: str, offset: int, url: str | None, date: str, page_id: int | None, payload: bytes) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n{PAGE_ID}: {'' if page_id is None else page_id}\r\n\r\n".encode()
     line = {
-        "URL": quote(url, safe=URL_SAFE) if url else "unknown:", "IP-address": "127.0.0.1", "Archive-date": date, "Content-type": "text/html", "Result-code": "200",
-        "Checksum": hashlib.md5(payload).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name, "Archive-length": str(len(http) + len(payload)),
+        "URL": quote(url, safe=URL_SAFE) if url else "unknown:", "IP-address": "127.0.0.1", "Archive-date": date,
+        "Content-type": "text/html", "Result-code": "200",
+        "Checksum": hashlib.md5(payload).hexdigest(), "Location": "-", "Offset": str(offset), "Filename": name,
+        "Archive-length": str(len(http) + len(payload)),
     }
     return " ".join(line[f] for f in ARC_FIELDS[version].split()).encode() + b"\n" + http + payload + b"\n"
 
@@ -215,15 +218,33 @@ def _volumes(names: list[str]):
                     name = f"converted-{task:06d}-{volumes:06d}.warc.gz"
                     info = f"software: converter\r\nformat: {WARC_VERSION}\r\n".encode()
                     who = uuid.uuid5(uuid.NAMESPACE_URL, r["record_id"] + name)
-                    parts.append(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{who}>"), ("WARC-Date", r["date"]), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info))
+                    parts.append(
+                        _member(
+                            [
+                                ("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{who}>"), ("WARC-Date", r["date"]),
+                                ("WARC-Filename", name), ("Content-Type", "application/warc-fields"),
+                            ],
+                            info,
+                        )
+                    )
                     volumes, size = volumes + 1, 0
                 kept = r["kept"]
-                head = [("WARC-Type", "revisit" if kept else r["kind"]), ("WARC-Record-ID", f"<{r['record_id']}>"), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"])]
+                head = [
+                    ("WARC-Type", "revisit" if kept else r["kind"]), ("WARC-Record-ID", f"<{r['record_id']}>"),
+                    ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]), ("WARC-IP-Address", r["ip"]),
+                ]
                 if kept:
-                    head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{kept['record_id']}>"), ("WARC-Refers-To-Target-URI", kept["uri"]), ("WARC-Refers-To-Date", kept["date"]), ("X-Refers-To-Page-Id", "" if kept["page_id"] is None else str(kept["page_id"]))]
+                    head += [
+                        ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<{kept['record_id']}>"),
+                        ("WARC-Refers-To-Target-URI", kept["uri"]), ("WARC-Refers-To-Date", kept["date"]),
+                        ("X-Refers-To-Page-Id", "" if kept["page_id"] is None else str(kept["page_id"])),
+                    ]
                 else:
                     head += [("WARC-Block-Digest", r["block_digest"])]
-                head += [("WARC-Payload-Digest", r["payload_digest"]), ("X-Payload-Length", str(r["payload_bytes"])), ("Content-Type", "application/http; msgtype=response" if r["http"] else r["content_type"])]
+                head += [
+                    ("WARC-Payload-Digest", r["payload_digest"]), ("X-Payload-Length", str(r["payload_bytes"])),
+                    ("Content-Type", "application/http; msgtype=response" if r["http"] else r["content_type"]),
+                ]
                 parts.append(_member(head, r["http"] if kept else r["http"] + r["payload"]))
                 size += len(parts[-1])
                 if size >= WARC_BYTES:
@@ -250,7 +271,10 @@ def write_warc(files: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     hot = F.col("n") * HOT_SHARE >= total
     records = convert_arc(files)
     # the few payloads that many records have meet them in place; of all others no one has many records
-    joined = records.join(F.broadcast(again.where(hot).select(F.col("_digest").alias("_hot"), F.col("first").alias("_kept"))), F.col("payload_digest") == F.col("_hot"), "left")
+    joined = records.join(
+        F.broadcast(again.where(hot).select(F.col("_digest").alias("_hot"), F.col("first").alias("_kept"))),
+        F.col("payload_digest") == F.col("_hot"), "left",
+    )
     joined = joined.join(small(again.where(~hot).select("_digest", "first")), F.col("payload_digest") == F.col("_digest"), "left")
     first = F.coalesce("_kept", "first")
     other = (F.col("payload_bytes") >= least) & first.isNotNull() & ~F.col("page_id").eqNullSafe(first["page_id"])
@@ -296,7 +320,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((_page_id(http), size, base64.b32decode(digest[5:]).hex(), head["WARC-Type"], int(to) if to else None))
                 if rows:
                     c = list(zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3]), pa.array(c[4], pa.int64())], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2]), pa.array(c[3]), pa.array(c[4], pa.int64())],
+                        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+                    )
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 

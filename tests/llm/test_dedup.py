@@ -75,7 +75,12 @@ def brute_cut(texts, length):
         for i in range(len(t) - length + 1):
             if count[t[i : i + length]] > 1:
                 hit[i : i + length] = True
-        out.append((len(t), int(hit.sum()), int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~hit].tobytes()).hexdigest()))
+        out.append(
+            (
+                len(t), int(hit.sum()), int((np.diff(np.concatenate(([0], hit.astype(int)))) == 1).sum()),
+                hashlib.sha256(np.frombuffer(t, np.uint8)[~hit].tobytes()).hexdigest(),
+            )
+        )
     return out
 
 
@@ -110,7 +115,10 @@ def test_multikey_quicksort_sorts(monkeypatch):
 
 def test_suffix_dedup_keeps_columns_and_nulls(spark):
     long = " ".join(f"w{i}" for i in range(200))
-    d = spark.createDataFrame([(1, "head " + long, "a"), (2, long + " tail", "b"), (3, None, "c"), (4, "", None)], "doc_id long, text string, T1 string")
+    d = spark.createDataFrame(
+        [(1, "head " + long, "a"), (2, long + " tail", "b"), (3, None, "c"), (4, "", None)],
+        "doc_id long, text string, T1 string",
+    )
     got = {r["doc_id"]: (r["text"], r["T1"]) for r in suffix.dedup(d).collect()}
     assert got == {1: ("head ", "a"), 2: (" tail", "b"), 3: (None, "c"), 4: ("", None)}
 
@@ -132,7 +140,11 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     base = rng.normal(size=(12, 8))
     x = np.concatenate([base[rng.integers(0, 12, 150)] + rng.normal(scale=0.25, size=(150, 8)), np.repeat(base[:1], 10, 0)]).astype(np.float32)
     rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
-    rows += [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] + [1.0] * 7, 1), (903, [float("inf")] + [1.0] * 7, 1), (904, x[0].tolist(), None), (905, [1.0, 2.0], 0), (906, [None] + [1.0] * 7, 0), (910, [1.0, 2.0], 0), (911, [2.0, 1.0], 0), (912, [1.0, 2.0], 1)]
+    rows += [
+        (900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] + [1.0] * 7, 1), (903, [float("inf")] + [1.0] * 7, 1),
+        (904, x[0].tolist(), None), (905, [1.0, 2.0], 0), (906, [None] + [1.0] * 7, 0), (910, [1.0, 2.0], 0),
+        (911, [2.0, 1.0], 0), (912, [1.0, 2.0], 1),
+    ]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(d, threshold=0.93).collect()}
     n = x.astype(np.float64)

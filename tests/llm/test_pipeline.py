@@ -17,7 +17,11 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 def small_corpus(spark):
     en = [f"the {w} of the house and the {v} were with them in that long evening by the sea number {i}" for i, (w, v) in enumerate([("door", "roof"), ("wall", "cat"), ("lamp", "dog"), ("tree", "boat")] * 6)]
     rows = [(i, t + " " + " ".join(f"{t.split()[1]}{i}x{j}" for j in range(40)), "en", f"s{i % 3}", len(t)) for i, t in enumerate(en)]
-    return rows + [(90, rows[0][1], "en", "s0", 1), (91, None, None, None, None), (92, "12 34", "de", "s1", 5), (93, "", "fr", None, 0), (94, "und der Hund ist nicht im Haus und die Katze auch nicht", "de", None, 3), (94, "und der Hund ist nicht im Haus und die Katze auch nicht", "de", None, 3)]
+    return rows + [
+        (90, rows[0][1], "en", "s0", 1), (91, None, None, None, None), (92, "12 34", "de", "s1", 5), (93, "", "fr", None, 0),
+        (94, "und der Hund ist nicht im Haus und die Katze auch nicht", "de", None, 3),
+        (94, "und der Hund ist nicht im Haus und die Katze auch nicht", "de", None, 3),
+    ]
 
 
 def test_stages_in_order(spark):
@@ -83,7 +87,11 @@ def test_short_texts_and_a_large_group_of_near_copies(spark):
 
 def test_null_and_repeated_ids_merge_nothing(spark):
     text = [" ".join(f"t{i}x{j}" for j in range(20)) for i in range(6)]
-    rows = [(None, text[0], "en", "s", 1), (None, text[1], "en", "s", 2), (None, text[1], "en", "s", 2), (None, text[2], "en", "s", 3), (7, text[2], "en", "s", 4), (8, text[3], "en", "s", 5), (8, text[4], "en", "s", 6), (9, text[4], None, "s", 7), (8, text[5], "en", "a", 8), (8, text[5], "en", "b", 8)]
+    rows = [
+        (None, text[0], "en", "s", 1), (None, text[1], "en", "s", 2), (None, text[1], "en", "s", 2),
+        (None, text[2], "en", "s", 3), (7, text[2], "en", "s", 4), (8, text[3], "en", "s", 5), (8, text[4], "en", "s", 6),
+        (9, text[4], None, "s", 7), (8, text[5], "en", "a", 8), (8, text[5], "en", "b", 8),
+    ]
     want = [(None, text[0]), (None, text[1]), (7, text[2]), (8, text[3]), (8, text[4]), (8, text[5])]
     got = [pipeline.near_dedup(spark, spark.createDataFrame(r, COLUMNS).repartition(n), "").collect() for r, n in ((rows, 1), (rows[::-1], 3))]
     assert all(sorted(((r["doc_id"], r["text"]) for r in g), key=lambda r: r[1]) == want for g in got)
@@ -188,8 +196,14 @@ def test_stages_against_brute_force(spark):
         if i % 5 == 0:  # near copies, copies, and passages that texts share
             near = t.split()
             near[rng.randrange(len(near))] = "changed"
-            rows += [(100 + i, " ".join(near), "en", "s1", 1), (200 + i, t, "en", None, 1), (300 + i, f"{text(20)} {shared} {text(15)}", "en", "s2", 1)]
-    rows += [(None, text(30), "en", "s0", 1), (None, text(30), "en", "s0", 1), (500, None, "en", "s0", 0), (501, "", None, None, 0), (502, "1 2 3", "en", "s0", 5), (3, text(25), "en", "s3", 1)]
+            rows += [
+                (100 + i, " ".join(near), "en", "s1", 1), (200 + i, t, "en", None, 1),
+                (300 + i, f"{text(20)} {shared} {text(15)}", "en", "s2", 1),
+            ]
+    rows += [
+        (None, text(30), "en", "s0", 1), (None, text(30), "en", "s0", 1), (500, None, "en", "s0", 0), (501, "", None, None, 0),
+        (502, "1 2 3", "en", "s0", 5), (3, text(25), "en", "s3", 1),
+    ]
     docs = spark.createDataFrame(rows, COLUMNS)
     rows_of = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
     kept = rows_of(pipeline.language(spark, docs, ""))
@@ -203,7 +217,10 @@ def test_stages_against_brute_force(spark):
     assert cut == sorted(brute_passages(single), key=repr) and sum(len(d[1]) for d in cut) < sum(len(d[1]) for d in single) - 1_000
     mixed = rows_of(pipeline.mixing_stage(spark, frame(cut), ""))
     assert mixed == sorted(brute_mix(cut), key=repr) and mixed != cut
-    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.tokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).ranks, special_tokens={})
+    tik = tiktoken.Encoding(
+        "own", pat_str=P.PATTERN, mergeable_ranks=bpe.tokenizer(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).ranks,
+        special_tokens={},
+    )
     want = [(d[0], tik.encode_ordinary(d[1]), hashlib.sha256(d[1].encode()).hexdigest()) for d in mixed]
     got = [(r["doc_id"], r["ids"], r["decoded_sha256"]) for r in pipeline.tokens(spark, frame(mixed), "").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)

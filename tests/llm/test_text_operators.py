@@ -11,7 +11,10 @@ from deskgrain.llm.common import Memory
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
-ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "Hello world! it's 2024"), (4, "Hello world! it's 2024"), (5, "a" * 5_000), (6, "日本語 — ñandú \U0001f600 " * 300), (7, " " * 3_000 + "x" + "-=" * 700)]
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "Hello world! it's 2024"), (4, "Hello world! it's 2024"), (5, "a" * 5_000),
+    (6, "日本語 — ñandú \U0001f600 " * 300), (7, " " * 3_000 + "x" + "-=" * 700),
+]
 
 
 @pytest.fixture(scope="module")
@@ -87,7 +90,9 @@ def waterfill(sizes, weights, share, cap):
 
 def test_mixing_targets_and_takes(spark):
     rng = random.Random(6)
-    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a", "b", "é", "Z", None, "a", "a"])) for i in range(400)] + [(900, None, "b"), (901, "", "only"), (902, "again twice", "a"), (902, "again twice", "a")]
+    rows = [(i, " ".join("w" * rng.randint(0, 30)), rng.choice(["a", "b", "é", "Z", None, "a", "a"])) for i in range(400)] + [
+        (900, None, "b"), (901, "", "only"), (902, "again twice", "a"), (902, "again twice", "a"),
+    ]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, size string")
     got = mixing.mix_report(d).collect()
     sizes = {}
@@ -111,7 +116,9 @@ def test_mixing_targets_and_takes(spark):
 
 def test_mixing_nothing(spark):
     assert mixing.mix_report(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
-    assert mixing.mix_report(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).where("taken = 0 and target = 0").count() == 2
+    assert mixing.mix_report(
+        spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    ).where("taken = 0 and target = 0").count() == 2
 
 
 def test_language_held_out_accuracy(spark):
@@ -133,7 +140,9 @@ def test_language_of_odd_texts(spark):
 
 def test_quality_shrinks_and_separates(spark):
     good, bad = "a plain sentence of many different words stands here today", "### $$$ THE THE THE ### %%%"
-    rows = [(i, good if i % 4 else bad, ["big", "small", None][min(2, i % 50 // 40 + (i % 50 == 49))], "p") for i in range(200)] + [(500, None, "new", None), (501, "", None, "x"), (7, good, "big", "p")]
+    rows = [(i, good if i % 4 else bad, ["big", "small", None][min(2, i % 50 // 40 + (i % 50 == 49))], "p") for i in range(200)] + [
+        (500, None, "new", None), (501, "", None, "x"), (7, good, "big", "p"),
+    ]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, lang string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(150)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = {r["doc_id"]: r for r in quality.assess(docs, labels, F.col("source"), F.col("lang")).collect()}
@@ -171,7 +180,12 @@ def brute_quality(rows, labels):
         n, good = len(own) - (y is not None), sum(d[4] for d in own) - (y or 0)
         at_host = [d for d in own if d[2] == h]
         at_path = [d for d in at_host if d[3] == p]
-        shares.append(((good + 1) / (n + 2), sum(d[4] for d in at_host) - (y or 0), len(at_host) - (y is not None), sum(d[4] for d in at_path) - (y or 0), len(at_path) - (y is not None)))
+        shares.append(
+            (
+                (good + 1) / (n + 2), sum(d[4] for d in at_host) - (y or 0), len(at_host) - (y is not None),
+                sum(d[4] for d in at_path) - (y or 0), len(at_path) - (y is not None),
+            )
+        )
     return x, shares
 
 
@@ -179,16 +193,22 @@ def test_quality_against_brute_force(spark, monkeypatch):
     """Ratios and shares with each document's own label left out; the strengths are fixed, so that shares can be told apart."""
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choices(vocabulary[: 15 + 15 * (i % 2)], k=rng.randint(0, 12))), f"h{i % 3}", f"p{i % 4}" if i % 5 else None) for i in range(40)] + [(90, None, None, "p"), (5, "w1 w2", "h9", "p")]
+    rows = [(i, " ".join(rng.choices(vocabulary[: 15 + 15 * (i % 2)], k=rng.randint(0, 12))), f"h{i % 3}", f"p{i % 4}" if i % 5 else None) for i in range(40)] + [
+        (90, None, None, "p"), (5, "w1 w2", "h9", "p"),
+    ]
     labels = [(i, (i // 2) % 2) for i in range(30)] + [(None, 1), (3, None), (4, 1), (4, 0)]
     monkeypatch.setattr(quality, "strength", lambda groups, by: 7.0 if by is None else 3.0)
     kept = {}
     real = quality.calibration
     monkeypatch.setattr(quality, "calibration", lambda known: kept.setdefault("rows", known.collect()) and real(known))
-    docs, truth = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    docs, truth = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, lang string",
+    ), spark.createDataFrame(labels, "doc_id long, quality int")
     got = sorted(quality.assess(docs, truth, F.col("source"), F.col("lang")).collect(), key=lambda r: (r["doc_id"], r["host_share"]))
     x, shares = brute_quality(rows, labels)
-    want = sorted(((r[0], (hg + 7.0 * o) / (hn + 7.0), (pg + 3.0 * (hg + 7.0 * o) / (hn + 7.0)) / (pn + 3.0)) for r, (o, hg, hn, pg, pn) in zip(rows, shares)))
+    want = sorted(
+        ((r[0], (hg + 7.0 * o) / (hn + 7.0), (pg + 3.0 * (hg + 7.0 * o) / (hn + 7.0)) / (pn + 3.0)) for r, (o, hg, hn, pg, pn) in zip(rows, shares))
+    )
     assert [(r["doc_id"], r["host_share"], r["path_share"]) for r in got] == [(i, pytest.approx(h, abs=1e-5), pytest.approx(p, abs=1e-5)) for i, h, p in want]
     told = sorted((r["_id"], r["x"]) for r in kept["rows"])
     assert told == [(i, pytest.approx(v)) for i, v in sorted((r[0], v) for r, v in zip(rows, x) if r[0] in range(30))]

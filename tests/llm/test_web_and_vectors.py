@@ -9,9 +9,16 @@ from deskgrain.llm import ann, queries, url_filter, warc
 
 
 def test_urls_against_plain_rules(spark):
-    urls = ["http://EXAMPLE.org/es/x", "https://a.b.example.org/en/12?q#f", "http://x.org", "http://x.org/", "ftp://Y.COM/fr/", "http://y.com/de/z", "http://notexample.org/es/", "no scheme", None, "", "http://", "http://example.org/en/1", "http://exämple.ORG/ES/", "x://h/p://k/fr/", "http://org/a", "http://a.org\n/b"]
+    urls = [
+        "http://EXAMPLE.org/es/x", "https://a.b.example.org/en/12?q#f", "http://x.org", "http://x.org/", "ftp://Y.COM/fr/",
+        "http://y.com/de/z", "http://notexample.org/es/", "no scheme", None, "", "http://", "http://example.org/en/1",
+        "http://exämple.ORG/ES/", "x://h/p://k/fr/", "http://org/a", "http://a.org\n/b",
+    ]
     d = spark.createDataFrame([(i // 2, u, "clash") for i, u in enumerate(urls + urls[:3])], "page_id long, url string, host string")
-    got = sorted(map(tuple, url_filter.filter_urls(d.select("page_id", "url", "host"), url_filter.rules_frame(spark, queries.URL_RULES)).collect()), key=str)
+    got = sorted(
+        map(tuple, url_filter.filter_urls(d.select("page_id", "url", "host"), url_filter.rules_frame(spark, queries.URL_RULES)).collect()),
+        key=str,
+    )
 
     def plain(i, u):
         host = path = ""
@@ -43,7 +50,10 @@ def test_no_rules_and_no_pages(spark):
 
 def test_archives_round_trip(spark):
     big, other = "<p>" + "é" * 900 + "\r\n\r\nWARC/1.0\r\n\r\n</p>", "b" * 1_000
-    rows = [(1, "http://a", big), (2, None, big), (9, "http://a b\n", big), (3, "", other), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", other), (8, "u", other), (None, "u", "nobody")]
+    rows = [
+        (1, "http://a", big), (2, None, big), (9, "http://a b\n", big), (3, "", other), (4, "u", "small"), (5, "u", "small"),
+        (6, "u", None), (7, "u", ""), (8, "u", other), (8, "u", other), (None, "u", "nobody"),
+    ]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
     got = sorted(map(tuple, warc.archived(d).collect()), key=str)
 
@@ -58,7 +68,9 @@ def test_archives_round_trip(spark):
 def test_arc_versions_and_damage():
     for v in (1, 2):
         name = f"x{v}.arc"
-        data = warc.arc_head(v, name, "20240101000000") + warc.arc_record(v, name, 0, "http://a/ü", "20240102030405", 7, b"one\n\ntwo") + warc.arc_record(v, name, 9, None, "20240102030405", None, b"")
+        data = warc.arc_head(v, name, "20240101000000") + warc.arc_record(
+            v, name, 0, "http://a/ü", "20240102030405", 7, b"one\n\ntwo",
+        ) + warc.arc_record(v, name, 9, None, "20240102030405", None, b"")
         got = list(warc.read_arc(data))
         assert [h["Archive-date"] for h, _, _ in got] == ["20240102030405"] * 2 and got[0][1].endswith(b"\r\n\r\none\n\ntwo")
         assert got[0][0]["URL"] == "http://a/%C3%BC"
@@ -93,16 +105,27 @@ def test_archives_of_any_bytes(spark, tmp_path):
         return name, data
 
     twice = [(7, "http://t/", b"same"), (7, "http://t/", b"same")]
-    files = spark.createDataFrame([file(1, [(1, "http://a/", LATIN), (2, "http://a/", BINARY), *twice]), file(2, [(3, None, BINARY), (4, "http://c/", b"")])], "name string, content binary")
+    files = spark.createDataFrame(
+        [file(1, [(1, "http://a/", LATIN), (2, "http://a/", BINARY), *twice]), file(2, [(3, None, BINARY), (4, "http://c/", b"")])],
+        "name string, content binary",
+    )
     records = warc.convert_arc(files).collect()
     assert len({r["record_id"] for r in records}) == len(records) == 8
-    assert {(r["page_id"], bytes(r["payload"])) for r in records if r["page_id"] in (1, 2, 3, 4, 50)} == {(1, LATIN), (2, BINARY), (3, BINARY), (4, b""), (50, LATIN)}
-    assert [(r["kind"], r["date"], bytes(r["payload"])) for r in records if r["page_id"] is None] == [("resource", "2001-02-03T00:00:00Z", b"example.org. 60 IN A 192.0.2.1")]
+    assert {(r["page_id"], bytes(r["payload"])) for r in records if r["page_id"] in (1, 2, 3, 4, 50)} == {
+        (1, LATIN), (2, BINARY), (3, BINARY), (4, b""), (50, LATIN),
+    }
+    assert [
+        (r["kind"], r["date"], bytes(r["payload"])) for r in records if r["page_id"] is None
+    ] == [("resource", "2001-02-03T00:00:00Z", b"example.org. 60 IN A 192.0.2.1")]
     path = str(tmp_path / "warc")
     warc.write_warc(files, path)
     got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read_warc(spark, path).collect()}
     sha = lambda b: hashlib.sha1(b).hexdigest()
-    assert got == {(1, "revisit", 50, sha(LATIN)), (50, "response", None, sha(LATIN)), (2, "revisit", 3, sha(BINARY)), (3, "response", None, sha(BINARY)), (4, "response", None, sha(b"")), (7, "response", None, sha(b"same")), (None, "resource", None, sha(b"example.org. 60 IN A 192.0.2.1"))}
+    assert got == {
+        (1, "revisit", 50, sha(LATIN)), (50, "response", None, sha(LATIN)), (2, "revisit", 3, sha(BINARY)),
+        (3, "response", None, sha(BINARY)), (4, "response", None, sha(b"")), (7, "response", None, sha(b"same")),
+        (None, "resource", None, sha(b"example.org. 60 IN A 192.0.2.1")),
+    }
     for part in (p for p in (tmp_path / "warc").glob("part-*") if p.stat().st_size):  # a task without records leaves an empty file
         held = members(part.read_bytes())
         assert all(m.startswith(b"WARC/1.0\r\n") and m.endswith(b"\r\n\r\n") for m in held)
@@ -152,7 +175,10 @@ def test_neighbours_recall_and_scores(spark):
 
 def test_neighbours_of_odd_vectors(spark):
     good = [(i, [float(i % 3), 1.0, 2.0]) for i in range(6)]
-    rows = good + [(10, None), (11, [0.0, 0.0, 0.0]), (12, [float("nan"), 1.0, 1.0]), (13, [1.0]), (None, [1.0, 1.0, 1.0]), (100, [0.0, 1.0, 2.0]), (100, [0.0, 1.0, 2.0])]
+    rows = good + [
+        (10, None), (11, [0.0, 0.0, 0.0]), (12, [float("nan"), 1.0, 1.0]), (13, [1.0]), (None, [1.0, 1.0, 1.0]),
+        (100, [0.0, 1.0, 2.0]), (100, [0.0, 1.0, 2.0]),
+    ]
     d = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, rank string")
     got = ann.search(d, d.where("vec_id in (100, 11, 12)")).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(100, v) for v in (0, 3, 1, 4, 2, 5)]
