@@ -43,8 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = row_keys(docs, key)
     nodes = written(near_copies.nodes(keyed, ["doc_id", *key], words=5), "nodes")
     roots = near_copies.roots(nodes, keyed, key, words=5)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first")
-    kept = nodes.join(roots, "sid").groupBy("root").agg(first).select(*[F.col(f"first.{k}") for k in key])
+    # the first row of each text, then of each group: many copies are one row before they meet
+    first = nodes.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first"))
+    kept = first.join(roots, "sid").groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{k}") for k in key])
     return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns(docs))
 
 
