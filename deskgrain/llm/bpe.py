@@ -145,8 +145,9 @@ class ByteBPE:
         return [known(m) or (find(m) if len(m) <= SCAN else leaf(m)) for m in self.find(text)]
 
     def forget(self) -> None:
-        """Gives up the matches that are remembered, so that a worker that lives on holds no more than the vocabulary and nodes."""
-        self._leaves.clear()
+        """Gives up all that is remembered, so that a worker that lives on holds no more than the vocabulary."""
+        for memory in (self._windows, self._nodes, self._leaves):
+            memory.clear()
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for leaf in self.leaves(text) for x in leaf[1].split(b",")]

@@ -92,7 +92,7 @@ def sampled(df: DataFrame, h: Column, n: int, most: int) -> DataFrame:
 
 
 #: Values that a memory holds in each generation.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 
 class Memory:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_memory, small, written
-from .graph import connected_components
+from .graph import connected_components, union
 from .simhash import SEED
 
 #: Differing bits of 128, and of the first 64, up to which a pair is checked.
@@ -30,6 +30,8 @@ TILE = (1_024, 65_536)
 SUB = (512, 4_096)
 #: Pairs of a node and tile that the first round checks; it links large groups, whose other pairs need no check then.
 FEW = 4
+#: Bytes of the shingle sets of a block whose pairs are checked together, about, and pairs at most.
+SET_BYTES, MOST_PAIRS = 2 << 20, 200_000
 #: Tile pairs that a task compares, about.
 PAIRS = 16
 NODE = "sid long, n int, a long, b long"
@@ -123,13 +125,14 @@ def _few(p: np.ndarray, q: np.ndarray, x: dict, y: dict, few: int | None) -> tup
 
 
 def candidates(labelled: DataFrame, few: int | None) -> DataFrame:
-    """(src, dst): pairs of nodes (sid, n, a, b, label) within the radius, of sizes that allow a link, of unequal labels."""
+    """(pair, src, dst): pairs of nodes (sid, n, a, b, label) within the radius, of sizes that allow a link, of unequal labels; a
+    row has those between two blocks of nodes, src[i] with dst[i]."""
     step, reach = math.log(LEAST[1] / LEAST[0]) / 4, 5  # four size classes a quarter; one more for rounding
     # sets of three shingles or less are similar only if they are equal
     sized = labelled.where("n >= 4").withColumn("size", F.floor(F.log("n") / step).cast("int"))
     counts = {r["size"]: r["c"] for r in sized.groupBy("size").agg(F.count("*").alias("c")).collect()}  # some hundreds at most
     if not counts:
-        return labelled.select(F.col("sid").alias("src"), F.col("sid").alias("dst")).limit(0)
+        return labelled.select(F.lit("").alias("pair"), F.array("sid").alias("src"), F.array("sid").alias("dst")).limit(0)
     tile = min(max(sum(counts.values()) // 64, TILE[0]), TILE[1])
     blocks = [-(-counts.get(p, 0) // tile) for p in range(max(counts) + reach + 1)]
     held = F.array(*[F.lit(c) for c in blocks])
@@ -155,27 +158,36 @@ def candidates(labelled: DataFrame, few: int | None) -> DataFrame:
     pairs = sum(blocks[p] * sum(blocks[p : p + reach + 1]) for p in range(len(blocks)))
     tasks = max(int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // PAIRS)
     met = dealt.repartition(tasks, "lo", "hi").groupBy("lo", "hi").agg(
-        (F.first("lo") == F.first("hi")).alias("same"), F.collect_list("items").alias("t"),
+        F.collect_list("items").alias("t"),
     )  # one or two tiles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, pair in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for lo, hi, pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                same = lo == hi
                 if not same and len(pair) < 2:  # a block that its hash left empty
                     continue
                 sides = [{k: np.asarray(side.values.field(k)) for k in ("sid", "n", "a", "b", "label")} for side in pair]
                 sides = [s | {k: s[k].view(np.uint64) for k in ("a", "b")} for s in sides]
                 p, q = near(sides[0], sides[-1], same, few)
-                for i in range(0, len(p), 100_000):
-                    src, dst = sides[0]["sid"][p[i : i + 100_000]], sides[-1]["sid"][q[i : i + 100_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
+                # blocks of as many nodes as their sets may take bytes
+                per = min(max(SET_BYTES // (8 * int(max(s["n"].max() for s in sides))), 32), SUB[1])
+                at = np.lexsort((q // per, p // per))
+                p, q = p[at], q[at]
+                cut = np.flatnonzero((np.diff(p // per) != 0) | (np.diff(q // per) != 0)) + 1
+                for n, (i, j) in enumerate(zip(np.split(p, cut), np.split(q, cut))):
+                    for k in range(0, len(i), MOST_PAIRS):
+                        name = f"{lo['p']}.{lo['q']}-{hi['p']}.{hi['q']}-{n}-{k}"
+                        arrays = [pa.array([sides[e]["sid"][x[k : k + MOST_PAIRS]]], pa.list_(pa.int64())) for e, x in ((0, i), (-1, j))]
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), *arrays], names=["pair", "src", "dst"])
 
-    return met.select("same", "t").mapInArrow(run, "src long, dst long")
+    return met.select("lo", "hi", "t").mapInArrow(run, "pair string, src array<long>, dst array<long>")
 
 
 def checked(pairs: DataFrame, each: DataFrame, docs: DataFrame, key: list[str], text_col: str = "text", words: int = 5) -> DataFrame:
-    """The ``pairs`` (src, dst) whose shingle sets have a Jaccard similarity of 0.8 or more, by the texts of ``docs``;
-    ``each`` (sid, key) says which row has a node's text."""
+    """(src, dst): a spanning forest, block by block, of the ``pairs`` (pair, src, dst) whose shingle sets have a Jaccard similarity of
+    0.8 or more, by the texts of ``docs``; ``each`` (sid, key) says which row has a node's text. A node's set goes once to each
+    pair of blocks that asks for it, however many partners it has there."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,19 +196,32 @@ def checked(pairs: DataFrame, each: DataFrame, docs: DataFrame, key: list[str],
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column(2), batch.column(3)):
-                common = len(np.intersect1d(s.values, t.values, assume_unique=True))
-                keep.append(LEAST[1] * common >= LEAST[0] * (len(s) + len(t) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
-    rows = small(written(each.select("sid", *key).join(asked, "sid", "left_semi"), "asked-nodes"))
+            for src, dst, held in zip(*batch.columns):
+                ids, each = np.asarray(held.values.field("sid")), held.values.field("s")
+                hashes, ends = np.asarray(each.flatten()).view(np.uint64), np.cumsum([len(x) for x in each])
+                own = [hashes[e - n : e] for e, n in zip(ends, np.diff(ends, prepend=0))]
+                order = np.argsort(ids)
+                p, q = (order[np.searchsorted(ids[order], np.asarray(x.values))] for x in (src, dst))
+                at = np.argsort(p, kind="stable")
+                p, q = p[at], q[at]
+                label = np.arange(len(ids))
+                for group in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
+                    one, others = own[p[group[0]]], q[group]
+                    n = np.array([len(own[x]) for x in others])
+                    both = np.concatenate([own[x] for x in others])
+                    here = one[np.minimum(np.searchsorted(one, both), len(one) - 1)] == both
+                    common = np.add.reduceat(here, np.cumsum(n) - n, dtype=np.int64)
+                    like = LEAST[1] * common >= LEAST[0] * (len(one) + n - common)
+                    union(label, p[group][like], others[like])
+                moved = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["src", "dst"])
+
+    asked = pairs.select("pair", F.explode(F.array_distinct(F.concat("src", "dst"))).alias("sid"))
+    rows = small(written(each.select("sid", *key).join(asked.select("sid").distinct(), "sid", "left_semi"), "asked-nodes"))
     found = docs.select(*key, F.col(text_col).alias("_text")).join(rows, key).select("sid", "_text").mapInArrow(sets, "sid long, s array<long>")
     found = written(found.dropDuplicates(["sid"]), "shingle-sets")  # equal rows share a key
-    left = pairs.join(found.select(F.col("sid").alias("src"), F.col("s").alias("s")), "src")
-    both = left.join(found.select(F.col("sid").alias("dst"), F.col("s").alias("t")), "dst")
-    return both.select("src", "dst", "s", "t").mapInArrow(similar, "src long, dst long")
+    held = asked.join(found, "sid").groupBy("pair").agg(F.collect_list(F.struct("sid", "s")).alias("held"))  # bounded by the blocks
+    return pairs.join(held, "pair").select("src", "dst", "held").mapInArrow(similar, "src long, dst long")
 
 
 def roots(found: DataFrame, docs: DataFrame, key: list[str], text_col: str = "text", words: int = 5) -> DataFrame:
