@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, small, written
+from .common import release_memory, written
 from .graph import connected_components, union
 from .simhash import SEED
 
@@ -32,6 +32,8 @@ SUB = (512, 4_096)
 FEW = 4
 #: Bytes of the shingle sets of a block whose pairs are checked together, about, and pairs at most.
 SET_BYTES, MOST_PAIRS = 2 << 20, 200_000
+#: Texts whose sets are handed on together.
+ROWS = 1_000
 #: Tile pairs that a task compares, about.
 PAIRS = 16
 NODE = "sid long, n int, a long, b long"
@@ -51,6 +53,10 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.array([digest(line[s:e], SEED) for s, e in zip(start, (end[words - 1 :] - 1).tolist())], np.uint64)
 
 
+def _text(value: pa.StringScalar) -> str | None:
+    return value.as_py()
+
+
 def node(h: np.ndarray) -> tuple[int, int, int, int]:
     """(digest of the set, its size, two fingerprints) of shingle hashes."""
     each = np.unique(h)
@@ -77,7 +83,7 @@ def nodes(docs: DataFrame, keep: list[str], text_col: str = "text", words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([node(shingles(t, words)) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).reshape(-1, 4)
+            found = np.array([node(shingles(t, words)) for t in map(_text, batch.column(batch.num_columns - 1))], np.uint64).reshape(-1, 4)
             sid, n, a, b = (np.ascontiguousarray(found[:, i]).view(np.int64) for i in range(4))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(sid), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b)],
@@ -180,6 +186,7 @@ def candidates(labelled: DataFrame, few: int | None) -> DataFrame:
                         name = f"{lo['p']}.{lo['q']}-{hi['p']}.{hi['q']}-{n}-{k}"
                         arrays = [pa.array([sides[e]["sid"][x[k : k + MOST_PAIRS]]], pa.list_(pa.int64())) for e, x in ((0, i), (-1, j))]
                         yield pa.RecordBatch.from_arrays([pa.array([name]), *arrays], names=["pair", "src", "dst"])
+        release_memory()
 
     return met.select("lo", "hi", "t").mapInArrow(run, "pair string, src array<long>, dst array<long>")
 
@@ -190,9 +197,10 @@ def checked(pairs: DataFrame, each: DataFrame, docs: DataFrame, key: list[str],
     pair of blocks that asks for it, however many partners it has there."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(shingles(t, words)).view(np.int64) for t in batch.column(1).to_pylist()]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            found = [np.unique(shingles(t, words)).view(np.int64) for t in map(_text, batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["sid", "s"])
+        release_memory()
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,10 +223,12 @@ def checked(pairs: DataFrame, each: DataFrame, docs: DataFrame, key: list[str],
                     union(label, p[group][like], others[like])
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["src", "dst"])
+        release_memory()
 
     asked = pairs.select("pair", F.explode(F.array_distinct(F.concat("src", "dst"))).alias("sid"))
-    rows = small(written(each.select("sid", *key).join(asked.select("sid").distinct(), "sid", "left_semi"), "asked-nodes"))
-    found = docs.select(*key, F.col(text_col).alias("_text")).join(rows, key).select("sid", "_text").mapInArrow(sets, "sid long, s array<long>")
+    rows = written(each.select("sid", *key).join(asked.select("sid").distinct(), "sid", "left_semi"), "asked-nodes")
+    # the same join at every size: the nodes that are asked for grow with the texts
+    found = docs.select(*key, F.col(text_col).alias("_text")).join(rows.hint("merge"), key).select("sid", "_text").mapInArrow(sets, "sid long, s array<long>")
     found = written(found.dropDuplicates(["sid"]), "shingle-sets")  # equal rows share a key
     held = asked.join(found, "sid").groupBy("pair").agg(F.collect_list(F.struct("sid", "s")).alias("held"))  # bounded by the blocks
     return pairs.join(held, "pair").select("src", "dst", "held").mapInArrow(similar, "src long, dst long")
