@@ -192,27 +192,36 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     an empty table gives an empty result. Texts are encoded whole, however long.
     """
 
+    return digests(docs, lambda: tokenizer(path, pattern), id_col, text_col, with_ids)
+
+
+def digests(docs: DataFrame, load, id_col: str, text_col: str, with_ids: bool = False) -> DataFrame:
+    """The rows of ``round_trip`` by the tokenizer that ``load`` gives in a worker: its ``leaves`` cut a text into matches and tell
+    of each how many ids it has, the ids in decimal and the bytes decoded from them; ``forget`` gives up what it remembers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path, pattern)
+        bpe = load()
         gc.disable()  # nothing here makes cycles, and what is remembered would be walked again and again
-        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            n, ids, decoded, told = [], [], [], []
-            for t in b.column(1):
-                found = bpe.leaves(t.as_py() or "")
-                n.append(sum([x[0] for x in found]))
-                decimal = b",".join([x[1] for x in found])
-                ids.append(hashlib.sha256(decimal).hexdigest())
-                if with_ids:
-                    told.append(np.fromstring(decimal, np.int32, sep=",") if decimal else np.empty(0, np.int32))
-                decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
-            made = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays(
-                made + [pa.array(told, pa.list_(pa.int32()))] * with_ids,
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
-            )
-        gc.enable()
-        bpe.forget()
-        release_memory()
+        try:
+            for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+                n, ids, decoded, told = [], [], [], []
+                for t in b.column(1):
+                    found = bpe.leaves(t.as_py() or "")
+                    n.append(sum([x[0] for x in found]))
+                    decimal = b",".join([x[1] for x in found])
+                    ids.append(hashlib.sha256(decimal).hexdigest())
+                    if with_ids:
+                        told.append(np.fromstring(decimal, np.int32, sep=",") if decimal else np.empty(0, np.int32))
+                    decoded.append(hashlib.sha256(b"".join([x[2] for x in found])).hexdigest())
+                made = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    made + [pa.array(told, pa.list_(pa.int32()))] * with_ids,
+                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids,
+                )
+        finally:  # also after an error or where no more rows are asked for: the worker lives on
+            gc.enable()
+            bpe.forget()
+            release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, langid, mixing, quality, simhash, suffix, url_filter, warc
+from . import ann, bpe, embedding_dedup, fill_middle, langid, mixing, prefix_bpe, quality, resample, simhash, suffix, url_filter, warc
 from .common import table
 
 URL_RULES = [
@@ -58,13 +58,38 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op11_fill_middle(spark, sf_dir):
+    """Digests of each document's fill-in-the-middle output, and of the text restored from output and form."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_importance_resampling(spark, sf_dir):
+    """Weights, scores and ranks of a quarter of the documents drawn towards the benchmark."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, seed=7)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_prefix_bpe(spark, sf_dir):
+    """Tokens of every document by the last token of each prefix, and what decoding gives."""
+    import public_tokenizers
+
+    return prefix_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_simhash_near_dedup, op2_byte_bpe, op3_suffix_array_dedup, op4_nearest_neighbours, op5_quality, op6_source_mixing,
-        op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id,
+        op7_arc_to_warc, op8_embedding_near_dedup, op9_url_filter, op10_language_id, op11_fill_middle, op12_importance_resampling,
+        op13_prefix_bpe,
     )
 }
 
+
 def _bucket(c: str, n: int) -> str:
     return f"CAST('0x' || substr(md5({c}), 1, 4) AS INT) % {n}"
 
@@ -178,4 +203,34 @@ p AS (SELECT page_id, url, row_number() OVER () AS n,
 f AS (SELECT p.n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.said, length(r.host || r.path)) AS said
       FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.n)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.said, 'allow') AS verdict FROM p LEFT JOIN f ON p.n = f.n""",
+    "op11_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS a, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
+    "op12_importance_resampling": r"""
+WITH RECURSIVE step(i, k, c) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+x AS (SELECT row_number() OVER () AS n, doc_id, text, TRUE AS ours FROM documents UNION ALL SELECT row_number() OVER () AS n, NULL, text, FALSE FROM benchmark),
+w AS (SELECT n, doc_id, ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+f AS (SELECT n, ours, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+h AS (SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM f)),
+b AS (SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM h, crc),
+c AS (SELECT n, ours, b FROM f JOIN b USING (f)),
+s AS (SELECT b, count(*) FILTER (WHERE ours) AS s, count(*) FILTER (WHERE NOT ours) AS t FROM c GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g FROM s),
+m AS (SELECT n, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM c JOIN g USING (b) WHERE ours GROUP BY n),
+r AS (SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM w LEFT JOIN m USING (n) WHERE ours),
+k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS k, 25 * count(*) FILTER (WHERE able) OVER () // 100 AS most FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= most THEN k END AS rank FROM k""",
 }
