@@ -27,6 +27,8 @@ from .common import Memory
 
 #: The place in the order of merges of what is never merged any more.
 NEVER = 1 << 60
+#: Matches, and pairs of tokens, that a worker remembers in each of two generations (some 300 bytes each).
+HELD = 200_000
 
 
 def alphabet() -> dict[str, int]:
@@ -61,12 +63,13 @@ class PrefixBPE:
             self.matches.add_word(t.decode("latin-1"), (i, len(t)))
         self.matches.make_automaton()
         self.decimal = {i: str(i).encode() for i in self.token}
+        self.size = {i: len(t) for i, t in self.token.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)").finditer
         self.find = regex.compile(pattern).findall
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._pairs, self._wholes, self._leaves = Memory(self._follows), Memory(self._stands), Memory(self._leaf)
+        self._pairs, self._wholes, self._leaves = Memory(self._follows, HELD), Memory(self._stands), Memory(self._leaf, HELD)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The parts that stand at one side of a token while it is made (0: left, 1: right), each with the merge that ends it."""
@@ -90,9 +93,9 @@ class PrefixBPE:
                     return True
         return False
 
-    def _follows(self, pair: tuple[int, int]) -> bool:
-        """Whether encoding the bytes of two tokens together gives just these two."""
-        return not self._torn(*pair)
+    def _follows(self, pair: int) -> bool:
+        """Whether encoding the bytes of two tokens (the left one in the high bits) together gives just these two."""
+        return not self._torn(pair >> 32, pair & 0xFFFFFFFF)
 
     def _stands(self, token: int) -> bool:
         """Whether encoding the bytes of a token gives this token."""
@@ -107,24 +110,26 @@ class PrefixBPE:
 
     def encode_match(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        last = array("i", [-1]) * (len(data) + 1)  # last[i]: the last token of the encoding of the first i bytes
+        n = len(data) + 1
+        last = array("i", [-1]) * n if n > SCAN else [-1] * n  # last[i]: the last token of the encoding of the first i bytes
         known, find = self._pairs.known, self._pairs.find
         for end, (token, size) in self.matches.iter(data.decode("latin-1")):
-            if last[end + 1] >= 0:
+            end += 1
+            if last[end] >= 0:
                 continue
-            if start := end + 1 - size:
-                pair = last[start], token
+            if start := end - size:
+                pair = last[start] << 32 | token
                 fits = known(pair)
                 if fits is None:
                     fits = find(pair)
             else:
                 fits = self.stands(token)
             if fits:
-                last[end + 1] = token
-        ids, at = [], len(data)
+                last[end] = token
+        ids, at, size = [], len(data), self.size
         while at:
-            ids.append(last[at])
-            at -= len(self.token[last[at]])
+            ids.append(token := last[at])
+            at -= size[token]
         return ids[::-1]
 
     def _leaf(self, match: str) -> tuple[int, bytes, bytes]:
