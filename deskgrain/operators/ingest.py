@@ -10,12 +10,6 @@ from deskgrain.functions import dims
 from deskgrain.functions import text as T
 from deskgrain.functions.frames import small
 
-# Characters that are replaced when a page becomes plain text.
-ONE_TO_ONE = ("’‘“”• ", "''\"\"- ")
-DROPPED = "[​‌‍﻿]"
-LONGER = {"[–—]": " - ", "→": "->", "←": "<-"}
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
 
 def parse_title(raw: Column) -> Column:
     """``Product | Title`` as (product, title, platform); without a bar there is no product."""
@@ -53,35 +47,6 @@ def canonical(df: DataFrame, col: str, aliases: DataFrame, default: str, out: st
     ).drop("_alias", "_canonical")
 
 
-def html_plain(html: Column) -> Column:
-    """Plain ASCII text of a page: scripts and styles out, typographic characters by their ASCII kin, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(F.translate(t, *ONE_TO_ONE), DROPPED, "")
-    for pattern, by in LONGER.items():
-        t = F.regexp_replace(t, pattern, by)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\x00-\x7F]", ""), r"[ \t\n\r\f\x0B]+", " "))
-
-
-def html_page(html: Column) -> Column:
-    """(title, body, rejected): visible text with line breaks at headings, paragraphs, items and rows; rejected below five words."""
-    h = F.coalesce(html, F.lit(""))
-    title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    for entity, char in ENTITIES.items():
-        title = F.replace(title, F.lit(entity), F.lit(char))
-    title = T.collapse(title)
-    t = F.regexp_replace(h, r"(?is)<(script|style|nav|footer|title)\b[^>]*>.*?</(script|style|nav|footer|title)>", "")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->|<![^>]*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\n\r\f]+", " "), r"(?i)</?(h1|h2|h3|p|li|tr)(\s[^>]*)?>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    body = F.array_join(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
-    return F.struct(title.alias("title"), body.alias("body"), (T.word_count(body) < 5).alias("rejected"))
-
-
 def is_table(p: Column) -> Column:
     """Whether a paragraph is a pipe table: two lines with a bar, one of them a separator."""
     lines = F.filter(F.split(p, "\n"), lambda x: F.trim(x) != "")

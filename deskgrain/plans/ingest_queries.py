@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from deskgrain.functions import dims
 from deskgrain.functions import text as T
+from deskgrain.operators import html
 from deskgrain.operators import ingest as I
 from deskgrain.operators import planning as P
 from deskgrain.operators import retrieval as R
@@ -63,42 +66,65 @@ def document_slugs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"), T.sha256(F.col("text")).alias("document_hash"))
 
 
-def _entities(c: str) -> str:
-    for e, ch in I.ENTITIES.items():
-        c = f"replace({c}, '{e}', {RX(ch)})"
-    return c
+def _unescaped(c: str) -> str:
+    """All references with a semicolon that the standard table names, and decimal numbers, replaced one after the other."""
+    names = {n: v for n, v in html5.items() if n.endswith(";") and len(v) == 1}
+    known = "MAP {" + ", ".join(f"{RX('&' + n)}: {RX(v)}" for n, v in sorted(names.items())) + "}"
+    found = rf"list_filter(list_distinct(regexp_extract_all({c}, '&(#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);')), lambda e: e <> '&amp;')"
+    by = rf"coalesce(try({known}[e]), try(chr(CAST(regexp_extract(e, '^&#([0-9]+);$', 1) AS INT))), e)"
+    return f"replace(list_reduce({found}, lambda t, e: replace(t, e, {by}), {c}), '&amp;', '&')"
+
+
+#: Pages cut at each "<": pieces of markup, which ends at the first ">" that no quote holds, and text. A piece within a script or
+#: style belongs to it; a nested hidden element counts; depths come from running sums instead of a fold.
+_PIECES = rf"""
+WITH RECURSIVE s AS (SELECT page_id, string_split(coalesce(html, ''), '<') AS p FROM pages),
+c AS (SELECT page_id, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS piece FROM s),
+o AS (SELECT *, regexp_matches(piece, '^(script|style)[ >]') AS opens, regexp_matches(piece, '^/(script|style)>') AS shuts FROM c),
+r AS (SELECT *, coalesce(max(CASE WHEN opens THEN i END) OVER before, -1) > coalesce(max(CASE WHEN shuts THEN i END) OVER before, -1) AND NOT shuts AS raw
+  FROM o WINDOW before AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT page_id, i, lower(regexp_extract(piece, '^(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag,
+  CASE WHEN i = 0 THEN piece WHEN starts_with(piece, '!--') THEN regexp_extract(piece, '^!--.*?-->(.*)$', 1, 's') ELSE regexp_extract(piece, '^[^>]*>(.*)$', 1, 's') END AS body
+  FROM r WHERE NOT raw),
+k AS (SELECT *, CASE WHEN tag IN ('nav', 'footer', 'script', 'style') THEN 1 WHEN tag IN ('/nav', '/footer', '/script', '/style') THEN -1 ELSE 0 END AS step FROM t),
+d AS (SELECT *, sum(step) OVER w AS open, coalesce(max(CASE WHEN tag = 'title' THEN i END) OVER w, -1) > coalesce(max(CASE WHEN tag = '/title' THEN i END) OVER w, -1) AS named
+  FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING))"""
+
+
+def _collapsed(c: str) -> str:
+    return rf"trim(regexp_replace({c}, '[\t-\r\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}]+', ' ', 'g'))"
 
 
-def _plain_sql(c: str) -> str:
-    t = rf"regexp_replace(coalesce({c}, ''), '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis')"
-    t = rf"regexp_replace(regexp_replace({t}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs')"
-    t = f"regexp_replace(translate({_entities(t)}, {RX(I.ONE_TO_ONE[0])}, {RX(I.ONE_TO_ONE[1])}), '{I.DROPPED}', '', 'g')"
-    for p, by in I.LONGER.items():
+def _plain_sql() -> str:
+    t = f"translate({_unescaped('raw')}, {RX(html.ONE_TO_ONE[0])}, {RX(html.ONE_TO_ONE[1])})"
+    for p, by in {html.DROPPED: "", **html.LONGER}.items():
         t = f"regexp_replace({t}, '{p}', '{by}', 'g')"
-    return rf"trim(regexp_replace(regexp_replace({t}, '[^\x00-\x7F]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+    t = rf"trim(regexp_replace(regexp_replace({t}, '[^\x00-\x7F]', '', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+    return rf"""{_PIECES},
+j AS (SELECT page_id, string_agg(CASE WHEN tag IN ('script', 'style') THEN '' ELSE body END, ' ' ORDER BY i) AS raw FROM d GROUP BY page_id)
+SELECT page_id, {t} AS plain FROM j"""
 
 
-@query(f"SELECT page_id, {_plain_sql('html')} AS plain FROM pages")
+@query(_plain_sql())
 def html_plain_text(spark, sf):
     """A4: pages as plain ASCII text."""
-    return table(spark, sf, "pages").select("page_id", I.html_plain(F.col("html")).alias("plain"))
+    return table(spark, sf, "pages").select("page_id", html.html_plain(F.col("html")).alias("plain"))
 
 
 def _page_sql() -> str:
-    t = r"regexp_replace(html, '<(script|style|nav|footer|title)\b[^>]*>.*?</(script|style|nav|footer|title)>', '', 'gis')"
-    t = rf"regexp_replace({t}, '<!--.*?-->|<![^>]*>', '', 'gs')"
-    t = rf"regexp_replace(regexp_replace({t}, '[ \t\n\r\f]+', ' ', 'g'), '</?(h1|h2|h3|p|li|tr)(\s[^>]*)?>', chr(10), 'gi')"
-    t = _entities(f"regexp_replace({t}, '<[^>]*>', '', 'g')")
-    title = _entities("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')")
-    title = rf"trim(regexp_replace({title}, '[ \t\n\r\f\v]+', ' ', 'g'))"
-    return f"WITH p AS (SELECT page_id, {title} AS title, array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM pages) SELECT page_id, title, body, len({words_sql('body')}) < 5 AS rejected FROM p"
+    return rf"""{_PIECES},
+v AS (SELECT *, {_collapsed(_unescaped('body'))} AS text, regexp_matches(tag, '^/?(h1|h2|h3|p|li|tr)$') AND open <= 0 AS breaks FROM d),
+g AS (SELECT page_id, coalesce(string_agg(text, ' ' ORDER BY i) FILTER (WHERE named AND text <> ''), '') AS title,
+  string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || CASE WHEN open > 0 OR named THEN '' ELSE text END, '' ORDER BY i) AS body FROM v GROUP BY page_id),
+b AS (SELECT page_id, title, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS body FROM g)
+SELECT page_id, title, body, len({words_sql('body')}) < 5 AS rejected FROM b"""
 
 
 @query(_page_sql())
 def html_pages(spark, sf):
     """A3: title and visible text of pages, rejected below five words."""
-    p = I.html_page(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", p["title"].alias("title"), p["body"].alias("body"), p["rejected"].alias("rejected"))
+    p = html.html_page(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", p.alias("p")).select("page_id", "p.title", "p.body", "p.rejected")
 
 
 @query(r"""WITH p AS (SELECT p_partkey, p_brand || ' | ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' mobile app' ELSE '' END AS raw,

@@ -50,13 +50,6 @@ def test_reingest_plan_actions(spark):
     assert [r["chunk_id"] for r in dead] == ["b:0"] and dead[0]["superseded_by"] == "b:5"
 
 
-def test_html(spark):
-    page = "<html><head><title>A &amp; B</title><style>x{}</style></head><body><nav>menu</nav><h1>Head</h1><p>One two three four five.</p><script>bad()</script></body></html>"
-    r = spark.createDataFrame([(page,), ("<p>hi</p>",), (None,)], "h string").select(I.html_page(F.col("h")).alias("p")).select("p.*").collect()
-    assert (r[0]["title"], r[0]["body"], r[0]["rejected"]) == ("A & B", "Head\nOne two three four five.", False)
-    assert r[1]["rejected"] and r[2]["rejected"]
-
-
 def test_manifest_reports_every_defect(spark):
     base = dict(
         row_number=1, source_id="s", source_title="t", source_type="csv", source_authority="approved", is_approved="true",
