@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from deskgrain.functions import dims
 from deskgrain.functions import text as T
+from deskgrain.functions.frames import new_folder
+from deskgrain.operators import inverted
 from deskgrain.operators import retrieval as R
 
 from .common import AS_OF, WS, book, pick, table
@@ -115,6 +117,17 @@ def bm25_topk(spark, sf):
     return R.bm25(_chunk_table(spark, sf), q, k=3)
 
 
+@query(_bm25_sql("0", "SELECT 0 AS scope, item_id AS question_id, text AS question FROM benchmark"))
+def indexed_bm25_topk(spark, sf):
+    """The same from a stored index, which the chunks in English make and a second batch of all others extends."""
+    folder, chunks = new_folder(spark, "bm25-index"), _chunk_table(spark, sf)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for part in (english, ~english):
+        inverted.add(chunks.where(part), folder)
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    return inverted.search(q, folder, k=3)
+
+
 @query(_bm25_sql("lang", "SELECT lang AS scope, item_id AS question_id, text AS question FROM benchmark, (VALUES ('en')) l(lang)"))
 def bm25_scoped_topk(spark, sf):
     """BM25 with statistics of one scope, the chunks of the question's language."""
