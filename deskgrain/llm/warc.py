@@ -16,6 +16,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -101,32 +102,77 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(*cols).mapInArrow(run, "name string, content binary")
 
 
+def _header(line: str, fields: list[str]) -> dict[str, str]:
+    """The fields of a header line. URL and content type may hold spaces: the date is the last field of digits before those that
+    stand behind the content type, and the address stands before it. No fields if there is no such date or length."""
+    values, behind = line.strip().split(" "), len(fields) - fields.index("Content-type") - 1
+    dates = [i for i in range(2, len(values) - behind) if _date(values[i])]
+    if not dates or not values[-1].isascii() or not values[-1].isdigit():
+        return {}
+    at = dates[-1]
+    parts = [" ".join(values[: at - 1]), *values[at - 1 : at + 1], " ".join(values[at + 1 : len(values) - behind]), *values[len(values) - behind :]]
+    return dict(zip(fields, parts))
+
+
+_date = re.compile(r"[0-9]{8,14}").fullmatch
+
+
 def read_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
     """(fields of the header line, declared bytes, place in the file) of every record after the version block.
 
-    Header lines are read byte by byte (Latin-1), payloads not at all.
+    Header lines are read byte by byte (Latin-1), payloads not at all. Files of gzip members (``.arc.gz``) are unpacked; places
+    are those in the unpacked file. An empty file has no records. Where a header line or a length cannot be read, or the file
+    ends before a record does, one last item has the field ``Error`` and all bytes from there on.
     """
-    line_end = content.index(b"\n")
-    length = int(content[:line_end].rsplit(b" ", 1)[1])
-    block = content[line_end + 1 : line_end + 1 + length].decode("latin-1")
+    if content[:2] == b"\x1f\x8b":
+        z, unpacked = zlib.decompressobj(31), []
+        while content:
+            try:
+                unpacked.append(z.decompress(content))
+            except zlib.error:  # what was unpacked before is still read
+                break
+            content, z = z.unused_data, zlib.decompressobj(31)
+        content = b"".join(unpacked)
+    if not content.strip():
+        return
+    first, _, rest = content.partition(b"\n")
+    length = first.rsplit(b" ", 1)[-1].strip()
+    block = rest[: int(length)].decode("latin-1") if length.isdigit() else ""
+    if len(block.split("\n")) < 2 or block.split(" ", 1)[0] not in map(str, ARC_FIELDS):
+        yield {"Error": "no version block of a known version"}, content, 0
+        return
     fields = block.split("\n")[1].strip().split(" ")
-    if int(block.split(" ", 1)[0]) not in ARC_FIELDS:
-        raise ValueError(f"ARC version {block.split(' ', 1)[0]} is not known")
-    at = line_end + 1 + length + 1
+    if fields != ARC_FIELDS[int(block.split(" ", 1)[0])].split(" "):
+        yield {"Error": "the version block names other fields"}, content, 0
+        return
+    at = len(first) + 1 + int(length)
     while at < len(content):
         if content[at] in b"\r\n":  # blank lines between records
             at += 1
             continue
-        end = content.index(b"\n", at)
-        values = content[at:end].decode("latin-1").strip().split(" ")
-        if len(values) != len(fields):
-            raise ValueError(f"{len(values)} values for {len(fields)} fields in an ARC header line")
-        head = dict(zip(fields, values))
-        size = int(head["Archive-length"])
-        if end + 1 + size > len(content):
-            raise ValueError("an ARC record is shorter than declared")
+        end = content.find(b"\n", at)
+        head = _header(content[at : end if end >= 0 else len(content)].decode("latin-1"), fields)
+        size = int(head["Archive-length"]) if head else 0
+        if end < 0 or not head or end + 1 + size > len(content):
+            yield {"Error": "a record is shorter than declared" if head else "a header line cannot be read"}, content[at:], at
+            return
         yield head, content[end + 1 : end + 1 + size], at
-        at = end + 1 + size + 1
+        at = end + 1 + size
+
+
+def arc_errors(files: DataFrame) -> DataFrame:
+    """(name, place, bytes, message): what ``convert_arc`` leaves out of ARC files (name, content), one row a file at most: from
+    a header line or length that cannot be read, or a record that the file ends within, to the file's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                for head, rest, at in read_arc(content.as_py() or b""):
+                    if "Error" in head:
+                        row = [name], [at], [len(rest)], [head["Error"]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["name", "place", "bytes", "message"])
+
+    return files.select("name", "content").mapInArrow(run, "name string, place long, bytes long, message string")
 
 
 def _sha1(data: bytes) -> str:
@@ -161,8 +207,8 @@ def convert_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of ARC files (name, content), with all that their WARC records need; without ``payloads`` only who they are.
 
     Payloads are bytes of any encoding. A block that starts as an HTTP answer is a response (its header ends at the first
-    blank line), any other a resource. Files of no records give none; an unknown version, a header line of other fields or a
-    record shorter than declared is an error. Equal records in two places have two identifiers.
+    blank line), any other a resource. Null and empty files give none, and neither does what cannot be read, which ``arc_errors``
+    lists. Equal records in two places have two identifiers.
     """
     fields = [f.split(" ") for f in (RECORD if payloads else IDS).split(", ")]
 
@@ -174,7 +220,9 @@ def convert_arc(files: DataFrame, payloads: bool = True) -> DataFrame:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows: list[tuple] = []
                 size = 0
-                for head, block, at in read_arc(content.as_py()):
+                for head, block, at in read_arc(content.as_py() or b""):
+                    if "Error" in head:
+                        continue
                     http, payload = _split(block)
                     d = head["Archive-date"].ljust(14, "0")
                     who = uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}")

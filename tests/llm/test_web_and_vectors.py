@@ -74,8 +74,8 @@ def test_arc_versions_and_damage():
         got = list(warc.read_arc(data))
         assert [h["Archive-date"] for h, _, _ in got] == ["20240102030405"] * 2 and got[0][1].endswith(b"\r\n\r\none\n\ntwo")
         assert got[0][0]["URL"] == "http://a/%C3%BC"
-        with pytest.raises(ValueError):
-            list(warc.read_arc(data[:-8]))
+        cut = list(warc.read_arc(data[:-8]))  # what stands before the damage is kept
+        assert cut[0] == got[0] and cut[1][0] == {"Error": "a record is shorter than declared"} and len(cut) == 2
 
 
 LATIN, BINARY = "é ü".encode("latin-1") * 400, bytes(range(256)) * 8
@@ -91,6 +91,32 @@ def members(raw):
     return found
 
 
+def test_arc_files_as_they_are_found(spark):
+    """Empty and compressed files, spaces in addresses and content types, and files that break off."""
+    import gzip
+
+    head = warc.arc_head(1, "a.arc", "20240101000000")
+    odd = b"http://h/a b 20230101 c.html 10.0.0.1 20240102030405 text/html; charset=utf-8 5\nhello\n"
+    plain = b"http://h/x 10.0.0.1 20240102030405 text/plain 3\nabc\n"
+    second = warc.arc_head(2, "b.arc", "20240101000000") + b"http://h/q r 1.1.1.1 20240102030405 a b; c 200 - - 0 b.arc 2\nok\n"
+    files = {
+        "empty": b"", "blank": b"\n\n", "gz": b"".join(gzip.compress(x) for x in (head, odd, plain)), "plain": head + odd + b"\r\n\n" + plain, "two": second,
+        "cut gz": gzip.compress(head + plain) + gzip.compress(odd)[:-12], "no arc": b"<html>", "no length": head + plain + b"http://h/x 1.1.1.1 20240102030405 text/plain x\nabc\n",
+        "no date": head + b"http://h/x 1.1.1.1 text/plain 3\nabc\n" + plain, "no end": head + plain + b"http://h/x 1", "other": b"filedesc://x 0 20240101 text/plain 9\n7 0 x\nURL",
+    }
+    d = spark.createDataFrame([*files.items(), (None, None)], "name string, content binary")
+    got = {}
+    for r in warc.convert_arc(d).collect():
+        got.setdefault((r["uri"], r["content_type"], bytes(r["payload"])), 0)
+        got[r["uri"], r["content_type"], bytes(r["payload"])] += 1
+    # a gzip member that breaks off may give its last bytes or not
+    assert got.pop(("http://h/a%20b%2020230101%20c.html", "text/html; charset=utf-8", b"hello")) in (2, 3)
+    assert got == {("http://h/x", "text/plain", b"abc"): 5, ("http://h/q%20r", "a b; c", b"ok"): 1}
+    errors = {r["name"]: r["message"] for r in warc.arc_errors(d).collect()}
+    assert set(errors) - {"cut gz"} == {"no arc", "no length", "no date", "no end", "other"}
+    assert errors["no arc"] == "no version block of a known version" and errors["no date"] == "a header line cannot be read"
+
+
 def test_archives_of_any_bytes(spark, tmp_path):
     def file(version, records):
         name, date = f"old{version}.arc", "20010203040506"
