@@ -20,7 +20,7 @@ PRODUCTION_TARGETS = [
 GUARDRAILS = [("p95_latency_ms", "increase", 0.10), ("avg_cost_usd", "increase", 0.15), ("recall", "drop", 0.0), ("hard_failures", "increase", 0.0)]
 RISES_ARE_BAD = (
     "avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "total_cost_usd", "avg_cost_usd", "validation_failure_count",
-    "hard_failure_count",
+    "hard_failure_count", "forbidden_point_violation_count",
 )
 
 
@@ -133,13 +133,27 @@ def point_hits(answers: DataFrame, points: DataFrame, id_col: str, text_col: str
     )
 
 
+#: Columns that results may have beyond those every result has.
+OPTIONAL = {
+    "answer_text": "string", "tokens_in": "double", "tokens_out": "double", "faithfulness_score": "double",
+    "context_relevance_score": "double", "answer_relevance_score": "double",
+}
+
+
 def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row for each result with its metrics and hard failures.
 
     golden: ticket_id, expected_route, expected_confidence_band, expected_source_ids, forbidden_source_ids,
-    review_required_expected. results: ticket_id, route, confidence_band, abstained, validation_passed, cited_source_ids,
-    customer_cited (may be null), retrieved_source_ids, unapproved, raw_citations, unsupported, latency_ms, cost_usd, total_tokens.
+    review_required_expected, and, if there are any, must_include_points and must_not_include_points. results: ticket_id, route,
+    confidence_band, abstained, validation_passed, cited_source_ids, customer_cited (may be null), retrieved_source_ids, unapproved,
+    raw_citations, unsupported, latency_ms, cost_usd, total_tokens, and, if there are any, the columns of ``OPTIONAL``.
+
+    Blank points are none. Points are judged only where there is an answer: coverage is null without one or without points.
     """
+    for c, kind in OPTIONAL.items():
+        results = results if c in results.columns else results.withColumn(c, F.lit(None).cast(kind))
+    for c in ("must_include_points", "must_not_include_points"):
+        golden = golden if c in golden.columns else golden.withColumn(c, F.lit(None).cast("array<string>"))
     g = expected_groups(golden, aliases)
     j = results.join(g, "ticket_id", "left").withColumn("known", F.col("expected_route").isNotNull())
     none = F.array().cast("array<string>")
@@ -155,6 +169,12 @@ def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFram
         F.when(F.size(F.array_except("cited", F.coalesce("allowed", none))) > 0, "unallowed source cited"),
     ))
     red = F.col("expected_confidence_band") == "red"
+    answered = F.coalesce(F.col("answer_text") != "", F.lit(False))
+
+    def points(c: str) -> Column:
+        return F.filter(F.coalesce(F.col(c), none), lambda p: normal(p) != "")
+
+    must, never = points("must_include_points"), points("must_not_include_points")
     return j.select(
         "ticket_id", "known", F.col("retrieved_source_ids"), "cited", "allowed", "latency_ms", "cost_usd", "total_tokens",
         "abstained", "validation_passed",
@@ -170,6 +190,9 @@ def judge(golden: DataFrame, results: DataFrame, aliases: DataFrame) -> DataFram
         (F.col("confidence_band") == F.col("expected_confidence_band")).alias("band_hit"),
         (F.col("abstained") == (F.col("review_required_expected") & red)).alias("abstention_hit"),
         (~F.col("validation_passed") & ~(F.col("review_required_expected") | red)).alias("validation_failure"), fail.alias("failures"),
+        F.when(answered & (F.size(must) > 0), points_found(F.col("answer_text"), must) / F.size(must)).alias("point_coverage"),
+        F.when(answered, points_found(F.col("answer_text"), never)).otherwise(0).alias("point_violations"),
+        *[c for c in OPTIONAL if c != "answer_text"],
     )
 
 
@@ -189,6 +212,10 @@ def summary(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
         avg("validation_passed").alias("validation_pass_rate"),
         avg("latency_ms").alias("avg_latency_ms"), avg("total_tokens").alias("avg_total_tokens"),
         F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"), avg("cost_usd").alias("avg_cost_usd"),
+        avg("point_coverage").alias("required_point_coverage"), F.sum("point_violations").alias("forbidden_point_violation_count"),
+        avg("faithfulness_score").alias("ragas_faithfulness"), avg("context_relevance_score").alias("triad_context_relevance"),
+        avg("faithfulness_score").alias("triad_groundedness"), avg("answer_relevance_score").alias("triad_answer_relevance"),
+        avg("tokens_in").alias("avg_tokens_in"), avg("tokens_out").alias("avg_tokens_out"),
         F.sum(F.col("validation_failure").cast("long")).alias("validation_failure_count"), F.sum(F.size("failures")).alias("hard_failure_count"),
     )
     p = percentiles(k, by, "latency_ms", [0.5, 0.95])

@@ -25,13 +25,14 @@ def aliases(spark):
 
 def golden(spark, sf):
     q = F.col("ticket_id")
-    t = candidates(spark, sf).select(F.col("question_id").alias("ticket_id")).distinct()
+    t = candidates(spark, sf).groupBy(F.col("question_id").alias("ticket_id")).agg(F.min_by("content", "chunk_id").alias("content"))
     band = F.when(q % 3 == 0, "red").when(q % 3 == 1, "yellow").otherwise(F.when(q % 5 == 0, "blue").otherwise("green"))
     return t.select(
         "ticket_id", F.when(q % 25 != 24, pick(ROUTE_NAMES, q % 8)).alias("expected_route"),
         band.alias("expected_confidence_band"), F.array(src(0), src(7)).alias("expected_source_ids"),
         F.array(F.when(q % 10 == 0, src(7)).otherwise(src(1))).alias("forbidden_source_ids"),
-        (q % 2 == 0).alias("review_required_expected"),
+        (q % 2 == 0).alias("review_required_expected"), F.array(F.upper(F.substring("content", 1, 30)), F.lit(" THE ")).alias("must_include_points"),
+        F.array(F.lit("the  the"), F.lit("  "), F.lit("que")).alias("must_not_include_points"),
     )
 
 
@@ -39,26 +40,31 @@ def results(spark, sf):
     q = F.col("ticket_id")
     r = R.top_k(candidates(spark, sf), 10).groupBy(F.col("question_id").alias("ticket_id")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "source_id"))).alias("r"), F.sum(F.length("content")).alias("chars"),
+        F.min_by("content", "rank").alias("answer"),
     )
     ids = F.transform("r", lambda x: x["source_id"])
     return r.select("ticket_id", pick(ROUTE_NAMES, (q + F.when(q % 5 == 0, 1).otherwise(0)) % 8).alias("route"), F.when(q % 3 == 0, "red").when(q % 4 == 0, "yellow").otherwise("green").alias("confidence_band"), (q % 6 == 0).alias("abstained"), (q % 4 != 1).alias("validation_passed"), F.slice(ids, 1, 3).alias("cited_source_ids"), F.when(q % 4 != 0, F.slice(ids, 1, 2)).alias("customer_cited"), ids.alias("retrieved_source_ids"),
-                    (q % 11 == 0).cast("int").alias("unapproved"), F.lit(0).alias("raw_citations"), (q % 9 == 0).cast("int").alias("unsupported"), (F.col("chars") % 5000).cast("double").alias("latency_ms"), ((F.col("chars") % 1000) / 100000).alias("cost_usd"), (F.col("chars") / 4).alias("total_tokens"))
+                    (q % 11 == 0).cast("int").alias("unapproved"), F.lit(0).alias("raw_citations"), (q % 9 == 0).cast("int").alias("unsupported"), (F.col("chars") % 5000).cast("double").alias("latency_ms"), ((F.col("chars") % 1000) / 100000).alias("cost_usd"), (F.col("chars") / 4).alias("total_tokens"), F.col("answer").alias("answer_text"), (F.col("chars") / 8).alias("tokens_in"), F.when(q % 3 != 0, F.col("chars") / 8).alias("tokens_out"), F.when(q % 3 != 1, (F.col("chars") % 100) / 100).alias("faithfulness_score"), ((F.col("chars") % 8) / 8).alias("context_relevance_score"), ((F.col("chars") % 4) / 4).alias("answer_relevance_score"))
+
+
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), {WS}, ' ', 'g'))"
 
 
 RES = f"""{CAND}, al(source_id, alias) AS (VALUES ('src1', 'src2'), ('src1', 'src3'), ('src8', 'src9')),
-g AS (SELECT DISTINCT question_id AS t, 'src' || (question_id % 20) AS e1, 'src' || ((question_id + 7) % 20) AS e2,
+g AS (SELECT question_id AS t, upper(arg_min(content, chunk_id)[1:30]) AS point, 'src' || (question_id % 20) AS e1, 'src' || ((question_id + 7) % 20) AS e2,
   CASE WHEN question_id % 25 <> 24 THEN ({_list(ROUTE_NAMES)})[1 + question_id % 8] END AS xr,
   CASE WHEN question_id % 3 = 0 THEN 'red' WHEN question_id % 3 = 1 THEN 'yellow' WHEN question_id % 5 = 0 THEN 'blue' ELSE 'green' END AS xb,
   CASE WHEN question_id % 10 = 0 THEN 'src' || ((question_id + 7) % 20) ELSE 'src' || ((question_id + 1) % 20) END AS fb, question_id % 2 = 0 AS rv
-  FROM cand),
+  FROM cand GROUP BY question_id),
 gg AS (SELECT g.*, [e1] || coalesce((SELECT list(alias)
   FROM al
   WHERE source_id = e1), []) AS g1, [e2] || coalesce((SELECT list(alias)
   FROM al
   WHERE source_id = e2), []) AS g2
   FROM g),
-r AS (SELECT question_id AS t, list(source_id ORDER BY rank) AS ids, sum(length(content)) AS chars FROM ranked WHERE rank <= 10 GROUP BY question_id),
-rr AS (SELECT t, ids, ({_list(ROUTE_NAMES)})[1 + (t + CASE WHEN t % 5 = 0 THEN 1 ELSE 0 END) % 8] AS route,
+r AS (SELECT question_id AS t, list(source_id ORDER BY rank) AS ids, sum(length(content)) AS chars, coalesce(arg_min(content, rank), '') AS answer FROM ranked WHERE rank <= 10 GROUP BY question_id),
+rr AS (SELECT t, ids, chars, answer, ({_list(ROUTE_NAMES)})[1 + (t + CASE WHEN t % 5 = 0 THEN 1 ELSE 0 END) % 8] AS route,
   CASE WHEN t % 3 = 0 THEN 'red' WHEN t % 4 = 0 THEN 'yellow' ELSE 'green' END AS band, t % 6 = 0 AS ab, t % 4 <> 1 AS ok,
   CAST(chars % 5000 AS DOUBLE) AS lat, (chars % 1000) / 100000.0::DOUBLE AS cost, chars / 4.0::DOUBLE AS tok,
   CASE WHEN t % 6 = 0 THEN [] WHEN t % 4 <> 0 THEN list_distinct(ids[1:2]) ELSE list_distinct(ids[1:3]) END AS cited
@@ -67,11 +73,14 @@ j0 AS (SELECT rr.*, gg.* EXCLUDE (t), gg.xr IS NOT NULL AS known, g1 || g2 AS al
 j AS (SELECT *, (list_has_any(g1, ids[1:1])::INT + list_has_any(g2, ids[1:1])::INT) / 2.0::DOUBLE AS r1, (list_has_any(g1, ids[1:3])::INT + list_has_any(g2, ids[1:3])::INT) / 2.0::DOUBLE AS r3, (list_has_any(g1, ids[1:5])::INT + list_has_any(g2, ids[1:5])::INT) / 2.0::DOUBLE AS r5, (list_has_any(g1, ids)::INT + list_has_any(g2, ids)::INT) / 2.0::DOUBLE AS ra,
  coalesce(1.0::DOUBLE / list_min(list_filter(range(1, len(ids) + 1), lambda i: list_contains(allowed, ids[i]))), 0) AS rrk, len(list_intersect(list_distinct(ids), allowed)) / len(list_distinct(ids))::DOUBLE AS sp, (list_has_any(g1, cited)::INT + list_has_any(g2, cited)::INT) / 2.0::DOUBLE AS cr,
  CASE WHEN len(cited) > 0 THEN len(list_intersect(cited, allowed)) / len(cited)::DOUBLE WHEN t % 4 <> 0 THEN 1.0 END AS cp,
- CASE WHEN NOT known THEN 1 ELSE 0 END + CASE WHEN list_contains(cited, fb) THEN 1 ELSE 0 END + CASE WHEN t % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN t % 9 = 0 AND NOT ab THEN 1 ELSE 0 END + CASE WHEN band = 'red' AND NOT ab THEN 1 ELSE 0 END + CASE WHEN len(list_filter(cited, lambda s: NOT list_contains(coalesce(allowed, []), s))) > 0 THEN 1 ELSE 0 END AS nf
+ CASE WHEN NOT known THEN 1 ELSE 0 END + CASE WHEN list_contains(cited, fb) THEN 1 ELSE 0 END + CASE WHEN t % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN t % 9 = 0 AND NOT ab THEN 1 ELSE 0 END + CASE WHEN band = 'red' AND NOT ab THEN 1 ELSE 0 END + CASE WHEN len(list_filter(cited, lambda s: NOT list_contains(coalesce(allowed, []), s))) > 0 THEN 1 ELSE 0 END AS nf,
+ CASE WHEN answer <> '' THEN CASE WHEN trim(point) <> '' THEN (contains({_norm('answer')}, {_norm('point')})::INT + contains({_norm('answer')}, 'the')::INT) / 2.0::DOUBLE ELSE contains({_norm('answer')}, 'the')::INT::DOUBLE END END AS cov,
+ contains({_norm('answer')}, 'the the')::INT + contains({_norm('answer')}, 'que')::INT AS viol
   FROM j0)"""
 avg = lambda c: f"round(avg({c}), 4)"
 SUMMARY = f"""sm AS (SELECT count(*) AS evaluated, {avg('r1')} AS retrieval_recall_at_1, {avg('r3')} AS retrieval_recall_at_3, {avg('r5')} AS retrieval_recall_at_5, {avg('ra')} AS retrieval_recall, {avg('rrk')} AS mean_reciprocal_rank, {avg('sp')} AS source_precision, {avg('cr')} AS citation_recall, {avg('cp')} AS citation_precision, {avg('(route = xr)::INT')} AS route_accuracy, {avg('(band = xb)::INT')} AS confidence_band_accuracy,
  {avg("(ab = (rv AND xb = 'red'))::INT")} AS abstention_accuracy, {avg('ab::INT')} AS fallback_rate, {avg('ok::INT')} AS validation_pass_rate, {avg('lat')} AS avg_latency_ms, round(quantile_cont(lat, 0.5), 4) AS p50_latency_ms, round(quantile_cont(lat, 0.95), 4) AS p95_latency_ms, {avg('tok')} AS avg_total_tokens, round(sum(cost), 6) AS total_cost_usd, {avg('cost')} AS avg_cost_usd,
+ {avg('cov')} AS required_point_coverage, CAST(sum(viol) AS BIGINT) AS forbidden_point_violation_count, {avg('CASE WHEN t % 3 <> 1 THEN (chars % 100) / 100.0::DOUBLE END')} AS ragas_faithfulness, {avg('(chars % 8) / 8.0::DOUBLE')} AS triad_context_relevance, {avg('CASE WHEN t % 3 <> 1 THEN (chars % 100) / 100.0::DOUBLE END')} AS triad_groundedness, {avg('(chars % 4) / 4.0::DOUBLE')} AS triad_answer_relevance, {avg('chars / 8.0::DOUBLE')} AS avg_tokens_in, {avg('CASE WHEN t % 3 <> 0 THEN chars / 8.0::DOUBLE END')} AS avg_tokens_out,
  CAST(sum((NOT ok AND NOT (rv OR xb = 'red'))::INT) AS BIGINT) AS validation_failure_count, CAST(sum(nf) AS BIGINT) AS hard_failure_count FROM j WHERE known)"""
 
 
@@ -115,12 +124,17 @@ def evaluation_summary(spark, sf):
     return V.summary(_judged(spark, sf))
 
 
-METRICS = ["retrieval_recall_at_3", "retrieval_recall_at_5", "source_precision", "hard_failure_count", "validation_failure_count", "avg_latency_ms"]
+METRICS = ["retrieval_recall_at_3", "retrieval_recall_at_5", "source_precision", "required_point_coverage", "hard_failure_count", "validation_failure_count", "avg_latency_ms"]
+#: All figures of a report, in order.
+REPORT = """evaluated route_accuracy confidence_band_accuracy abstention_accuracy fallback_rate validation_pass_rate retrieval_recall retrieval_recall_at_1
+retrieval_recall_at_3 retrieval_recall_at_5 mean_reciprocal_rank source_precision citation_recall citation_precision required_point_coverage
+forbidden_point_violation_count ragas_faithfulness triad_context_relevance triad_groundedness triad_answer_relevance avg_latency_ms p50_latency_ms
+p95_latency_ms avg_total_tokens avg_tokens_in avg_tokens_out total_cost_usd avg_cost_usd validation_failure_count hard_failure_count""".split()
 ROWS = "mr AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM sm" for m in METRICS) + ")"
 
 
-def _rows(spark, sf):
-    return V.metric_rows(V.summary(_judged(spark, sf)).select(*METRICS))
+def _rows(spark, sf, metrics=METRICS):
+    return V.metric_rows(V.summary(_judged(spark, sf)).select(*metrics))
 
 
 @query(f"WITH {RES}, {SUMMARY}, {ROWS} SELECT metric, value AS current, 0.5::DOUBLE AS baseline, round(value - 0.5, 6) AS delta FROM mr")
@@ -264,11 +278,14 @@ def replay_diff(spark, sf):
     return V.replay_diff(old, new).select("trace_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), "band_changed")
 
 
-@query(f"""WITH {RES}, {SUMMARY}, {ROWS} SELECT metric, '| ' || metric || ' | ' || CASE WHEN regexp_matches(metric, 'recall|precision|accuracy|rate|coverage') THEN printf('%.1f', value * 100) || '%' ELSE printf('%.4f', value) END || ' |' AS line
+ALL_ROWS = "mr AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM sm" for m in REPORT) + ")"
+
+
+@query(f"""WITH {RES}, {SUMMARY}, {ALL_ROWS} SELECT metric, '| ' || metric || ' | ' || CASE WHEN regexp_matches(metric, 'recall|precision|accuracy|rate|coverage') THEN printf('%.1f', value * 100) || '%' ELSE printf('%.4f', value) END || ' |' AS line
   FROM mr""")
 def report_lines(spark, sf):
-    """Metric rows rendered."""
-    return V.report_lines(_rows(spark, sf))
+    """Every metric row of a report rendered."""
+    return V.report_lines(_rows(spark, sf, REPORT))
 
 
 @query()

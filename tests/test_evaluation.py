@@ -59,3 +59,32 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert got["stored_results"]["labels"] == "1,2,77"
     assert got["draft_sections"]["diagnosis"] == text and got["draft_sections"]["sources"] == "s"
     assert got["document_slugs"]["slug"].endswith("kb_77__end")
+
+
+def test_points_tokens_and_triad(spark):
+    """Points by text alone, letter case and white space aside; nothing is judged without an answer, and columns may be absent."""
+    golden = spark.createDataFrame(
+        [
+            ("t1", "bug", "green", ["a"], [], False, ["Reset  the PASSWORD", "never there", " "], ["call us", ""]),
+            ("t2", "bug", "green", ["a"], [], False, ["x"], ["x"]), ("t3", "bug", "green", ["a"], [], False, None, ["é", "É"]),
+            ("t4", "bug", "green", ["a"], [], False, ["due"], None),
+        ],
+        GOLDEN + ", must_include_points array<string>, must_not_include_points array<string>",
+    )
+    plain = ("bug", "green", False, True, ["a"], None, ["a"], 0, 0, 0, 1.0, 0.0, 1.0)
+    rows = [
+        ("t1", *plain, "Please reset the\npassword, then CALL  US.", 10.0, 0.5), ("t2", *plain, "", 30.0, None), ("t3", *plain, "café", None, 1.0),
+        ("t4", *plain, "overdue", None, None),
+    ]
+    results = spark.createDataFrame(rows, RESULT + ", answer_text string, tokens_in double, faithfulness_score double")
+    none = spark.createDataFrame([], "source_id string, alias string")
+    judged = V.judge(golden, results, none)
+    assert {r["ticket_id"]: (r["point_coverage"], r["point_violations"]) for r in judged.collect()} == {
+        "t1": (0.5, 1), "t2": (None, 0), "t3": (None, 2), "t4": (1.0, 0),
+    }
+    s = V.summary(judged).first()
+    assert (s["required_point_coverage"], s["forbidden_point_violation_count"], s["avg_tokens_in"], s["avg_tokens_out"]) == (0.75, 3, 20.0, None)
+    assert (s["ragas_faithfulness"], s["triad_groundedness"], s["triad_context_relevance"]) == (0.75, 0.75, None)
+    assert V.gate(V.metric_rows(V.summary(judged)), V.PRODUCTION_TARGETS).where("metric = 'required_point_coverage'").count() == 0
+    bare = V.summary(V.judge(golden.drop("must_include_points", "must_not_include_points"), results.drop("answer_text"), none)).first()
+    assert (bare["required_point_coverage"], bare["forbidden_point_violation_count"]) == (None, 0)
