@@ -41,7 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are one. Null and empty texts are one group. An empty table stays empty."""
     key = unused(docs.columns, "k1", "k2")
     keyed = row_keys(docs, key)
-    nodes = written(near_copies.nodes(keyed, ["doc_id", *key], words=5), "nodes")
+    nodes = near_copies.apart(written(near_copies.nodes(keyed, ["doc_id", *key], words=5), "nodes"))
     roots = near_copies.roots(nodes, keyed, key, words=5)
     # the first row of each text, then of each group: many copies are one row before they meet
     first = nodes.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)).alias("first"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, written
+from .common import release_memory, small, written
 from .graph import connected_components, union
 from .simhash import SEED
 
@@ -36,7 +36,7 @@ SET_BYTES, MOST_PAIRS = 2 << 20, 200_000
 ROWS = 1_000
 #: Tile pairs that a task compares, about.
 PAIRS = 16
-NODE = "sid long, n int, a long, b long"
+NODE = "sid long, s2 long, n int, a long, b long"
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -57,10 +57,10 @@ def _text(value: pa.StringScalar) -> str | None:
     return value.as_py()
 
 
-def node(h: np.ndarray) -> tuple[int, int, int, int]:
-    """(digest of the set, its size, two fingerprints) of shingle hashes."""
-    each = np.unique(h)
-    return xxhash.xxh64_intdigest(each.tobytes(), SEED), len(each), _majority(h), _majority(_mixed(h))
+def node(h: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(two digests of the set, its size, two fingerprints) of shingle hashes."""
+    data = np.unique(h).tobytes()
+    return xxhash.xxh64_intdigest(data, SEED), xxhash.xxh64_intdigest(data, SEED + 1), len(data) // 8, _majority(h), _majority(_mixed(h))
 
 
 def _majority(h: np.ndarray) -> int:
@@ -79,15 +79,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, keep: list[str], text_col: str = "text", words: int = 5) -> DataFrame:
-    """Columns ``keep`` of every row with its node: sid (digest of the shingle set), n (size), a and b (fingerprints)."""
+    """Columns ``keep`` of every row with its node: sid and s2 (digests of the shingle set), n (size), a and b (fingerprints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([node(shingles(t, words)) for t in map(_text, batch.column(batch.num_columns - 1))], np.uint64).reshape(-1, 4)
-            sid, n, a, b = (np.ascontiguousarray(found[:, i]).view(np.int64) for i in range(4))
+            found = np.array([node(shingles(t, words)) for t in map(_text, batch.column(batch.num_columns - 1))], np.uint64).reshape(-1, 5)
+            sid, s2, n, a, b = (np.ascontiguousarray(found[:, i]).view(np.int64) for i in range(5))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sid), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b)],
-                names=[*keep, "sid", "n", "a", "b"],
+                [*batch.columns[:-1], pa.array(sid), pa.array(s2), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b)],
+                names=[*keep, "sid", "s2", "n", "a", "b"],
             )
         release_memory()
 
@@ -96,6 +96,15 @@ def nodes(docs: DataFrame, keep: list[str], text_col: str = "text", words: int =
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds + NODE)
 
 
+def apart(found: DataFrame) -> DataFrame:
+    """``found`` (a written table of ``nodes``) without s2, where different sets have different sids: the few whose first digests
+    are equal and whose second are not take a name made of both, so that sets count as equal by 128 bits."""
+    shared = found.groupBy("sid").agg(F.min("s2").alias("s2"), F.max("s2").alias("last")).where("s2 <> last")
+    shared = small(written(shared.select("sid", F.lit(True).alias("shared")), "shared-names"))
+    named = F.when(F.col("shared"), F.xxhash64("sid", "s2")).otherwise(F.col("sid"))
+    return found.join(shared, "sid", "left").withColumn("sid", named).select(*[c for c in found.columns if c != "s2"])
+
+
 def near(x: dict, y: dict, same: bool, few: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Places (in x, in y) of the pairs within the radius and of unequal labels; at most ``few`` of each place in x if given."""
     out = []

@@ -224,3 +224,14 @@ def test_stages_against_brute_force(spark):
     want = [(d[0], tik.encode_ordinary(d[1]), hashlib.sha256(d[1].encode()).hexdigest()) for d in mixed]
     got = [(r["doc_id"], r["ids"], r["decoded_sha256"]) for r in pipeline.tokens(spark, frame(mixed), "").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_sets_are_one_by_128_bits(spark):
+    """Sets that share the first digest alone are two nodes; rows of one set stay one."""
+    from deskgrain.llm import near_copies
+
+    rows = [(1, 5, 1, 9, 0, 0), (2, 5, 2, 9, 0, 0), (3, 5, 2, 9, 0, 0), (4, 6, 1, 9, 0, 0), (5, 6, 1, 9, 1, 1), (6, 7, 3, 0, 0, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, sid long, s2 long, n int, a long, b long")
+    got = {r["doc_id"]: r["sid"] for r in near_copies.apart(d).collect()}
+    assert got[1] != got[2] == got[3] and got[4] == got[5] == 6 and got[6] == 7 and len(set(got.values())) == 4
+    assert near_copies.apart(d.where("doc_id > 3")).columns == ["doc_id", "sid", "n", "a", "b"]
