@@ -353,13 +353,16 @@ def ivf_topk(
     """Approximate dense top-k: chunks dealt to k-means cells, questions to their nearest cells, compared within cells by blocks.
 
     Without ``cells`` their number follows that of the chunks; without ``probes`` a sample of the questions is searched exactly
-    and as many cells are probed as hold the share ``recall`` of its neighbours. Vectors must have one length.
+    and as many cells are probed as hold the share ``recall`` of its neighbours. Vectors must have one length; without usable
+    chunks the result is empty.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ok = usable(F.col("embedding"))
     c = normalised(chunks.where(ok).select("chunk_id", "embedding"), "embedding").withColumn("f", array_to_vector("embedding"))
+    if c.isEmpty():  # nothing to fit cells on: the exact search gives the empty result
+        return dense_topk(chunks, questions, k)
     cells = cells or max(8, round(chunks.count() ** 0.5 / 4))
     sample = c.orderBy(F.xxhash64("chunk_id")).limit(fit_on)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f", predictionCol="cell").fit(sample)
@@ -371,7 +374,7 @@ def ivf_topk(
     far = lambda v: F.aggregate(F.zip_with(v, F.col("embedding"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     order = F.transform(F.array_sort(F.transform(centres, lambda s: F.struct(far(s["v"]).alias("d"), s["cell"].alias("cell")))), lambda s: s["cell"])
     if probes is None:
-        tried = questions.orderBy(F.xxhash64("question_id")).limit(SAMPLE_QUESTIONS)
+        tried = questions.where(ok).orderBy(F.xxhash64("question_id")).limit(SAMPLE_QUESTIONS)
         near = q.join(F.broadcast(tried.select("question_id")), "question_id", "left_semi").select("question_id", order.alias("cells"))
         places = dense_topk(chunks, tried, k).join(placed.select("chunk_id", "cell"), "chunk_id").join(F.broadcast(near), "question_id")
         probes = ceil(places.agg(F.percentile(F.array_position("cells", F.col("cell")), F.lit(recall))).first()[0] or cells)

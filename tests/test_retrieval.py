@@ -119,3 +119,11 @@ def test_recall_of_the_registered_ivf_query(spark):
     share = len(exact & found) / len(exact)
     print("recall", round(share, 4), len(exact))
     assert share >= 0.9
+
+
+def test_cells_of_no_chunks(spark):
+    """An empty chunk table, or one without a usable vector, gives an empty result."""
+    chunks = spark.createDataFrame([("c", None)], "chunk_id string, embedding array<float>")
+    questions = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<float>")
+    for c in (chunks, chunks.limit(0)):
+        assert R.ivf_topk(c, questions, k=3, cells=None, probes=None).count() == 0
