@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deskgrain.functions import dims
 from deskgrain.functions import text as T
 from deskgrain.functions.frames import new_folder
-from deskgrain.operators import inverted
+from deskgrain.operators import inverted, lists
 from deskgrain.operators import retrieval as R
 
 from .common import AS_OF, WS, book, pick, table
@@ -189,6 +189,18 @@ def ivf_dense_topk(spark, sf):
     )
 
 
+@query(f"WITH {DENSE} SELECT question_id, chunk_id, score, CAST(rank AS INT) AS rank FROM top WHERE rank <= 10")
+def listed_dense_topk(spark, sf):
+    """D3: the same from stored lists, which nine tenths of the vectors make and the last tenth extends; here all cells are probed, so
+    that the rows are those of the exact search."""
+    folder, e = new_folder(spark, "vector-lists"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    tenth = F.coalesce(F.col("chunk_id") % 10 == 3, F.lit(False))
+    for part in (~tenth, tenth):
+        lists.add(e.where(part), folder)
+    q = e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id")
+    return lists.search(q, folder, 10, probes=lists.MOST_CELLS, id_type="bigint")
+
+
 FUSE = f"""WITH {CAND}, a AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM cand),
 b AS (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY length(content) DESC, chunk_id) AS rank FROM cand),
 u AS (SELECT question_id, chunk_id, WA / (60 + rank) AS part FROM a WHERE rank <= 10
