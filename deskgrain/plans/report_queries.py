@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from deskgrain.functions import text as T
 from deskgrain.operators import reports as P
 from deskgrain.operators import retrieval as R
+from deskgrain.sources import lines as L
 from deskgrain.sources import store as S
 from deskgrain.streaming import jobs as J
 
@@ -376,6 +377,55 @@ def jsonl_rows(spark, sf):
     return rows
 
 
+SHELF = 500
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, lang, text, row_number() OVER (PARTITION BY doc_id // {SHELF} ORDER BY doc_id) AS n FROM documents)
+SELECT n AS row_number, 'row-' || n AS section_id, CAST(n AS VARCHAR) AS row_ref, CAST(doc_id AS VARCHAR) AS url,
+  coalesce(trim(source), '') AS title, coalesce(lang, '') AS product, sha256(trim(replace(text, chr(13), ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12))) AS body_sha256
+  FROM d""")
+def numbered_articles(spark, sf):
+    """A2: documents written as CSV files with quoted line breaks, read by split with the row numbers of their files."""
+    d = table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / SHELF).alias("shelf"), "doc_id", F.col("doc_id").cast("string").alias("url"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("policy_name"), F.col("source").alias("issue_title"),
+        F.col("lang").alias("kind"), F.regexp_replace("text", "\r", "").alias("body"),
+    )
+    path = S.new_folder(spark, "numbered-csv")
+    d.repartition("shelf").sortWithinPartitions("shelf", "doc_id").drop("doc_id").write.option("header", True).option("escape", '"').option(
+        "quoteAll", True,
+    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy("shelf").csv(path)
+    records, _ = L.csv_records(spark, path)
+    docs = L.csv_documents(records, "kb", mapping={"product": "kind"})
+    section = F.get("sections", F.lit(0))
+    return docs.select(
+        "row_number", section["section_id"].alias("section_id"), section["row_ref"].alias("row_ref"), "url", "title", "product",
+        T.sha256(F.col("body")).alias("body_sha256"),
+    )
+
+
+@query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id // 200 ORDER BY conv_id, turn, role, text) AS line FROM conversations)
+SELECT conv_id // 200 AS shelf, line,
+  CASE WHEN (conv_id + turn) % 7 = 0 THEN '{"conv_id": ' || conv_id ELSE '{"conv_id": ' || conv_id || ', "turn": "' || turn || 'th"}' END AS value
+  FROM t
+  WHERE (conv_id + turn) % 7 = 0 OR (conv_id + turn) % 11 = 0""")
+def malformed_lines(spark, sf):
+    """Lines of JSON files that are cut off or hold a value of another type, with the line numbers of their files."""
+    from pyspark.sql.types import LongType, StructType
+
+    n = F.col("conv_id") + F.col("turn")
+    cut, odd = F.format_string('{"conv_id": %d', "conv_id"), F.format_string('{"conv_id": %d, "turn": "%dth"}', "conv_id", "turn")
+    good = F.format_string('{"conv_id": %d, "turn": %d}', "conv_id", "turn")
+    t = table(spark, sf, "conversations").withColumns(
+        {"shelf": F.floor(F.col("conv_id") / 200), "value": F.when(n % 7 == 0, cut).when(n % 11 == 0, odd).otherwise(good)}
+    )
+    path = S.new_folder(spark, "turn-lines")
+    ordered = t.repartition("shelf").sortWithinPartitions("shelf", "conv_id", "turn", "role", "text").select("shelf", "value")
+    ordered.write.partitionBy("shelf").text(path)
+    bad = L.malformed_json_lines(spark, path, StructType().add("conv_id", LongType()).add("turn", LongType()))
+    return bad.select(F.regexp_extract("file", "shelf=([0-9]+)", 1).cast("long").alias("shelf"), "line", "value")
+
+
 @query("SELECT p.page_id, d.source, d.doc_id IS NULL AS missing FROM pages p LEFT JOIN documents d ON 2 * d.doc_id = p.page_id")
 def manifest_files(spark, sf):
     """Files joined to their manifest rows; those without one are an error table."""

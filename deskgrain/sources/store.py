@@ -99,9 +99,11 @@ def as_documents(articles: DataFrame, source_key: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed lines) of a file of JSON lines. Malformed lines keep their text."""
+    """(rows, malformed lines) of a file of JSON lines. Malformed lines keep their text (``lines.malformed_json_lines``
+    gives their numbers too); a value of another type than the schema's makes a line malformed."""
     full = StructType([*schema.fields]).add("_corrupt_record", "string")
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", full).alias("r")).where("trim(value) <> ''")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE"})  # with an option all fields are parsed on both sides
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), parsed.alias("r")).where("trim(value) <> ''")
     return raw.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), raw.where("r._corrupt_record IS NOT NULL").select(
         "_file", "r._corrupt_record",
     )
