@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from deskgrain.functions import text as T
 from deskgrain.operators import reports as P
 from deskgrain.operators import retrieval as R
+from deskgrain.operators import usage as U
 from deskgrain.sources import lines as L
 from deskgrain.sources import store as S
 from deskgrain.streaming import jobs as J
 
-from .common import AS_OF, WS, book, collapse_sql, redact_sql, table
+from .common import AS_OF, WS, book, collapse_sql, pick, redact_sql, table
 from .retrieval_queries import CAND, candidates
 
 QUERIES, SQL, query = book()
@@ -143,6 +144,96 @@ def usage_report(spark, sf):
     return P.usage_report(t, f.where("event_type = 'purchase'"))
 
 
+def _report_tables(spark, sf):
+    """Traces as stored JSON, feedback, issues, review items and calls, all made of the events."""
+    i, e = F.col("event_id"), table(spark, sf, "events")
+    chunk = lambda j: F.struct(
+        F.when((i + j) % 9 != 0, F.concat(F.lit("s"), (i * (j + 1)) % 19)).alias("source_id"), ((i + j) % 10).cast("double").alias("score"),
+        F.lit(0.5).alias("rerank_score"),
+    )
+    chunks = F.transform(F.sequence(F.lit(1), F.lit(3)), chunk)
+    stage = lambda c: F.struct(c.alias("cost_usd"))
+    review = F.struct((i % 4 < 2).alias("review_required"))
+    trace = F.to_json(
+        F.struct(
+            F.slice(chunks, F.lit(1), (i % 4).cast("int")).alias("reranked_results"),
+            F.struct(
+                pick(["low", "RED", "HIGH", "MEDIUM", "x"], i % 5).alias("confidence"), F.when(i % 11 == 0, "policy").alias("draft_unavailable_reason"),
+                F.when(i % 2 == 0, review).alias("validation"), F.struct(F.lit(0.25).alias("total_cost_usd")).alias("usage_summary"),
+            ).alias("final_response"),
+            review.alias("validation_output"),
+            F.struct(
+                F.when(i % 3 == 0, F.col("value")).alias("cost_usd"), F.when(i % 3 == 1, stage(F.col("value"))).alias("plan"),
+                F.when(i % 3 != 0, stage(F.lit(0.5))).alias("draft"),
+            ).alias("token_usage_by_stage"),
+        )
+    )
+    traces = e.select(
+        "user_id", F.when(i % 6 != 0, F.concat(F.lit("team"), i % 23)).otherwise("").alias("team_id"),
+        F.when(i % 13 != 0, F.concat(F.lit("p"), i % 17)).alias("product"), pick(["agent", "lead", "admin"], i % 4).alias("role"),
+        F.when(i % 29 != 0, trace).otherwise("not json").alias("trace"),
+    )
+    feedback = e.where("event_type in ('click', 'view')").select(
+        pick(["thumbs_up", "thumbs_down"], i % 3).alias("rating"), pick(["missing_source", "wrong_source", "stale_source", "tone"], i % 5).alias("feedback_reason"),
+        pick(["sent", "edited"], i % 3).alias("agent_action"),
+    )
+    issues = e.where("event_type = 'error'").select(pick(["gap", "conflict"], i % 3).alias("issue_type"), pick(["open", "closed"], i % 3).alias("status"))
+    reviews = e.where("event_type = 'signup'").select((i % 4 == 0).alias("needs_escalation"), pick(["stale", "wrong"], i % 3).alias("source_issue_type"))
+    calls = e.where("event_type = 'purchase'").select((F.col("value") / 1000).alias("cost_usd"), F.when(i % 7 != 0, F.col("value")).alias("latency_ms"))
+    return U.read_traces(traces), feedback, issues, reviews, calls, e
+
+
+REPORT = """t AS (SELECT event_id AS i, user_id, CASE WHEN event_id % 6 <> 0 THEN 'team' || event_id % 23 END AS team_id,
+  CASE WHEN event_id % 13 <> 0 THEN 'p' || event_id % 17 END AS product, (['agent', 'lead', 'admin'])[1 + event_id % 4] AS role,
+  event_id % 29 <> 0 AS ok, CASE WHEN event_id % 29 = 0 THEN 0 ELSE event_id % 4 END AS hits,
+  CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value + 0.75 ELSE 0.75 END AS cost, event_type, value FROM events),
+h AS (SELECT i, j, CASE WHEN (i + j) % 9 <> 0 THEN 's' || (i * (j + 1)) % 19 ELSE 'unknown' END AS source_id,
+  CASE WHEN (i + j) % 10 = 0 THEN 0.5 ELSE (i + j) % 10 END::DOUBLE AS score FROM t, (VALUES (1), (2), (3)) v(j) WHERE j <= hits)"""
+
+
+@query(f"""WITH {REPORT}, l AS (SELECT 'top_products' AS list, coalesce(product, 'unknown') AS name FROM t UNION ALL SELECT 'top_roles', coalesce(role, 'unknown') FROM t
+UNION ALL SELECT 'top_teams', coalesce(team_id, 'unknown') FROM t UNION ALL SELECT 'most_retrieved_sources', source_id FROM h
+UNION ALL SELECT 'event_counts', event_type FROM t
+UNION ALL SELECT 'ratings', coalesce((['thumbs_up', 'thumbs_down'])[1 + i % 3], 'no_rating') FROM t WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 'agent_actions', coalesce((['sent', 'edited'])[1 + i % 3], 'pending') FROM t WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 'feedback_reasons', coalesce((['missing_source', 'wrong_source', 'stale_source', 'tone'])[1 + i % 5], 'unspecified') FROM t WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 'issue_types', coalesce((['gap', 'conflict'])[1 + i % 3], 'unknown') FROM t WHERE event_type = 'error'
+UNION ALL SELECT 'source_issue_types', coalesce((['stale', 'wrong'])[1 + i % 3], 'unspecified') FROM t WHERE event_type = 'signup'),
+c AS (SELECT list, name, count(*) AS n FROM l GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY list ORDER BY n DESC, name) AS INT) AS place FROM c)
+SELECT list, place, name, n FROM r WHERE place <= 10 OR list IN ('ratings', 'agent_actions')""")
+def support_lists(spark, sf):
+    """every list of the support report, from traces stored as JSON."""
+    traces, feedback, issues, reviews, _, events = _report_tables(spark, sf)
+    return U.support_lists(traces, feedback, issues, reviews, events)
+
+
+@query(f"""WITH {REPORT}, a AS (SELECT count(*) AS total_queries, count(DISTINCT user_id) AS active_users, count(DISTINCT team_id) AS active_teams,
+  count(*) FILTER (WHERE hits = 0 OR i % 11 = 0) AS no_answer_count, count(*) FILTER (WHERE ok AND i % 5 < 2) AS low_confidence_count,
+  count(*) FILTER (WHERE ok AND i % 4 < 2) AS review_required_count, sum(CASE WHEN ok THEN cost ELSE 0 END) AS cost,
+  count(*) FILTER (WHERE event_type IN ('click', 'view')) AS total_feedback, count(*) FILTER (WHERE event_type IN ('click', 'view') AND i % 3 = 0) AS helpful,
+  count(*) FILTER (WHERE event_type IN ('click', 'view') AND i % 3 = 1) AS negative_feedback_count,
+  count(*) FILTER (WHERE event_type = 'error' AND i % 3 <> 1) AS open_issue_count,
+  count(*) FILTER (WHERE event_type IN ('click', 'view') AND i % 5 = 0) AS missing_source_feedback_count,
+  count(*) FILTER (WHERE event_type IN ('click', 'view') AND i % 5 = 1) AS wrong_source_feedback_count,
+  count(*) FILTER (WHERE event_type IN ('click', 'view') AND i % 5 = 2) AS stale_source_feedback_count,
+  count(*) FILTER (WHERE event_type = 'signup' AND i % 4 = 0) AS needs_escalation_count, count(*) FILTER (WHERE event_type = 'signup') AS review_queue_count,
+  sum(CASE WHEN event_type = 'purchase' THEN value / 1000 END) AS call_cost, count(*) FILTER (WHERE event_type = 'purchase') AS api_call_count FROM t),
+o AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM t WHERE event_type = 'purchase' AND i % 7 <> 0)
+SELECT 30 AS period_days, total_queries, active_users, active_teams, no_answer_count, round(no_answer_count / total_queries, 4) AS no_answer_rate,
+  low_confidence_count, round(low_confidence_count / total_queries, 4) AS low_confidence_rate, (SELECT round(avg(score), 4) FROM h) AS average_top_score,
+  total_feedback, round(helpful / total_feedback, 4) AS helpful_rate, negative_feedback_count, review_required_count, open_issue_count,
+  missing_source_feedback_count, wrong_source_feedback_count, stale_source_feedback_count, needs_escalation_count, review_queue_count,
+  round(cost, 6) AS total_cost_usd, round(cost, 6) AS trace_cost_usd, round(call_cost, 6) AS api_call_cost_usd,
+  round(round(cost, 6) / total_queries, 6) AS avg_cost_per_query_usd, api_call_count,
+  (SELECT round(value, 6) FROM o WHERE k = CAST(floor(0.95 * (n - 1)) AS BIGINT)) AS p95_latency_ms FROM a""")
+def support_report(spark, sf):
+    """Every figure of the support report, section by section, from traces stored as JSON."""
+    traces, feedback, issues, reviews, calls, _ = _report_tables(spark, sf)
+    report = U.support_report(traces, feedback, issues, reviews, calls, 30)
+    return report.select("period_days", *[f"{s}.*" for s in ("usage", "retrieval", "evaluation", "knowledge_gaps", "escalations", "costs")])
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, CAST(user_id AS VARCHAR) LIMIT 10")
 def top_users(spark, sf):
     """The ten most active users."""
