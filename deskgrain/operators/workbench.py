@@ -59,11 +59,11 @@ def feedback_rows(raw: DataFrame) -> DataFrame:
     })
 
 
-def review_rows(feedback: DataFrame) -> DataFrame:
-    """Review items that negative feedback opens. Needs trace_id, rating, confidence, feedback_reason and ticket_preview."""
+def review_rows(feedback: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Review items that negative feedback opens, with the columns ``keep`` of it. Needs trace_id, rating, confidence, feedback_reason and ticket_preview."""
     reason = _blank("feedback_reason")
     return feedback.where("rating = 'thumbs_down'").select(
-        "trace_id", F.substring(_blank("ticket_preview"), 1, 240).alias("ticket_preview"),
+        *keep, "trace_id", F.substring(_blank("ticket_preview"), 1, 240).alias("ticket_preview"),
         F.when(F.col("confidence") == "LOW", "red").otherwise("").alias("confidence_band"),
         F.when(reason.isin(*REVIEW_REASONS), "high").otherwise("medium").alias("severity"),
         F.when(reason == "", "negative feedback").otherwise(reason).alias("gatekeeper_reason"),
@@ -71,15 +71,15 @@ def review_rows(feedback: DataFrame) -> DataFrame:
     )
 
 
-def issue_rows(feedback: DataFrame) -> DataFrame:
-    """Knowledge issues that negative feedback opens, each with a suggested action. Needs besides reason_code, comment and
+def issue_rows(feedback: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Knowledge issues that negative feedback opens, each with a suggested action, and the columns ``keep`` of it. Needs besides reason_code, comment and
     retrieved_chunk_ids (array)."""
     kind = F.coalesce(T.blank_to_null(F.col("reason_code")), T.blank_to_null(F.col("feedback_reason")), F.lit(DEFAULT_ISSUE))
     actions = F.create_map(*[F.lit(x) for kv in SUGGESTED_ACTIONS.items() for x in kv])
     said = F.coalesce(T.blank_to_null(F.col("comment")), T.blank_to_null(F.col("ticket_preview")), F.lit("Negative feedback requires review."))
     d = feedback.where("rating = 'thumbs_down'").withColumn("issue_type", kind)
     return d.select(
-        "trace_id", "issue_type", F.lit("open").alias("status"),
+        *keep, "trace_id", "issue_type", F.lit("open").alias("status"),
         F.when(F.col("issue_type").isin(*ISSUE_REASONS), "high").otherwise("medium").alias("severity"),
         F.coalesce(F.get("retrieved_chunk_ids", F.lit(0)), F.lit("")).alias("chunk_id"),
         F.concat(F.lit("Feedback: "), F.replace("issue_type", F.lit("_"), F.lit(" "))).alias("title"),

@@ -613,17 +613,6 @@ def stream_latest_state(spark, sf):
     return J.LatestState(spark, "user_id", "o", folder).read().select("user_id", "event_type", "ts")
 
 
-@query(
-    "SELECT 'review' AS target, count(*) AS n FROM events WHERE event_type = 'error' UNION ALL SELECT 'issues', count(*) FROM events WHERE event_type = 'error'"
-)
-def stream_feedback_fanout(spark, sf):
-    """Negative facts to two tables."""
-    folder = S.new_folder(spark, "fan-out")
-    out = J.FanOut(spark, F.col("event_type") == "error", folder)
-    J.run_batches(_stream(spark, sf), f"{folder}-state", out)
-    return P.inventory({t: out.read(t) for t in ("review", "issues")}).withColumnRenamed("table_name", "target")
-
-
 def _n_chunks(t: str) -> str:
     return f"1 + greatest(0, CAST(ceil((len(list_filter(regexp_split_to_array({t}, {WS}), lambda x: x <> '')) - 180) / 150.0) AS INT))"
 

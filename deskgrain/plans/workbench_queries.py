@@ -10,8 +10,9 @@ from deskgrain.operators import reports as P
 from deskgrain.operators import retrieval as R
 from deskgrain.operators import workbench as B
 from deskgrain.sources import store as S
+from deskgrain.streaming import jobs as J
 
-from .common import AS_OF, book, pick, table
+from .common import AS_OF, book, pick, table, words_sql
 from .evidence_queries import _answers
 from .retrieval_queries import CAND, _list, candidates
 from .report_queries import FACTS, facts
@@ -31,7 +32,7 @@ def _feedback(spark, sf):
         F.when(i % 2 == 0, reason).otherwise("").alias("reason_code"),
         F.when(i % 7 == 0, " ").otherwise(F.col("lang")).alias("comment"), F.col("text").alias("ticket_preview"),
         F.when(i % 6 != 0, F.array(F.concat(F.lit("c"), i.cast("string")))).alias("retrieved_chunk_ids"), F.col("text").alias("original_email"),
-        F.lit(None).cast("string").alias("edited_email"), F.lit("").alias("final_sent_text"),
+        F.lit(None).cast("string").alias("edited_email"), F.concat(F.repeat(F.lit("hello "), (i % 5).cast("int")), F.when(i % 5 != 0, F.col("text")).otherwise("")).alias("final_sent_text"),
         F.when(i % 2 == 0, (i % 10).cast("int")).alias("edit_distance_tokens"),
         F.when(i % 3 == 0, F.array(F.lit("1"), F.lit("2"))).alias("citations_used"),
         F.when(i % 8 == 0, "edited").alias("agent_action"), F.col("lang"),
@@ -46,18 +47,19 @@ fb AS (SELECT *, CASE WHEN i % 2 = 0 THEN reason ELSE '' END AS reason_code, CAS
 
 
 @query(f"""WITH {FEEDBACK} SELECT feedback_id, rating, substr(text, 1, 200) AS ticket_preview,
-  CASE WHEN i % 2 = 0 THEN CAST(i % 10 AS INT) ELSE 0 END AS edit_distance_tokens,
+  CASE WHEN i % 2 = 0 THEN CAST(i % 10 AS INT) ELSE CAST(i % 5 AS INT) END AS edit_distance_tokens,
+  round(CASE WHEN i % 2 = 0 THEN i % 10 ELSE i % 5 END / greatest(len({words_sql("text")}) + i % 5, 1), 4) AS edit_distance_ratio,
   CASE WHEN i % 3 = 0 THEN '["1","2"]' ELSE '[]' END AS citations_used,
-CASE WHEN i % 8 = 0 THEN 'edited' ELSE 'pending' END AS agent_action, sha256(text) AS final_sha256 FROM fb""")
+CASE WHEN i % 8 = 0 THEN 'edited' ELSE 'pending' END AS agent_action, sha256(repeat('hello ', CAST(i % 5 AS INT)) || text) AS final_sha256 FROM fb""")
 def appended_feedback(spark, sf):
-    """Feedback appended in two writes, defaults filled in, lists as JSON."""
+    """Feedback appended in two writes, final texts of up to four words more than the original; defaults filled in, lists as JSON."""
     f = B.feedback_rows(_feedback(spark, sf))
     path = S.new_folder(spark, "feedback")
     for part in (f.where("lang = 'en'"), f.where("lang <> 'en' or lang IS NULL")):
         B.append(part, path)
     rows = spark.read.schema(f.schema).parquet(path)
     return rows.select(
-        "feedback_id", "rating", "ticket_preview", "edit_distance_tokens", "citations_used", "agent_action",
+        "feedback_id", "rating", "ticket_preview", "edit_distance_tokens", "edit_distance_ratio", "citations_used", "agent_action",
         F.sha2("final_sent_text", 256).alias("final_sha256"),
     )
 
@@ -90,6 +92,26 @@ def feedback_issues(spark, sf):
     return B.issue_rows(_feedback(spark, sf))
 
 
+@query(f"""WITH {FEEDBACK}, k AS (SELECT *, coalesce(nullif(trim(reason_code), ''), nullif(trim(reason), ''), '{B.DEFAULT_ISSUE}') AS issue_type
+  FROM fb
+  WHERE rating = 'thumbs_down')
+SELECT 'review' AS target, feedback_id, trace_id, CASE WHEN reason IN {B.REVIEW_REASONS} THEN 'high' ELSE 'medium' END AS severity,
+  coalesce(reason, 'negative feedback') AS what FROM k
+UNION ALL SELECT 'issues', feedback_id, trace_id, CASE WHEN issue_type IN {B.ISSUE_REASONS} THEN 'high' ELSE 'medium' END, 'Feedback: ' || replace(issue_type, '_', ' ') FROM k""")
+def stream_feedback_fanout(spark, sf):
+    """Streamed negative feedback opens a review item and a knowledge issue each; the stream stops and starts again between two
+    deliveries, and every tenth fact is delivered twice."""
+    folder, f = S.new_folder(spark, "fan-out"), _feedback(spark, sf)
+    tables = {"review": lambda b: B.review_rows(b, ("feedback_id",)), "issues": lambda b: B.issue_rows(b, ("feedback_id",))}
+    for part in ("feedback_id % 2 = 0", "feedback_id % 2 = 1 or feedback_id % 10 = 0"):
+        f.where(part).write.mode("append").parquet(f"{folder}-in")
+        J.run_batches(spark.readStream.schema(f.schema).parquet(f"{folder}-in"), f"{folder}-state", J.FanOut(spark, tables, "feedback_id", folder))
+    out = J.FanOut(spark, tables, "feedback_id", folder)
+    reviews, issues = out.read("review"), out.read("issues")
+    shown = [F.lit("review").alias("target"), "feedback_id", "trace_id", "severity", F.col("gatekeeper_reason").alias("what")]
+    return reviews.select(*shown).unionByName(issues.select(F.lit("issues").alias("target"), *shown[1:4], F.col("title").alias("what")))
+
+
 @query(f"""WITH {CAND}, e AS (SELECT source_id, expires_at, needs_review_at,
   count(*) AS chunks
   FROM cand

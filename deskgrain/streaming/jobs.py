@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskgrain.functions.frames import new_folder
+from deskgrain.functions.frames import new_folder, small
 from deskgrain.operators import ingest as I
 
 
@@ -130,18 +130,27 @@ class LatestState:
 
 
 class FanOut:
-    """Negative facts written to two tables, review items and issues, in a folder for each batch."""
+    """A stream's facts written to several tables, each made by a function of the batch that keeps the fact's ``key``.
 
-    def __init__(self, spark: SparkSession, negative: Column, folder: str):
-        self.spark, self.negative, self.folder = spark, negative, folder
+    A batch writes a folder of each table and then, last, its mark; what has no mark is not read, so that all tables show the same
+    batches. A batch that runs again replaces its folders, and of a fact that is delivered in several batches the rows of the
+    first count."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, Callable[[DataFrame], DataFrame]], key: str, folder: str):
+        self.spark, self.tables, self.key, self.folder = spark, tables, key, folder
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        bad = batch.where(self.negative)
-        bad.write.mode("overwrite").parquet(f"{self.folder}/review/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{self.folder}/issues/batch={batch_id}")
+        for name, made in self.tables.items():
+            made(batch).dropDuplicates([self.key]).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch_id}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch_id}")
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}")
+        """The rows of all marked batches, one for each fact."""
+        marked = small(self.spark.read.parquet(f"{self.folder}/marks").select("batch"))
+        rows = self.spark.read.option("mergeSchema", False).parquet(f"{self.folder}/{table}").join(marked, "batch", "left_semi")
+        others = [c for c in rows.columns if c not in (self.key, "batch")]
+        first = rows.groupBy(self.key).agg(F.min_by(F.struct(*others), "batch").alias("first"))
+        return first.select(self.key, "first.*")
 
 
 class IncrementalIngest:
