@@ -12,15 +12,16 @@ TRACES = "user_id string, team_id string, product string, role string, trace str
 
 
 def odd_trace(rng):
-    chunk = lambda: rng.choice([{"source_id": "s1", "score": 2}, {"id": "i1", "rerank_score": 0.5}, {"source_id": "", "score": "1.5"}, {"score": 0}, {}])
+    kinds = [{"source_id": "s1", "score": 2}, {"id": "i1", "rerank_score": 0.5}, {"source_id": "", "score": "1.5"}, {"score": 0}, {}]
+    stages = {"plan": {"cost_usd": 1}, "draft": {"cost_usd": "2"}, "note": "x"}
     trace = {
-        "reranked_results": rng.choice([None, "none", [], [chunk() for _ in range(rng.randint(1, 4))]]),
+        "reranked_results": rng.choice([None, "none", [], rng.choices(kinds, k=rng.randint(1, 4))]),
         "final_response": rng.choice([None, {}, {
             "confidence": rng.choice(["low", "RED", "HIGH", None]), "draft_unavailable_reason": rng.choice(["", "policy", None]),
             "validation": rng.choice([{}, {"review_required": True}, {"other": 1}, None]), "usage_summary": rng.choice([{}, {"total_cost_usd": 0.5}]),
         }]),
         "validation_output": rng.choice([None, {"review_required": True}]),
-        "token_usage_by_stage": rng.choice([{}, None, {"cost_usd": 3, "plan": {"cost_usd": 9}}, {"plan": {"cost_usd": 1}, "draft": {"cost_usd": "2"}, "note": "x"}, {"cost_usd": None}]),
+        "token_usage_by_stage": rng.choice([{}, None, {"cost_usd": 3, "plan": {"cost_usd": 9}}, stages, {"cost_usd": None}]),
     }
     return {k: v for k, v in trace.items() if rng.random() < 0.9}
 
@@ -59,7 +60,10 @@ def test_traces_of_every_shape_and_the_report_over_them(spark):
     ]
     assert Counter(map(repr, got)) == Counter(map(repr, want))
 
-    feedback = spark.createDataFrame([("thumbs_up", "tone", None), ("thumbs_down", None, "sent"), (None, "wrong_source", "")], "rating string, feedback_reason string, agent_action string")
+    feedback = spark.createDataFrame(
+        [("thumbs_up", "tone", None), ("thumbs_down", None, "sent"), (None, "wrong_source", "")],
+        "rating string, feedback_reason string, agent_action string",
+    )
     issues = spark.createDataFrame([("gap", None), ("gap", "closed"), ("", "open")], "issue_type string, status string")
     reviews = spark.createDataFrame([(True, None), (None, "stale")], "needs_escalation boolean, source_issue_type string")
     calls = spark.createDataFrame([(0.5, 10.0), (None, 30.0), (0.25, None)], "cost_usd double, latency_ms double")
