@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("retrieval_queries", "ingest_queries", "evidence_queries", "evaluation_queries", "report_queries", "workbench_queries")
+MODULES = ("retrieval_queries", "ingest_queries", "evidence_queries", "evaluation_queries", "report_queries", "workbench_queries", "trace_queries")
 
 
 def _modules():
