@@ -601,6 +601,86 @@ def retained_facts(spark, sf):
     return J.retained(table(spark, sf, "events"), F.lit(AS_OF).cast("timestamp_ntz"), 22).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+def _in_two_runs(spark, sf, what, job):
+    """The folder of a job over facts that arrive in two runs, the later half first; the stream stops and starts again between them."""
+    folder = S.new_folder(spark, what)
+    f = facts(spark, sf).withColumns({"cost_usd": F.when(F.col("event_type") == "purchase", F.col("cost_usd")), "error": F.col("event_type") == "error"})
+    for part in ("created_at >= '2024-01-16'", "created_at < '2024-01-16'"):
+        f.where(part).write.mode("append").parquet(f"{folder}-in")
+        J.run_batches(spark.readStream.schema(f.schema).parquet(f"{folder}-in"), f"{folder}-state", job(folder))
+    return job(folder), f
+
+
+def _rank_off(figures, exact, name, p):
+    """Whether the share of values up to the sketch's percentile, or below it, is further from ``p`` than the sketch's error (1.65 %)."""
+    upto, below = F.count_if(F.col("v") <= F.col(name)) / F.count("v"), F.count_if(F.col("v") < F.col(name)) / F.count("v")
+    pairs = exact.join(F.broadcast(figures.select("metric_date", name)), "metric_date")  # one row a day
+    return pairs.groupBy("metric_date").agg(((upto < p - 0.0165) | (below > p + 0.0165)).alias(f"{name}_off"))
+
+
+def _exact_sql(value, digits, mean=True):
+    """Sum or mean of decimals of nine digits, rounded half-up as a decimal."""
+    total = f"CAST(sum(CAST({value} AS DECIMAL(28, 9))) AS DOUBLE)" + (f" / count({value})" if mean else "")
+    return f"coalesce(CAST(round(CAST({total} AS DECIMAL(28, 9)), {digits}) AS DOUBLE), 0)"
+
+
+COST = "CASE WHEN event_type = 'purchase' THEN cost_usd END"
+DAY_COLUMNS = ["metric_date", "total", "sent_as_is", "edited", "rejected", "pending", "mean_edit_distance", "covered", "send_as_is_rate", "reject_rate", "coverage_rate", "avg_cost_usd", "active_users"]
+
+
+@query(f"""WITH {FACTS}, n AS (SELECT CAST(created_at AS DATE) AS metric_date, coalesce(nullif(confidence, ''), 'unknown') || '/' || coalesce(action, 'pending') AS k, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT metric_date, string_agg(k || '=' || n, ';' ORDER BY k) AS breakdown FROM n GROUP BY metric_date),
+d AS (SELECT CAST(created_at AS DATE) AS metric_date,
+  count(*) AS total,
+  count(*) FILTER (WHERE action = 'sent_as_is') AS sent_as_is,
+  count(*) FILTER (WHERE action = 'edited') AS edited,
+  count(*) FILTER (WHERE action = 'rejected') AS rejected,
+  count(*) FILTER (WHERE coalesce(action, 'pending') = 'pending') AS pending,
+  {_exact_sql('edit_ratio', 4)} AS mean_edit_distance,
+  count(*) FILTER (WHERE confidence IN ('HIGH', 'MEDIUM')) AS covered,
+  {_exact_sql(COST, 6)} AS avg_cost_usd,
+  count(DISTINCT user_id) AS active_users
+  FROM f
+  GROUP BY 1)
+SELECT d.*, breakdown,
+  round(sent_as_is / total, 4) AS send_as_is_rate,
+  round(rejected / total, 4) AS reject_rate,
+  round(covered / total, 4) AS coverage_rate, false AS latency_p50_ms_off, false AS latency_p95_ms_off
+  FROM d JOIN b USING (metric_date)""")
+def stream_day_figures(spark, sf):
+    """All figures of days from mergeable state, late facts counted; each percentile is told by whether its rank is off the sketch's bound."""
+    job, f = _in_two_runs(spark, sf, "day-figures", lambda folder: J.DayFigures(spark, folder, buckets=8))
+    d = job.days()
+    v = f.select(F.to_date("created_at").alias("metric_date"), F.col("latency_ms").alias("v"))
+    entries = F.transform(F.map_entries("breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    out = d.select(*DAY_COLUMNS, F.array_join(entries, ";").alias("breakdown"))
+    for name, p in (("latency_p50_ms", 0.5), ("latency_p95_ms", 0.95)):
+        out = out.join(_rank_off(d, v, name, p), "metric_date")
+    return out
+
+
+@query(f"""WITH {FACTS}, days AS (SELECT DISTINCT CAST(created_at AS DATE) AS d FROM f),
+e AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS metric_date FROM days)
+SELECT metric_date, count(*) AS total,
+  {_exact_sql('latency_ms', 4)} AS avg_latency_ms,
+  {_exact_sql(COST, 4, mean=False)} AS total_cost_usd,
+  count(*) FILTER (WHERE event_type = 'error') AS errors,
+  count(DISTINCT user_id) AS active_users
+  FROM e JOIN f ON CAST(created_at AS DATE) BETWEEN metric_date - INTERVAL 6 DAY AND metric_date
+  GROUP BY metric_date""")
+def stream_week_figures(spark, sf):
+    """S3: figures of the seven days up to each day, merged from the state of days; numbers of users are exact."""
+    job, _ = _in_two_runs(spark, sf, "week-figures", lambda folder: J.DayFigures(spark, folder, buckets=8))
+    return job.rolling(7).select("metric_date", "total", "avg_latency_ms", "total_cost_usd", "errors", "active_users")
+
+
+@query("SELECT event_id AS id, ts AS created_at FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY")
+def stream_retained_facts(spark, sf):
+    """Facts of the last 20 days before the newest one, days that ended before dropped with their folders."""
+    job, _ = _in_two_runs(spark, sf, "retained", lambda folder: J.RetainedFacts(spark, folder, 20, "created_at"))
+    return job.read().select("id", "created_at")
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
 def stream_latest_state(spark, sf):
     """Latest event of every user, kept by buckets of users; the stream stops and starts again between two halves."""

@@ -4,7 +4,7 @@ Rows later than the watermark are not counted by a stream; the batch job over th
 reads files, so ``availableNow`` brings a stream to the end of what is there. Sinks are folders, never memory.
 
 A job is its folder and its checkpoint: whoever starts it again with both goes on where it stopped. A batch that runs
-again has the same number, reads only what older batches wrote, and overwrites its own folder.
+again has the same number: state kept by a ledger leaves it out if it was committed, other sinks overwrite its folder.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskgrain.functions import text as T
 from deskgrain.functions.frames import new_folder, small
 from deskgrain.operators import ingest as I
+from deskgrain.operators.reports import rate
+
+from .ledger import Ledger
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -70,47 +74,36 @@ def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
 
 class Buckets:
     """A keyed table in ``folder``, its rows dealt into buckets by a hash of the key. A batch writes the buckets it touches and
-    no others, as folder/version=batch/bucket=n; the table is the newest version of each bucket."""
+    no others, and commits them together (``Ledger``): a batch that breaks shows nothing, one that was committed is not run again,
+    and buckets of old versions are removed."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str, n: int = 64):
-        self.spark, self.folder, self.key, self.n = spark, folder, key, n
-
-    def newest(self, before: int | None = None) -> dict[int, int]:
-        """Newest version of each bucket (older than ``before``), from the names of the folders."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: dict[int, int] = {}
-        if not fs.exists(root):
-            return found
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/bucket=*")) or []:
-            path = status.getPath()
-            version, bucket = (int(x.getName().split("=")[1]) for x in (path.getParent(), path))
-            if before is None or version < before:
-                found[bucket] = max(found.get(bucket, -1), version)
-        return found
-
-    def of(self, df: DataFrame) -> DataFrame:
-        """``df`` with the bucket of each row."""
-        return df.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int"))
-
-    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
-        """The table as older batches left it (its buckets ``only``); None if nothing is there."""
-        newest = {b: v for b, v in self.newest(before).items() if only is None or b in only}
-        if not newest:
-            return None
-        paths = [f"{self.folder}/version={v}/bucket={b}" for b, v in sorted(newest.items())]
-        return self.spark.read.parquet(*paths)
+        self.spark, self.key, self.n, self.ledger = spark, key, n, Ledger(spark, folder)
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        # one task for each bucket that the batch touches
-        self.of(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/version={batch_id}")
+    def newest(self) -> dict[int, int]:
+        """The batch that wrote each bucket, from the names of the live folders."""
+        live = self.ledger.last()["live"]
+        return {int(part.split("=")[1]): int(path.rsplit("/batch=", 1)[1].split("-")[0]) for part, path in live.items()}
+
+    def read(self) -> DataFrame | None:
+        """The table as the last batch left it; None if nothing is there."""
+        return self.ledger.read()
 
     def merge(self, new: DataFrame, batch_id: int, how: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-        """Writes ``how(old rows of the touched buckets, new rows)``."""
-        touched = [r["bucket"] for r in self.of(new).select("bucket").distinct().collect()]  # n at most
-        if touched:
-            self.write(how(self.read(batch_id, touched), new), batch_id)
+        """Commits ``how(old rows of the touched buckets, new rows)``. The new rows are computed once: they are written by bucket, and the
+        names of the folders tell which buckets are touched."""
+        last = self.ledger.last()
+        if batch_id <= last["batch"]:
+            return
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int")
+        arrived, schema = self.ledger.write(new.withColumn("bucket", bucket), "bucket", batch_id)
+        if not arrived:
+            return
+        rows = self.spark.read.schema(schema).parquet(*arrived.values())
+        merged = how(self.ledger.read(set(arrived), last), rows)
+        written, schema = self.ledger.write(merged.withColumn("bucket", bucket), "bucket", batch_id)
+        kept = {part: path for part, path in last["live"].items() if part not in arrived}
+        self.ledger.commit(last, kept | written, schema, batch_id)
 
 
 class LatestState:
@@ -129,6 +122,143 @@ class LatestState:
         return self.state.read()
 
 
+class RetainedFacts:
+    """Facts of the last ``days`` days before the newest one, kept in a folder a day (by the time's date in the session's zone).
+
+    A batch appends its facts; then days that ended before the cut leave the table with their folders, and the day of the cut is
+    written again without what is older. Rows without a time are not kept. A day that a batch adds to is
+    written anew with it, so a day is one folder; late facts older than the cut are not taken."""
+
+    def __init__(self, spark: SparkSession, folder: str, days: int = 30, time_col: str = "ts"):
+        self.spark, self.days, self.time, self.ledger = spark, days, time_col, Ledger(spark, folder)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        last, day = self.ledger.last(), F.to_date(self.time)
+        if batch_id <= last["batch"]:
+            return
+        rows = batch.where(F.col(self.time).isNotNull())
+        arrived, schema = self.ledger.write(rows.withColumn("day", day), "day", batch_id)
+        if not arrived:
+            return
+        live = set(last["live"]) | set(arrived)
+        new = self.spark.read.schema(schema).parquet(*arrived.values())
+        newest = max(live)  # day=yyyy-mm-dd
+        held = new if newest in arrived else self.ledger.read({newest}, last)
+        cut = F.lit(held.agg(F.max(self.time)).first()[0]) - F.make_dt_interval(F.lit(self.days))
+        first = "day=" + self.spark.range(1).select(F.to_date(cut).cast("string")).first()[0]
+        again = {p for p in live if p == first or (p in arrived and p > first)}
+        kept = {p: path for p, path in last["live"].items() if p > first and p not in again}
+        if again:
+            old = self.ledger.read(again, last)
+            merged = new if old is None else old.unionByName(new)
+            written, schema = self.ledger.write(merged.where((F.col(self.time) >= cut) & (day >= F.lit(first[4:]).cast("date"))).withColumn("day", day), "day", batch_id)
+            kept |= written
+        self.ledger.commit(last, kept, schema, batch_id)
+
+    def read(self) -> DataFrame | None:
+        return self.ledger.read()
+
+
+def _mean(total: Column, n: Column, digits: int) -> Column:
+    """The mean from an exact sum, rounded half-up as a decimal, so that the last bits of a double do not decide ties."""
+    return F.round(F.try_divide(total.cast("double"), n).cast("decimal(28,9)"), digits).cast("double")
+
+
+class DayFigures:
+    """Figures of days and of any number of days together, from facts that a stream delivers in any order.
+
+    The state holds, for each day, confidence and action, what can be merged: counts, sums and a quantile sketch of latencies; and
+    for each day a bitmap of users for every 32,768 ids. A batch merges its own into the days that it touches, however late its
+    facts are. Facts: created_at, user_id (whole numbers), confidence, action, edit_ratio, latency_ms, cost_usd, error; any may be
+    null, and facts without a time do not count. Sums are decimals of nine digits, so that no order of merging changes them. Numbers of
+    users are exact; percentiles are within the rank error of a
+    KLL sketch of ``k`` (1.33 % for 200)."""
+
+    SUMS = ("n", "edit_sum", "edit_n", "latency_sum", "latency_n", "cost_sum", "cost_n", "errors")
+    KEYS = ("metric_date", "confidence", "action", "part")
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, k: int = 200):
+        self.spark, self.k, self.state = spark, k, Buckets(spark, folder, "metric_date", buckets)
+
+    def _parts(self, facts: DataFrame) -> DataFrame:
+        f = facts.where("created_at IS NOT NULL").withColumns(
+            {
+                "metric_date": F.to_date("created_at"), "confidence": F.coalesce(T.blank_to_null(F.col("confidence")), F.lit("unknown")),
+                "action": F.coalesce(T.blank_to_null(F.col("action")), F.lit("pending")), "latency_ms": F.col("latency_ms").cast("double"),
+            }
+        )
+        exact = lambda c: F.sum(F.col(c).cast("decimal(28,9)")).cast("decimal(38,9)")
+        sums = f.groupBy("metric_date", "confidence", "action", F.lit(None).cast("long").alias("part")).agg(
+            F.count("*").alias("n"), exact("edit_ratio").alias("edit_sum"), F.count("edit_ratio").alias("edit_n"),
+            exact("latency_ms").alias("latency_sum"), F.count("latency_ms").alias("latency_n"), exact("cost_usd").alias("cost_sum"),
+            F.count("cost_usd").alias("cost_n"), F.count_if("error").alias("errors"), F.kll_sketch_agg_double("latency_ms", self.k).alias("latency"),
+        )
+        users = f.where("user_id IS NOT NULL").groupBy("metric_date", F.bitmap_bucket_number(F.col("user_id")).alias("part")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(F.col("user_id"))).alias("users")
+        )
+        return sums.unionByName(users, allowMissingColumns=True)
+
+    def _merged(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows of the state put together by ``keys``: sums and sketches of facts, and bitmaps of users, which are rows of their own."""
+        sums = rows.where("part IS NULL").groupBy(*keys).agg(
+            *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in self.SUMS], F.kll_merge_agg_double("latency", self.k).alias("latency"),
+        )
+        users = rows.where("part IS NOT NULL").groupBy(*keys).agg(F.bitmap_or_agg("users").alias("users"))
+        return sums.unionByName(users, allowMissingColumns=True)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        def both(old: DataFrame | None, new: DataFrame) -> DataFrame:
+            return new if old is None else self._merged(old.unionByName(new), list(self.KEYS))
+
+        self.state.merge(self._parts(batch), batch_id, both)
+
+    def _quantile(self, p: float) -> Column:
+        # a sketch of no values has no quantile
+        return F.when(F.kll_sketch_get_n_double("latency") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(p)))
+
+    def days(self) -> DataFrame | None:
+        """A row a day: counts by action and their rates, means, coverage, percentiles, the breakdown by confidence and action (a
+        map of "confidence/action"), average cost and number of users; None if no facts came yet."""
+        rows = self.state.read()
+        if rows is None:
+            return None
+        a, n = F.col("action"), F.col("n")
+        sums = rows.where("part IS NULL").groupBy("metric_date").agg(
+            F.sum(n).alias("total"), *[F.coalesce(F.sum(F.when(a == x, n)), F.lit(0)).alias(x) for x in ("sent_as_is", "edited", "rejected", "pending")],
+            F.coalesce(_mean(F.sum("edit_sum"), F.sum("edit_n"), 4), F.lit(0.0)).alias("mean_edit_distance"),
+            F.coalesce(F.sum(F.when(F.col("confidence").isin("HIGH", "MEDIUM"), n)), F.lit(0)).alias("covered"),
+            F.kll_merge_agg_double("latency", self.k).alias("latency"),
+            F.coalesce(_mean(F.sum("cost_sum"), F.sum("cost_n"), 6), F.lit(0.0)).alias("avg_cost_usd"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "confidence", "action").alias("k"), n)))).alias("breakdown"),
+        )
+        sums = sums.withColumns(
+            {
+                "send_as_is_rate": rate(F.col("sent_as_is"), F.col("total")), "reject_rate": rate(F.col("rejected"), F.col("total")),
+                "coverage_rate": rate(F.col("covered"), F.col("total")), "latency_p50_ms": self._quantile(0.5), "latency_p95_ms": self._quantile(0.95),
+            }
+        ).drop("latency")
+        users = rows.where("part IS NOT NULL").groupBy("metric_date").agg(F.sum(F.bitmap_count("users")).alias("active_users"))
+        return sums.join(users, "metric_date", "left").fillna(0, ["active_users"])
+
+    def rolling(self, days: int = 7) -> DataFrame | None:
+        """A row for every day from the first fact's to the last fact's on which one of the ``days`` days up to it has facts: number of
+        facts, latency, cost, errors and users of those days."""
+        rows = self.state.read()
+        if rows is None:
+            return None
+        last = rows.agg(F.max("metric_date").alias("last_day"))  # one row
+        ends = F.explode(F.sequence(F.col("metric_date"), F.least(F.date_add("metric_date", days - 1), F.col("last_day")))).alias("metric_date")
+        kept = rows.join(F.broadcast(last), F.lit(True)).select(*[c for c in rows.columns if c != "metric_date"], ends)
+        both = self._merged(kept, ["metric_date", "part"])
+        sums = both.where("part IS NULL").select(
+            "metric_date", F.col("n").alias("total"), _mean(F.col("latency_sum"), F.col("latency_n"), 4).alias("avg_latency_ms"),
+            F.coalesce(_mean(F.col("cost_sum"), F.lit(1), 4), F.lit(0.0)).alias("total_cost_usd"), "errors",
+            self._quantile(0.5).alias("latency_p50_ms"), self._quantile(0.95).alias("latency_p95_ms"),
+        )
+        users = both.where("part IS NOT NULL").groupBy("metric_date").agg(F.sum(F.bitmap_count("users")).alias("active_users"))
+        return sums.join(users, "metric_date", "left").fillna(0, ["active_users"])
+
+
 class FanOut:
     """A stream's facts written to several tables, each made by a function of the batch that keeps the fact's ``key``.
 
