@@ -1,7 +1,7 @@
 """Exact percentiles of groups of any size, by a histogram whose bucket of the rank is opened.
 
-Values are counted before they move. Approximate quantiles, which merge in bounded memory, cut each group's values into
-buckets of about equal numbers; running sums over these few buckets tell in which one a rank lies, and only the distinct
+Values are counted before they move, and the counts are stored. Approximate quantiles, which merge in bounded memory, cut each
+group's distinct values into buckets of about equal numbers; running sums over these few buckets tell in which one a rank lies, and only the distinct
 values of that bucket are put in order.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deskgrain.functions.frames import small
+from deskgrain.functions.frames import written
 
 BUCKETS, ACCURACY = 200, 10_000
 
@@ -21,9 +21,11 @@ def percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], lower
     ``lower``. Nulls do not count; groups without a value have no row; a null key is a key."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     v = df.select(key.alias("key"), F.col(col).cast("double").alias("value")).where("value IS NOT NULL")
+    # counted once; all that follows reads what is stored
+    stored = written(v.groupBy("key", "value").agg(F.count("*").alias("n")), "counted")
     shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = small(v.groupBy("key").agg(F.percentile_approx("value", shares, ACCURACY).alias("cuts"), F.count("*").alias("total")))
-    counted = v.groupBy("key", "value").agg(F.count("*").alias("n")).join(cuts, "key")
+    cuts = stored.groupBy("key").agg(F.percentile_approx("value", shares, ACCURACY).alias("cuts"), F.sum("n").alias("total"))
+    counted = stored.join(cuts, "key")
     counted = counted.select("key", "value", "n", "total", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bucket"))
     hist = counted.groupBy("key", "total", "bucket").agg(F.sum("n").alias("s"))
     hist = hist.withColumn("upto", F.sum("s").over(Window.partitionBy("key").orderBy("bucket")))  # BUCKETS rows a group
@@ -36,7 +38,7 @@ def percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], lower
         "key", "bucket", F.col("r.i").alias("i"), F.col("r.e").alias("e"),
         (F.col("r.rank") - F.col("upto") + F.col("s")).alias("left"),
     )
-    inside = counted.join(small(edge), ["key", "bucket"])
+    inside = counted.join(edge, ["key", "bucket"])
     inside = inside.withColumn("to", F.sum("n").over(Window.partitionBy("key", "i", "e").orderBy("value")))
     hits = inside.where((F.col("left") < F.col("to")) & (F.col("left") >= F.col("to") - F.col("n")))
 
