@@ -179,10 +179,10 @@ def bundle(traces: DataFrame, secrets: list[str]) -> DataFrame:
 
 def write_bundles(parts: DataFrame, path: str) -> None:
     """Writes each part as a file, path/trace_id=.../part=.../. The six parts of a trace are written by one task, so that each is one
-    file; tasks take traces by hash, and none holds more than the row it writes."""
-    parts.repartition("trace_id").sortWithinPartitions("trace_id", "part").write.mode("errorifexists").option("lineSep", "\n").partitionBy(
-        "trace_id", "part",
-    ).text(path)
+    file; tasks take traces by hash, and none holds more than the row it writes. Opening files is the work, not their bytes, so the
+    number of tasks is given, which adaptive execution does not lower."""
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts.repartition(tasks, "trace_id").sortWithinPartitions("trace_id", "part").write.mode("errorifexists").partitionBy("trace_id", "part").text(path)
 
 
 def read_bundles(spark, path: str) -> DataFrame:

@@ -92,3 +92,15 @@ def test_token_edit_distance(spark):
         ).coalesce(1).select(T.token_edit_distance(F.col("a"), F.col("b"))).collect()
     ]
     assert got == [slow_distance((a or "").split(), (b or "").split()) for a, b in pairs]
+
+
+def test_token_edit_distance_of_long_lists(spark):
+    rng, pairs = random.Random(5), []
+    for n in (1, 62, 63, 64, 65, 128, 129, 500):
+        for names in ("ab", [f"w{i}" for i in range(150)]):
+            a = rng.choices(names, k=n)
+            pairs.append((" ".join(a), " ".join(rng.choices(names, k=rng.randint(0, n)))))
+            pairs.append((" ".join(a), " ".join(x for x in a if rng.random() < 0.9)))
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = dict(map(tuple, d.select("i", T.token_edit_distance(F.col("a"), F.col("b"))).collect()))
+    assert [got[i] for i in range(len(pairs))] == [slow_distance(a.split(), b.split()) for a, b in pairs]
