@@ -384,10 +384,13 @@ def trace_diagnostics(spark, sf):
     )
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("documents", "pages", "events", "lineitem", "labels")))
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES))
 def table_inventory(spark, sf):
     """Rows of every table."""
-    return P.inventory({t: table(spark, sf, t) for t in ("documents", "pages", "events", "lineitem", "labels")})
+    return P.inventory({t: table(spark, sf, t) for t in TABLES})
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' v3' ELSE s_name END AS s_name FROM supplier
