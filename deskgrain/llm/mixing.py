@@ -67,7 +67,8 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     A document is taken ``base`` times, and once more if its hash is below ``bound``; documents in hash order are taken
     as long as their running sum stays within the budget, and one more where this comes nearer to it; documents of the same
-    hash together. What a source gives is thus off its target by half the words of one hash at most.
+    hash together. What a source gives is thus off its target by half the words of one hash at most. The few rows that a
+    level finds are written, so that no plan holds those of the levels before it.
     """
     # long sums by (source, first digit): the only pass over all documents
     top = written(sized.groupBy("mix_source", _digit(F.col("mix_hash"), 0).alias("digit")).agg(F.sum("mix_size").alias("s")), "mix-histogram")
@@ -84,7 +85,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         run = hist.withColumn("upto", F.sum("s").over(w)).withColumnRenamed("mix_source", "k")
         over = run.join(small(state.select("mix_source", "left")), F.col("k").eqNullSafe(F.col("mix_source"))).where(F.col("upto") > F.col("left"))
         edge = over.groupBy("k").agg(F.min_by(F.struct("digit", "upto", (F.col("upto") - F.col("s")).alias("below")), "digit").alias("e"))
-        step = state.join(small(edge), F.col("mix_source").eqNullSafe(F.col("k")), "left")
+        step = state.join(small(written(edge, "mix-edge")), F.col("mix_source").eqNullSafe(F.col("k")), "left")
         unit = 1 << _below(level)
         # no bucket overruns the budget: everything that is still open is taken
         closed.append(
@@ -108,7 +109,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
             )
             hist = inside.groupBy("mix_source", _digit(F.col("mix_hash"), level + 1).alias("digit")).agg(F.sum("mix_size").alias("s"))
     closed.append(state.select("mix_source", "source_size", "target", "base", "bound"))
-    return reduce(DataFrame.unionByName, closed)
+    return written(reduce(DataFrame.unionByName, closed), "mix-bounds")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

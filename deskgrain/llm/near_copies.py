@@ -252,11 +252,18 @@ def roots(found: DataFrame, docs: DataFrame, key: list[str], text_col: str = "te
     # rows of one node have equal sets; their fingerprints may differ by repeats
     each = found.groupBy("sid").agg(F.min(F.struct("n", "a", "b", *key)).alias("r")).select("sid", "r.*")
     labelled = written(each.withColumn("label", F.col("sid")), "labelled")
-    links = None
     for few in (FEW, None):
         pairs = written(candidates(labelled, few), "candidates")
-        new = checked(pairs, labelled, docs, key, text_col, words)
-        links = written(new if links is None else links.unionByName(new), "links")
-        joined = labelled.drop("label").join(connected_components(links), F.col("sid") == F.col("node"), "left")
-        labelled = written(joined.withColumn("label", F.coalesce("root", "sid")).drop("node", "root"), "labelled")
+        links = written(checked(pairs, labelled, docs, key, text_col, words), "links")
+        found = small(connected_components(links if few else groups_linked(links, labelled)))
+        joined = labelled.join(found, F.col("label") == F.col("node"), "left")
+        labelled = written(joined.withColumn("label", F.coalesce("root", "label")).drop("node", "root"), "labelled")
     return labelled.select("sid", F.col("label").alias("root"))
+
+
+def groups_linked(links: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The ``links`` (src, dst) of nodes as links of their groups: a group is one node, named by its label, which is its smallest sid."""
+    for end in ("src", "dst"):
+        label = labelled.select(F.col("sid").alias(end), F.col("label").alias("group"))
+        links = links.join(label, end).drop(end).withColumnRenamed("group", end)
+    return links

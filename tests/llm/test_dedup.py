@@ -36,6 +36,14 @@ def test_components_without_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_stop_as_soon_as_all_edges_lead_to_roots(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, what, f=graph.written: made.append(what) or f(df, what))
+    stars = [(1, 10 + i) for i in range(20)] + [(2, 40), (41, 2), (2, 40)]
+    got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(stars, "src long, dst long")).collect()}
+    assert got == {**{10 + i: 1 for i in range(20)}, 40: 2, 41: 2} and made == ["edges"]  # no round for what is done
+
+
 def brute_fingerprint(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
     if not words:

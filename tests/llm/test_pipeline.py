@@ -7,7 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from deskgrain.llm import bpe
+from deskgrain.llm import bpe, graph, mixing, near_copies
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -85,6 +85,33 @@ def test_short_texts_and_a_large_group_of_near_copies(spark):
     assert got == [0, 300, 302, 303, 304]
 
 
+def test_groups_of_the_first_search_are_one_node_of_the_second(spark, monkeypatch):
+    seen = []
+
+    def components(edges):
+        seen.append([tuple(e) for e in edges.select("src", "dst").collect()])
+        return graph.connected_components(edges)
+
+    monkeypatch.setattr(near_copies, "connected_components", components)
+    monkeypatch.setattr(near_copies, "FEW", 1)
+    base = [f"b{i}" for i in range(80)]
+    group = [" ".join(base[:i % 70] + [f"n{i}"] + base[i % 70 + 1 :]) for i in range(100)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*group, *copies_of(60, 5, 0), "apart from all others"])]
+    got = sorted(r["doc_id"] for r in pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect())
+    assert got == [0, 100, 102]
+    first, second = seen
+    assert len(first) > 10
+    linked = graph.connected_components(spark.createDataFrame(first, "src long, dst long")).collect()
+    inner = {r["node"] for r in linked}  # nodes that are no longer named: their group's smallest stands for them
+    assert inner and not inner & {x for e in second for x in e}
+
+
+def test_mixing_keeps_no_level_in_its_plan(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7), "xyz"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and plan.count("Join") == 1
+
+
 def test_null_and_repeated_ids_merge_nothing(spark):
     text = [" ".join(f"t{i}x{j}" for j in range(20)) for i in range(6)]
     rows = [
