@@ -102,6 +102,12 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(*cols).mapInArrow(run, "name string, content binary")
 
 
+def stored_arc(files: DataFrame) -> DataFrame:
+    """ARC files (name, content) written once. Each is a row group and a page of its own: Parquet looks at a writer's memory only
+    every hundred rows, so that all files of a task would else be one page, which is compressed and read as a whole."""
+    return written(files, "legacy-archives", **{"parquet.block.row.count.limit": 1})
+
+
 def _header(line: str, fields: list[str]) -> dict[str, str]:
     """The fields of a header line. URL and content type may hold spaces: the date is the last field of digits before those that
     stand behind the content type, and the address stands before it. No fields if there is no such date or length."""
@@ -384,5 +390,5 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(written(write_arc(pages, id_col, url_col, html_col), "legacy-archives"), path)
+    write_warc(stored_arc(write_arc(pages, id_col, url_col, html_col)), path)
     return read_warc(spark, path).withColumnRenamed("page_id", id_col)

@@ -1,7 +1,9 @@
 import hashlib
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +173,13 @@ def test_many_repeated_payloads_and_large_records(spark, monkeypatch):
     assert got[900]["payload_bytes"] == len(rows[-1][2]) and got[900]["payload_digest"] == hashlib.sha1(rows[-1][2].encode()).hexdigest()
 
 
+def test_each_stored_archive_is_a_row_group(spark):
+    """Else a task's archives are one Parquet page, held and compressed as a whole."""
+    d = spark.range(0, 6, 1, 1).select(F.lit("a.arc").alias("name"), F.lit(b"x" * 1000).alias("content"))
+    files = [pq.read_metadata(urlparse(f).path) for f in warc.stored_arc(d).inputFiles()]
+    assert [[m.row_group(i).num_rows for i in range(m.num_row_groups)] for m in files] == [[1] * 6]
+
+
 def test_archive_of_nothing(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archived(d).count() == 0
