@@ -19,7 +19,7 @@ from deskgrain.functions.frames import new_folder, small
 from deskgrain.operators import ingest as I
 from deskgrain.operators.reports import rate
 
-from .ledger import Ledger
+from .ledger import Ledger, shuffles_removed
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +72,10 @@ def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("s")).select(key, "s.*")
 
 
+#: Stored bytes of buckets that are merged at a time, so that the shuffles of a merge do not grow with the table.
+MERGE_BYTES = 256 << 20
+
+
 class Buckets:
     """A keyed table in ``folder``, its rows dealt into buckets by a hash of the key. A batch writes the buckets it touches and
     no others, and commits them together (``Ledger``): a batch that breaks shows nothing, one that was committed is not run again,
@@ -89,21 +93,47 @@ class Buckets:
         """The table as the last batch left it; None if nothing is there."""
         return self.ledger.read()
 
-    def merge(self, new: DataFrame, batch_id: int, how: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
-        """Commits ``how(old rows of the touched buckets, new rows)``. The new rows are computed once: they are written by bucket, and the
-        names of the folders tell which buckets are touched."""
+    def merge(
+        self, new: DataFrame, batch_id: int, how: Callable[[DataFrame | None, DataFrame], DataFrame],
+        prepare: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> None:
+        """Commits ``how(old rows of some buckets, new rows of these)`` of all touched buckets. The new rows are computed once: they are
+        written by bucket, and the names of the folders tell which buckets are touched. Buckets are merged a few at a time, and their new
+        rows go as soon as they are. What ``prepare`` makes of new rows is written too, so that ``how`` may use it often."""
         last = self.ledger.last()
         if batch_id <= last["batch"]:
             return
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.n)).cast("int")
-        arrived, schema = self.ledger.write(new.withColumn("bucket", bucket), "bucket", batch_id)
-        if not arrived:
-            return
-        rows = self.spark.read.schema(schema).parquet(*arrived.values())
-        merged = how(self.ledger.read(set(arrived), last), rows)
-        written, schema = self.ledger.write(merged.withColumn("bucket", bucket), "bucket", batch_id)
-        kept = {part: path for part, path in last["live"].items() if part not in arrived}
-        self.ledger.commit(last, kept | written, schema, batch_id)
+        with shuffles_removed(new.sparkSession, self.spark):
+            arrived, schema = self.ledger.write(new.withColumn("bucket", bucket), "bucket", batch_id)
+            if not arrived:
+                return
+            live = {part: path for part, path in last["live"].items() if part not in arrived}
+            for parts in self._groups(arrived, last["live"]):
+                paths = [arrived[p] for p in parts]
+                rows = self.spark.read.schema(schema).parquet(*paths)
+                if prepare:
+                    rows, path = prepare(rows), self.ledger.data_folder(batch_id)
+                    rows.write.parquet(path)
+                    self.ledger.drop(paths)
+                    rows, paths = self.spark.read.schema(rows.schema).parquet(path), [path]
+                merged = how(self.ledger.read(set(parts), last), rows)
+                written, kind = self.ledger.write(merged.withColumn("bucket", bucket), "bucket", batch_id)
+                live |= written
+                self.ledger.drop(paths)
+        self.ledger.commit(last, live, kind, batch_id)
+
+    def _groups(self, arrived: dict[str, str], live: dict[str, str]) -> list[list[str]]:
+        """The arrived buckets in groups of at most MERGE_BYTES of old and new rows, or of one bucket."""
+        groups, size = [], MERGE_BYTES
+        for part in sorted(arrived):
+            own = sum(self.ledger.size(paths[part]) for paths in (arrived, live) if part in paths)
+            if size + own > MERGE_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append(part)
+            size += own
+        return groups
 
 
 class LatestState:
@@ -300,12 +330,16 @@ class IncrementalIngest:
         self.as_of, self.state = F.current_timestamp() if as_of is None else as_of, Buckets(spark, folder, "article_id", buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        docs = latest_by_key(batch.select(self.id, self.text, *({self.order} - {self.id, self.text})), self.id, self.order)
+        docs = batch.select(F.col(self.id).alias("article_id"), *({self.text, self.order} - {self.id}))
+        self.state.merge(docs, batch_id, self._merged, self._chunks)
+
+    def _chunks(self, docs: DataFrame) -> DataFrame:
+        """The chunks of documents, and a row for each document without any: it still supersedes those that it had."""
+        docs = latest_by_key(docs, "article_id", "article_id" if self.order == self.id else self.order).withColumnRenamed("article_id", self.id)
         hashes = docs.select(F.col(self.id).alias("article_id"), F.sha2(F.coalesce(self.text, F.lit("")), 256).alias("document_hash"))
         name = F.concat_ws(":", F.col("article_id").cast("string"), "chunk_index")
         chunks = self.chunk(docs).select("article_id", "chunk_index", "content", name.alias("chunk_id"))
-        # a document without chunks still supersedes those that it had
-        self.state.merge(hashes.join(chunks, "article_id", "left"), batch_id, self._merged)
+        return hashes.join(chunks, "article_id", "left")
 
     def _merged(self, old: DataFrame | None, new: DataFrame) -> DataFrame:
         columns = [

@@ -4,7 +4,7 @@ import random
 import statistics
 
 from deskgrain.streaming import jobs as J
-from deskgrain.streaming.ledger import Ledger
+from deskgrain.streaming.ledger import CLEANUP, Ledger
 
 FACT = "created_at timestamp, user_id long, confidence string, action string, edit_ratio double, latency_ms double, cost_usd double, error boolean"
 
@@ -118,6 +118,26 @@ def test_a_batch_that_breaks_leaves_no_half_state_and_old_versions_go(spark, tmp
     assert {int(p.parent.name.split("=")[1].split("-")[0]) for p in held} == {5, 6, 7}  # those of the last three manifests, and nothing broken
 
 
+def test_buckets_are_merged_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """What a merge holds besides the table does not grow with it: new rows and shuffle files go with each group of buckets."""
+    monkeypatch.setattr(J, "MERGE_BYTES", 1)
+    state, seen = J.Buckets(spark, f"file://{tmp_path}/state", "k", 4), []
+
+    def how(old, new):
+        left = [p for p in tmp_path.glob("state/data/batch=1-*/bucket=*")]
+        seen.append((sorted(r["k"] for r in new.collect()), sorted(r["k"] for r in old.collect()), len(left), spark.conf.get(CLEANUP)))
+        return old.unionByName(new)
+
+    rows = spark.range(40).withColumnRenamed("id", "k")
+    state.merge(rows, 0, lambda old, new: new)
+    state.merge(rows, 1, how, lambda new: new.where("k < 1000"))
+    assert sorted(k for new, _, _, _ in seen for k in new) == list(range(40)) and len(seen) == 4
+    assert all(new == old for new, old, _, _ in seen) and all(on == "true" for *_, on in seen) and spark.conf.get(CLEANUP) == "false"
+    assert [left for _, _, left, _ in seen] == [3, 3, 3, 3]  # of the arrived and the merged buckets together
+    assert sorted(r["k"] for r in state.read().collect()) == sorted(2 * list(range(40)))
+    assert len(list(tmp_path.glob("state/data/batch=1-*/bucket=*"))) == 4
+
+
 def test_a_second_writer_is_refused(spark, tmp_path):
     ledger = Ledger(spark, f"file://{tmp_path}/t")
     live, schema = ledger.write(spark.createDataFrame([(1, 2)], "k int, v int"), "k", 0)
