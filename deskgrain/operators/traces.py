@@ -8,9 +8,15 @@ fields. Nothing groups or sorts but the listings, which keep the newest few.
 from __future__ import annotations
 
 import json
+import os
 import re
+import uuid
+import zlib
+from collections.abc import Iterator
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The parts of a bundle, the mark of a masked secret, and the length from which a secret is masked.
@@ -18,6 +24,9 @@ PARTS = ("trace.json", "logs.jsonl", "retrieved_chunks.md", "final_answer.md", "
 SECRET_MARK, LEAST_SECRET = "[REDACTED_SECRET]", 4
 SNAPSHOT = ("config_hash", "model_provider", "workflow_mode", "product", "platform", "role")
 
+#: Characters that a task reads from files before it hands them on, about.
+BATCH_CHARS = 4 << 20
+
 #: A string of JSON with the colon behind it if it is a name, or what lies between strings. Possessive, so of any length.
 JSON_PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?|[^"]++'
 
@@ -177,15 +186,111 @@ def bundle(traces: DataFrame, secrets: list[str]) -> DataFrame:
     return parsed(traces).select("trace_id", F.explode(parts).alias("p")).select("trace_id", "p.*")
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The name of a folder that is mounted on every machine (``file:``); None for any other store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+#: Characters that names of partition folders hold as %XX.
+_ESCAPED = {i: f"%{i:02X}" for i in [*range(1, 32), *map(ord, "\"#%'*/:=?\\{[]^"), 127]}
+
+
+def _folder(name: str | None) -> str:
+    """A value as the name of a partition's folder has it."""
+    return name.translate(_ESCAPED) if name else "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_files(root: str):
+    """Sorted (trace_id, part, value) to a file for each trace and part under ``root``, one line a row; gives the number of files. A task
+    that runs again writes the same files, each renamed into place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, key, lines = 0, None, []
+
+        def close() -> None:
+            folder = f"{root}/trace_id={_folder(key[0])}/part={_folder(key[1])}"
+            os.makedirs(folder, exist_ok=True)
+            own = f"{folder}/.{uuid.uuid4().hex}"
+            with open(own, "wb") as f:
+                f.writelines(lines)
+            os.replace(own, f"{folder}/part-00000.txt")
+
+        for b in batches:
+            for trace, part, value in zip(*[c.to_pylist() for c in b.columns]):
+                if (trace, part) != key:
+                    if key:
+                        close()
+                    key, lines, files = (trace, part), [], files + 1
+                lines.append((value or "").encode() + b"\n")
+        if key:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return run
+
+
 def write_bundles(parts: DataFrame, path: str) -> None:
     """Writes each part as a file, path/trace_id=.../part=.../. The six parts of a trace are written by one task, so that each is one
     file; tasks take traces by hash, and none holds more than the row it writes. Opening files is the work, not their bytes, so the
-    number of tasks is given, which adaptive execution does not lower."""
-    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts.repartition(tasks, "trace_id").sortWithinPartitions("trace_id", "part").write.mode("errorifexists").partitionBy("trace_id", "part").text(path)
+    number of tasks is given, which adaptive execution does not lower.
+
+    To a mounted folder the tasks write by themselves, as Hadoop's local file system starts a process for the mode of every file and
+    folder; the whole is renamed into place when all are there. Any other store is written by Spark's text sink."""
+    spark = parts.sparkSession
+    dealt = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "trace_id").sortWithinPartitions("trace_id", "part")
+    root = _local(spark, path)
+    if root is None:
+        dealt.write.mode("errorifexists").partitionBy("trace_id", "part").text(path)
+        return
+    fs, made = spark._jvm.org.apache.hadoop.fs, f"{root}.{uuid.uuid4().hex}"
+    local = fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if local.exists(fs.Path(path)):
+        raise FileExistsError(path)
+    local.mkdirs(fs.Path(f"file://{made}"))
+    dealt.select("trace_id", "part", "value").mapInArrow(_write_files(made), "files long").agg(F.sum("files")).collect()
+    if not local.rename(fs.Path(f"file://{made}"), fs.Path(path)):
+        raise OSError(f"{path} cannot be made")
+
+
+def _named(folder: str) -> str | None:
+    """The value that the name of a partition's folder stands for."""
+    name = folder.partition("=")[2]
+    return None if name == "__HIVE_DEFAULT_PARTITION__" else unquote(name)
+
+
+def _read_files(root: str, tasks: int):
+    """Numbers of tasks to (trace_id, part, value) of the files in their shares of the folders under ``root``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=["trace_id", "part", "value"])
+
+        mine = {i for b in batches for i in b.column(0).to_pylist()}
+        for trace in (x.path for x in os.scandir(root) if x.name.startswith("trace_id=") and zlib.crc32(x.name.encode()) % tasks in mine):
+            for part in (x.path for x in os.scandir(trace) if x.name.startswith("part=")):
+                for file in (x.path for x in os.scandir(part) if x.name[0] not in "._"):
+                    with open(file, "rb") as f:
+                        value = f.read().removesuffix(b"\n").decode()
+                    rows.append((_named(os.path.basename(trace)), _named(os.path.basename(part)), value))
+                    size += len(value)
+                    if size > BATCH_CHARS or len(rows) >= 10_000:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
+
+    return run
 
 
 def read_bundles(spark, path: str) -> DataFrame:
-    """(trace_id, part, value) of written bundles."""
+    """(trace_id, part, value) of written bundles. In a mounted folder each task lists the traces and reads a share of them; else Spark
+    lists all files, which the driver keeps, and gives a task few of them, however small, so that tasks are put together."""
+    tasks, root = int(spark.conf.get("spark.sql.shuffle.partitions")), _local(spark, path)
+    if root is not None:
+        return spark.range(0, tasks, 1, tasks).mapInArrow(_read_files(root, tasks), "trace_id string, part string, value string")
     whole = spark.read.schema("value string, trace_id string, part string").text(path, wholetext=True)
-    return whole.select("trace_id", "part", F.regexp_replace("value", "\n\\z", "").alias("value"))
+    return whole.coalesce(tasks).select("trace_id", "part", F.regexp_replace("value", "\n\\z", "").alias("value"))

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from deskgrain.operators import traces as X
 
 TRACE = {
@@ -65,6 +67,25 @@ def test_bundles_are_six_masked_files_a_trace(spark, tmp_path):
     assert json.loads(got["t1", "trace.json"]) == {} and got["t1", "logs.jsonl"] == got["t1", "final_answer.md"] == ""
 
 
+def test_bundles_are_renamed_into_place_as_spark_names_them(spark, tmp_path, monkeypatch):
+    """In a mounted folder and by Spark's sink alike; the folder is whole or not there, and an old one is not touched."""
+    named = [("a/b=c", "x", "one"), ("a/b=c", "y", None), ("ü {[%", "x", "two\nlines\n"), ("t", "x", "first"), ("t", "x", "first")]
+    parts = spark.createDataFrame(named, "trace_id string, part string, value string")
+    X.write_bundles(parts, f"file://{tmp_path}/by-tasks")
+    with pytest.raises(FileExistsError):
+        X.write_bundles(parts, f"file://{tmp_path}/by-tasks")
+    assert not list(tmp_path.glob("by-tasks/trace_id=*/part=*/*.crc")) and len(list(tmp_path.iterdir())) == 1
+    monkeypatch.setattr(X, "_local", lambda spark, path: None)
+    X.write_bundles(parts, f"file://{tmp_path}/by-spark")
+    folders = [sorted(str(p.parent.relative_to(tmp_path / w)) for p in tmp_path.glob(f"{w}/*/*/part-*")) for w in ("by-tasks", "by-spark")]
+    assert folders[0] == folders[1] and len(folders[0]) == 4
+    got = [sorted(map(tuple, X.read_bundles(spark, f"file://{tmp_path}/{w}").collect())) for w in ("by-tasks", "by-spark")]
+    monkeypatch.undo()
+    got += [sorted(map(tuple, X.read_bundles(spark, f"file://{tmp_path}/{w}").collect())) for w in ("by-tasks", "by-spark")]
+    assert got[0] == got[1] == got[2] == got[3] == [("a/b=c", "x", "one"), ("a/b=c", "y", ""), ("t", "x", "first\nfirst"), ("ü {[%", "x", "two\nlines\n")]
+    assert X.read_bundles(spark, f"file://{tmp_path}/by-tasks").rdd.getNumPartitions() <= 4
+
+
 def test_masking_of_very_long_strings(spark):
     text = json.dumps({"a": "x\\\"" * 200_000 + "key-12345"})
     got = spark.createDataFrame([(text,)], "t string").select(X.masked_json(X.F.col("t"), ["key-12345"])).first()[0]
