@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -300,10 +301,19 @@ def replay_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """Numbers with so many digits behind the point, rounded by their exact binary values as C and Python do (37.15 is a little less
+    and gives 37.1); Java's formats round the shortest decimal half up."""
+
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: f"{x:.{digits}f}", na_action="ignore")
+
+    return run(c)
+
+
 def report_lines(metrics: DataFrame) -> DataFrame:
     """(metric, line): a table line for each metric; shares as per cent, all else plain."""
     share = F.col("metric").rlike("recall|precision|accuracy|rate|coverage")
-    value = F.when(F.col("value").isNull(), "n/a").when(
-        share, F.concat(F.format_string("%.1f", F.col("value") * 100), F.lit("%")),
-    ).otherwise(F.format_string("%.4f", F.col("value")))
+    value = F.when(F.col("value").isNull(), "n/a").when(share, F.concat(fixed(F.col("value") * 100, 1), F.lit("%"))).otherwise(fixed(F.col("value"), 4))
     return metrics.select("metric", F.concat(F.lit("| "), "metric", F.lit(" | "), value, F.lit(" |")).alias("line"))

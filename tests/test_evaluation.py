@@ -88,3 +88,19 @@ def test_points_tokens_and_triad(spark):
     assert V.gate(V.metric_rows(V.summary(judged)), V.PRODUCTION_TARGETS).where("metric = 'required_point_coverage'").count() == 0
     bare = V.summary(V.judge(golden.drop("must_include_points", "must_not_include_points"), results.drop("answer_text"), none)).first()
     assert (bare["required_point_coverage"], bare["forbidden_point_violation_count"]) == (None, 0)
+
+
+def test_report_lines_round_by_binary_values(spark):
+    """As the reference's formats do: 37.15 is a little less than it shows, 37.25 is a tie that goes to the even digit."""
+    values = [i / 10_000 for i in range(1, 1000)] + [0.3715, 0.3725, 0.3745, 1.0, 0.0]
+    rows = [("recall", v) for v in values] + [("cost", v / 10) for v in values] + [("rate", None), ("cost", 12345.67885), ("cost", None)]
+    want = [f"| {m} | " + ("n/a" if v is None else f"{v * 100:.1f}%" if m != "cost" else f"{v:.4f}") + " |" for m, v in rows]
+    got = V.report_lines(spark.createDataFrame(rows, "metric string, value double")).collect()
+    assert sorted(r["line"] for r in got) == sorted(want)
+
+
+def test_points_have_capitals_one_for_one(spark):
+    from deskgrain.plans.evaluation_queries import _upper
+
+    got = spark.createDataFrame([("Straße ﬁn\nçа\U0001F600é",)], "t string").select(_upper("t")).first()[0]
+    assert got == "STRAßE ﬁN\nÇА\U0001F600É"
